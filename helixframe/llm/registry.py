@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["chat_format", "url_filter", "mixing", "language_id"]
+MODULES = ["chat_format", "url_filter", "mixing", "language_id", "line_dedup"]
 
 
 def _all(what: str) -> dict:
