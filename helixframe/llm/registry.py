@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["chat_format", "url_filter", "topk", "line_dedup", "mixing", "language_id"]
+MODULES = ["chat_format", "url_filter", "topk", "line_dedup", "ngram_join", "mixing", "language_id"]
 
 
 def _all(what: str) -> dict:
