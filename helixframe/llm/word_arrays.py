@@ -17,6 +17,7 @@ _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+_BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -61,11 +62,17 @@ def slabs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         a = b
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a slab in order, and the bounds of each text's words among them."""
+def words(data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a slab in order, and the bounds of each text's words among them.
+
+    White space separates words and A-Z count as lower case. plain: so does ASCII punctuation, and so do Latin-1 capitals.
+    """
     if not len(data):
         return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    if plain:
+        capital = np.append(False, data[:-1] == 0xC3) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
+        data = data + (capital.astype(np.uint8) << 5)
+    inside = ~(_BREAK if plain else _SPACE)[data]
     fresh = np.ones(len(data) + 1, bool)
     fresh[1:-1] = ~inside[:-1]
     fresh[offsets] = True
@@ -73,7 +80,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     ends = np.flatnonzero(inside & np.append(~inside[1:] | fresh[1:-1], True)) + 1
     up, down = _Powers.of(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[:-1], out=sums[1:])
+    np.cumsum(_BYTE_LOWER[data] * up[:-1], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * down[starts])
     return hashes, np.searchsorted(starts, offsets)
 
