@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["chat_format", "url_filter", "topk", "line_dedup", "ngram_join", "mixing", "language_id", "decontaminate"]
+MODULES = ["chat_format", "url_filter", "topk", "line_dedup", "ngram_join", "mixing", "suffix_dedup", "language_id", "decontaminate"]
 
 
 def _all(what: str) -> dict:
