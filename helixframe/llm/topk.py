@@ -128,19 +128,18 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [np.empty(0, np.int64)] * 3
         if left.num_rows and right.num_rows:
-            floor = right["floor"].to_numpy().astype(float)
-            out = best_in_cell(left["vec_id"].to_numpy(), _matrix(left["v"], d), right["vec_id"].to_numpy(), _matrix(right["v"], d), floor, turn, k)
+            floor = right["q_floor"].to_numpy().astype(float)
+            out = best_in_cell(left["vec_id"].to_numpy(), _matrix(left["v"], d), right["q_id"].to_numpy(), _matrix(right["q_v"], d), floor, turn, k)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
 
     def meet(where: list[tuple[int, int, float]], asked: DataFrame) -> DataFrame:
         """Every query with the cells that can reach its floor."""
         spots = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(c).alias("cell"), F.lit(m).alias("longest")) for b, c, m in where])
         can = F.filter(spots, lambda s: s["longest"] * F.col("norm") * (1 + 1e-9) + 1 >= F.col("floor"))
-        right = asked.select("vec_id", "v", "floor", "block", F.explode(can).alias("s")).select("vec_id", "v", "floor", "block", "s.band", "s.cell")
+        right = asked.select("vec_id", "v", "floor", "block", F.explode(can).alias("s")).select(F.col("vec_id").alias("q_id"), F.col("v").alias("q_v"), F.col("floor").alias("q_floor"), F.col("block").alias("q_block"), F.col("s.band").alias("q_band"), F.col("s.cell").alias("q_cell"))
         chosen = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(c).alias("cell")) for b, c, _ in where])
         left = placed.where(F.array_contains(chosen, F.struct("band", "cell"))).select("vec_id", "v", "band", "cell", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        keys = ["band", "cell", "block"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, schema)
+        return left.groupBy("band", "cell", "block").cogroup(right.groupBy("q_band", "q_cell", "q_block")).applyInArrow(kernel, schema)
 
     first = materialize(meet(cells[:1], asked.withColumn("floor", F.lit(-math.inf))), "topk-first")
     found = first
