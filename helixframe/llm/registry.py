@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["chat_format", "url_filter", "topk", "line_dedup", "ngram_join", "mixing", "suffix_dedup", "language_id", "decontaminate"]
+MODULES = ["chat_format", "url_filter", "topk", "pii", "line_dedup", "ngram_join", "mixing", "suffix_dedup", "language_id", "decontaminate"]
 
 
 def _all(what: str) -> dict:
@@ -15,8 +15,9 @@ def _all(what: str) -> dict:
 
 
 def queries() -> dict:
-    return _all("QUERIES")
+    return _all("QUERIES") | {"pipeline": import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict:
-    return _all("ORACLES")
+    sql = import_module("corpus_pipeline").ORACLE_SQL
+    return _all("ORACLES") | ({"pipeline": sql} if sql else {})

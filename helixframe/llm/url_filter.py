@@ -47,12 +47,12 @@ def expand(urls: DataFrame, max_labels: int, max_depth: int) -> DataFrame:
     The bounds are those of the rule table, so no expression that a rule could have is left out, while the expansion of a
     URL with thousands of labels or slashes stays as small as the rules are.
     """
-    labels = F.split("host", "\\.")
-    n = F.size(labels)
+    urls = urls.withColumn("labels", F.split("host", "\\."))
+    labels, n = F.col("labels"), F.size("labels")
     suffix = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(max_labels))), lambda i: F.array_join(F.slice(labels, n - i + 1, i), "."))
     depth = F.size(F.split("path", "/")) - 1
     prefix = F.transform(F.sequence(F.lit(0), F.least(depth, F.lit(max_depth))), lambda i: F.when(i == 0, "").otherwise(F.concat(F.call_function("substring_index", F.col("path"), F.lit("/"), i), F.lit("/"))))
-    return urls.withColumn("suffix", F.explode(suffix)).withColumn("prefix", F.explode(prefix)).withColumn("expr", F.concat("suffix", "prefix")).drop("suffix", "prefix")
+    return urls.withColumn("suffix", F.explode(suffix)).withColumn("prefix", F.explode(prefix)).withColumn("expr", F.concat("suffix", "prefix")).drop("suffix", "prefix", "labels")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, broadcast_rules: int = 500_000, salts: int = 64) -> DataFrame:
