@@ -15,13 +15,8 @@ from .common import materialize, table
 
 #: Fewest words of a line that may differ from another by one word.
 MIN_WORDS = 5
-
-
-def _lines(documents: DataFrame) -> DataFrame:
-    """d (doc_id), t (hash of the text), pos, line (trimmed) and its 128-bit hash h1, h2; blank lines are left out."""
-    docs = documents.where("text IS NOT NULL").select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    trimmed = docs.withColumn("line", F.btrim("line", F.lit(" \t\r"))).where("line != ''")
-    return trimmed.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line"))
+#: Most texts of which something is broadcast.
+BROADCAST_TEXTS = 200_000
 
 
 def _at(prefix: str = "") -> Column:
@@ -29,30 +24,52 @@ def _at(prefix: str = "") -> Column:
     return F.struct(F.col(f"{prefix}d").isNull().alias("no_id"), F.col(f"{prefix}d").alias("d"), F.col(f"{prefix}t").alias("t"), F.col(f"{prefix}pos").alias("pos"))
 
 
-def distinct_lines(documents: DataFrame) -> DataFrame:
-    """h1, h2, at (earliest place), n (occurrences) and line of every distinct line."""
-    return _lines(documents).groupBy("h1", "h2").agg(F.min(_at()).alias("at"), F.count("*").alias("n"), F.first("line").alias("line"))
+def _half_key(words: Column, start: Column, length: Column, kind: int) -> Column:
+    return F.xxhash64(F.lit(kind), length, F.slice(words, start, length))
 
 
-def _slice_hash(words: Column, start: Column, length: Column, kind: int) -> Column:
-    return F.struct(length.alias("m"), F.xxhash64(F.lit(kind), F.slice(words, start, length)).alias("h"))
+def line_hashes(documents: DataFrame) -> DataFrame:
+    """d (doc_id), t (hash of the text), pos, h1, h2 (128-bit hash) and k1 to k4 (hashed halves) of every line but blank ones.
 
-
-def candidates(lines: DataFrame) -> DataFrame:
-    """h1, h2, at and words (hashes) of the lines that share a half with another line; only these can have a partner.
-
-    One edit leaves the first or the last m words of both lines alone, m being half of the shorter one. A line takes part for
-    a partner of its own length and for one of either neighbouring length.
+    One edit leaves the first or the last m words of both lines alone, m being half of the shorter one. A line therefore has a
+    key of either end for a partner of its own length, and again for one of a neighbouring length where m differs.
     """
-    words = F.split("line", "[ \t]+")
-    long_enough = lines.select("h1", "h2", "at", F.transform(words, lambda w: F.xxhash64(w)).alias("words")).where(F.size("words") >= MIN_WORDS)
+    docs = documents.where("text IS NOT NULL").select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = docs.withColumn("line", F.btrim("line", F.lit(" \t\r"))).where("line != ''").withColumn("words", F.split("line", " "))
     n = F.size("words")
-    halves = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")))
-    keys = F.flatten(F.transform(halves, lambda m: F.array(_slice_hash(F.col("words"), F.lit(1), m, 1), _slice_hash(F.col("words"), n - m + 1, m, 2))))
-    keyed = long_enough.select("h1", "h2", F.explode(keys).alias("key")).select("h1", "h2", F.xxhash64("key.m", "key.h").alias("key"))
+    mine, other = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    keys = {}
+    for k, m, wanted in ((1, mine, n >= MIN_WORDS), (3, other, (n >= MIN_WORDS) & (mine != other))):
+        keys[f"k{k}"] = F.when(wanted, _half_key(F.col("words"), F.lit(1), m, 1))
+        keys[f"k{k + 1}"] = F.when(wanted, _half_key(F.col("words"), n - m + 1, m, 2))
+    return lines.select("d", "t", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), *[c.alias(k) for k, c in keys.items()])
+
+
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """h1, h2, at (earliest place), n (occurrences) and the half keys of every distinct line."""
+    return lines.groupBy("h1", "h2").agg(F.min(_at()).alias("at"), F.count("*").alias("n"), *[F.first(f"k{k}").alias(f"k{k}") for k in range(1, 5)])
+
+
+def _joined(documents: DataFrame, per_text: DataFrame, how: str) -> DataFrame:
+    """documents with what a table says of their texts (d, t). Up to BROADCAST_TEXTS rows (counted) are broadcast, so that the
+    texts stay where they are; a larger table is joined by a shuffle."""
+    few = per_text.count() <= BROADCAST_TEXTS
+    per_text = per_text.withColumnsRenamed({"d": "line_dedup_d", "t": "line_dedup_t"})
+    found = documents.join(F.broadcast(per_text) if few else per_text, F.col("doc_id").eqNullSafe(F.col("line_dedup_d")) & (F.xxhash64("text") == F.col("line_dedup_t")), how)
+    return found.drop("line_dedup_d", "line_dedup_t")
+
+
+def candidates(documents: DataFrame, lines: DataFrame) -> DataFrame:
+    """h1, h2, at and words (hashes) of the distinct lines that share a half with another; only these can have a partner."""
+    keyed = lines.select("h1", "h2", F.explode(F.array(*[f"k{k}" for k in range(1, 5)])).alias("key")).where("key IS NOT NULL")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     found = keyed.join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    return long_enough.join(found, ["h1", "h2"], "left_semi")
+    places = lines.select("h1", "h2", "at").join(found, ["h1", "h2"], "left_semi")
+    per_text = materialize(places.groupBy("at.d", "at.t").agg(F.collect_list(F.struct("h1", "h2", "at")).alias("wanted")), "line-places")
+    each = _joined(documents.select("doc_id", "text"), per_text, "inner").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
+    line = F.btrim(F.element_at("parts", F.col("w.at.pos") + 1), F.lit(" \t\r"))
+    # rows equal in doc_id and text bring the same line more than once
+    return each.select("w.h1", "w.h2", "w.at", F.transform(F.split(line, " "), lambda w: F.xxhash64(w)).alias("words")).dropDuplicates(["h1", "h2"])
 
 
 def deletion_variants(cand: DataFrame) -> DataFrame:
@@ -76,9 +93,9 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (F.abs(na - nb) <= 1) & (shared(a, b) + shared(F.reverse(a), F.reverse(b)) >= F.greatest(na, nb) - 1)
 
 
-def near_duplicates(lines: DataFrame) -> DataFrame:
+def near_duplicates(documents: DataFrame, lines: DataFrame) -> DataFrame:
     """h1, h2 of every line within one edit of an earlier line, whether or not that one is itself such a line."""
-    cand = materialize(candidates(lines), "line-candidates")
+    cand = materialize(candidates(documents, lines), "line-candidates")
     dels = deletion_variants(cand)
     earliest = dels.groupBy("v", "i").agg(F.min(F.struct("at", "h1", "h2")).alias("e"), F.count("*").alias("n")).where("n > 1").drop("n")
     replaced = dels.join(earliest, ["v", "i"]).where(F.col("at") > F.col("e.at")).select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"))
@@ -93,35 +110,35 @@ def near_duplicates(lines: DataFrame) -> DataFrame:
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:
-    """d, t and gone (positions of the lines that go, ascending) of every document that loses a line."""
-    lines = distinct_lines(documents)
-    near = near_duplicates(lines).withColumn("near", F.lit(True))
+    """d, t and line_dedup_gone (positions of the lines that go, ascending) of every document that loses a line."""
+    occurrences = materialize(line_hashes(documents), "lines")
+    lines = materialize(distinct_lines(occurrences), "distinct-lines")
+    near = near_duplicates(documents, lines).withColumn("near", F.lit(True))
     repeated = lines.select("h1", "h2", "at", "n").join(near, ["h1", "h2"], "left").where("n > 1 OR near")
-    occurrences = _lines(documents).select("d", "t", "pos", "h1", "h2").join(repeated, ["h1", "h2"])
-    gone = occurrences.where(F.col("near") | (F.col("at") != _at())).select("d", "t", "pos")
-    return gone.groupBy("d", "t").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    found = occurrences.select("d", "t", "pos", "h1", "h2").join(repeated, ["h1", "h2"])
+    gone = found.where(F.col("near") | (F.col("at") != _at())).select("d", "t", "pos")
+    return gone.groupBy("d", "t").agg(F.sort_array(F.collect_set("pos")).alias("line_dedup_gone"))
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """documents with n_lines, n_removed and a text without its duplicate lines.
 
-    Lines are compared without spaces, tabs and carriage returns at their ends. Blank lines stay. A line goes where an equal
+    Lines are compared without spaces, tabs and carriage returns at their ends; their words are separated by single spaces. Blank lines stay. A line goes where an equal
     line, or one within the edit bound, stands earlier: in a document of smaller doc_id (null last), or above in the same.
     Rows equal in doc_id and text count as one document and get the same text. A null text stays null, with no lines. An empty
     table gives an empty result. Other columns are kept, those named n_lines or n_removed replaced.
     """
-    docs = documents.drop("n_lines", "n_removed").withColumn("text_hash", F.xxhash64("text"))
-    gone = removed_lines(documents)
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["d"]) & (docs["text_hash"] == gone["t"]), "left").drop("d", "t", "text_hash")
+    gone = materialize(removed_lines(documents), "lines-gone")
+    joined = _joined(documents.drop("n_lines", "n_removed"), gone, "left")
     parts = F.split("text", "\n")
-    left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("line_dedup_gone", i)), "\n")
     return joined.withColumns(
         {
             "n_lines": F.coalesce(F.array_size(parts), F.lit(0)),
-            "n_removed": F.coalesce(F.array_size("gone"), F.lit(0)),
-            "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(left),
+            "n_removed": F.coalesce(F.array_size("line_dedup_gone"), F.lit(0)),
+            "text": F.when(F.col("line_dedup_gone").isNull(), F.col("text")).otherwise(left),
         }
-    ).drop("gone")
+    ).drop("line_dedup_gone")
 
 
 def keep_deduped(documents: DataFrame) -> DataFrame:
