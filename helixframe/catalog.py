@@ -1,4 +1,4 @@
-"""Registry of the named queries of the library and their SQL counterparts."""
+"""The named queries of the library and their SQL counterparts."""
 
 from __future__ import annotations
 
@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import calls, intervals, reads, seeds
+from .plans.registry import ORACLES, QUERIES
+
+MODULES = [calls, intervals, reads, seeds]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
