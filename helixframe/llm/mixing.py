@@ -8,6 +8,8 @@ sizes and indices are shuffled, never text.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +34,16 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
     p = F.ceil(F.sqrt(n.cast("double"))).cast("long")
     q = F.ceil(n / p).cast("long")
 
+    def left(r: int, c: Column) -> Column:
+        return F.struct(F.pmod(c["a"] + F.pmod(F.xxhash64(F.lit(2 * r), c["b"], *key), p), p).alias("a"), c["b"].alias("b"))
+
+    def right(r: int, c: Column) -> Column:
+        return F.struct(c["a"].alias("a"), F.pmod(c["b"] + F.pmod(F.xxhash64(F.lit(2 * r + 1), c["a"], *key), q), q).alias("b"))
+
     def once(cell: Column) -> Column:
-        a, b = F.floor(cell / q).cast("long"), F.pmod(cell, q)
-        pair = F.struct(a.alias("a"), b.alias("b"))
+        pair = F.struct(F.floor(cell / q).cast("long").alias("a"), F.pmod(cell, q).alias("b"))
         for r in range(ROUNDS):
-            pair = _let(pair, lambda c, r=r: F.struct(F.pmod(c["a"] + F.pmod(F.xxhash64(F.lit(2 * r), c["b"], *key), p), p).alias("a"), c["b"].alias("b")))
-            pair = _let(pair, lambda c, r=r: F.struct(c["a"].alias("a"), F.pmod(c["b"] + F.pmod(F.xxhash64(F.lit(2 * r + 1), c["a"], *key), q), q).alias("b")))
+            pair = _let(_let(pair, partial(left, r)), partial(right, r))
         return _let(pair, lambda c: c["a"] * q + c["b"])
 
     return F.reduce(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(F.lit(False).alias("done"), x.alias("x")), lambda s, _: F.when(s["done"], s).otherwise(_let(once(s["x"]), lambda y: F.struct((y < n).alias("done"), y.alias("x")))))["x"]
@@ -45,7 +51,7 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
 
 def _let(value: Column, body) -> Column:
     """body(value), with value worked out once."""
-    return F.transform(F.array(value), body)[0]
+    return F.transform(F.array(value), lambda x: body(x))[0]
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -115,7 +121,9 @@ def draw_slots(targets: DataFrame, seed: int = 42) -> DataFrame:
     t = t.withColumn("slots", F.least(F.round(F.col("target") / BLOCK).cast("long"), F.floor(F.col("blocks") * F.lit(MOST)).cast("long"))).where("slots > 0")
     ordered = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     t = t.select("source", "blocks", "slots", F.coalesce(F.sum("slots").over(ordered), F.lit(0)).alias("first"), F.sum("slots").over(Window.partitionBy()).alias("all_slots"))
-    runs = t.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / RUN)))).repartition("source", "run")
+    runs = t.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / RUN))))
+    # a fixed number of partitions: these rows are few and small until they are expanded, and would be coalesced to one task
+    runs = runs.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "run")
     each = runs.withColumn("k", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("run") * RUN + RUN, F.col("slots")) - 1)))
     turn, index = F.floor(F.col("k") / F.col("blocks")).cast("long"), F.pmod("k", "blocks")
     at = permuted(F.col("first") + F.col("k"), F.col("all_slots"), F.lit(seed))
@@ -143,7 +151,7 @@ def mix_blocks(documents: DataFrame, seed: int = 42) -> DataFrame:
     """The mix itself: shard, slot, source, doc_id, first, words, in which each slot lists the pieces of its block."""
     docs, targets = _prepared(documents)
     slots, spans = draw_slots(targets, seed).alias("s"), block_spans(docs).alias("b")
-    return slots.join(spans, F.col("s.source").eqNullSafe(F.col("b.source")) & (F.col("s.block") == F.col("b.block"))).select("shard", "slot", F.col("s.source").alias("source"), "doc_id", "first", "words")
+    return slots.join(spans.hint("merge"), F.col("s.source").eqNullSafe(F.col("b.source")) & (F.col("s.block") == F.col("b.block"))).select("shard", "slot", F.col("s.source").alias("source"), "doc_id", "first", "words")
 
 
 def mix_sources(documents: DataFrame, seed: int = 42) -> DataFrame:
@@ -157,7 +165,8 @@ def mix_sources(documents: DataFrame, seed: int = 42) -> DataFrame:
     docs = materialize(docs, "packed")
     uses = draw_slots(targets, seed).groupBy("source", "block").agg(F.count("*").alias("uses"))
     spans = block_spans(docs).alias("b")
-    met = spans.join(uses.alias("u"), F.col("b.source").eqNullSafe(F.col("u.source")) & (F.col("b.block") == F.col("u.block")))
+    # the expanded side is far larger than it is estimated to be: never broadcast
+    met = spans.join(uses.hint("merge").alias("u"), F.col("b.source").eqNullSafe(F.col("u.source")) & (F.col("b.block") == F.col("u.block")))
     taken = met.groupBy(F.col("b.source").alias("source2"), F.col("b.doc_id").alias("doc_id2"), F.col("key").alias("key2")).agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     same = F.col("source").eqNullSafe(F.col("source2")) & F.col("doc_id").eqNullSafe(F.col("doc_id2")) & (F.col("key") == F.col("key2"))
     out = docs.join(taken, same, "left")
