@@ -1 +1,141 @@
-"""Queries."""
+"""Queries on k-mers, chains and pairwise alignment."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import pairwise, seeds
+from .registry import query
+
+C = F.col
+INDEX = "ix AS (SELECT substr(seq, CAST(i AS INTEGER), {k}) AS kmer, chr, CAST(i AS BIGINT) AS rpos FROM (SELECT chr, seq, unnest(range(1, length(seq) - {k} + 2)) AS i FROM v_contigs WHERE length(seq) >= {k}))"
+READS = "rk AS (SELECT rname, dir, i AS qpos, substr(seq, CAST(i + 1 AS INTEGER), {k}) AS kmer FROM (SELECT rname, dir, seq, unnest(range(0, length(seq) - {k} + 1, {k})) AS i FROM (SELECT rname, 1 AS dir, seq FROM v_reads UNION ALL SELECT rname, -1, translate(reverse(seq), 'ACGT', 'TGCA') FROM v_reads) WHERE length(seq) >= {k}))"
+
+
+def _sql(text: str, k: int) -> str:
+    return text.replace("{k}", str(k))
+
+
+@query("kmer_index", f"WITH {_sql(INDEX, 20)} SELECT * FROM ix")
+def _(v):
+    return seeds.kmer_index(v("v_contigs"), 20)
+
+
+@query("kmer_counts", f"WITH {_sql(INDEX, 8)} SELECT kmer, count(*) AS n FROM ix GROUP BY kmer")
+def _(v):
+    return seeds.kmer_counts(v("v_contigs"), 8)
+
+
+@query("sort_seed_lists", f"WITH {_sql(INDEX, 20)}, {_sql(READS, 20)} SELECT kmer, string_agg(concat(chr, ':', rpos), ',' ORDER BY chr, rpos) AS places FROM ix WHERE kmer IN (SELECT kmer FROM rk) GROUP BY kmer")
+def _(v):
+    wanted = seeds.read_kmers(v("v_reads"), 20).select("kmer").distinct()
+    lists = seeds.sort_seed_lists(seeds.kmer_index(v("v_contigs"), 20).join(wanted, "kmer", "left_semi"))
+    return lists.select("kmer", F.array_join(F.transform("places", lambda p: F.concat_ws(":", p["chr"], p["rpos"].cast("string"))), ",").alias("places"))
+
+
+@query("kmer_seed_join", f"WITH {_sql(INDEX, 20)}, {_sql(READS, 20)} SELECT rname, dir, CAST(qpos AS INTEGER) AS qpos, chr, rpos FROM rk JOIN ix USING (kmer)")
+def _(v):
+    return seeds.kmer_seed_join(v("v_reads"), v("v_contigs"), 20)
+
+
+@query("seed_cap", f"WITH {_sql(INDEX, 8)}, {_sql(READS, 8)}, n AS (SELECT kmer FROM ix GROUP BY kmer HAVING count(*) <= 20) SELECT rname, dir, CAST(qpos AS INTEGER) AS qpos, chr, rpos FROM rk JOIN ix USING (kmer) WHERE kmer IN (SELECT kmer FROM n)")
+def _(v):
+    return seeds.kmer_seed_join(v("v_reads"), v("v_contigs"), 8, limit=20)
+
+
+@query("seed_rate", f"WITH {_sql(INDEX, 8)}, {_sql(READS, 8)}, n AS (SELECT kmer, count(*) AS n FROM ix GROUP BY kmer) SELECT rname, CAST(sum(CASE WHEN n <= 20 THEN 1 ELSE 0 END) AS BIGINT) AS valid, CAST(sum(CASE WHEN n <= 20 THEN 0 ELSE 1 END) AS BIGINT) AS invalid FROM rk LEFT JOIN n USING (kmer) GROUP BY rname")
+def _(v):
+    return seeds.seed_rate(seeds.read_kmers(v("v_reads"), 8), seeds.kmer_counts(v("v_contigs"), 8), 20)
+
+
+@query("seed_bins", f"WITH {_sql(INDEX, 8)}, {_sql(READS, 8)}, b AS (SELECT rname, chr, rpos // 500 AS bin, count(*) AS hits FROM rk JOIN ix USING (kmer) GROUP BY ALL) SELECT rname, chr, bin, hits FROM b QUALIFY row_number() OVER (PARTITION BY rname, chr ORDER BY hits DESC, bin) = 1")
+def _(v):
+    return seeds.seed_bins(seeds.kmer_seed_join(v("v_reads"), v("v_contigs"), 8), ["rname", "chr"], 500)
+
+
+@query("composition_window", """WITH w AS (SELECT chr, i AS pos, substr(seq, CAST(i AS INTEGER), 500) AS s FROM (SELECT chr, seq, unnest(range(1, length(seq) - 498)) AS i FROM v_contigs WHERE length(seq) >= 500))
+SELECT chr, CAST(pos AS INTEGER) AS pos, 500 - length(replace(s, 'A', '')) AS a, 500 - length(replace(s, 'C', '')) AS c, 500 - length(replace(s, 'G', '')) AS g, 500 - length(replace(s, 'T', '')) AS t FROM w""")
+def _(v):
+    return seeds.composition_window(v("v_contigs"), 500)
+
+
+LINKS = f"""WITH {_sql(INDEX, 8)}, {_sql(READS, 8)}, h AS (SELECT rname, dir, CAST(qpos AS INTEGER) AS qpos, chr, rpos FROM rk JOIN ix USING (kmer))
+SELECT a.rname, a.dir, a.chr, a.qpos AS q1, a.rpos AS r1, b.qpos AS q2, b.rpos AS r2, round(CAST(160000.0 AS DOUBLE) - CAST(0.1 AS DOUBLE) * abs((b.rpos - a.rpos) - (b.qpos - a.qpos)), 6) AS score
+FROM h a JOIN h b ON a.rname = b.rname AND a.dir = b.dir AND a.chr = b.chr AND b.qpos > a.qpos AND b.rpos > a.rpos AND b.rpos - a.rpos <= 2000 AND abs((b.rpos - a.rpos) - (b.qpos - a.qpos)) <= 4"""
+
+
+@query("chain_links", LINKS)
+def _(v):
+    return seeds.chain_links(seeds.kmer_seed_join(v("v_reads"), v("v_contigs"), 8), 8, reach=2_000)
+
+
+@query("chain_seeds")
+def _(v):
+    return seeds.chain_seeds(seeds.kmer_seed_join(v("v_reads"), v("v_contigs"), 20), 20)
+
+
+@query("kbest_chains")
+def _(v):
+    chains = seeds.chain_seeds(seeds.kmer_seed_join(v("v_reads"), v("v_contigs"), 20), 20)
+    return seeds.kbest_chains(chains, ["rname", "dir"], 30).select("rname", "dir", "chr", "score", "rank")
+
+
+
+def _regional(v):
+    regions = v("v_contigs").where(F.length("seq") < 1500).select(C("chr").alias("gene_id"), F.lit(1001).cast("long").alias("start_pos"), "seq")
+    queries = regions.select("gene_id", (F.substring("gene_id", 2, 9).cast("long") % 40).alias("rname")).join(v("v_reads"), "rname")
+    return queries.select(F.concat_ws("/", C("rname").cast("string"), "gene_id").alias("id"), "gene_id", F.substring("seq", 1, 60).alias("seq")), regions
+
+
+@query("regional_kmer_join", """WITH g AS (SELECT chr AS gene_id, seq FROM v_contigs WHERE length(seq) < 1500),
+q AS (SELECT concat(rname, '/', gene_id) AS id, gene_id, substr(r.seq, 1, 60) AS s FROM g JOIN v_reads r ON rname = CAST(substr(gene_id, 2) AS BIGINT) % 40),
+k AS (SELECT id, gene_id, i AS qpos, substr(s, CAST(i + 1 AS INTEGER), 8) AS kmer FROM (SELECT *, unnest(range(0, length(s) - 7, 3)) AS i FROM q WHERE length(s) >= 8)),
+ix AS (SELECT gene_id, i AS rpos, substr(seq, CAST(i AS INTEGER), 8) AS kmer FROM (SELECT *, unnest(range(1, length(seq) - 6)) AS i FROM g WHERE length(seq) >= 8))
+SELECT id, gene_id, CAST(qpos AS INTEGER) AS qpos, rpos + 1000 AS rpos FROM k JOIN ix USING (gene_id, kmer)""")
+def _(v):
+    return seeds.regional_kmer_join(*_regional(v))
+
+
+@query("chain_seeds_regional")
+def _(v):
+    hits = seeds.regional_kmer_join(*_regional(v))
+    return seeds.chain_seeds(hits, 8, ["id", "gene_id"], best=10)
+
+
+DNA = "translate(upper({c}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ ', 'ACGTACGTACGTACGTACGTACGTACN')"
+
+
+def _pairs(v):
+    dna = lambda c: F.translate(F.upper(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ ", "ACGTACGTACGTACGTACGTACGTACN")
+    return v("v_pairs").select("pair_id", dna("q").alias("q"), dna("r").alias("r"))
+
+
+D = f"d AS (SELECT pair_id, {DNA.replace('{c}', 'q')} AS q, {DNA.replace('{c}', 'r')} AS r FROM v_pairs), e AS (SELECT pair_id, regexp_replace(q, '[^ACGT]', 'x', 'g') AS q, regexp_replace(r, '[^ACGT]', 'y', 'g') AS r FROM d)"
+
+
+@query("pairwise_edit", f"WITH {D} SELECT pair_id, CAST(levenshtein(q, r) AS INTEGER) AS ed, CASE WHEN levenshtein(q, r) <= 12 THEN CAST(levenshtein(q, r) AS INTEGER) END AS banded FROM e")
+def _(v):
+    return _pairs(v).select("pair_id", pairwise.edit_distance(C("q"), C("r")).alias("ed"), pairwise.edit_distance(C("q"), C("r"), 12).alias("banded"))
+
+
+@query("pairwise_hamming", f"WITH {D} SELECT pair_id, CAST(hamming(left(q, least(length(q), length(r))), left(r, least(length(q), length(r)))) AS INTEGER) AS mismatches FROM e")
+def _(v):
+    n = F.least(F.length("q"), F.length("r"))
+    return _pairs(v).select("pair_id", pairwise.hamming(F.left("q", n), F.left("r", n)).alias("mismatches"))
+
+
+@query("pairwise_clip_align")
+def _(v):
+    return pairwise.pairwise_clip_align(_pairs(v))
+
+
+@query("pairwise_xdrop")
+def _(v):
+    return pairwise.pairwise_xdrop(_pairs(v))
+
+
+@query("middle_edit", f"WITH {D} SELECT pair_id, CAST(levenshtein(substr(q, 3, 10), substr(r, 3, 10)) + levenshtein(substr(q, 15, 8), substr(r, 15, 8)) AS INTEGER) AS ed FROM e")
+def _(v):
+    q, r = C("q"), C("r")
+    gaps = [(3, 10), (15, 8)]
+    return _pairs(v).select("pair_id", sum(pairwise.edit_distance(F.substring(q, a, n), F.substring(r, a, n)) for a, n in gaps).alias("ed"))
