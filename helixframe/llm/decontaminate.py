@@ -28,6 +28,8 @@ COMMON, KEYS = 0.002, 4
 LEAST_WEIGHT = 0.15
 #: Least share of an item's words in common order: as a copy, and as a paraphrase whose answer is there to ANSWER.
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
+#: Benchmark words of documents worked on at once in a task.
+CHUNK = 200_000
 #: Items searched at once; a larger benchmark is searched in parts, so that what tasks are sent stays bounded.
 ITEMS = 20_000
 
@@ -73,6 +75,17 @@ def benchmark_words(documents: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, gaps array<int>, ids array<int>").where(F.size("ids") > 0)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in parts of up to CHUNK words, or one row with more."""
+    for batch in batches:
+        ends = batch.column("gaps").offsets.to_numpy()
+        a = 0
+        while a < len(batch):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + CHUNK, "right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def _flat(gaps: pa.ListArray, ids: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, word position and word id of all words of a batch."""
     offsets = gaps.offsets.to_numpy().astype(np.int64)
@@ -96,7 +109,7 @@ def passage_frequencies(stored: DataFrame, size: int) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, stretches = np.zeros(size, np.int64), 0
-        for batch in batches:
+        for batch in _chunks(batches):
             row, pos, ids = _flat(batch.column(0), batch.column(1))
             block = _blocks(row, pos)
             counts += np.bincount(np.unique(block * size + ids) % size, minlength=size)
@@ -143,7 +156,7 @@ def latent_basis(stored: DataFrame, weights: np.ndarray, seed: int = 7) -> np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, rank))
-        for batch in batches:
+        for batch in _chunks(batches):
             _, _, ids, block, first = _passages(batch, weights, 1)
             if not len(first):
                 continue
@@ -197,7 +210,7 @@ def _search(stored: DataFrame, benchmark: Benchmark, weights: np.ndarray, basis:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = [_masks(i) for i in benchmark.ids]
         answer_masks = [_masks(i[len(i) - n :]) for i, n in zip(benchmark.ids, benchmark.answers)]
-        for batch in batches:
+        for batch in _chunks(batches):
             hits: dict[tuple[int, int], float] = {}
             row, pos, ids = _flat(batch.column("gaps"), batch.column("ids"))
             bounds = np.searchsorted(row, np.arange(len(batch) + 1))
