@@ -73,11 +73,10 @@ def candidates(documents: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def deletion_variants(cand: DataFrame) -> DataFrame:
-    """h1, h2, at, i and v: the hash of the line without its word i. Of equal neighbours only the first is deleted."""
+    """h1, h2, at, i and v: the hash of the line without its word i."""
     w = F.col("words")
     n = F.size(w)
-    places = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(w, i) != F.element_at(w, F.greatest(i - 1, F.lit(1)))))
-    variants = F.transform(places, lambda i: F.struct(i.alias("i"), F.xxhash64(F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, n))).alias("v")))
+    variants = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), F.xxhash64(F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, n))).alias("v")))
     return cand.select("h1", "h2", "at", F.explode(variants).alias("x")).select("h1", "h2", "at", "x.i", "x.v")
 
 
