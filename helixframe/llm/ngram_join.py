@@ -20,11 +20,11 @@ from .components import components
 from .word_arrays import array_of_lists, shingle_sets, slabs
 
 #: Longest list whose pairs are listed, sets in a block of a larger group, and most ids that are broadcast.
-SHORT, GROUP, BROADCAST_IDS = 32, 1_024, 2_000_000
+SHORT, GROUP, BROADCAST_IDS = 64, 2_048, 2_000_000
 #: A shingle in more than this share of the documents is put last in the order of shingles.
-COMMON = 1 / 500
-#: Documents whose shingles are counted together when common ones are looked for.
-COUNTED = 4_000
+COMMON = 1 / 16_000
+#: Documents whose shingles are counted together when common ones are looked for, and fewest of them that must hold one.
+COUNTED, FEWEST = 8_000, 2
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -43,9 +43,8 @@ def _common_shingles(documents: DataFrame, size: int) -> np.ndarray:
         pool: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            least = max(8, int(COMMON * len(pool)))
             values, times = np.unique(np.concatenate(pool), return_counts=True)
-            top = times >= least
+            top = times >= FEWEST
             pool.clear()
             return pa.RecordBatch.from_arrays([pa.array(values[top].view(np.int64)), pa.array(times[top])], names=["s", "n"])
 
@@ -58,8 +57,8 @@ def _common_shingles(documents: DataFrame, size: int) -> np.ndarray:
             yield flush()
 
     counted = documents.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    n = documents.count()
-    return np.array(sorted(r["s"] for r in counted.where(F.col("n") > COMMON * n).select("s").collect()), np.int64).view(np.uint64)
+    n = max(documents.count() * COMMON, SHORT / 4)
+    return np.sort(np.array([r["s"] for r in counted.where(F.col("n") > n).select("s").collect()], np.int64).view(np.uint64))
 
 
 def _ordered(s: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -227,13 +226,31 @@ def _forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return keep
 
 
+def _links(a: pa.Table, b: pa.Table | None, percent: int) -> pa.Table:
+    """Links (u, v) between the sets of two blocks, or inside one, as far as they join parts not joined before."""
+    x = [np.asarray(t.values) for t in a["tokens"].combine_chunks()]
+    y = x if b is None else [np.asarray(t.values) for t in b["tokens"].combine_chunks()]
+    shared = _overlaps(x, y)
+    nx, ny = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+    i, j = np.nonzero(shared * (100 + percent) >= percent * (nx[:, None] + ny[None, :]))
+    u, v = a["doc_id"].to_numpy()[i], (a if b is None else b)["doc_id"].to_numpy()[j]
+    keep = _forest(u, v)
+    return pa.table({"u": pa.array(u[keep], pa.int64()), "v": pa.array(v[keep], pa.int64())})
+
+
 def group_links(members: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Links inside groups: members (doc_id, component). Blocks of GROUP sets of similar size meet the blocks their sizes allow."""
+    """Links inside groups: members (doc_id, component).
+
+    A group of up to GROUP sets is one block. A larger one is cut into blocks of similar set size, and a block meets those its
+    sizes allow.
+    """
     counts = members.groupBy("component").agg(F.count("*").alias("members"))
     placed = members.join(counts, "component").join(sizes, "doc_id")
+    small = placed.where(F.col("members") <= GROUP).select("component", "doc_id").join(sets, "doc_id")
+    inside = small.groupBy("component").applyInArrow(lambda t: _links(t, None, percent), "u long, v long")
     # blocks by a hash within steps of set size, as a rank over a group would put the group into one task
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(100 / percent))).cast("int")
-    placed = placed.withColumn("step", step)
+    placed = placed.where(F.col("members") > GROUP).withColumn("step", step)
     per_step = placed.groupBy("component", "step").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
     placed = placed.join(per_step, ["component", "step"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     mine = per_step.select("component", F.col("step").alias("s1"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b1"))
@@ -245,21 +262,14 @@ def group_links(members: DataFrame, sets: DataFrame, sizes: DataFrame, percent:
     keys = ["component", "s1", "b1", "s2", "b2"]
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        u = v = np.empty(0, np.int64)
         if a.num_rows and b.num_rows:
-            x = [np.asarray(t.values) for t in a["tokens"].combine_chunks()]
-            y = [np.asarray(t.values) for t in b["tokens"].combine_chunks()]
-            shared = _overlaps(x, y)
-            nx, ny = np.array([len(s) for s in x]), np.array([len(s) for s in y])
-            i, j = np.nonzero(shared * (100 + percent) >= percent * (nx[:, None] + ny[None, :]))
-            u, v = a["doc_id"].to_numpy()[i], b["doc_id"].to_numpy()[j]
-            keep = _forest(u, v)
-            u, v = u[keep], v[keep]
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+            return _links(a, b, percent)
+        return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
 
     left = left.select(*[F.col(k).alias(f"l_{k}") for k in keys], F.col("doc_id").alias("doc_id"), F.col("tokens").alias("tokens"))
     right = right.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("doc_id").alias("doc_id"), F.col("tokens").alias("tokens"))
-    return left.groupBy(*[f"l_{k}" for k in keys]).cogroup(right.groupBy(*[f"r_{k}" for k in keys])).applyInArrow(run, "u long, v long")
+    between = left.groupBy(*[f"l_{k}" for k in keys]).cogroup(right.groupBy(*[f"r_{k}" for k in keys])).applyInArrow(run, "u long, v long")
+    return inside.unionByName(between)
 
 
 def jaccard_classes(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
