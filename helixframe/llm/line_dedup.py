@@ -1,20 +1,24 @@
-"""Line dedup by a deletion-neighbourhood join.
+"""Line dedup by an edit distance join on the rarest word pairs.
 
-Lines that differ in at most one word become equal when at most one word is deleted from each. Every line that can have such
-a partner emits its deletion variants as hashed keys, equal keys are joined, the edit distance of the pair is verified, and
-of similar lines the earliest stays. The unit of an edit is the word: lines of five words or more may differ by one inserted,
-deleted or replaced word (a similarity of 0.8 or more); shorter lines must be equal.
+Two lines are similar where at most one word in five of the shorter one is inserted, deleted or replaced (a similarity of 0.8
+or more); lines of fewer than five words must be equal. An edit breaks at most two pairs of neighbouring words, so that with k
+edits allowed two similar lines share two of the 2k + 2 rarest distinct word pairs of each, in whatever order all lines agree on
+(one, where a line has fewer). Lines that share so many are met, their edit distance is verified, and the earliest stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-#: Fewest words of a line that may differ from another by one word.
-MIN_WORDS = 5
+#: Words of a line for each word that may differ.
+WORDS_AN_EDIT = 5
+#: Buckets of words that are counted for their rarity, and documents they are counted in. Both affect speed only.
+BUCKETS, SAMPLE = 1 << 17, 20_000
+#: A key of more lines than this is crowded.
+CROWDED = 32
 #: Most texts of which something is broadcast.
 BROADCAST_TEXTS = 200_000
 
@@ -24,30 +28,56 @@ def _at(prefix: str = "") -> Column:
     return F.struct(F.col(f"{prefix}d").isNull().alias("no_id"), F.col(f"{prefix}d").alias("d"), F.col(f"{prefix}t").alias("t"), F.col(f"{prefix}pos").alias("pos"))
 
 
-def _half_key(words: Column, start: Column, length: Column, kind: int) -> Column:
-    return F.xxhash64(F.lit(kind), length, F.slice(words, start, length))
+def _edits(n: Column, most: int | None) -> Column:
+    """How many words of a line of n words may differ."""
+    k = F.floor(n / WORDS_AN_EDIT).cast("int")
+    return k if most is None else F.least(k, F.lit(most))
 
 
-def line_hashes(documents: DataFrame) -> DataFrame:
-    """d (doc_id), t (hash of the text), pos, h1, h2 (128-bit hash) and k1 to k4 (hashed halves) of every line but blank ones.
+def word_rarity(documents: DataFrame) -> bytes:
+    """The binary logarithm of how often the words of each bucket are in a sample of the documents."""
+    texts = documents.where("text IS NOT NULL").select("text")
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(max(1, texts.count() // SAMPLE))) == 0)
+    bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")
+    out = bytearray(BUCKETS)
+    for r in some.select(F.explode(F.split("text", "[ \n]")).alias("word")).select(bucket).groupBy("bucket").agg(F.count("*").alias("n")).collect():
+        out[r["bucket"]] = min(r["n"].bit_length(), 63)
+    return bytes(out)
 
-    One edit leaves the first or the last m words of both lines alone, m being half of the shorter one. A line therefore has a
-    key of either end for a partner of its own length, and again for one of a neighbouring length where m differs.
-    """
+
+def _rarest_pairs(words: Column, rarity: bytes, edits: Column) -> Column:
+    """The 2 * edits + 2 first distinct pairs of neighbouring words as 32-bit hashes, the pairs of rare words first."""
+    low, n = F.lit((1 << 56) - 1), F.size(words)
+
+    def weighed(w: Column) -> Column:
+        h = F.xxhash64(w)
+        weight = F.ascii(F.substring(F.lit(rarity), F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(weight.cast("long"), 56).bitwiseOR(h.bitwiseAND(low))
+
+    def pair(x: Column, y: Column) -> Column:
+        return F.shiftleft(F.shiftright(x, 56) + F.shiftright(y, 56), 56).bitwiseOR(F.xxhash64(x, y).bitwiseAND(low))
+
+    def pairs(w: Column) -> Column:
+        return F.zip_with(F.slice(w, F.lit(1), n - 1), F.slice(w, F.lit(2), n - 1), pair)
+
+    # a list of one array, so that the words are weighed once
+    keys = F.element_at(F.transform(F.array(F.transform(words, weighed)), pairs), 1)
+    rarest = F.slice(F.sort_array(F.array_distinct(keys)), F.lit(1), 2 * edits + 2)
+    return F.transform(rarest, lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int"))
+
+
+def line_hashes(documents: DataFrame, most: int | None) -> DataFrame:
+    """d (doc_id), t (hash of the text), pos, h1, h2 (128-bit hash), size (words) and keys (the rarest word pairs) of every line but blank ones."""
     docs = documents.where("text IS NOT NULL").select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = docs.withColumn("line", F.btrim("line", F.lit(" \t\r"))).where("line != ''").withColumn("words", F.split("line", " "))
     n = F.size("words")
-    mine, other = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    keys = {}
-    for k, m, wanted in ((1, mine, n >= MIN_WORDS), (3, other, (n >= MIN_WORDS) & (mine != other))):
-        keys[f"k{k}"] = F.when(wanted, _half_key(F.col("words"), F.lit(1), m, 1))
-        keys[f"k{k + 1}"] = F.when(wanted, _half_key(F.col("words"), n - m + 1, m, 2))
-    return lines.select("d", "t", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), *[c.alias(k) for k, c in keys.items()])
+    keys = F.when(n >= WORDS_AN_EDIT, _rarest_pairs(F.col("words"), word_rarity(documents), _edits(n, most)))
+    return lines.select("d", "t", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), n.alias("size"), keys.alias("keys"))
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """h1, h2, at (earliest place), n (occurrences) and the half keys of every distinct line."""
-    return lines.groupBy("h1", "h2").agg(F.min(_at()).alias("at"), F.count("*").alias("n"), *[F.first(f"k{k}").alias(f"k{k}") for k in range(1, 5)])
+    """h1, h2, at (earliest place), n (occurrences), size and keys of every distinct line."""
+    return lines.groupBy("h1", "h2").agg(F.min(_at()).alias("at"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys"))
 
 
 def _joined(documents: DataFrame, per_text: DataFrame, how: str) -> DataFrame:
@@ -59,75 +89,83 @@ def _joined(documents: DataFrame, per_text: DataFrame, how: str) -> DataFrame:
     return found.drop("line_dedup_d", "line_dedup_t")
 
 
-def candidates(documents: DataFrame, lines: DataFrame) -> DataFrame:
-    """h1, h2, at and words (hashes) of the distinct lines that share a half with another; only these can have a partner."""
-    keyed = lines.select("h1", "h2", F.explode(F.array(*[f"k{k}" for k in range(1, 5)])).alias("key")).where("key IS NOT NULL")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    found = keyed.join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    places = lines.select("h1", "h2", "at").join(found, ["h1", "h2"], "left_semi")
-    per_text = materialize(places.groupBy("at.d", "at.t").agg(F.collect_list(F.struct("h1", "h2", "at")).alias("wanted")), "line-places")
-    each = _joined(documents.select("doc_id", "text"), per_text, "inner").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
-    line = F.btrim(F.element_at("parts", F.col("w.at.pos") + 1), F.lit(" \t\r"))
-    # rows equal in doc_id and text bring the same line more than once
-    return each.select("w.h1", "w.h2", "w.at", F.transform(F.split(line, " "), lambda w: F.xxhash64(w)).alias("words")).dropDuplicates(["h1", "h2"])
+def shared_keys(lines: DataFrame) -> DataFrame:
+    """key, lines (how many) and h1 of the keys that more than one distinct line has."""
+    keyed = lines.select("h1", F.explode("keys").alias("key"))
+    return keyed.withColumn("lines", F.count("*").over(Window.partitionBy("key"))).where("lines > 1")
 
 
-def deletion_variants(cand: DataFrame) -> DataFrame:
-    """h1, h2, at, i and v: the hash of the line without its word i."""
-    w = F.col("words")
-    n = F.size(w)
-    variants = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), F.xxhash64(F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, n))).alias("v")))
-    return cand.select("h1", "h2", "at", F.explode(variants).alias("x")).select("h1", "h2", "at", "x.i", "x.v")
+def _letters(documents: DataFrame, places: DataFrame) -> DataFrame:
+    """h1, h2 and the words of lines (h1, h2, at) as one letter each, in two alphabets of 49,152 by a word's hash."""
+    per_text = materialize(places.groupBy("at.d", "at.t").agg(F.collect_list(F.struct("h1", "h2", "at.pos")).alias("wanted")), "line-places")
+    each = _joined(documents.select("doc_id", "text"), per_text, "inner").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
+    line = F.btrim(F.element_at("parts", F.col("w.pos") + 1), F.lit(" \t\r"))
+    hashes = each.select("w.h1", "w.h2", F.transform(F.split(line, " "), lambda w: F.xxhash64(w)).alias("words"))
 
+    def letters(shift: int) -> Column:
+        code = F.transform("words", lambda h: F.hex(F.lit(0x1000) + F.pmod(F.shiftright(h, shift), F.lit(0xC000))))
+        return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
-def within_one_edit(a: Column, b: Column) -> Column:
-    """Whether two arrays are one insertion, deletion or replacement apart: what they share at both ends leaves one element."""
-    na, nb = F.size(a), F.size(b)
-    short = F.least(na, nb)
+    # rows equal in doc_id and text bring the same line more than once
+    return hashes.select("h1", "h2", letters(0).alias("a"), letters(32).alias("b")).dropDuplicates(["h1", "h2"])
 
-    def shared(x: Column, y: Column) -> Column:
-        differs = F.zip_with(F.slice(x, 1, short), F.slice(y, 1, short), lambda p, q: p != q)
-        return F.coalesce(F.nullif(F.array_position(differs, True), F.lit(0)) - 1, short.cast("long"))
 
-    return (F.abs(na - nb) <= 1) & (shared(a, b) + shared(F.reverse(a), F.reverse(b)) >= F.greatest(na, nb) - 1)
+def _verified(documents: DataFrame, pairs: DataFrame, lines: DataFrame, most: int | None) -> DataFrame:
+    """h1, h2 of the pairs (h1, h2, e1, e2) within the bound.
 
+    The distance of two lines is that of their letters, in both alphabets: of the words that share a letter of one alphabet
+    hardly any share that of the other.
+    """
+    pairs = materialize(pairs, "line-pairs")
+    ids = pairs.select("h1", "h2").unionByName(pairs.select(F.col("e1").alias("h1"), F.col("e2").alias("h2"))).distinct()
+    letters = materialize(_letters(documents, lines.select("h1", "h2", "at").join(ids, ["h1", "h2"], "left_semi")), "line-letters")
+    both = pairs.join(letters, ["h1", "h2"]).join(letters.toDF("e1", "e2", "e_a", "e_b"), ["e1", "e2"])
+    both = both.withColumn("k", _edits(F.least(F.length("a"), F.length("e_a")), most))
+    return both.where("levenshtein(a, e_a, k) >= 0 AND levenshtein(b, e_b, k) >= 0").select("h1", "h2").distinct()
 
-def near_duplicates(documents: DataFrame, lines: DataFrame) -> DataFrame:
-    """h1, h2 of every line within one edit of an earlier line, whether or not that one is itself such a line."""
-    cand = materialize(candidates(documents, lines), "line-candidates")
-    dels = deletion_variants(cand)
-    earliest = dels.groupBy("v", "i").agg(F.min(F.struct("at", "h1", "h2")).alias("e"), F.count("*").alias("n")).where("n > 1").drop("n")
-    replaced = dels.join(earliest, ["v", "i"]).where(F.col("at") > F.col("e.at")).select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"))
-    own = cand.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("at").alias("o_at"), F.xxhash64("words").alias("v"))
-    met = own.join(dels, "v").where("h1 != o1 OR h2 != o2")
-    later = F.col("at") > F.col("o_at")
-    inserted = met.select(*[F.when(later, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("h1", "o1", "h1"), ("h2", "o2", "h2"), ("o1", "h1", "e1"), ("o2", "h2", "e2"))])
-    pairs = replaced.unionByName(inserted).distinct()
-    words = cand.select("h1", "h2", "words")
-    both = pairs.join(words, ["h1", "h2"]).join(words.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("e_words")), ["e1", "e2"])
-    return both.where(within_one_edit(F.col("words"), F.col("e_words"))).select("h1", "h2").distinct()
 
+def near_duplicates(documents: DataFrame, lines: DataFrame, most: int | None) -> DataFrame:
+    """h1, h2 of every line within the bound of an earlier line, whether or not that one is itself such a line.
 
-def removed_lines(documents: DataFrame) -> DataFrame:
+    Lines of crowded keys are first compared with the earliest line of each, which settles most lines of large groups; what is
+    not settled is compared with every earlier line that shares enough keys.
+    """
+    shared = materialize(shared_keys(lines), "line-keys")
+    # how many keys two similar lines share: what the edits leave of the keys of either, up to two
+    need = F.least(F.greatest(F.size("keys") - 2 * _edits(F.col("size"), most), F.lit(1)), F.lit(2)).alias("need")
+    keyed = materialize(shared.join(lines.select("h1", "h2", "at", "size", need), "h1"), "keyed-lines")
+    within = F.abs(F.col("size") - F.col("e_size")) <= _edits(F.least("size", "e_size"), most)
+    earliest = keyed.where(F.col("lines") > CROWDED).groupBy("key").agg(F.min(F.struct("at", "h1", "h2", "size")).alias("e"))
+    first = keyed.join(earliest, "key").withColumn("e_size", F.col("e.size")).where((F.col("at") > F.col("e.at")) & within)
+    settled = materialize(_verified(documents, first.select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2")).distinct(), lines, most), "lines-settled")
+    others = keyed.join(settled, ["h1", "h2"], "left_anti")
+    earlier = keyed.select("key", *[F.col(c).alias(f"e_{c}") for c in ("h1", "h2", "at", "size", "need")])
+    met = others.join(earlier, "key").where((F.col("at") > F.col("e_at")) & within)
+    met = met.groupBy("h1", "h2", F.col("e_h1").alias("e1"), F.col("e_h2").alias("e2")).agg(F.count("*").alias("met"), F.max(F.greatest("need", "e_need")).alias("need"))
+    return settled.unionByName(_verified(documents, met.where("met >= need").drop("met", "need"), lines, most))
+
+
+def removed_lines(documents: DataFrame, most: int | None) -> DataFrame:
     """d, t and line_dedup_gone (positions of the lines that go, ascending) of every document that loses a line."""
-    occurrences = materialize(line_hashes(documents), "lines")
+    occurrences = materialize(line_hashes(documents, most), "lines")
     lines = materialize(distinct_lines(occurrences), "distinct-lines")
-    near = near_duplicates(documents, lines).withColumn("near", F.lit(True))
+    near = near_duplicates(documents, lines, most).withColumn("near", F.lit(True))
     repeated = lines.select("h1", "h2", "at", "n").join(near, ["h1", "h2"], "left").where("n > 1 OR near")
     found = occurrences.select("d", "t", "pos", "h1", "h2").join(repeated, ["h1", "h2"])
     gone = found.where(F.col("near") | (F.col("at") != _at())).select("d", "t", "pos")
     return gone.groupBy("d", "t").agg(F.sort_array(F.collect_set("pos")).alias("line_dedup_gone"))
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
+def dedup_lines(documents: DataFrame, most: int | None = 1) -> DataFrame:
     """documents with n_lines, n_removed and a text without its duplicate lines.
 
     Lines are compared without spaces, tabs and carriage returns at their ends; their words are separated by single spaces. Blank lines stay. A line goes where an equal
-    line, or one within the edit bound, stands earlier: in a document of smaller doc_id (null last), or above in the same.
+    line, or one within the edit bound, stands earlier: in a document of smaller doc_id (null last), or above in the same. The
+    bound is a fifth of the words of the shorter line, and no more than most words unless that is None.
     Rows equal in doc_id and text count as one document and get the same text. A null text stays null, with no lines. An empty
     table gives an empty result. Other columns are kept, those named n_lines or n_removed replaced.
     """
-    gone = materialize(removed_lines(documents), "lines-gone")
+    gone = materialize(removed_lines(documents, most), "lines-gone")
     joined = _joined(documents.drop("n_lines", "n_removed"), gone, "left")
     parts = F.split("text", "\n")
     left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("line_dedup_gone", i)), "\n")
@@ -142,7 +180,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
 
 def keep_deduped(documents: DataFrame) -> DataFrame:
     """The pipeline's stage: the columns of documents, with texts deduped and n_chars renewed; documents left blank go."""
-    out = dedup_lines(documents).where((F.col("n_removed") == 0) | (F.btrim("text", F.lit(" \t\r\n")) != ""))
+    out = dedup_lines(documents, None).where((F.col("n_removed") == 0) | (F.btrim("text", F.lit(" \t\r\n")) != ""))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")))
     return out.select(*documents.columns)
@@ -150,7 +188,7 @@ def keep_deduped(documents: DataFrame) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and text of every document."""
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), None)
 
 
 QUERIES = {"op5_line_dedup": op5_line_dedup}

@@ -59,6 +59,34 @@ def test_line_dedup_equals_brute_force(spark, lined, monkeypatch, most):
     assert got == brute_lines(lined)
 
 
+def word_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_line_dedup_bound_grows_with_the_line(spark, prose):
+    r = random.Random(11)
+    lines = []
+    for g in range(25):
+        base = prose(r.choice([5, 9, 10, 15, 32, 50, 106]), 900 + g).split(" ") if g else ["a", "b"] * 12
+        for _ in range(6):
+            w = list(base)
+            for _ in range(r.randint(0, len(base) // 4)):
+                k = r.randrange(len(w))
+                w[k : k + 1] = r.choice([[], [w[k], f"n{r.randrange(50)}"], [f"n{r.randrange(50)}"]])
+            lines.append(w)
+    r.shuffle(lines)
+    want = [any(w == o or word_edits(w, o) <= min(len(w), len(o)) // 5 for o in lines[:i]) for i, w in enumerate(lines)]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
+    got = {x.doc_id: x.n_removed == 1 for x in line_dedup.dedup_lines(frame, None).collect()}
+    assert [got[i] for i in range(len(lines))] == want
+    assert 20 < sum(want) < len(lines) - 20
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
