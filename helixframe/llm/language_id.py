@@ -1,7 +1,7 @@
 """Language identification by compression: the language whose dictionary shortens a text most is its language.
 
 Each language gets a zstandard raw-content dictionary of labelled text. A text is compressed once with each dictionary; the
-smallest result names the language, and a narrow margin to the next one means that the answer is not trusted.
+smallest result names the language (long texts in pieces, whose sizes are added up), and a narrow margin to the next one means that the answer is not trusted.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .common import table
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 1_500
 #: Compression level, and the margin (share of the second smallest size) under which an answer is rejected.
 LEVEL, MIN_MARGIN = 6, 0.005
+#: Bytes of a text compressed at once: a dictionary saves a bounded number of bytes, which in longer ones counts for less and less.
+PIECE = 4_000
 #: The answer for a text without a letter.
 UNKNOWN = "und"
 
@@ -66,7 +68,8 @@ def predict(text: str | None, compressors: list[tuple[str, zstandard.ZstdCompres
     if text is None or not compressors or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0
     data = _clean(text)
-    sizes = [len(c.compress(data)) for _, c in compressors]
+    pieces = [data[a : a + PIECE] for a in range(0, len(data), PIECE)]
+    sizes = [sum(len(c.compress(x)) for x in pieces) for _, c in compressors]
     best = min(range(len(sizes)), key=sizes.__getitem__)
     rest = [s for i, s in enumerate(sizes) if i != best]
     return compressors[best][0], 1.0 - sizes[best] / min(rest) if rest else 1.0

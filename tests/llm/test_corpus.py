@@ -77,6 +77,18 @@ def test_language_of_odd_texts(spark):
     assert language_id.learn_dictionaries(spark.createDataFrame([(None, "en"), ("x", None)], "text string, lang string")) == {}
 
 
+def test_language_of_a_very_long_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    dictionaries = language_id.learn_dictionaries(docs.where(~language_id.held_out()))
+    lang = next(iter(dictionaries))
+    texts = docs.where((F.col("lang") == lang) & F.col("text").isNotNull()).select("text").distinct().collect()
+    text = "\n".join(r.text for r in texts)[:4_000_000]
+    assert len(text) > 3_000_000
+    got = {r.n: r for r in language_id.identify_languages(spark.createDataFrame([(1, text[:20_000]), (2, text)], "n int, text string"), dictionaries).collect()}
+    assert [(got[n].lang_pred, got[n].rejected) for n in (1, 2)] == [(lang, False)] * 2
+    assert got[2].score > got[1].score / 3
+
+
 def test_copies_and_paraphrases_of_items_are_found(spark, prose):
     r = random.Random(4)
     items = [(i, ". ".join(prose(10, 1000 + 10 * i + k) for k in range(3))) for i in range(20)]
