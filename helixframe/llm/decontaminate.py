@@ -17,25 +17,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import WORD, materialize, table
 from .word_arrays import slabs, string_bytes, words
 
 #: Words from one passage to the next (a passage has twice as many), dimensions of the latent space, least cosine.
 STRIDE, RANK, LEAST_COSINE = 16, 64, 0.3
-#: A word in more than this share of the passages is no key word, save that every item has at least KEYS key words.
+#: A word in more than this share of the passages is no key word, save that every part of an item has at least KEYS key words.
 COMMON, KEYS = 0.002, 4
-#: Least share of an item's key word weight in a passage that goes on to the subsequence check (a passage may hold a part).
+#: Least share of the key word weight of an item's part in a passage that goes on to the subsequence check (a passage may hold a part).
 LEAST_WEIGHT = 0.15
 #: Least share of an item's words in common order: as a copy, and as a paraphrase whose answer is there to ANSWER.
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 #: Benchmark words of documents worked on at once in a task.
 CHUNK = 200_000
-#: Items searched at once; a larger benchmark is searched in parts, so that what tasks are sent stays bounded.
+#: Words of a part of a long item, and of the longest item that is not cut: a passage holds too little of a longer one to be like it.
+PART, WHOLE = 48, 64
+#: Parts of items searched at once; a larger benchmark is searched in parts, so that what tasks are sent stays bounded.
 ITEMS = 20_000
 
 
 class Benchmark:
-    """Items as word ids: the vocabulary (sorted word hashes), and of each item the ids in order and where its answer begins."""
+    """Items as word ids: the vocabulary (sorted word hashes), of each item the ids in order and where its answer begins, and of
+    each part of an item its ids and the item's place. Parts propose candidates by themselves; whole items are checked."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         rows = [r for r in rows if r[1]]
@@ -49,6 +52,9 @@ class Benchmark:
         self.vocabulary = np.unique(np.concatenate([hashed[i][0] for i in keep])) if keep else np.empty(0, np.uint64)
         self.ids = [np.searchsorted(self.vocabulary, hashed[i][0]) for i in keep]
         self.answers = [hashed[i][1] for i in keep]
+        cut = [np.array_split(ids, 1 if len(ids) <= WHOLE else math.ceil(len(ids) / PART)) for ids in self.ids]
+        self.parts = [part for parts in cut for part in parts]
+        self.item_of = np.repeat(np.arange(len(cut)), [len(parts) for parts in cut])
 
 
 def _word_hashes(text: str) -> np.ndarray:
@@ -125,7 +131,7 @@ def key_weights(benchmark: Benchmark, df: np.ndarray, passages: int) -> np.ndarr
     """The inverse document frequency of key words, 0 for other words."""
     idf = np.log((1 + passages) / (1 + df)) + 1e-3
     key = df <= COMMON * passages
-    for ids in benchmark.ids:
+    for ids in benchmark.parts:
         distinct = np.unique(ids)
         key[distinct[np.argsort(df[distinct], kind="stable")[:KEYS]]] = True
     return np.where(key, idf, 0.0)
@@ -198,13 +204,15 @@ def _masks(ids: np.ndarray) -> dict[int, int]:
 def _search(stored: DataFrame, benchmark: Benchmark, weights: np.ndarray, basis: np.ndarray) -> DataFrame:
     size = len(weights)
     loads = (basis * weights[:, None]).astype(np.float32)
-    latent = np.stack([loads[ids].sum(0) for ids in benchmark.ids])
+    latent = np.stack([loads[ids].sum(0) for ids in benchmark.parts])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-30)
-    has = np.zeros((len(benchmark.ids), size), bool)
-    for k, ids in enumerate(benchmark.ids):
+    has = np.zeros((len(benchmark.parts), size), bool)
+    for k, ids in enumerate(benchmark.parts):
         has[k, ids] = True
     mass = has @ weights
-    fewest = max(1, math.floor(PARAPHRASE * min(int((weights[np.unique(ids)] > 0).sum()) for ids in benchmark.ids)))
+    # a part in the middle of a long item lies in up to four stretches, so that a passage may hold no more than half of it
+    held = np.where(np.bincount(benchmark.item_of)[benchmark.item_of] > 1, 0.5, 1.0)
+    fewest = max(1, math.floor(PARAPHRASE * min(h * int((weights[np.unique(ids)] > 0).sum()) for h, ids in zip(held, benchmark.parts))))
     lengths = np.array([len(i) for i in benchmark.ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,13 +228,13 @@ def _search(stored: DataFrame, benchmark: Benchmark, weights: np.ndarray, basis:
                 lo, hi = np.searchsorted(block, some), np.searchsorted(block, some + 1, "right")
                 p = _projected(block[lo[0] : hi[-1]], loads[key_ids[lo[0] : hi[-1]]], some).astype(np.float32)
                 p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-30)
-                w, item = np.nonzero(p @ latent.T >= LEAST_COSINE)
+                w, part_no = np.nonzero(p @ latent.T >= LEAST_COSINE)
                 n = hi[w] - lo[w]
                 at = np.repeat(lo[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 pair = np.repeat(np.arange(len(w)), n)
-                shared = np.bincount(pair, np.where(has[item[pair], key_ids[at]], weights[key_ids[at]], 0.0), len(w))
-                ok = shared >= LEAST_WEIGHT * mass[item]
-                for k, i in zip(w[ok].tolist(), item[ok].tolist()):
+                shared = np.bincount(pair, np.where(has[part_no[pair], key_ids[at]], weights[key_ids[at]], 0.0), len(w))
+                ok = shared >= LEAST_WEIGHT * mass[part_no]
+                for k, i in zip(w[ok].tolist(), benchmark.item_of[part_no[ok]].tolist()):
                     r = int(key_row[lo[k]])
                     if hits.get((r, i), 0.0) >= COPY:
                         continue
@@ -257,7 +265,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     largest part. Empty tables give an empty result. Other columns are ignored.
     """
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL")
-    parts = max(1, math.ceil(items.count() / ITEMS))
+    cuts = items.select(F.sum(F.ceil((F.regexp_count("text", F.lit(WORD)) + 1) / PART)).alias("n")).first()["n"] or 0
+    parts = max(1, math.ceil(cuts / ITEMS))
     out = None
     for k in range(parts):
         bench = Benchmark([(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()])

@@ -108,6 +108,18 @@ def test_copies_and_paraphrases_of_items_are_found(spark, prose):
     assert decontaminate.contaminated(frame.where("doc_id < 0"), bench).count() == 0
 
 
+def test_long_items_are_found(spark, prose):
+    sizes = [30, 60, 65, 100, 300, 400, 500, 500, 1500]
+    items = [(i, ". ".join(prose(n // 5, 7000 + 10 * i + k) for k in range(5))) for i, n in enumerate(sizes)]
+    docs = [(i, prose(300, i)) for i in range(200)]
+    for i, text in items:
+        docs[i] = (i, prose(80 + i, 5000 + i) + " " + text + " " + prose(80, 6000 + i))
+    half = " ".join(items[7][1].split()[:250])
+    docs[100] = (100, prose(80, 1) + " " + half + " " + prose(80, 2))
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id, x.part) for x in found.collect()} == {(i, i, 1.0) for i in range(len(sizes))}
+
+
 def test_pipeline_stages_keep_the_columns_and_the_last_mixes(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_join", "decontamination", "mixing"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
