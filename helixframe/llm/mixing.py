@@ -1,6 +1,7 @@
 """Mixing sources to target weights: fixed-length blocks drawn by pseudorandom index permutations.
 
-Documents of a source are packed end to end and cut into blocks of a fixed number of words. Output slots are dealt to the
+Documents of a source are packed end to end and cut into blocks of a fixed number of words (fewer in small sources, so that
+each has many blocks). Output slots are dealt to the
 sources without replacement (a multinomial draw per shard, given that the totals meet the targets), each slot is mapped
 through a pseudorandom permutation of its source's block indices, and blocks and slots meet in a join on the index. Only
 sizes and indices are shuffled, never text.
@@ -17,6 +18,8 @@ from .common import WORD, materialize, table
 
 #: Words in a block, blocks in an output shard, most often that a source's words may be repeated.
 BLOCK, SHARD, MOST = 64, 1024, 3.0
+#: Least blocks of a source that has as many words.
+LEAST_BLOCKS = 64
 #: Documents packed in one stretch, and slots expanded from one row.
 STRETCH, RUN = 5_000, 4_096
 #: Rounds of the permutation and most steps of a cycle walk.
@@ -81,13 +84,18 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return t.select("source", "source_size", "weight", F.least(cap, F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
+def block_words(source_size: Column) -> Column:
+    """Words in a block of a source: small sources are cut finer, as whole blocks would miss their targets."""
+    return F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(source_size / LEAST_BLOCKS))).cast("long")
+
+
 def document_sizes(documents: DataFrame) -> DataFrame:
     """doc_id, source and size (words of the whole text; 0 for null) of every row."""
     return documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def packed(sized: DataFrame, rows: int) -> DataFrame:
-    """Add begin (first word of the document in its source's packing) and key (unique per row).
+    """Add begin (first word of the document in its source's packing), block_words (of its source) and key (unique per row).
 
     Documents of a source are ordered by stretch (a hash of doc_id and size), then doc_id and size. Running sums are taken
     within a stretch of about STRETCH documents and over the few sums of stretches, so that a source with a third of all rows
@@ -100,25 +108,25 @@ def packed(sized: DataFrame, rows: int) -> DataFrame:
     within = Window.partitionBy("source", "group").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     groups = sums.groupBy("source", "group").agg(F.sum("words").alias("words"))
     over = Window.partitionBy("source").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select(F.col("source").alias("s2"), F.col("group").alias("g2"), F.coalesce(F.sum("words").over(over), F.lit(0)).alias("before_group"))
+    groups = groups.select(F.col("source").alias("s2"), F.col("group").alias("g2"), F.coalesce(F.sum("words").over(over), F.lit(0)).alias("before_group"), block_words(F.sum("words").over(Window.partitionBy("source"))).alias("block_words"))
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(within), F.lit(0)))
-    sums = sums.join(groups, F.col("source").eqNullSafe(F.col("s2")) & (F.col("group") == F.col("g2"))).select(F.col("source").alias("s3"), F.col("stretch").alias("t3"), (F.col("before") + F.col("before_group")).alias("offset"))
+    sums = sums.join(groups, F.col("source").eqNullSafe(F.col("s2")) & (F.col("group") == F.col("g2"))).select(F.col("source").alias("s3"), F.col("stretch").alias("t3"), (F.col("before") + F.col("before_group")).alias("offset"), "block_words")
     w = Window.partitionBy("source", "stretch").orderBy("doc_id", "size")
     so_far = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     s = s.select("*", so_far.alias("so_far"), F.row_number().over(w).alias("place"))
     joined = s.join(sums, F.col("source").eqNullSafe(F.col("s3")) & (F.col("stretch") == F.col("t3")))
-    return joined.select("doc_id", "source", "size", (F.col("offset") + F.col("so_far")).alias("begin"), F.struct("stretch", "place").alias("key"))
+    return joined.select("doc_id", "source", "size", (F.col("offset") + F.col("so_far")).alias("begin"), "block_words", F.struct("stretch", "place").alias("key"))
 
 
 def draw_slots(targets: DataFrame, seed: int = 42) -> DataFrame:
     """One row per output slot: shard, slot, source and block (index in the source's packing).
 
-    A source gets target / BLOCK slots (rounded, but no more than MOST times its blocks). The slots of all sources, end to
+    A source gets its target over the mean words of its blocks as slots (rounded, but no more than MOST times its blocks). The slots of all sources, end to
     end, are mapped to output positions by a permutation: the counts of the sources in a shard follow the multinomial draw
     with these totals. Pass e over a source's blocks uses the source's permutation number e.
     """
-    t = targets.withColumn("blocks", F.ceil(F.col("source_size") / BLOCK).cast("long"))
-    t = t.withColumn("slots", F.least(F.round(F.col("target") / BLOCK).cast("long"), F.floor(F.col("blocks") * F.lit(MOST)).cast("long"))).where("slots > 0")
+    t = targets.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block_words(F.col("source_size"))).cast("long"))
+    t = t.withColumn("slots", F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), F.floor(F.col("blocks") * F.lit(MOST)).cast("long"))).where("slots > 0")
     ordered = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     t = t.select("source", "blocks", "slots", F.coalesce(F.sum("slots").over(ordered), F.lit(0)).alias("first"), F.sum("slots").over(Window.partitionBy()).alias("all_slots"))
     runs = t.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / RUN))))
@@ -134,10 +142,10 @@ def draw_slots(targets: DataFrame, seed: int = 42) -> DataFrame:
 
 def block_spans(docs: DataFrame) -> DataFrame:
     """source, block, doc_id, key, size, first and words: which words of which document lie in which block."""
-    begin, end = F.col("begin"), F.col("begin") + F.col("size")
-    spans = docs.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(begin / BLOCK), F.floor((end - 1) / BLOCK))))
-    first = F.greatest(begin, F.col("block") * BLOCK)
-    return spans.select("source", "block", "doc_id", "key", "size", (first - begin).alias("first"), (F.least(end, (F.col("block") + 1) * BLOCK) - first).alias("words"))
+    begin, end, length = F.col("begin"), F.col("begin") + F.col("size"), F.col("block_words")
+    spans = docs.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(begin / length), F.floor((end - 1) / length))))
+    first = F.greatest(begin, F.col("block") * length)
+    return spans.select("source", "block", "doc_id", "key", "size", (first - begin).alias("first"), (F.least(end, (F.col("block") + 1) * length) - first).alias("words"))
 
 
 def _prepared(documents: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -51,6 +51,29 @@ def test_mix_meets_targets(spark, prose):
     assert sorted((g.doc_id or 0, g.size, g.taken) for g in got) == sorted((g.doc_id or 0, g.size, g.taken) for g in again)
 
 
+def test_small_sources_meet_their_targets(spark, prose):
+    sizes = {"a": 20, "b": 70, "c": 7, "d": 150, "e": 900, "f": 3001, "g": 4200, "z": 60_000}
+    rows = [(len(s) * 100_000 + 1000 * k + j, prose(min(500, n - at), k * 1000 + j), s) for k, (s, n) in enumerate(sizes.items()) for j, at in enumerate(range(0, n, 500))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {i: s for i, _, s in rows}
+    taken, target = defaultdict(int), {}
+    for g in mixing.mix_sources(frame).collect():
+        assert g.taken <= 3 * g.size
+        taken[source[g.doc_id]] += g.taken
+        target[source[g.doc_id]] = g.target
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= max(1, 0.03 * t), s
+    blocks = {r.source: r.n for r in mixing.mix_blocks(frame).groupBy("source").agg(F.sum("words").alias("n")).collect()}
+    assert blocks == dict(taken)
+
+
+def test_targets_of_tens_of_words_are_met(spark, prose):
+    # weights 1, 2, 3, 1: the small sources' targets are below a block and below their caps
+    frame = spark.createDataFrame([(1, prose(20, 1), "a"), (2, prose(70, 2), "b"), (3, prose(9, 3), "c"), (4, prose(40, 4), "d")], "doc_id long, text string, source string")
+    for g in mixing.mix_sources(frame).collect():
+        assert abs(g.taken - g.target) <= 1
+
+
 def test_mix_blocks_agree_with_counts(spark, prose):
     docs = spark.createDataFrame([(i, prose(100, i), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
     blocks = {r.doc_id: r.n for r in mixing.mix_blocks(docs).groupBy("doc_id").agg(F.sum("words").alias("n")).collect()}
