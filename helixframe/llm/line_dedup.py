@@ -1,9 +1,11 @@
-"""Line dedup by an edit distance join on the rarest word pairs.
-
-Two lines are similar where at most one word in five of the shorter one is inserted, deleted or replaced (a similarity of 0.8
-or more); lines of fewer than five words must be equal. An edit breaks at most two pairs of neighbouring words, so that with k
-edits allowed two similar lines share two of the 2k + 2 rarest distinct word pairs of each, in whatever order all lines agree on
-(one, where a line has fewer). Lines that share so many are met, their edit distance is verified, and the earliest stays.
+"""Line dedup by a deletion-neighbourhood join.
+
+Two lines are similar where few enough words are inserted, deleted or replaced: one for each five words of the shorter line,
+three at most (lines of fewer than five words must be equal). Every line emits the variants that the deletion of one word leaves,
+as hashed keys: lines of up to ten words those of the whole line, longer ones those of their first five and of their last five
+words. With three edits allowed, one of these two ends holds at most one, so that similar lines share a variant (a word pushed
+over the border of an end counts as the deleted one). A line costs ten keys, however long it is. Lines that share a key are
+met, their edit distance is verified, and the earliest stays.
 """
 
 from __future__ import annotations
@@ -13,14 +15,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-#: Words of a line for each word that may differ.
-WORDS_AN_EDIT = 5
-#: Buckets of words that are counted for their rarity, and documents they are counted in. Both affect speed only.
-BUCKETS, SAMPLE = 1 << 17, 20_000
-#: A key of more lines than this is crowded.
-CROWDED = 32
-#: Most texts of which something is broadcast.
-BROADCAST_TEXTS = 200_000
+#: Words of a line for each word that may differ, and most words that may: with more, both ends may hold two edits.
+WORDS_AN_EDIT, MOST_EDITS = 5, 3
+#: Words of an end, and of the longest line whose variants are those of the whole line.
+END, WHOLE = 5, 10
+#: A key of more lines than this is crowded; a key or line of more than this share of all rows is handled without a shuffle of it.
+CROWDED, HOT = 16, 1 / 1_000
+#: One line in so many is looked at for hot keys, and buckets that word pairs of crowded lines are counted in. Both affect speed only.
+LOOKED, BUCKETS = 64, 1 << 17
 
 
 def _at(prefix: str = "") -> Column:
@@ -28,77 +30,80 @@ def _at(prefix: str = "") -> Column:
     return F.struct(F.col(f"{prefix}d").isNull().alias("no_id"), F.col(f"{prefix}d").alias("d"), F.col(f"{prefix}t").alias("t"), F.col(f"{prefix}pos").alias("pos"))
 
 
-def _edits(n: Column, most: int | None) -> Column:
+def _edits(n: Column, most: int) -> Column:
     """How many words of a line of n words may differ."""
-    k = F.floor(n / WORDS_AN_EDIT).cast("int")
-    return k if most is None else F.least(k, F.lit(most))
+    return F.least(F.floor(n / WORDS_AN_EDIT).cast("int"), F.lit(most))
 
 
-def word_rarity(documents: DataFrame) -> bytes:
-    """The binary logarithm of how often the words of each bucket are in a sample of the documents."""
-    texts = documents.where("text IS NOT NULL").select("text")
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(max(1, texts.count() // SAMPLE))) == 0)
-    bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")
-    out = bytearray(BUCKETS)
-    for r in some.select(F.explode(F.split("text", "[ \n]")).alias("word")).select(bucket).groupBy("bucket").agg(F.count("*").alias("n")).collect():
-        out[r["bucket"]] = min(r["n"].bit_length(), 63)
-    return bytes(out)
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _rarest_pairs(words: Column, rarity: bytes, edits: Column) -> Column:
-    """The 2 * edits + 2 first distinct pairs of neighbouring words as 32-bit hashes, the pairs of rare words first."""
-    low, n = F.lit((1 << 56) - 1), F.size(words)
+def _variants(words: Column, kind: int) -> Column:
+    """Hashed keys of a list of words without one of them, for each of them."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
 
-    def weighed(w: Column) -> Column:
-        h = F.xxhash64(w)
-        weight = F.ascii(F.substring(F.lit(rarity), F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(weight.cast("long"), 56).bitwiseOR(h.bitwiseAND(low))
+    def without(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.xxhash64(F.lit(kind), F.slice(h, F.lit(1), i), F.slice(h, i + 2, F.size(h))))
 
-    def pair(x: Column, y: Column) -> Column:
-        return F.shiftleft(F.shiftright(x, 56) + F.shiftright(y, 56), 56).bitwiseOR(F.xxhash64(x, y).bitwiseAND(low))
+    return _let(hashes, without)
 
-    def pairs(w: Column) -> Column:
-        return F.zip_with(F.slice(w, F.lit(1), n - 1), F.slice(w, F.lit(2), n - 1), pair)
 
-    # a list of one array, so that the words are weighed once
-    keys = F.element_at(F.transform(F.array(F.transform(words, weighed)), pairs), 1)
-    rarest = F.slice(F.sort_array(F.array_distinct(keys)), F.lit(1), 2 * edits + 2)
-    return F.transform(rarest, lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int"))
+def _keys(line: Column, n: Column) -> Column:
+    """The deletion variants of a line of n words; null where only equal lines are similar."""
+    first, last = F.split(F.substring_index(line, " ", END), " "), F.split(F.substring_index(line, " ", -END), " ")
+    whole = F.split(line, " ")
+    of_whole = F.concat(_variants(whole, 0), F.array(F.xxhash64(F.lit(0), F.transform(whole, lambda w: F.xxhash64(w)))))
+    of_ends = F.concat(_variants(first, 1), _variants(last, 2))
+    keys = F.when(n < WHOLE, of_whole).when(n == WHOLE, F.concat(of_whole, of_ends)).otherwise(of_ends)
+    return F.when(n >= WORDS_AN_EDIT, F.array_distinct(keys))
 
 
-def line_hashes(documents: DataFrame, most: int | None) -> DataFrame:
-    """d (doc_id), t (hash of the text), pos, h1, h2 (128-bit hash), size (words) and keys (the rarest word pairs) of every line but blank ones."""
+def line_table(documents: DataFrame) -> DataFrame:
+    """d (doc_id), t (hash of the text), pos, h1, h2 (128-bit hash), size (words) and keys (variants) of every line but blank ones."""
     docs = documents.where("text IS NOT NULL").select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = docs.withColumn("line", F.btrim("line", F.lit(" \t\r"))).where("line != ''").withColumn("words", F.split("line", " "))
-    n = F.size("words")
-    keys = F.when(n >= WORDS_AN_EDIT, _rarest_pairs(F.col("words"), word_rarity(documents), _edits(n, most)))
-    return lines.select("d", "t", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), n.alias("size"), keys.alias("keys"))
+    lines = docs.withColumn("line", F.btrim("line", F.lit(" \t\r"))).where("line != ''")
+    lines = lines.withColumn("size", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    return lines.select("d", "t", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "size", _keys(F.col("line"), F.col("size")).alias("keys"))
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """h1, h2, at (earliest place), n (occurrences), size and keys of every distinct line."""
-    return lines.groupBy("h1", "h2").agg(F.min(_at()).alias("at"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-
-
-def _joined(documents: DataFrame, per_text: DataFrame, how: str) -> DataFrame:
-    """documents with what a table says of their texts (d, t). Up to BROADCAST_TEXTS rows (counted) are broadcast, so that the
-    texts stay where they are; a larger table is joined by a shuffle."""
-    few = per_text.count() <= BROADCAST_TEXTS
-    per_text = per_text.withColumnsRenamed({"d": "line_dedup_d", "t": "line_dedup_t"})
-    found = documents.join(F.broadcast(per_text) if few else per_text, F.col("doc_id").eqNullSafe(F.col("line_dedup_d")) & (F.xxhash64("text") == F.col("line_dedup_t")), how)
-    return found.drop("line_dedup_d", "line_dedup_t")
+    """h1, h2, at (earliest place), n (occurrences) and size of every distinct line."""
+    return lines.groupBy("h1", "h2").agg(F.min(_at()).alias("at"), F.count("*").alias("n"), F.first("size").alias("size"))
 
 
 def shared_keys(lines: DataFrame) -> DataFrame:
-    """key, lines (how many) and h1 of the keys that more than one distinct line has."""
+    """key, h1 and crowded of the keys that more than one distinct line has.
+
+    Keys are dealt by their value and counted there. Those that a sample shows to be hot (at most 2 / HOT by the share they need,
+    so that they are broadcast) are left out of that and count as crowded.
+    """
+    lines = lines.where("keys IS NOT NULL")
     keyed = lines.select("h1", F.explode("keys").alias("key"))
-    return keyed.withColumn("lines", F.count("*").over(Window.partitionBy("key"))).where("lines > 1")
+    some = lines.where(F.pmod(F.xxhash64("d", "t", "pos"), F.lit(LOOKED)) == 0).select(F.explode("keys").alias("key"))
+    least = max(32, some.count() * HOT / 2)
+    hot = materialize(some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key"), "hot-keys")
+    plain = keyed.join(F.broadcast(hot), "key", "left_anti")
+    of_key = Window.partitionBy("key")
+    # the lines of a key come together, so that the distinct ones are told by the least, the greatest and a running count
+    seen = plain.withColumn("fresh", (F.col("h1") != F.coalesce(F.lag("h1").over(of_key.orderBy("h1")), F.bitwise_not("h1"))).cast("int"))
+    counted = seen.where("fresh = 1").withColumn("lines", F.count("*").over(of_key)).where("lines > 1")
+    apart = keyed.join(F.broadcast(hot), "key", "left_semi").distinct()
+    return counted.select("key", "h1", (F.col("lines") > CROWDED).alias("crowded")).unionByName(apart.select("key", "h1", F.lit(True).alias("crowded")))
+
+
+def _of_texts(documents: DataFrame, per_text: DataFrame, how: str) -> DataFrame:
+    """documents with what a table says of their texts (d, t)."""
+    per_text = per_text.withColumnsRenamed({"d": "line_dedup_d", "t": "line_dedup_t"})
+    found = documents.join(per_text, F.col("doc_id").eqNullSafe(F.col("line_dedup_d")) & (F.xxhash64("text") == F.col("line_dedup_t")), how)
+    return found.drop("line_dedup_d", "line_dedup_t")
 
 
 def _letters(documents: DataFrame, places: DataFrame) -> DataFrame:
     """h1, h2 and the words of lines (h1, h2, at) as one letter each, in two alphabets of 49,152 by a word's hash."""
-    per_text = materialize(places.groupBy("at.d", "at.t").agg(F.collect_list(F.struct("h1", "h2", "at.pos")).alias("wanted")), "line-places")
-    each = _joined(documents.select("doc_id", "text"), per_text, "inner").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
+    per_text = places.groupBy("at.d", "at.t").agg(F.collect_list(F.struct("h1", "h2", "at.pos")).alias("wanted"))
+    each = _of_texts(documents.select("doc_id", "text"), per_text, "inner").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
     line = F.btrim(F.element_at("parts", F.col("w.pos") + 1), F.lit(" \t\r"))
     hashes = each.select("w.h1", "w.h2", F.transform(F.split(line, " "), lambda w: F.xxhash64(w)).alias("words"))
 
@@ -110,63 +115,100 @@ def _letters(documents: DataFrame, places: DataFrame) -> DataFrame:
     return hashes.select("h1", "h2", letters(0).alias("a"), letters(32).alias("b")).dropDuplicates(["h1", "h2"])
 
 
-def _verified(documents: DataFrame, pairs: DataFrame, lines: DataFrame, most: int | None) -> DataFrame:
+def _verified(pairs: DataFrame, letters: DataFrame, most: int) -> DataFrame:
     """h1, h2 of the pairs (h1, h2, e1, e2) within the bound.
 
     The distance of two lines is that of their letters, in both alphabets: of the words that share a letter of one alphabet
     hardly any share that of the other.
     """
-    pairs = materialize(pairs, "line-pairs")
-    ids = pairs.select("h1", "h2").unionByName(pairs.select(F.col("e1").alias("h1"), F.col("e2").alias("h2"))).distinct()
-    letters = materialize(_letters(documents, lines.select("h1", "h2", "at").join(ids, ["h1", "h2"], "left_semi")), "line-letters")
     both = pairs.join(letters, ["h1", "h2"]).join(letters.toDF("e1", "e2", "e_a", "e_b"), ["e1", "e2"])
     both = both.withColumn("k", _edits(F.least(F.length("a"), F.length("e_a")), most))
     return both.where("levenshtein(a, e_a, k) >= 0 AND levenshtein(b, e_b, k) >= 0").select("h1", "h2").distinct()
 
 
-def near_duplicates(documents: DataFrame, lines: DataFrame, most: int | None) -> DataFrame:
+def _pairs(later: DataFrame, earlier: DataFrame, most: int) -> DataFrame:
+    """h1, h2, e1, e2 of the lines of two tables (key, h1, h2, at, size) that share a key, as far as order and sizes allow."""
+    earlier = earlier.select("key", *[F.col(c).alias(f"e_{c}") for c in ("h1", "h2", "at", "size")])
+    met = later.join(earlier, "key").where((F.col("at") > F.col("e_at")) & (F.abs(F.col("size") - F.col("e_size")) <= _edits(F.least("size", "e_size"), most)))
+    return met.select("h1", "h2", F.col("e_h1").alias("e1"), F.col("e_h2").alias("e2")).distinct()
+
+
+def _rare_pairs(members: DataFrame, letters: DataFrame, most: int) -> DataFrame:
+    """members (h1, h2, at, size) with key: the rarest pairs of neighbouring words of each line.
+
+    k edits take away at most 2k of a line's distinct pairs, so that of 2k + 1 of them, in an order common to all lines, similar
+    lines share one; lines of no more than 4k distinct pairs, all of which may go, have one more key in common.
+    """
+    low = F.lit((1 << 56) - 1)
+
+    def pairs(w: Column) -> Column:
+        return F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda x, y: F.xxhash64(x, y)))
+
+    words = F.filter(F.split("a", ""), lambda x: x != "")
+    paired = materialize(members.join(letters, ["h1", "h2"]).select("h1", "h2", "at", "size", _let(words, pairs).alias("pairs")), "line-word-pairs")
+    weights = bytearray(BUCKETS)
+    for r in paired.select(F.explode("pairs").alias("p")).groupBy(F.pmod("p", F.lit(BUCKETS)).alias("bucket")).agg(F.count("*").alias("n")).collect():
+        weights[r["bucket"]] = min(r["n"].bit_length(), 63)
+    weight = lambda h: F.ascii(F.substring(F.lit(bytes(weights)), F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
+    order = F.sort_array(F.transform("pairs", lambda h: F.shiftleft(weight(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(low))))
+    k = _edits(F.col("size"), most)
+    keys = F.concat(F.slice(order, F.lit(1), 2 * k + 1), F.when(F.size("pairs") <= 4 * k, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<long>")))
+    return paired.select("h1", "h2", "at", "size", F.explode(keys).alias("key"))
+
+
+def near_duplicates(documents: DataFrame, occurrences: DataFrame, lines: DataFrame, most: int) -> DataFrame:
     """h1, h2 of every line within the bound of an earlier line, whether or not that one is itself such a line.
 
-    Lines of crowded keys are first compared with the earliest line of each, which settles most lines of large groups; what is
-    not settled is compared with every earlier line that shares enough keys.
+    Lines of a key that is not crowded are compared pair by pair. Lines of crowded keys are first compared with the earliest line
+    of each and with the one that occurs most often, which settles most lines of large groups. Those that it doesn't settle are
+    compared with the earlier lines of the same keys that share one of their rarest word pairs as well.
     """
-    shared = materialize(shared_keys(lines), "line-keys")
-    # how many keys two similar lines share: what the edits leave of the keys of either, up to two
-    need = F.least(F.greatest(F.size("keys") - 2 * _edits(F.col("size"), most), F.lit(1)), F.lit(2)).alias("need")
-    keyed = materialize(shared.join(lines.select("h1", "h2", "at", "size", need), "h1"), "keyed-lines")
-    within = F.abs(F.col("size") - F.col("e_size")) <= _edits(F.least("size", "e_size"), most)
-    earliest = keyed.where(F.col("lines") > CROWDED).groupBy("key").agg(F.min(F.struct("at", "h1", "h2", "size")).alias("e"))
-    first = keyed.join(earliest, "key").withColumn("e_size", F.col("e.size")).where((F.col("at") > F.col("e.at")) & within)
-    settled = materialize(_verified(documents, first.select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2")).distinct(), lines, most), "lines-settled")
-    others = keyed.join(settled, ["h1", "h2"], "left_anti")
-    earlier = keyed.select("key", *[F.col(c).alias(f"e_{c}") for c in ("h1", "h2", "at", "size", "need")])
-    met = others.join(earlier, "key").where((F.col("at") > F.col("e_at")) & within)
-    met = met.groupBy("h1", "h2", F.col("e_h1").alias("e1"), F.col("e_h2").alias("e2")).agg(F.count("*").alias("met"), F.max(F.greatest("need", "e_need")).alias("need"))
-    return settled.unionByName(_verified(documents, met.where("met >= need").drop("met", "need"), lines, most))
-
-
-def removed_lines(documents: DataFrame, most: int | None) -> DataFrame:
+    keyed = materialize(shared_keys(occurrences), "line-keys")
+    keyed = materialize(keyed.join(lines, "h1"), "keyed-lines")
+    letters = materialize(_letters(documents, keyed.select("h1", "h2", "at").distinct()), "line-letters")
+    crowded, few = keyed.where("crowded"), keyed.where("NOT crowded")
+    line = F.struct("h1", "h2", "at", "size")
+    heads = materialize(crowded.groupBy("key").agg(F.min(F.struct("at", line.alias("line"))).alias("first"), F.max(F.struct("n", line.alias("line"))).alias("most")), "line-heads")
+    heads = heads.select("key", F.col("first.line").alias("line")).unionByName(heads.select("key", F.col("most.line").alias("line"))).select("key", "line.*")
+    pairs = materialize(_pairs(few, few, most).unionByName(_pairs(crowded, heads, most)), "line-pairs")
+    settled = materialize(_verified(pairs, letters, most), "lines-settled")
+    unsettled = crowded.join(settled, ["h1", "h2"], "left_anti")
+    members = crowded.join(unsettled.select("key").distinct(), "key", "left_semi").select("h1", "h2", "at", "size").distinct()
+    rare = materialize(_rare_pairs(members, letters, most), "line-rare-pairs")
+    late = rare.join(unsettled.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
+    rest = materialize(_pairs(late, rare, most), "line-pairs")
+    return settled.unionByName(_verified(rest, letters, most)).distinct()
+
+
+def removed_lines(documents: DataFrame, most: int) -> DataFrame:
     """d, t and line_dedup_gone (positions of the lines that go, ascending) of every document that loses a line."""
-    occurrences = materialize(line_hashes(documents, most), "lines")
+    occurrences = materialize(line_table(documents), "lines")
     lines = materialize(distinct_lines(occurrences), "distinct-lines")
-    near = near_duplicates(documents, lines, most).withColumn("near", F.lit(True))
-    repeated = lines.select("h1", "h2", "at", "n").join(near, ["h1", "h2"], "left").where("n > 1 OR near")
-    found = occurrences.select("d", "t", "pos", "h1", "h2").join(repeated, ["h1", "h2"])
+    near = near_duplicates(documents, occurrences, lines, most).withColumn("near", F.lit(True))
+    repeated = materialize(lines.select("h1", "h2", "at", "n").join(near, ["h1", "h2"], "left").where("n > 1 OR near"), "lines-repeated")
+    # lines of more than HOT of all occurrences, of which there are fewer than 1 / HOT, are broadcast, so that no task gets such a line whole
+    hot = F.col("n") > max(1, occurrences.count() * HOT)
+    places = occurrences.select("d", "t", "pos", "h1", "h2")
+    often = F.broadcast(repeated.where(hot))
+    found = places.join(often, ["h1", "h2"]).unionByName(places.join(often, ["h1", "h2"], "left_anti").join(repeated.where(~hot), ["h1", "h2"]))
     gone = found.where(F.col("near") | (F.col("at") != _at())).select("d", "t", "pos")
     return gone.groupBy("d", "t").agg(F.sort_array(F.collect_set("pos")).alias("line_dedup_gone"))
 
 
-def dedup_lines(documents: DataFrame, most: int | None = 1) -> DataFrame:
+def dedup_lines(documents: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
     """documents with n_lines, n_removed and a text without its duplicate lines.
 
-    Lines are compared without spaces, tabs and carriage returns at their ends; their words are separated by single spaces. Blank lines stay. A line goes where an equal
-    line, or one within the edit bound, stands earlier: in a document of smaller doc_id (null last), or above in the same. The
-    bound is a fifth of the words of the shorter line, and no more than most words unless that is None.
+    Lines are compared without spaces, tabs and carriage returns at their ends; their words are separated by single spaces. Blank
+    lines stay. A line goes where an equal line, or one within the edit bound, stands earlier: in a document of smaller doc_id
+    (null last), or above in the same. The bound is a word for each five words of the shorter line, and no more than edits (0 to
+    MOST_EDITS) words.
     Rows equal in doc_id and text count as one document and get the same text. A null text stays null, with no lines. An empty
     table gives an empty result. Other columns are kept, those named n_lines or n_removed replaced.
     """
-    gone = materialize(removed_lines(documents, most), "lines-gone")
-    joined = _joined(documents.drop("n_lines", "n_removed"), gone, "left")
+    if not 0 <= edits <= MOST_EDITS:
+        raise ValueError(f"edits must be from 0 to {MOST_EDITS}")
+    gone = materialize(removed_lines(documents, edits), "lines-gone")
+    joined = _of_texts(documents.drop("n_lines", "n_removed"), gone, "left")
     parts = F.split("text", "\n")
     left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("line_dedup_gone", i)), "\n")
     return joined.withColumns(
@@ -179,8 +221,11 @@ def dedup_lines(documents: DataFrame, most: int | None = 1) -> DataFrame:
 
 
 def keep_deduped(documents: DataFrame) -> DataFrame:
-    """The pipeline's stage: the columns of documents, with texts deduped and n_chars renewed; documents left blank go."""
-    out = dedup_lines(documents, None).where((F.col("n_removed") == 0) | (F.btrim("text", F.lit(" \t\r\n")) != ""))
+    """The pipeline's stage: the columns of documents, with texts deduped and n_chars renewed; documents left blank go.
+
+    Null texts and blank ones stay as they are, repeated rows stay repeated, and an empty table gives an empty result.
+    """
+    out = dedup_lines(documents).where((F.col("n_removed") == 0) | (F.btrim("text", F.lit(" \t\r\n")) != ""))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")))
     return out.select(*documents.columns)
@@ -188,7 +233,7 @@ def keep_deduped(documents: DataFrame) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and text of every document."""
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), None)
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {"op5_line_dedup": op5_line_dedup}

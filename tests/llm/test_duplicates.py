@@ -9,16 +9,21 @@ from helixframe.llm import line_dedup, ngram_join, suffix_dedup
 DOCS = "doc_id long, text string, n int"
 
 
-def one_edit(a, b):
-    short, p, q = min(len(a), len(b)), 0, 0
-    while p < short and a[p] == b[p]:
-        p += 1
-    while q < short and a[-1 - q] == b[-1 - q]:
-        q += 1
-    return abs(len(a) - len(b)) <= 1 and p + q >= max(len(a), len(b)) - 1
+def word_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
 
+def near(a, b, most):
+    bound = min(len(a) // 5, len(b) // 5, most)
+    return bound > 0 and abs(len(a) - len(b)) <= bound and word_edits(a, b) <= bound
 
-def brute_lines(docs):
+
+def brute_lines(docs, most=3):
     seen, out = {}, {}
     for d, text in docs:
         kept = []
@@ -28,7 +33,7 @@ def brute_lines(docs):
             if not x:
                 kept.append(line)
             elif x not in seen:
-                seen[x] = len(w) >= 5 and any(len(o) >= 5 and one_edit(w, o) for o in map(lambda s: s.split(" "), seen))
+                seen[x] = any(near(w, o.split(" "), most) for o in seen)
                 if not seen[x]:
                     kept.append(line)
         out[d] = "\n".join(kept) if text is not None else None
@@ -51,42 +56,43 @@ def lined(prose):
     return [*docs, (80, None), (81, ""), (82, "a a a a a a\na a a a a a a\n\n"), (83, " ".join(prose(2000, 3).split()) + "\n" + prose(2000, 3) + " x")]
 
 
-@pytest.mark.parametrize("most", [200_000, 0])
-def test_line_dedup_equals_brute_force(spark, lined, monkeypatch, most):
-    monkeypatch.setattr(line_dedup, "BROADCAST_TEXTS", most)
+@pytest.mark.parametrize(("edits", "crowded", "hot"), [(3, 16, 1e-3), (1, 2, 1e-3), (3, 1, 1e-9)])
+def test_line_dedup_equals_brute_force(spark, lined, monkeypatch, edits, crowded, hot):
+    monkeypatch.setattr(line_dedup, "CROWDED", crowded)
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     frame = spark.createDataFrame([(d, t, 0, "x") for d, t in lined], "doc_id long, text string, n_removed int, gone string")
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()}
-    assert got == brute_lines(lined)
-
-
-def word_edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame, edits).collect()}
+    assert got == brute_lines(lined, edits)
 
 
-def test_line_dedup_bound_grows_with_the_line(spark, prose):
+@pytest.mark.parametrize("crowded", [16, 1])
+def test_line_dedup_bound_grows_with_the_line(spark, prose, monkeypatch, crowded):
+    monkeypatch.setattr(line_dedup, "CROWDED", crowded)
     r = random.Random(11)
     lines = []
     for g in range(25):
-        base = prose(r.choice([5, 9, 10, 15, 32, 50, 106]), 900 + g).split(" ") if g else ["a", "b"] * 12
-        for _ in range(6):
+        base = prose(r.choice([5, 9, 10, 14, 15, 32, 106]), 900 + g).split(" ") if g else ["a", "b"] * 12
+        for _ in range(20 if g < 3 else 6):
             w = list(base)
-            for _ in range(r.randint(0, len(base) // 4)):
+            for _ in range(r.randint(0, 4)):
                 k = r.randrange(len(w))
                 w[k : k + 1] = r.choice([[], [w[k], f"n{r.randrange(50)}"], [f"n{r.randrange(50)}"]])
             lines.append(w)
     r.shuffle(lines)
-    want = [any(w == o or word_edits(w, o) <= min(len(w), len(o)) // 5 for o in lines[:i]) for i, w in enumerate(lines)]
+    want = [any(w == o or near(w, o, 3) for o in lines[:i]) for i, w in enumerate(lines)]
     frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
-    got = {x.doc_id: x.n_removed == 1 for x in line_dedup.dedup_lines(frame, None).collect()}
+    got = {x.doc_id: x.n_removed == 1 for x in line_dedup.dedup_lines(frame).collect()}
     assert [got[i] for i in range(len(lines))] == want
     assert 20 < sum(want) < len(lines) - 20
 
 
+def test_very_long_lines_and_repeated_rows(spark, prose):
+    long = prose(100_000, 3)
+    rows = [(1, long), (2, "x " + long + " y"), (2, "x " + long + " y"), (3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f g"), (None, None)]
+    got = sorted((x.doc_id or 9, x.n_lines, x.n_removed, x.text) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).fillna("-", ["text"]).collect())
+    assert got == [(1, 1, 0, long), (2, 1, 1, ""), (2, 1, 1, ""), (3, 1, 0, "a b c d e f"), (3, 1, 0, "a b c d e f"), (9, 0, 0, "-"), (9, 1, 1, "")]
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
