@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,21 +12,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where the session names none (local tests)."""
+    """The folder all executors share. Where the session names none, one of our own in the warehouse, which is shared as well."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/helixframe-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: later jobs start from files, not from its lineage."""
+def materialize(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write df once to the shared folder and read it back: later jobs start from files, not from its lineage.
+
+    release: have the driver collect its garbage, with which the files of shuffles no longer referred to go; with a large heap
+    that may be never. To be asked for after steps that shuffle much.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # shuffle files of the job just done go when the driver collects its garbage, which with a large heap may be never
-    spark.sparkContext._jvm.System.gc()
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,10 +31,10 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating stars, as published for map-reduce: no step gathers the neighbours of a node, and each round is written to
     the shared folder.
     """
-    edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", True)
     state = None
     for _ in range(MOST_ROUNDS):
-        edges = materialize(_star(_star(edges, False), True), "links")
+        edges = materialize(_star(_star(edges, False), True), "links", True)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -21,7 +21,9 @@ WORDS_AN_EDIT, MOST_EDITS = 5, 3
 END, WHOLE = 5, 10
 #: A key of more lines than this is crowded; a key or line of more than this share of all rows is handled without a shuffle of it.
 CROWDED, HOT = 16, 1 / 1_000
-#: One line in so many is looked at for hot keys, and buckets that word pairs of crowded lines are counted in. Both affect speed only.
+#: Letters that stand for words.
+LETTERS = 20_480
+#: One document in so many is looked at for hot keys, and buckets that word pairs of crowded lines are counted in. Both affect speed only.
 LOOKED, BUCKETS = 64, 1 << 17
 
 
@@ -40,32 +42,39 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _variants(words: Column, kind: int) -> Column:
-    """Hashed keys of a list of words without one of them, for each of them."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+def _variants(words: Column, most: int, kind: int) -> list[Column]:
+    """Hashed keys of a list of up to most words without one of them, for each of them (a null is no word, and changes no hash)."""
+    return [F.xxhash64(F.lit(kind), *[F.get(words, F.lit(j)) for j in range(most) if j != i]) for i in range(most)]
 
-    def without(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.xxhash64(F.lit(kind), F.slice(h, F.lit(1), i), F.slice(h, i + 2, F.size(h))))
 
-    return _let(hashes, without)
+def lines_of(documents: DataFrame) -> DataFrame:
+    """d (doc_id), t (hash of the text), pos, line (without white space at its ends) and size (words) of every line but blank ones."""
+    docs = documents.where("text IS NOT NULL").select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = docs.withColumn("line", F.btrim("line", F.lit(" \t\r"))).where("line != ''")
+    return lines.withColumn("size", F.size(F.split("line", " ")))
 
 
-def _keys(line: Column, n: Column) -> Column:
-    """The deletion variants of a line of n words; null where only equal lines are similar."""
-    first, last = F.split(F.substring_index(line, " ", END), " "), F.split(F.substring_index(line, " ", -END), " ")
-    whole = F.split(line, " ")
-    of_whole = F.concat(_variants(whole, 0), F.array(F.xxhash64(F.lit(0), F.transform(whole, lambda w: F.xxhash64(w)))))
-    of_ends = F.concat(_variants(first, 1), _variants(last, 2))
-    keys = F.when(n < WHOLE, of_whole).when(n == WHOLE, F.concat(of_whole, of_ends)).otherwise(of_ends)
-    return F.when(n >= WORDS_AN_EDIT, F.array_distinct(keys))
+def _hashed(line: str = "line") -> list[Column]:
+    """The 128-bit hash by which lines are told apart."""
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2")]
 
 
-def line_table(documents: DataFrame) -> DataFrame:
-    """d (doc_id), t (hash of the text), pos, h1, h2 (128-bit hash), size (words) and keys (variants) of every line but blank ones."""
-    docs = documents.where("text IS NOT NULL").select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = docs.withColumn("line", F.btrim("line", F.lit(" \t\r"))).where("line != ''")
-    lines = lines.withColumn("size", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    return lines.select("d", "t", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "size", _keys(F.col("line"), F.col("size")).alias("keys"))
+def line_keys(documents: DataFrame) -> DataFrame:
+    """h1 and key of every deletion variant of every line that need not be equal to be similar."""
+    ends = F.col("size") >= WHOLE
+    lines = lines_of(documents).where(F.col("size") >= WORDS_AN_EDIT).select(
+        *_hashed(),
+        "size",
+        F.split(F.substring_index("line", " ", END), " ").alias("first"),
+        F.split(F.substring_index("line", " ", -END), " ").alias("last"),
+        F.when(F.col("size") <= WHOLE, F.split("line", " ")).alias("whole"),
+    )
+    of_ends = F.array(*_variants(F.col("first"), END, 1), *_variants(F.col("last"), END, 2))
+    words = F.col("whole")
+    of_whole = F.array_distinct(F.array(*_variants(words, WHOLE, 0), F.xxhash64(F.lit(0), *[F.get(words, F.lit(j)) for j in range(WHOLE)])))
+    none = F.array().cast("array<long>")
+    keys = F.concat(F.when(ends, of_ends).otherwise(none), F.when(words.isNotNull(), of_whole).otherwise(none))
+    return lines.select("h1", F.explode(keys).alias("key"))
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
@@ -73,24 +82,22 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     return lines.groupBy("h1", "h2").agg(F.min(_at()).alias("at"), F.count("*").alias("n"), F.first("size").alias("size"))
 
 
-def shared_keys(lines: DataFrame) -> DataFrame:
+def shared_keys(documents: DataFrame) -> DataFrame:
     """key, h1 and crowded of the keys that more than one distinct line has.
 
     Keys are dealt by their value and counted there. Those that a sample shows to be hot (at most 2 / HOT by the share they need,
-    so that they are broadcast) are left out of that and count as crowded.
+    so that they are broadcast) are dealt by their lines as well, uncounted, and are crowded.
     """
-    lines = lines.where("keys IS NOT NULL")
-    keyed = lines.select("h1", F.explode("keys").alias("key"))
-    some = lines.where(F.pmod(F.xxhash64("d", "t", "pos"), F.lit(LOOKED)) == 0).select(F.explode("keys").alias("key"))
-    least = max(32, some.count() * HOT / 2)
-    hot = materialize(some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key"), "hot-keys")
-    plain = keyed.join(F.broadcast(hot), "key", "left_anti")
-    of_key = Window.partitionBy("key")
-    # the lines of a key come together, so that the distinct ones are told by the least, the greatest and a running count
-    seen = plain.withColumn("fresh", (F.col("h1") != F.coalesce(F.lag("h1").over(of_key.orderBy("h1")), F.bitwise_not("h1"))).cast("int"))
-    counted = seen.where("fresh = 1").withColumn("lines", F.count("*").over(of_key)).where("lines > 1")
-    apart = keyed.join(F.broadcast(hot), "key", "left_semi").distinct()
-    return counted.select("key", "h1", (F.col("lines") > CROWDED).alias("crowded")).unionByName(apart.select("key", "h1", F.lit(True).alias("crowded")))
+    some = line_keys(documents.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(LOOKED)) == 0))
+    counted = materialize(some.groupBy("key").agg(F.count("*").alias("n")), "line-keys-looked-at")
+    least = max(32, (counted.agg(F.sum("n")).first()[0] or 0) * HOT / 2)
+    hot = counted.where(F.col("n") >= least).select("key", F.lit(True).alias("hot"))
+    dealt = line_keys(documents).join(F.broadcast(hot), "key", "left").select("key", "h1", F.when(F.col("hot"), F.pmod("h1", F.lit(1_024)) + 1).otherwise(0).alias("salt"))
+    of_key = Window.partitionBy("key", "salt")
+    # the lines of a key come in order, so that each is counted once
+    fresh = dealt.withColumn("before", F.lag("h1").over(of_key.orderBy("h1"))).where("before IS NULL OR before <> h1")
+    found = fresh.withColumn("lines", F.count("*").over(of_key)).where("lines > 1 OR salt > 0")
+    return found.select("key", "h1", ((F.col("lines") > CROWDED) | (F.col("salt") > 0)).alias("crowded"))
 
 
 def _of_texts(documents: DataFrame, per_text: DataFrame, how: str) -> DataFrame:
@@ -101,15 +108,15 @@ def _of_texts(documents: DataFrame, per_text: DataFrame, how: str) -> DataFrame:
 
 
 def _letters(documents: DataFrame, places: DataFrame) -> DataFrame:
-    """h1, h2 and the words of lines (h1, h2, at) as one letter each, in two alphabets of 49,152 by a word's hash."""
+    """h1, h2 and the words of lines (h1, h2, at) as one letter each, in two alphabets by a word's hash."""
     per_text = places.groupBy("at.d", "at.t").agg(F.collect_list(F.struct("h1", "h2", "at.pos")).alias("wanted"))
     each = _of_texts(documents.select("doc_id", "text"), per_text, "inner").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
     line = F.btrim(F.element_at("parts", F.col("w.pos") + 1), F.lit(" \t\r"))
     hashes = each.select("w.h1", "w.h2", F.transform(F.split(line, " "), lambda w: F.xxhash64(w)).alias("words"))
+    alphabet = F.split(F.lit("".join(map(chr, range(0x4E00, 0x4E00 + LETTERS)))), "")
 
     def letters(shift: int) -> Column:
-        code = F.transform("words", lambda h: F.hex(F.lit(0x1000) + F.pmod(F.shiftright(h, shift), F.lit(0xC000))))
-        return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
+        return F.array_join(F.transform("words", lambda h: F.element_at(alphabet, F.pmod(F.shiftright(h, shift), F.lit(LETTERS)).cast("int") + 1)), "")
 
     # rows equal in doc_id and text bring the same line more than once
     return hashes.select("h1", "h2", letters(0).alias("a"), letters(32).alias("b")).dropDuplicates(["h1", "h2"])
@@ -156,16 +163,16 @@ def _rare_pairs(members: DataFrame, letters: DataFrame, most: int) -> DataFrame:
     return paired.select("h1", "h2", "at", "size", F.explode(keys).alias("key"))
 
 
-def near_duplicates(documents: DataFrame, occurrences: DataFrame, lines: DataFrame, most: int) -> DataFrame:
+def near_duplicates(documents: DataFrame, lines: DataFrame, most: int) -> DataFrame:
     """h1, h2 of every line within the bound of an earlier line, whether or not that one is itself such a line.
 
     Lines of a key that is not crowded are compared pair by pair. Lines of crowded keys are first compared with the earliest line
     of each and with the one that occurs most often, which settles most lines of large groups. Those that it doesn't settle are
     compared with the earlier lines of the same keys that share one of their rarest word pairs as well.
     """
-    keyed = materialize(shared_keys(occurrences), "line-keys")
+    keyed = materialize(shared_keys(documents), "line-keys", True)
     keyed = materialize(keyed.join(lines, "h1"), "keyed-lines")
-    letters = materialize(_letters(documents, keyed.select("h1", "h2", "at").distinct()), "line-letters")
+    letters = materialize(_letters(documents, keyed.select("h1", "h2", "at").distinct()), "line-letters", True)
     crowded, few = keyed.where("crowded"), keyed.where("NOT crowded")
     line = F.struct("h1", "h2", "at", "size")
     heads = materialize(crowded.groupBy("key").agg(F.min(F.struct("at", line.alias("line"))).alias("first"), F.max(F.struct("n", line.alias("line"))).alias("most")), "line-heads")
@@ -182,9 +189,9 @@ def near_duplicates(documents: DataFrame, occurrences: DataFrame, lines: DataFra
 
 def removed_lines(documents: DataFrame, most: int) -> DataFrame:
     """d, t and line_dedup_gone (positions of the lines that go, ascending) of every document that loses a line."""
-    occurrences = materialize(line_table(documents), "lines")
-    lines = materialize(distinct_lines(occurrences), "distinct-lines")
-    near = near_duplicates(documents, occurrences, lines, most).withColumn("near", F.lit(True))
+    occurrences = materialize(lines_of(documents).select("d", "t", "pos", *_hashed(), "size"), "lines")
+    lines = materialize(distinct_lines(occurrences), "distinct-lines", True)
+    near = near_duplicates(documents, lines, most).withColumn("near", F.lit(True))
     repeated = materialize(lines.select("h1", "h2", "at", "n").join(near, ["h1", "h2"], "left").where("n > 1 OR near"), "lines-repeated")
     # lines of more than HOT of all occurrences, of which there are fewer than 1 / HOT, are broadcast, so that no task gets such a line whole
     hot = F.col("n") > max(1, occurrences.count() * HOT)
@@ -207,7 +214,7 @@ def dedup_lines(documents: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
     """
     if not 0 <= edits <= MOST_EDITS:
         raise ValueError(f"edits must be from 0 to {MOST_EDITS}")
-    gone = materialize(removed_lines(documents, edits), "lines-gone")
+    gone = materialize(removed_lines(documents, edits), "lines-gone", True)
     joined = _of_texts(documents.drop("n_lines", "n_removed"), gone, "left")
     parts = F.split("text", "\n")
     left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("line_dedup_gone", i)), "\n")

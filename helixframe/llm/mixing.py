@@ -170,7 +170,7 @@ def mix_sources(documents: DataFrame, seed: int = 42) -> DataFrame:
     so no document gives more than MOST times its size. Other columns are ignored.
     """
     docs, targets = _prepared(documents)
-    docs = materialize(docs, "packed")
+    docs = materialize(docs, "packed", True)
     uses = draw_slots(targets, seed).groupBy("source", "block").agg(F.count("*").alias("uses"))
     spans = block_spans(docs).alias("b")
     # the expanded side is far larger than it is estimated to be: never broadcast

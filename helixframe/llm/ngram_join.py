@@ -281,11 +281,11 @@ def jaccard_classes(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     ignored; doc_id must be a number, and rows without one come back with a null component_id.
     """
     common = _common_shingles(documents, size)
-    docs = materialize(shingled(documents, size, percent, common), "shingled")
+    docs = materialize(shingled(documents, size, percent, common), "shingled", True)
     alike = docs.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
     reps = alike.select(F.col("rep").alias("doc_id"), "n", "prefix")
-    found = materialize(candidates(reps, percent), "candidates")
-    pairs = materialize(found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs")
+    found = materialize(candidates(reps, percent), "candidates", True)
+    pairs = materialize(found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs", True)
     crowded = found.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("token"))
     hubs = crowded.groupBy("token").agg(F.min("doc_id").alias("hub"))
     groups = components(crowded.join(hubs, "token").select(F.col("doc_id").alias("u"), F.col("hub").alias("v")))
@@ -297,12 +297,12 @@ def jaccard_classes(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     pairs = pairs.join(n_a, "a").join(n_b, "b").join(g_a, "a", "left").join(g_b, "b", "left")
     rest = F.greatest(F.floor(F.col("na") * percent / 100), F.floor(F.col("nb") * percent / 100))
     can = (F.col("shared") + rest) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
-    pairs = materialize(pairs.where(can & ~F.coalesce(F.col("ga") == F.col("gb"), F.lit(False))).select("a", "b", "shared"), "pairs")
+    pairs = materialize(pairs.where(can & ~F.coalesce(F.col("ga") == F.col("gb"), F.lit(False))).select("a", "b", "shared"), "pairs", True)
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(groups.select("doc_id")).distinct()
-    sets = materialize(full_sets(documents, materialize(ids, "ids"), size), "sets")
+    sets = materialize(full_sets(documents, materialize(ids, "ids"), size), "sets", True)
     # first each set with the partner it shares most with; what these links already join is not verified again
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-    links = materialize(verified(best, sets, percent).unionByName(group_links(groups, sets, sizes, percent)), "links")
+    links = materialize(verified(best, sets, percent).unionByName(group_links(groups, sets, sizes, percent)), "links", True)
     so_far = components(links)
     c_a, c_b = so_far.select(F.col("node").alias("a"), F.col("component").alias("ca")), so_far.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     open_pairs = pairs.join(best.withColumn("done", F.lit(True)), ["a", "b"], "left_anti").join(c_a, "a", "left").join(c_b, "b", "left")

@@ -222,15 +222,15 @@ def counted_buckets(found: DataFrame) -> DataFrame:
 
 def repeats(documents: DataFrame) -> DataFrame:
     """d, t, start, end: byte ranges of each text (doc_id and hash) covered by strings of LENGTH bytes that occur elsewhere."""
-    found = materialize(anchors(documents), "anchors")
+    found = materialize(anchors(documents), "anchors", True)
     # within one text the same context may stand at several places, so rows are counted, not texts
     buckets = found.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("m > 1")
-    kept = materialize(found.join(buckets.select("h", (F.col("c1") != F.col("c2")).alias("differ")), "h"), "anchors-repeated")
+    kept = materialize(found.join(buckets.select("h", (F.col("c1") != F.col("c2")).alias("differ")), "h"), "anchors-repeated", True)
     place = F.struct("d", "t", "a", "lo", "hi")
-    groups = materialize(kept.where("differ").groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("w")), "contexts-counted")
+    groups = materialize(kept.where("differ").groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("w")), "contexts-counted", True)
     crowd = groups.groupBy("h").agg((F.count("*") > CROWDED).alias("crowded"))
     wanted = groups.join(crowd, "h").select("h", "w.d", "w.t", "w.a", "w.lo", "w.hi", "n", "crowded")
-    x = materialize(contexts(documents, wanted), "contexts")
+    x = materialize(contexts(documents, wanted), "contexts", True)
     whole = kept.where("NOT differ").unionByName(kept.where("differ").join(groups.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select(*kept.columns))
     whole = whole.select("d", "t", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end"))
     return whole.unionByName(sorted_buckets(x)).unionByName(counted_buckets(x))
