@@ -34,8 +34,8 @@ def _clean(text: str) -> bytes:
 
 
 def held_out() -> Column:
-    """True for the quarter of documents that nothing is learnt from."""
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    """True for the quarter of documents that nothing is learnt from; false for a null doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 def learn_dictionaries(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
@@ -79,7 +79,8 @@ def identify_languages(documents: DataFrame, dictionaries: dict[str, bytes]) ->
     """documents with lang_pred, score (0 to 1) and rejected in place of any columns of these names.
 
     Only text is read for a prediction. A null text, or one without a letter, is ``und`` with score 0 and rejected, as is
-    every text where no dictionary exists. An empty table gives an empty result.
+    every text where no dictionary exists. Rows that repeat, and null doc_ids, are predicted like any other. An empty table gives
+    an empty result.
     """
     frame = documents.drop("lang_pred", "score", "rejected")
     schema = T.StructType([*frame.schema, *(T.StructField(n, k) for n, k in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType())))])

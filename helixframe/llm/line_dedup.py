@@ -171,11 +171,11 @@ def near_duplicates(documents: DataFrame, lines: DataFrame, most: int) -> DataFr
     compared with the earlier lines of the same keys that share one of their rarest word pairs as well.
     """
     keyed = materialize(shared_keys(documents), "line-keys", True)
-    keyed = materialize(keyed.join(lines, "h1"), "keyed-lines")
+    keyed = materialize(keyed.join(lines, "h1"), "keyed-lines", True)
     letters = materialize(_letters(documents, keyed.select("h1", "h2", "at").distinct()), "line-letters", True)
     crowded, few = keyed.where("crowded"), keyed.where("NOT crowded")
     line = F.struct("h1", "h2", "at", "size")
-    heads = materialize(crowded.groupBy("key").agg(F.min(F.struct("at", line.alias("line"))).alias("first"), F.max(F.struct("n", line.alias("line"))).alias("most")), "line-heads")
+    heads = materialize(crowded.groupBy("key").agg(F.min(F.struct("at", line.alias("line"))).alias("first"), F.max(F.struct("n", line.alias("line"))).alias("most")), "line-heads", True)
     heads = heads.select("key", F.col("first.line").alias("line")).unionByName(heads.select("key", F.col("most.line").alias("line"))).select("key", "line.*")
     pairs = materialize(_pairs(few, few, most).unionByName(_pairs(crowded, heads, most)), "line-pairs")
     settled = materialize(_verified(pairs, letters, most), "lines-settled")
@@ -192,7 +192,7 @@ def removed_lines(documents: DataFrame, most: int) -> DataFrame:
     occurrences = materialize(lines_of(documents).select("d", "t", "pos", *_hashed(), "size"), "lines")
     lines = materialize(distinct_lines(occurrences), "distinct-lines", True)
     near = near_duplicates(documents, lines, most).withColumn("near", F.lit(True))
-    repeated = materialize(lines.select("h1", "h2", "at", "n").join(near, ["h1", "h2"], "left").where("n > 1 OR near"), "lines-repeated")
+    repeated = materialize(lines.select("h1", "h2", "at", "n").join(near, ["h1", "h2"], "left").where("n > 1 OR near"), "lines-repeated", True)
     # lines of more than HOT of all occurrences, of which there are fewer than 1 / HOT, are broadcast, so that no task gets such a line whole
     hot = F.col("n") > max(1, occurrences.count() * HOT)
     places = occurrences.select("d", "t", "pos", "h1", "h2")

@@ -1,10 +1,9 @@
 """Mixing sources to target weights: fixed-length blocks drawn by pseudorandom index permutations.
 
 Documents of a source are packed end to end and cut into blocks of a fixed number of words (fewer in small sources, so that
-each has many blocks). Output slots are dealt to the
-sources without replacement (a multinomial draw per shard, given that the totals meet the targets), each slot is mapped
-through a pseudorandom permutation of its source's block indices, and blocks and slots meet in a join on the index. Only
-sizes and indices are shuffled, never text.
+each has many blocks). For every output shard the counts of the sources are drawn (a multinomial draw, given that the totals
+meet the targets); the slots they make are mapped through a pseudorandom permutation of their source's block indices, and
+blocks and slots meet in a join on the index. Only sizes and indices are shuffled, never text.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ BLOCK, SHARD, MOST = 64, 1024, 3.0
 #: Least blocks of a source that has as many words.
 LEAST_BLOCKS = 64
 #: Documents packed in one stretch, and slots expanded from one row.
-STRETCH, RUN = 5_000, 4_096
+STRETCH, RUN = 500, 4_096
 #: Rounds of the permutation and most steps of a cycle walk.
 ROUNDS, STEPS = 4, 64
 
@@ -118,26 +117,64 @@ def packed(sized: DataFrame, rows: int) -> DataFrame:
     return joined.select("doc_id", "source", "size", (F.col("offset") + F.col("so_far")).alias("begin"), "block_words", F.struct("stretch", "place").alias("key"))
 
 
-def draw_slots(targets: DataFrame, seed: int = 42) -> DataFrame:
-    """One row per output slot: shard, slot, source and block (index in the source's packing).
+def source_slots(targets: DataFrame) -> DataFrame:
+    """source, blocks, slots, first (slots of the sources before it) and all_slots of every source that the mix takes from.
 
-    A source gets its target over the mean words of its blocks as slots (rounded, but no more than MOST times its blocks). The slots of all sources, end to
-    end, are mapped to output positions by a permutation: the counts of the sources in a shard follow the multinomial draw
-    with these totals. Pass e over a source's blocks uses the source's permutation number e.
+    A source gets its target over the mean words of its blocks as slots (rounded, but no more than MOST times its blocks).
     """
     t = targets.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block_words(F.col("source_size"))).cast("long"))
     t = t.withColumn("slots", F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"), F.floor(F.col("blocks") * F.lit(MOST)).cast("long"))).where("slots > 0")
     ordered = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.select("source", "blocks", "slots", F.coalesce(F.sum("slots").over(ordered), F.lit(0)).alias("first"), F.sum("slots").over(Window.partitionBy()).alias("all_slots"))
-    runs = t.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / RUN))))
+    return t.select("source", "blocks", "slots", F.coalesce(F.sum("slots").over(ordered), F.lit(0)).alias("first"), F.sum("slots").over(Window.partitionBy()).alias("all_slots"))
+
+
+def _expanded(rows: DataFrame, begin: Column, end: Column, *keep: str) -> DataFrame:
+    """Rows with k from begin to end - 1, by way of runs of RUN, which many tasks expand."""
+    runs = rows.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((end - begin - 1) / RUN))))
     # a fixed number of partitions: these rows are few and small until they are expanded, and would be coalesced to one task
-    runs = runs.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "run")
-    each = runs.withColumn("k", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("run") * RUN + RUN, F.col("slots")) - 1)))
-    turn, index = F.floor(F.col("k") / F.col("blocks")).cast("long"), F.pmod("k", "blocks")
+    runs = runs.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keep, "run")
+    low = begin + F.col("run") * RUN
+    return runs.withColumn("k", F.explode(F.sequence(low, F.least(low + RUN, end) - 1)))
+
+
+def draw_counts(slots: DataFrame, seed: int = 42) -> DataFrame:
+    """shard, source and drawn: how many slots of each output shard (SHARD slots, the last fewer) fall to each source.
+
+    The multinomial draw given that the totals of all sources are their slots: the slots of all sources, end to end, are
+    mapped to output positions by a permutation, and counted by shard.
+    """
+    each = _expanded(slots, F.lit(0).cast("long"), F.col("slots"), "source")
     at = permuted(F.col("first") + F.col("k"), F.col("all_slots"), F.lit(seed))
-    return each.select("source", permuted(index, F.col("blocks"), F.lit(seed), F.col("source"), turn).alias("block"), at.alias("at")).select(
-        F.floor(F.col("at") / SHARD).alias("shard"), (F.col("at") % SHARD).alias("slot"), "source", "block"
-    )
+    return each.select("source", F.floor(at / SHARD).alias("shard")).groupBy("shard", "source").agg(F.count("*").alias("drawn"))
+
+
+def draw_slots(targets: DataFrame, seed: int = 42) -> DataFrame:
+    """One row per output slot: shard, slot, source and block (index in the source's packing).
+
+    The drawn counts of the shards cut each source's slots into stretches, one for a shard; slot k of a source takes the block
+    that the source's permutation number k / blocks has at k % blocks, so that no block is used anew before all others are.
+    Within a shard the slots of the sources stand in a pseudorandom order as well.
+    """
+    slots = materialize(source_slots(targets), "source-slots")
+    counts = materialize(draw_counts(slots, seed), "shard-counts")
+    # running counts over the shards of a source, in groups of shards, so that no window holds more than about their square root
+    group = F.floor(F.col("shard") / F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("all_slots") / SHARD))))
+    counts = counts.join(F.broadcast(slots.select("all_slots").limit(1))).withColumn("group", group).drop("all_slots")
+    groups = counts.groupBy("source", "group").agg(F.sum("drawn").alias("n"))
+    before = Window.partitionBy("source").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select(F.col("source").alias("s2"), F.col("group").alias("g2"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("source", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    in_shard = Window.partitionBy("shard").orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("here", F.coalesce(F.sum("drawn").over(within), F.lit(0))).withColumn("lead", F.coalesce(F.sum("drawn").over(in_shard), F.lit(0)))
+    placed = placed.withColumn("full", F.sum("drawn").over(Window.partitionBy("shard")))
+    placed = placed.join(groups, F.col("source").eqNullSafe(F.col("s2")) & (F.col("group") == F.col("g2")))
+    placed = placed.select("shard", "source", "drawn", "lead", "full", (F.col("base") + F.col("here")).alias("begin"))
+    sizes = slots.select(F.col("source").alias("s3"), "blocks")
+    placed = placed.join(sizes, F.col("source").eqNullSafe(F.col("s3"))).drop("s3")
+    each = _expanded(placed, F.col("begin"), F.col("begin") + F.col("drawn"), "source", "shard")
+    turn, index = F.floor(F.col("k") / F.col("blocks")).cast("long"), F.pmod("k", "blocks")
+    slot = permuted(F.col("lead") + F.col("k") - F.col("begin"), F.col("full"), F.lit(seed), F.col("shard"))
+    return each.select("shard", slot.alias("slot"), "source", permuted(index, F.col("blocks"), F.lit(seed), F.col("source"), turn).alias("block"))
 
 
 def block_spans(docs: DataFrame) -> DataFrame:

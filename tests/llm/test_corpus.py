@@ -153,3 +153,48 @@ def test_pipeline_stages_keep_the_columns_and_the_last_mixes(spark):
         docs = out
     assert 0 < docs.count() < before
     assert set(corpus_pipeline.STAGES[-1][1](spark, docs, SF).columns) == {"doc_id", "size", "source_size", "target", "taken"}
+
+
+def test_the_draw_fills_every_shard_and_keeps_the_totals(spark):
+    rows = [("a", 9_000, 27_000.0), ("b", 40_000, 60_000.5), (None, 90_000, 52_000.0), ("t", 3, 9.0)]
+    targets = spark.createDataFrame(rows, "source string, source_size long, target double")
+    slots = {r.source: (r.slots, r.blocks) for r in mixing.source_slots(targets).collect()}
+    total = sum(n for n, _ in slots.values())
+    counts = mixing.draw_counts(mixing.source_slots(targets)).collect()
+    per_shard, per_source = defaultdict(int), defaultdict(int)
+    for c in counts:
+        per_shard[c.shard] += c.drawn
+        per_source[c.source] += c.drawn
+    assert [per_shard[k] for k in sorted(per_shard)] == [mixing.SHARD] * (total // mixing.SHARD) + [total % mixing.SHARD]
+    assert per_source == {s: n for s, (n, _) in slots.items()}
+    drawn = mixing.draw_slots(targets).collect()
+    assert len({(d.shard, d.slot) for d in drawn}) == len(drawn) == total
+    shares, uses = defaultdict(int), defaultdict(int)
+    for d in drawn:
+        shares[d.shard, d.source] += 1
+        uses[d.source, d.block] += 1
+    assert shares == {(c.shard, c.source): c.drawn for c in counts}
+    for s, (n, blocks) in slots.items():
+        mine = [u for (source, _), u in uses.items() if source == s]
+        assert max(mine) - (min(mine) if len(mine) == blocks else 0) <= 1 and max(mine) == -(-n // blocks)
+
+
+def test_import_guard(monkeypatch):
+    import builtins
+    import sys
+
+    import __spark_entry__
+
+    real = builtins.__import__
+
+    def missing(name, *args, **kwargs):
+        if name == "zstandard" or name == "corpus_pipeline":
+            raise ImportError(name)
+        return real(name, *args, **kwargs)
+
+    for name in [m for m in sys.modules if m.startswith("helixframe.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setattr(builtins, "__import__", missing)
+    found = __spark_entry__.queries()
+    assert found and not any(n.startswith("op") and n[2:3].isdigit() or n == "pipeline" for n in found)
+    assert set(__spark_entry__.oracle_sql()) <= set(found)
