@@ -1,8 +1,9 @@
 """Personal data: seed patterns, and bootstrapped contexts that find what the seed patterns miss.
 
-Seeds are e-mail addresses, IP addresses, card numbers and phone numbers. The words around seeds become lexical patterns;
-patterns and the identifier-like tokens in them form a graph on which scores are passed to and fro: a pattern is as good as
-its tokens, a token as its patterns. Tokens that good patterns agree on are reported with the seeds.
+Seeds are e-mail addresses, IP addresses, card numbers and phone numbers. The one or two words on either side of a seed, by
+themselves, together, or with the shape of the seed, become lexical patterns; patterns and the identifier-like tokens in them
+(numbers, also with spaces inside, and addresses, also with "[at]" and "(dot)") form a graph on which scores are passed to and
+fro: a pattern is as good as its tokens, a token as its patterns. Tokens that good patterns agree on are reported with the seeds.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from .common import materialize, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of context looked at on either side, rounds of scoring, distinct seeds that a pattern needs, least score.
-CONTEXT, ROUNDS, SUPPORT, LEAST_SCORE = 48, 3, 5, 0.9
+CONTEXT, ROUNDS, SUPPORT, LEAST_SCORE = 48, 3, 3, 0.9
+#: What a pattern's confidence is shrunk by: s of n tokens count as s / (n + DOUBT).
+DOUBT = 1.0
 
 # The seed patterns with single characters in place of groups that repeat: a mark stands for a dot between label characters,
 # or for a separator between digits, so that no match needs the stack however long it is.
@@ -23,7 +26,9 @@ _EMAIL = f"(?:(?<![A-Za-z0-9._%+{_MARK}-])|\\G)[A-Za-z0-9._%+{_MARK}-]++@[A-Za-z
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = f"[0-9][0-9{_MARK}]++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_TOKEN = r"(?<!\S)\S*[0-9@]\S*"
+_AT, _DOT = r"[\[({](?:at|AT)[\])}]", r"[\[({](?:dot|DOT)[\])}]"
+_TOKEN = rf"(?<!\S)\S*(?:[0-9@]|{_AT})\S*"
+_EDGES = "\"'.,;:!?<>"
 
 
 def _let(value: Column, body) -> Column:
@@ -102,53 +107,88 @@ def _count(spans: str, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def _tokens(text: Column) -> Column:
+    """Spans of identifier-like tokens: words with an at sign or four digits or more, without punctuation at their ends.
+
+    Spaces between the groups of a number, and around "[at]" and "[dot]", count as part of the token.
+    """
+    joined = F.regexp_replace(text, rf"(?<=[0-9)]) (?=[(0-9])| (?={_AT}|{_DOT})|(?<={_AT}|{_DOT}) ", _MARK)
+
+    def core(s: Column) -> Column:
+        value = F.btrim(s["value"], F.lit(_EDGES))
+        start = s["start"] + F.length(s["value"]) - F.length(F.ltrim(s["value"], F.lit(_EDGES)))
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), s["left"].alias("left"), s["right"].alias("right"))
+
+    likely = lambda s: F.rlike(s["value"], F.lit(f"@|{_AT}")) | (F.length(_digits(s["value"])) >= 4)
+    return F.when(F.rlike(text, F.lit(f"[0-9@]|{_AT}")), F.filter(F.transform(_spans(joined, _TOKEN), core), likely))
+
+
 def scanned(documents: DataFrame) -> DataFrame:
     """d (doc_id), t (hash of the text), seeds and tokens (identifier-like, other than by chance also seeds) of every row."""
     docs = documents.select(F.col("doc_id").alias("d"), F.coalesce("text", F.lit("")).alias("x"))
     x = F.col("x")
     arrays = [_labelled(a, k) for k, a in enumerate(seed_spans(x).values())]
-    tokens = F.when(F.rlike(x, F.lit("[0-9@]")), F.filter(_spans(x, _TOKEN), lambda s: F.contains(s["value"], F.lit("@")) | (F.length(_digits(s["value"])) >= 4)))
-    return docs.select("d", F.xxhash64("x").alias("t"), F.concat(*arrays).alias("seeds"), tokens.alias("tokens"))
+    return docs.select("d", F.xxhash64("x").alias("t"), F.concat(*arrays).alias("seeds"), _tokens(x).alias("tokens"))
+
+
+def _words(context: Column, last: bool) -> Column:
+    """The two words next to a token, nearest first, lower-cased, without punctuation; null where there is none."""
+    each = F.split(F.trim(F.regexp_replace(F.lower(context), r"[^\p{L}=:#]+", " ")), " ")
+    near = F.reverse(each) if last else each
+    return F.transform(F.array(F.get(near, F.lit(0)), F.get(near, F.lit(1))), lambda w: F.nullif(w, F.lit("")))
+
+
+def _shape(value: Column) -> Column:
+    """Digits as 9 and runs of letters as a, with "[at]" and "[dot]" written out and without spaces."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, _AT, "@"), _DOT, "."), f"[ {_MARK}]", "")
+    return F.regexp_replace(F.regexp_replace(plain, r"\p{L}+", "a"), "[0-9]", "9")
+
+
+def _patterns(left: Column, right: Column, value: Column) -> Column:
+    """The patterns an occurrence is in: each tells which of its parts it is made of."""
+    parts = F.struct(_words(left, True).alias("l"), _words(right, False).alias("r"), F.left(_shape(value), F.lit(CONTEXT)).alias("s"))
 
+    def named(p: Column) -> Column:
+        l1, l2, r1, r2 = p["l"][0], p["l"][1], p["r"][0], p["r"][1]
+        made = [("L", l1), ("LL", l2, l1), ("R", r1), ("RR", r1, r2), ("LR", l1, r1), ("LS", l1, p["s"]), ("SR", p["s"], r1)]
+        # concat is null where a part is
+        return F.array_compact(F.array(*[F.concat(F.lit(name), *[x for part in rest for x in (F.lit("\t"), part)]) for name, *rest in made]))
 
-def _word(context: Column, last: bool) -> Column:
-    """The word next to a token, lower-cased, without punctuation; null where there is none."""
-    word = F.regexp_extract(context, r"(\S+)\s*$" if last else r"^\s*(\S+)", 1)
-    return F.nullif(F.lower(F.regexp_replace(word, r"[^\p{L}=:#]", "")), F.lit(""))
+    return _let(parts, named)
 
 
 def occurrences(found: DataFrame) -> DataFrame:
-    """d, t, kind (null for a token that is no seed), start, end, node (hash of the value), patterns (left, right word)."""
+    """d, t, kind (null for a token that is no seed), start, end, node (hash of the value) and patterns."""
     seeds = found.select("d", "t", F.explode("seeds").alias("s")).select("d", "t", "s.*")
     tokens = found.where(F.size("tokens") > 0).select("d", "t", F.explode("tokens").alias("s")).select("d", "t", "s.*", F.lit(None).cast("int").alias("kind"))
     spans = seeds.select("d", "t", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
     over = tokens.alias("k").join(spans.alias("s"), F.col("k.d").eqNullSafe(F.col("s.d")) & (F.col("k.t") == F.col("s.t")) & (F.col("s_start") < F.col("k.end")) & (F.col("s_end") > F.col("k.start")), "left_anti")
     rows = seeds.unionByName(over)
-    # a node stands for a value wherever it occurs; digits are told apart by the value, their shape is not used
-    patterns = F.array(F.concat(F.lit("L:"), _word(F.col("left"), True)), F.concat(F.lit("R:"), _word(F.col("right"), False)))
-    return rows.select("d", "t", "kind", "start", "end", F.xxhash64("value").alias("node"), F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"))
+    # a node stands for a value wherever it occurs
+    return rows.select("d", "t", "kind", "start", "end", F.xxhash64("value").alias("node"), _patterns(F.col("left"), F.col("right"), F.col("value")).alias("patterns"))
 
 
 def bootstrap(rows: DataFrame) -> DataFrame:
     """node and kind of the tokens that the contexts of seeds give a score of LEAST_SCORE or more.
 
     rows: as from occurrences. In each round a pattern's confidence in a kind is the mean score of its distinct nodes (seeds
-    count 1 for their own kind, 0 for another; a pattern needs SUPPORT seeds of a kind), and a token's score is
-    1 - product(1 - confidence) over its patterns. Edges are distinct pairs, aggregated before every join.
+    count 1 for their own kind, 0 for another; a pattern needs SUPPORT distinct seeds of a kind) over one DOUBT more than
+    they are, and a token's score is 1 - product(1 - confidence) over its patterns. Edges are distinct pairs, aggregated before
+    every join; that of a word before a third of all tokens is one key of the joins, whose large side the adaptive plan splits.
     """
     edges = rows.select("node", "kind", F.explode("patterns").alias("p")).groupBy("p", "node").agg(F.min("kind").alias("kind"))
     seeds = edges.where("kind IS NOT NULL").groupBy("p", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SUPPORT)
     nodes = edges.groupBy("p").agg(F.count("*").alias("nodes"))
     base = materialize(seeds.join(nodes, "p"), "pii-patterns")
     open_edges = materialize(edges.where("kind IS NULL").select("p", "node").join(base.select("p").distinct(), "p", "left_semi"), "pii-edges")
-    confidence = base.withColumn("confidence", F.col("seeds") / F.col("nodes"))
+    confidence = base.withColumn("confidence", F.col("seeds") / (F.col("nodes") + DOUBT))
     scores = None
     for _ in range(ROUNDS):
         met = open_edges.join(confidence.select("p", "kind", "confidence"), "p")
         doubt = F.least(F.col("confidence"), F.lit(0.999999))
         scores = materialize(met.groupBy("node", "kind").agg((1 - F.exp(F.sum(F.log(1 - doubt)))).alias("score")), "pii-scores")
         gained = open_edges.join(scores, "node").groupBy("p", "kind").agg(F.sum("score").alias("gained"))
-        confidence = base.join(gained, ["p", "kind"], "left").withColumn("confidence", (F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("nodes"))
+        confidence = base.join(gained, ["p", "kind"], "left").withColumn("confidence", (F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("nodes") + DOUBT))
     best = scores.groupBy("node").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("b"))
     return best.where(F.col("b.score") >= LEAST_SCORE).select("node", (-F.col("b.k")).alias("kind"))
 

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 
 import numpy as np
@@ -75,5 +76,66 @@ def test_contexts_find_what_the_seed_patterns_miss(spark, prose):
     assert got[101].found == [] and got[102].found == [] and len(got[5].seeds) == 1
 
 
+def test_bootstrapping_has_precision_and_recall(spark, prose):
+    """Identifiers that no seed pattern matches, in the contexts of seeds, among numbers and addresses in other contexts."""
+    r = random.Random(8)
+    rows, planted, other = [], set(), set()
+    around = {0: ("write to", "for details"), 2: ("charged card number", "expires soon"), 3: ("call me at", "after work")}
+    seed = {0: lambda i: f"user{i}@mail.example.org", 3: lambda i: f"+49 30 {100000 + i}"}
+    hidden = {0: lambda i: f"user{i} [at] mail [dot] example [dot] org", 3: lambda i: f"(030) {200000 + i}"}
+    for i in range(240):
+        text = prose(15, i)
+        if i % 4 < 2:
+            kind = (0, 3)[i % 2]
+            left, right = around[kind]
+            text += f" {left} {seed[kind](i)} {right}"
+        elif i % 4 == 2:
+            kind = (0, 3)[i // 4 % 2]
+            left, right = around[kind]
+            value = hidden[kind](i)
+            text += f" {left} {value} {right}"
+            at = text.index(value)
+            planted.add((i, kind, at, at + len(value)))
+        else:
+            other.add(i)
+            text += r.choice([f" chapter {1000 + i} of", f" in the year {1000 + i} and", f" part no {10000 + i} was"])
+        rows.append((i, text + " " + prose(15, -i)))
+    found = {(x.doc_id, *f) for x in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect() for f in x.found}
+    right = found & planted
+    assert len(right) >= 0.95 * len(planted) and len(right) >= 0.95 * len(found)
+    assert not {f[0] for f in found} & other
+
+
+def test_scores_equal_brute_force(spark):
+    r = random.Random(4)
+    edges = {(f"p{r.randrange(9)}", node) for node in range(60) for _ in range(r.randint(1, 4))}
+    kinds = {node: r.choice([0, 0, 3]) for node in range(40)}
+    confidence = {}
+    nodes = {p: [n for q, n in edges if q == p] for p, _ in edges}
+    base = {(p, k): sum(kinds.get(n) == k for n in nodes[p]) for p in nodes for k in (0, 3)}
+    base = {key: n for key, n in base.items() if n >= pii.SUPPORT}
+    confidence = {(p, k): n / (len(nodes[p]) + pii.DOUBT) for (p, k), n in base.items()}
+    for _ in range(pii.ROUNDS):
+        doubts = {}
+        for p, n in edges:
+            for k in (0, 3):
+                if n not in kinds and (p, k) in base:
+                    doubts[n, k] = doubts.get((n, k), 1.0) * (1 - confidence[p, k])
+        confidence = {(p, k): (m + sum(1 - doubts[n, k] for n in nodes[p] if (n, k) in doubts)) / (len(nodes[p]) + pii.DOUBT) for (p, k), m in base.items()}
+    best = {n: min((doubts[n, k], k) for m, k in doubts if m == n) for n, _ in doubts}
+    want = {(n, k) for n, (doubt, k) in best.items() if 1 - doubt >= pii.LEAST_SCORE}
+    rows = [(n, kinds.get(n), [p for p, m in edges if m == n]) for n in range(60)]
+    got = {(x.node, x.kind) for x in pii.bootstrap(spark.createDataFrame(rows, "node long, kind int, patterns array<string>")).collect()}
+    assert got == want and 0 < len(want) < 20
+
+
+def test_repeated_rows_and_long_texts_have_equal_results(spark, prose):
+    text = prose(60_000, 5) + " a.b@c.de " + prose(60_000, 6)
+    rows = [(1, text), (1, text), (None, "x@y.zz"), (None, "x@y.zz"), (2, "")]
+    got = [(x.doc_id, [tuple(s) for s in x.seeds]) for x in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    at = text.index("a.b@")
+    assert sorted(got, key=str) == sorted([(1, [(0, at, at + 8)])] * 2 + [(None, [(0, 0, 6)])] * 2 + [(2, [])], key=str)
+
+
 def test_no_documents_hold_no_personal_data(spark):
     assert pii.find_personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
