@@ -2,65 +2,120 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT
 
 
-def kmers(seq: Column, k: int, step: int = 1) -> Column:
-    """array<struct<pos, kmer>> of the k-mers from every step-th offset (0-based) that hold only A, C, G and T."""
-    last = F.length(seq) - k
-    each = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)), lambda i: F.struct(i.alias("pos"), F.substr(seq, i + 1, F.lit(k)).alias("kmer")))
-    return F.when(last >= 0, F.filter(each, lambda x: F.rlike(x["kmer"], F.lit("^[ACGT]+$")))).otherwise(F.filter(each, lambda x: F.lit(False)))
+#: Bases of a sequence that one row holds when k-mers are taken from it, and the longest k-mer whose code fits a long.
+PIECE, LONGEST = 4_096, 31
+#: Most bytes of codes that are broadcast.
+BROADCAST_BYTES = 32_000_000
+
+_CODE = np.full(256, 4, np.uint8)
+_CODE[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+
+
+def pieces(sequences: DataFrame, overlap: int, *keep: str, size: int | None = None) -> DataFrame:
+    """keep, at (0-based offset) and seq of pieces of size (PIECE) bases and the overlap bases after them, dealt over all tasks.
+
+    A sequence is cut in one pass, in the task that read it; only then do the pieces go where there is work to be done.
+    """
+    size = size or PIECE
+    cut = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    after = F.slice(F.concat("cut", F.array(F.lit(""))), F.lit(2), F.size("cut"))
+    rows = sequences.select(*keep, cut.alias("cut")).select(*keep, F.posexplode(F.zip_with("cut", after, lambda x, y: F.concat(x, F.left(y, F.lit(overlap))))).alias("at", "seq"))
+    tasks = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("at", F.col("at").cast("long") * size).repartition(tasks, *keep, "at")
+
+
+def kmer_codes(sequences: DataFrame, k: int, *keep: str, step: int = 1) -> DataFrame:
+    """keep, pos (0-based) and code of the k-mers from every step-th offset that hold only A, C, G and T.
+
+    The code has two bits a base, A first, so that codes are ordered like their k-mers.
+    """
+    if not 1 <= k <= LONGEST:
+        raise ValueError(f"k must be from 1 to {LONGEST}")
+    cut = pieces(sequences, k - 1, *keep, size=max(1, PIECE // step) * step)
+    fields = {f.name: f.dataType.simpleString() for f in cut.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column("seq").cast(pa.large_binary())
+            offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            base = _CODE[np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]]
+            offsets = offsets - offsets[0]
+            n = len(base) - k + 1
+            if n <= 0:
+                continue
+            code = np.zeros(n, np.int64)
+            for i in range(k):
+                code = code * 4 + base[i : n + i]
+            bad = np.append(0, np.cumsum(base > 3))
+            row = np.repeat(np.arange(len(text)), np.diff(offsets))[:n]
+            start = np.arange(n) - offsets[row]
+            good = np.flatnonzero((bad[k:] == bad[:n]) & (np.arange(n) + k <= offsets[row + 1]) & (start % step == 0) & (start < max(1, PIECE // step) * step))
+            take = pa.array(row[good])
+            at = batch.column("at").to_numpy()[row[good]] + start[good]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in keep), pa.array(at), pa.array(code[good])], names=[*keep, "pos", "code"])
 
+    return cut.select(*keep, "at", "seq").mapInArrow(run, ", ".join([*(f"`{c}` {fields[c]}" for c in keep), "pos long", "code long"]))
 
-#: Bases of a sequence that one row holds when k-mers are taken from it.
-PIECE = 4_096
+
+def kmer_of(code: Column, k: int) -> Column:
+    """The k-mer of a code."""
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
 def kmer_index(sequences: DataFrame, k: int) -> DataFrame:
-    """Postings kmer, chr, rpos (1-based) of every offset. Long sequences are cut into overlapping pieces first, so that the
-    k-mers of a chromosome are taken by many tasks."""
-    n = F.length("seq")
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(PIECE))
-    pieces = sequences.where(n >= k).select("chr", "seq", F.explode(starts).alias("at")).select("chr", "at", F.substr("seq", F.col("at") + 1, F.lit(PIECE + k - 1)).alias("seq"))
-    return pieces.select("chr", "at", F.explode(kmers(F.col("seq"), k)).alias("x")).select("x.kmer", "chr", (F.col("at") + F.col("x.pos") + 1).cast("long").alias("rpos"))
+    """Postings code, chr, rpos (1-based) of every offset."""
+    return kmer_codes(sequences, k, "chr").select("code", "chr", (F.col("pos") + 1).alias("rpos"))
 
 
 def kmer_counts(sequences: DataFrame, k: int) -> DataFrame:
-    return kmer_index(sequences, k).groupBy("kmer").agg(F.count("*").alias("n"))
+    return kmer_index(sequences, k).groupBy("code").agg(F.count("*").alias("n"))
+
+
+def of_codes(index: DataFrame, codes: DataFrame) -> DataFrame:
+    """The rows of index whose code is among codes (distinct). Up to BROADCAST_BYTES of them (counted) are broadcast, so that an
+    index that is mostly not asked for isn't shuffled."""
+    few = codes.count() * 16 <= BROADCAST_BYTES
+    return index.join(F.broadcast(codes) if few else codes, "code", "left_semi")
 
 
 def sort_seed_lists(index: DataFrame) -> DataFrame:
-    """Postings lists: each k-mer with its places in order."""
-    return index.groupBy("kmer").agg(F.array_sort(F.collect_list(F.struct("chr", "rpos"))).alias("places"))
+    """Postings lists: each k-mer's code with its places in order."""
+    return index.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("chr", "rpos"))).alias("places"))
 
 
 def read_kmers(reads: DataFrame, k: int, step: int | None = None, strands: bool = True) -> DataFrame:
-    """rname, dir (1 forward, -1 reverse complement), qpos (0-based), kmer; by default k-mers don't overlap."""
+    """rname, dir (1 forward, -1 reverse complement), qpos (0-based), code; by default k-mers don't overlap."""
     from .reads import revcomp
 
     seqs = reads.select("rname", F.lit(1).alias("dir"), "seq")
     if strands:
         seqs = seqs.unionByName(reads.select("rname", F.lit(-1).alias("dir"), revcomp(F.col("seq")).alias("seq")))
-    return seqs.select("rname", "dir", F.explode(kmers(F.col("seq"), k, step or k)).alias("x")).select("rname", "dir", F.col("x.pos").alias("qpos"), "x.kmer")
+    return kmer_codes(seqs, k, "rname", "dir", step=step or k).select("rname", "dir", F.col("pos").cast("int").alias("qpos"), "code")
 
 
 def seed_cap(index: DataFrame, limit: int = DEFAULT.seed_limit) -> DataFrame:
     """Postings of the k-mers that occur up to limit times; counted before the join, so that no k-mer is a hot key in it."""
-    rare = index.groupBy("kmer").agg(F.count("*").alias("n")).where(F.col("n") <= limit).select("kmer")
-    return index.join(rare, "kmer", "left_semi")
+    rare = index.groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") <= limit).select("code")
+    return index.join(rare, "code", "left_semi")
 
 
 def kmer_seed_join(reads: DataFrame, genome: DataFrame, k: int = DEFAULT.kmer, limit: int | None = None, step: int | None = None) -> DataFrame:
     """rname, dir, qpos, chr, rpos of all exact k-mer hits of reads in a genome."""
-    index = kmer_index(genome, k)
     wanted = read_kmers(reads, k, step)
-    index = index.join(wanted.select("kmer").distinct(), "kmer", "left_semi")
+    index = of_codes(kmer_index(genome, k), wanted.select("code").distinct())
     if limit is not None:
         index = seed_cap(index, limit)
-    return wanted.join(index, "kmer").select("rname", "dir", "qpos", "chr", "rpos")
+    return wanted.join(index, "code").select("rname", "dir", "qpos", "chr", "rpos")
 
 
 def regional_kmer_join(queries: DataFrame, regions: DataFrame, k: int = DEFAULT.window, step: int = DEFAULT.step, limit: int = DEFAULT.seed_limit) -> DataFrame:
@@ -68,19 +123,20 @@ def regional_kmer_join(queries: DataFrame, regions: DataFrame, k: int = DEFAULT.
 
     k-mers over 1000 times in a gene, and query k-mers with more than limit hits, are dropped.
     """
-    index = kmer_index(regions.select(F.col("gene_id").alias("chr"), "seq"), k).withColumnRenamed("chr", "gene_id")
-    often = index.groupBy("gene_id", "kmer").agg(F.count("*").alias("n")).where("n <= 1000").select("gene_id", "kmer")
-    asked = queries.select("id", "gene_id", F.explode(kmers(F.col("seq"), k, step)).alias("x")).select("id", "gene_id", F.col("x.pos").alias("qpos"), "x.kmer")
-    hits = asked.join(index.join(often, ["gene_id", "kmer"], "left_semi"), ["gene_id", "kmer"])
-    few = hits.groupBy("id", "gene_id", "qpos").agg(F.count("*").alias("n")).where(F.col("n") <= limit).drop("n")
-    hits = hits.join(few, ["id", "gene_id", "qpos"], "left_semi").join(regions.select("gene_id", "start_pos"), "gene_id")
-    return hits.select("id", "gene_id", "qpos", (F.col("rpos") + F.col("start_pos") - 1).alias("rpos"))
+    wanted = regions.join(queries.select("gene_id").distinct(), "gene_id", "left_semi")
+    index = kmer_codes(wanted, k, "gene_id").withColumnRenamed("pos", "rpos")
+    asked = kmer_codes(queries, k, "id", "gene_id", step=step).withColumn("qpos", F.col("pos").cast("int"))
+    counts = index.groupBy("gene_id", "code").agg(F.count("*").alias("in_gene")).where("in_gene <= 1000")
+    # how many hits a query k-mer has is known from the counts, before any hit is listed
+    asked = asked.join(counts, ["gene_id", "code"]).where(F.col("in_gene") <= limit).select("id", "gene_id", "qpos", "code")
+    hits = asked.join(index, ["gene_id", "code"]).join(regions.select("gene_id", "start_pos"), "gene_id")
+    return hits.select("id", "gene_id", "qpos", (F.col("rpos") + F.col("start_pos")).alias("rpos"))
 
 
 def seed_rate(wanted: DataFrame, counts: DataFrame, limit: int = DEFAULT.seed_limit) -> DataFrame:
     """Per read the seeds that can be used and those without hit or with too many."""
     n = F.coalesce("n", F.lit(0))
-    j = wanted.join(counts, "kmer", "left").withColumn("ok", (n > 0) & (n <= limit))
+    j = wanted.join(counts, "code", "left").withColumn("ok", (n > 0) & (n <= limit))
     return j.groupBy("rname").agg(F.sum(F.col("ok").cast("long")).alias("valid"), F.sum((~F.col("ok")).cast("long")).alias("invalid"))
 
 
@@ -95,13 +151,11 @@ def composition_window(sequences: DataFrame, length: int) -> DataFrame:
 
     Differences of running sums within overlapping pieces of a sequence, so that the length of the window costs nothing.
     """
-    n = F.length("seq")
-    starts = F.sequence(F.lit(0), n - length, F.lit(PIECE))
-    pieces = sequences.where(n >= length).select("chr", "seq", F.explode(starts).alias("at")).select("chr", "at", F.posexplode(F.split(F.substr("seq", F.col("at") + 1, F.lit(PIECE + length - 1)), "")).alias("i", "base"))
+    cut = pieces(sequences.where(F.length("seq") >= length), length - 1, "chr").select("chr", "at", F.posexplode(F.split("seq", "")).alias("i", "base"))
     w = Window.partitionBy("chr", "at").orderBy("i")
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = pieces.select("chr", "at", "i", *[(F.col("base") == b).cast("int").alias(f"is_{b}") for b in "ACGT"]).select("*", *[F.sum(f"is_{b}").over(so_far).alias(b) for b in "ACGT"])
-    ends = sums.select("chr", (F.col("at") + F.col("i") + 1).alias("pos"), "i", *[(F.lead(b, length - 1).over(w) - F.col(b) + F.col(f"is_{b}")).alias(b.lower()) for b in "ACGT"])
+    sums = cut.select("chr", "at", "i", *[(F.col("base") == b).cast("int").alias(f"is_{b}") for b in "ACGT"]).select("*", *[F.sum(f"is_{b}").over(so_far).alias(b) for b in "ACGT"])
+    ends = sums.select("chr", (F.col("at") + F.col("i") + 1).cast("int").alias("pos"), "i", *[(F.lead(b, length - 1).over(w) - F.col(b) + F.col(f"is_{b}")).alias(b.lower()) for b in "ACGT"])
     return ends.where((F.col("i") < PIECE) & F.col("a").isNotNull()).drop("i")
 
 
@@ -127,7 +181,6 @@ def chain_seeds(hits: DataFrame, k: int, keys: list[str] | None = None, best: in
     first seed is part of a better one is no chain of its own. Seeds of a key are those of a read on a strand of a chromosome,
     after the cap on seeds, so that a group is bounded.
     """
-    import numpy as np
     import pandas as pd
 
     keys = keys or ["rname", "dir", "chr"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +16,9 @@ C = F.col
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share, which is the warehouse where the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
 def _written(lines: DataFrame) -> str:
@@ -35,14 +34,15 @@ def _(v):
     return files.read_fasta(rows.sparkSession, _written(rows.select(F.concat(F.lit(">"), "chr", F.lit(" x\n"), wrapped).alias("value"))))
 
 
-FASTQ = "SELECT chr AS rname, substr(seq, 1, 80) AS seq, substr(reverse(seq), 1, 80) AS qual FROM v_contigs WHERE length(seq) >= 10"
+FASTQ = "SELECT chr AS rname, seq, reverse(seq) AS qual FROM v_contigs WHERE length(seq) >= 10"
 
 
 def _fastq(v, mate):
+    """Reads as FASTQ in several files; the files of both mates are dealt alike."""
     rows = v("v_contigs").where(F.length("seq") >= 10)
-    seq = F.substring("seq", 1, 80) if mate == 1 else F.substring(F.reverse("seq"), 1, 80)
-    record = F.concat(F.lit("@"), "chr", F.lit(f"/{mate} c\n"), seq, F.lit("\n+\n"), F.substring(F.reverse("seq"), 1, 80))
-    return files.read_fastq(rows.sparkSession, _written(rows.select(record.alias("value")).orderBy("chr").coalesce(1)))
+    seq, qual = ("seq", F.reverse("seq")) if mate == 1 else (F.reverse("seq"), C("seq"))
+    record = F.concat(F.lit("@"), "chr", F.lit(f"/{mate} c\n"), seq, F.lit("\n+\n"), qual)
+    return files.read_fastq(rows.sparkSession, _written(rows.repartition(6, "chr").sortWithinPartitions("chr").select(record.alias("value"))))
 
 
 @query("src_fastq", FASTQ + " ")
@@ -50,9 +50,9 @@ def _(v):
     return _fastq(v, 1).where("ok").select("rname", "seq", "qual")
 
 
-@query("src_fastq_pair", "SELECT chr AS rname, substr(seq, 1, 80) AS seq1, substr(reverse(seq), 1, 80) AS seq2, true AS same_name FROM v_contigs WHERE length(seq) >= 10")
+@query("src_fastq_pair", "SELECT chr AS rname, seq AS seq1, reverse(seq) AS seq2, true AS same_name FROM v_contigs WHERE length(seq) >= 10")
 def _(v):
-    return files.pair_fastq(_fastq(v, 1), _fastq(v, 2)).drop("rec")
+    return files.pair_fastq(_fastq(v, 1), _fastq(v, 2)).drop("pair", "rec")
 
 
 def _pam(v):

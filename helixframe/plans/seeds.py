@@ -18,19 +18,19 @@ def _sql(text: str, k: int) -> str:
 
 @query("kmer_index", f"WITH {_sql(INDEX, 20)} SELECT * FROM ix")
 def _(v):
-    return seeds.kmer_index(v("v_contigs"), 20)
+    return seeds.kmer_index(v("v_contigs"), 20).select(seeds.kmer_of(C("code"), 20).alias("kmer"), "chr", "rpos")
 
 
 @query("kmer_counts", f"WITH {_sql(INDEX, 8)} SELECT kmer, count(*) AS n FROM ix GROUP BY kmer")
 def _(v):
-    return seeds.kmer_counts(v("v_contigs"), 8)
+    return seeds.kmer_counts(v("v_contigs"), 8).select(seeds.kmer_of(C("code"), 8).alias("kmer"), "n")
 
 
 @query("sort_seed_lists", f"WITH {_sql(INDEX, 20)}, {_sql(READS, 20)} SELECT kmer, string_agg(concat(chr, ':', rpos), ',' ORDER BY chr, rpos) AS places FROM ix WHERE kmer IN (SELECT kmer FROM rk) GROUP BY kmer")
 def _(v):
-    wanted = seeds.read_kmers(v("v_reads"), 20).select("kmer").distinct()
-    lists = seeds.sort_seed_lists(seeds.kmer_index(v("v_contigs"), 20).join(wanted, "kmer", "left_semi"))
-    return lists.select("kmer", F.array_join(F.transform("places", lambda p: F.concat_ws(":", p["chr"], p["rpos"].cast("string"))), ",").alias("places"))
+    wanted = seeds.read_kmers(v("v_reads"), 20).select("code").distinct()
+    lists = seeds.sort_seed_lists(seeds.of_codes(seeds.kmer_index(v("v_contigs"), 20), wanted))
+    return lists.select(seeds.kmer_of(C("code"), 20).alias("kmer"), F.array_join(F.transform("places", lambda p: F.concat_ws(":", p["chr"], p["rpos"].cast("string"))), ",").alias("places"))
 
 
 @query("kmer_seed_join", f"WITH {_sql(INDEX, 20)}, {_sql(READS, 20)} SELECT rname, dir, CAST(qpos AS INTEGER) AS qpos, chr, rpos FROM rk JOIN ix USING (kmer)")
@@ -59,14 +59,15 @@ def _(v):
     return seeds.composition_window(v("v_contigs"), 500)
 
 
-LINKS = f"""WITH {_sql(INDEX, 8)}, {_sql(READS, 8)}, h AS (SELECT rname, dir, CAST(qpos AS INTEGER) AS qpos, chr, rpos FROM rk JOIN ix USING (kmer))
-SELECT a.rname, a.dir, a.chr, a.qpos AS q1, a.rpos AS r1, b.qpos AS q2, b.rpos AS r2, round(CAST(160000.0 AS DOUBLE) - CAST(0.1 AS DOUBLE) * abs((b.rpos - a.rpos) - (b.qpos - a.qpos)), 6) AS score
+HITS = f"{_sql(INDEX, 20)}, {_sql(READS, 20)}, h AS (SELECT rname, dir, CAST(qpos AS INTEGER) AS qpos, chr, rpos FROM rk JOIN ix USING (kmer))"
+LINKS = f"""WITH {HITS}
+SELECT a.rname, a.dir, a.chr, a.qpos AS q1, a.rpos AS r1, b.qpos AS q2, b.rpos AS r2, round(CAST(400000.0 AS DOUBLE) - CAST(0.1 AS DOUBLE) * abs((b.rpos - a.rpos) - (b.qpos - a.qpos)), 6) AS score
 FROM h a JOIN h b ON a.rname = b.rname AND a.dir = b.dir AND a.chr = b.chr AND b.qpos > a.qpos AND b.rpos > a.rpos AND b.rpos - a.rpos <= 2000 AND abs((b.rpos - a.rpos) - (b.qpos - a.qpos)) <= 4"""
 
 
 @query("chain_links", LINKS)
 def _(v):
-    return seeds.chain_links(seeds.kmer_seed_join(v("v_reads"), v("v_contigs"), 8), 8, reach=2_000)
+    return seeds.chain_links(seeds.kmer_seed_join(v("v_reads"), v("v_contigs"), 20), 20, reach=2_000)
 
 
 @query("chain_seeds")
@@ -82,16 +83,19 @@ def _(v):
 
 
 def _regional(v):
-    regions = v("v_contigs").where(F.length("seq") < 1500).select(C("chr").alias("gene_id"), F.lit(1001).cast("long").alias("start_pos"), "seq")
-    queries = regions.select("gene_id", (F.substring("gene_id", 2, 9).cast("long") % 40).alias("rname")).join(v("v_reads"), "rname")
-    return queries.select(F.concat_ws("/", C("rname").cast("string"), "gene_id").alias("id"), "gene_id", F.substring("seq", 1, 60).alias("seq")), regions
+    """Whole reads against every contig that one of their seeds hits, as leftovers are searched in the gene of their anchor."""
+    reads, contigs = v("v_reads"), v("v_contigs")
+    anchors = seeds.kmer_seed_join(reads, contigs, 20).select("rname", C("chr").alias("gene_id")).distinct()
+    queries = anchors.join(reads, "rname").select(F.concat_ws("/", C("rname").cast("string"), "gene_id").alias("id"), "gene_id", "seq")
+    return queries, contigs.select(C("chr").alias("gene_id"), F.lit(1001).cast("long").alias("start_pos"), "seq")
 
 
-@query("regional_kmer_join", """WITH g AS (SELECT chr AS gene_id, seq FROM v_contigs WHERE length(seq) < 1500),
-q AS (SELECT concat(rname, '/', gene_id) AS id, gene_id, substr(r.seq, 1, 60) AS s FROM g JOIN v_reads r ON rname = CAST(substr(gene_id, 2) AS BIGINT) % 40),
+@query("regional_kmer_join", f"""WITH {HITS}, g AS (SELECT chr AS gene_id, seq FROM v_contigs WHERE chr IN (SELECT chr FROM h)),
+q AS (SELECT concat(r.rname, '/', a.chr) AS id, a.chr AS gene_id, r.seq AS s FROM (SELECT DISTINCT rname, chr FROM h) a JOIN v_reads r ON r.rname = a.rname),
 k AS (SELECT id, gene_id, i AS qpos, substr(s, CAST(i + 1 AS INTEGER), 8) AS kmer FROM (SELECT *, unnest(range(0, length(s) - 7, 3)) AS i FROM q WHERE length(s) >= 8)),
-ix AS (SELECT gene_id, i AS rpos, substr(seq, CAST(i AS INTEGER), 8) AS kmer FROM (SELECT *, unnest(range(1, length(seq) - 6)) AS i FROM g WHERE length(seq) >= 8))
-SELECT id, gene_id, CAST(qpos AS INTEGER) AS qpos, rpos + 1000 AS rpos FROM k JOIN ix USING (gene_id, kmer)""")
+x8 AS (SELECT gene_id, i AS rpos, substr(seq, CAST(i AS INTEGER), 8) AS kmer FROM (SELECT *, unnest(range(1, length(seq) - 6)) AS i FROM g WHERE length(seq) >= 8)),
+n AS (SELECT gene_id, kmer FROM x8 GROUP BY ALL HAVING count(*) <= 500)
+SELECT id, gene_id, CAST(qpos AS INTEGER) AS qpos, rpos + 1000 AS rpos FROM k JOIN n USING (gene_id, kmer) JOIN x8 USING (gene_id, kmer)""")
 def _(v):
     return seeds.regional_kmer_join(*_regional(v))
 

@@ -21,24 +21,41 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return records.select(F.regexp_extract("value", r"^(\S+)", 1).alias("chr"), seq.alias("seq")).where("chr <> ''").withColumn("len", F.length("seq").cast("long"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, i (from 0) and line of text files, however they are split.
+
+    Lines are counted for each split first; the few counts, summed over the splits of a file before it, tell where its lines begin.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    splits = lines.groupBy("file", "split").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(splits.select("file", "split", (before - F.col("least")).alias("shift")), ["file", "split"]).select("file", (F.col("id") + F.col("shift")).alias("i"), "line")
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """file, rec (from 0), rname, seq, qual, ok of FASTQ files.
+    """file, rec (from 0), rname, seq, qual, ok of FASTQ files, which may be split: the lines of a file are taken by fours.
 
-    A file that isn't split is one record of text; its lines are numbered there and taken by fours. ok says that sequence and
-    quality have one length. /1 and /2 at the end of names go. Very large files should be split by the caller at record borders.
+    ok says that sequence and quality have one length. /1 and /2 at the end of names go. Records without a name are left out.
     """
-    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\r?\n")).alias("i", "line"))
-    part = lambda k: F.max(F.when(F.col("i") % 4 == k, F.col("line")))
-    rows = texts.groupBy("file", F.floor(F.col("i") / 4).alias("rec")).agg(part(0).alias("name"), part(1).alias("seq"), part(3).alias("qual"))
+    part = lambda k: F.max(F.when(F.col("i") % 4 == k, F.regexp_replace("line", r"\s+$", "")))
+    rows = numbered_lines(spark, path).groupBy("file", F.floor(F.col("i") / 4).alias("rec")).agg(part(0).alias("name"), part(1).alias("seq"), part(3).alias("qual")).where("name <> ''")
     name = F.regexp_replace(F.regexp_extract("name", r"^@(\S+)", 1), "/[12]$", "")
     return rows.select("file", "rec", name.alias("rname"), "seq", "qual", (F.length("seq") == F.length("qual")).alias("ok"))
 
 
 def pair_fastq(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Mates by position in their files: rec, rname, seq1, seq2, same_name."""
-    a = first.select("rec", "rname", F.col("seq").alias("seq1"))
-    b = second.select("rec", F.col("rname").alias("rname2"), F.col("seq").alias("seq2"))
-    return a.join(b, "rec").select("rec", "rname", "seq1", "seq2", (F.col("rname") == F.col("rname2")).alias("same_name"))
+    """Mates by position in their files: pair (of files, from 1), rec, rname, seq1, seq2, same_name.
+
+    The files of either side, in the order of their names, are the pairs.
+    """
+
+    def in_pairs(side: DataFrame) -> DataFrame:
+        names = side.select(F.col("file").alias("name")).distinct()
+        return side.join(names.withColumn("pair", F.row_number().over(Window.orderBy("name"))), F.col("file") == F.col("name"))
+
+    a = in_pairs(first).select("pair", "rec", "rname", F.col("seq").alias("seq1"))
+    b = in_pairs(second).select("pair", "rec", F.col("rname").alias("rname2"), F.col("seq").alias("seq2"))
+    return a.join(b, ["pair", "rec"]).select("pair", "rec", "rname", "seq1", "seq2", (F.col("rname") == F.col("rname2")).alias("same_name"))
 
 
 def read_pam(spark: SparkSession, path: str) -> DataFrame:

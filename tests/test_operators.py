@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.operators import alignments, intervals, pairwise, reads, report, seeds
+from helixframe.sources import files
 
 
 @pytest.mark.parametrize(("signals", "want"), [(["CT", "CT", "CA"], "CT"), (["C", "CT"], ""), (["ct", "Ct"], "CT"), (["NN"], "AA"), (["AG", "TC"], "AC")])
@@ -82,7 +83,7 @@ def test_chains_follow_a_diagonal_and_skip_used_seeds(spark):
 def test_kmers_cross_the_borders_of_pieces(spark, monkeypatch):
     monkeypatch.setattr(seeds, "PIECE", 7)
     seq = "ACGTTGCANACGTAGGATCCATG"
-    got = {(r.kmer, r.rpos) for r in seeds.kmer_index(spark.createDataFrame([("c", seq), ("d", "AC")], "chr string, seq string"), 4).collect()}
+    got = {(r.kmer, r.rpos) for r in seeds.kmer_index(spark.createDataFrame([("c", seq), ("d", "AC")], "chr string, seq string"), 4).select(seeds.kmer_of(F.col("code"), 4).alias("kmer"), "rpos").collect()}
     assert got == {(seq[i : i + 4], i + 1) for i in range(len(seq) - 3) if "N" not in seq[i : i + 4]}
     rows = {r.pos: (r.a, r.c, r.g, r.t) for r in seeds.composition_window(spark.createDataFrame([("c", seq)], "chr string, seq string"), 5).collect()}
     assert rows == {i + 1: tuple(seq[i : i + 5].count(b) for b in "ACGT") for i in range(len(seq) - 4)}
@@ -98,3 +99,30 @@ def test_truth_match_uses_an_event_once(spark):
 def test_reverse_complement_twice_is_the_same(spark):
     row = spark.range(1).select(reads.revcomp(F.lit("acgtnAC")).alias("x"), reads.revcomp(reads.revcomp(F.lit("ACGTN"))).alias("y")).first()
     assert (row.x, row.y) == ("GTNACGT", "ACGTN")
+
+
+@pytest.mark.parametrize("step", [1, 3])
+def test_codes_of_long_sequences_are_those_of_all_kmers(spark, monkeypatch, step):
+    monkeypatch.setattr(seeds, "PIECE", 7)
+    r = random.Random(step)
+    rows = [(i, "".join(r.choice("ACGTACGTN") for _ in range(r.randint(0, 60)))) for i in range(20)]
+    got = sorted((x.chr, x.pos, x.kmer) for x in seeds.kmer_codes(spark.createDataFrame(rows, "chr int, seq string"), 5, "chr", step=step).select("chr", "pos", seeds.kmer_of(F.col("code"), 5).alias("kmer")).collect())
+    assert got == [(i, p, s[p : p + 5]) for i, s in rows for p in range(0, len(s) - 4, step) if "N" not in s[p : p + 5]]
+
+
+def test_fastq_files_are_split(spark, tmp_path):
+    names = {m: [f"r{k}" for k in range(300)] for m in "12"}
+    for m in "12":
+        for part in range(3):
+            text = "".join(f"@{n}/{m} x\n{'ACGT' * (k % 5 + 1)}\n+\n{'IIII' * (k % 5 + 1)}\n" for k, n in enumerate(names[m]) if k // 100 == part)
+            (tmp_path / m).mkdir(exist_ok=True)
+            (tmp_path / m / f"lane{part}.fastq").write_text(text + "\n" * part)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        one, two = (files.read_fastq(spark, str(tmp_path / m)) for m in "12")
+        assert sorted(x.rname for x in one.where("ok").collect()) == sorted(names["1"])
+        pairs = files.pair_fastq(one, two).collect()
+        assert len(pairs) == 300 and all(p.same_name and len(p.seq1) == len(p.seq2) for p in pairs)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
