@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import calls, intervals, pipeline, reads, seeds
+from .plans import calls, intervals, pipeline, reads, seeds, spans
 from .plans.registry import ORACLES, QUERIES
 
-MODULES = [calls, intervals, pipeline, reads, seeds]
+MODULES = [calls, intervals, pipeline, reads, seeds, spans]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -90,17 +90,22 @@ def intron_mask(genes: DataFrame, exons: DataFrame) -> DataFrame:
     return merge_islands(covered.where("exon = 0").select("chr", F.col("pos").alias("start_pos"), F.col("seg_end").alias("end_pos")))
 
 
-def gap_neighbours(points: DataFrame, segments: DataFrame) -> DataFrame:
+def gap_neighbours(points: DataFrame, segments: DataFrame, width: int = BIN) -> DataFrame:
     """For each point the start of the last segment that begins at or before it, that segment's end, and the next one's start.
 
-    One pass over the points and the segments in order, instead of a join over ranges.
+    Segments are listed by the bin they begin in, and every bin that points need is given the last segment of the bins before
+    it; points meet their bin in an equi-join. Only segments and bins are put in order, never the points.
     """
     w = Window.partitionBy("chr").orderBy("start_pos")
-    segs = segments.select("chr", F.col("start_pos").alias("at"), F.struct("start_pos", "end_pos", F.lead("start_pos").over(w).alias("next")).alias("seg"))
-    none = F.lit(None).cast(segs.schema["seg"].dataType)
-    point_cols = F.struct(*points.columns)
-    both = segs.withColumn("point", F.lit(None).cast(points.select(point_cols.alias("p")).schema["p"].dataType)).unionByName(points.select("chr", F.col("pos").alias("at"), none.alias("seg"), point_cols.alias("point")))
-    so_far = Window.partitionBy("chr").orderBy("at", F.col("point").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = segments.groupBy("chr").agg(F.min("start_pos").alias("first_start"))
-    seen = both.withColumn("seg", F.last("seg", ignorenulls=True).over(so_far)).where("point IS NOT NULL").join(F.broadcast(first), "chr", "left")
-    return seen.select("point.*", F.col("seg.start_pos").alias("seg_start"), F.col("seg.end_pos").alias("seg_end"), F.when(F.col("seg").isNull(), F.col("first_start")).otherwise(F.col("seg.next")).alias("next_start"))
+    segs = segments.select("chr", F.struct("start_pos", "end_pos", F.lead("start_pos").over(w).alias("next")).alias("seg"))
+    own = segs.groupBy("chr", F.floor(F.col("seg.start_pos") / width).alias("bin")).agg(F.array_sort(F.collect_list("seg")).alias("own"))
+    asked = points.withColumn("gap_bin", F.floor(F.col("pos") / width))
+    bins = asked.select("chr", F.col("gap_bin").alias("bin")).distinct().join(own, ["chr", "bin"], "full")
+    of_chr = Window.partitionBy("chr")
+    before = of_chr.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(F.col("chr").alias("gap_chr"), "bin", "own", F.last(F.element_at("own", -1), ignorenulls=True).over(before).alias("carried"), F.min(F.get("own", F.lit(0))["start_pos"]).over(of_chr).alias("first_start"))
+    met = asked.join(bins, (F.col("chr") == F.col("gap_chr")) & (F.col("gap_bin") == F.col("bin")))
+    here = F.filter("own", lambda s: s["start_pos"] <= F.col("pos"))
+    seen = met.withColumn("gap_seg", F.coalesce(F.try_element_at(here, F.lit(-1)), F.col("carried")))
+    seg = F.col("gap_seg")
+    return seen.select(*points.columns, seg["start_pos"].alias("seg_start"), seg["end_pos"].alias("seg_end"), F.when(seg.isNull(), F.col("first_start")).otherwise(seg["next"]).alias("next_start"))

@@ -130,28 +130,29 @@ def _(v):
     return sets.select("gene_id", pairs.same_transcript([(C("a"), C("b")), (C("a"), C("c"))]).alias("trans_id"))
 
 
-CHAINS = "SELECT DISTINCT l_orderkey % 4000 AS rname, CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE 2 END AS mate, CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE -1 END AS dir, concat('chr', l_suppkey % 3) AS chr, l_partkey * 40 AS pos, l_quantity AS score, l_partkey % 50 AS gene_id, l_suppkey % 7 AS trans_id FROM lineitem"
+CHAINS = "SELECT DISTINCT l_orderkey % 4000 AS rname, CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE 2 END AS mate, CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE -1 END AS dir, concat('chr', CAST(l_suppkey % 3 AS STRING)) AS chr, l_partkey * 40 AS pos, l_partkey * 40 + 20 + l_suppkey % 60 AS end_pos, l_quantity AS score, l_partkey % 50 AS gene_id, l_suppkey % 7 AS trans_id FROM lineitem"
+PAIRED = f"""c AS ({CHAINS}), j AS (SELECT a.rname, a.chr, a.pos AS pos1, b.pos AS pos2, a.dir AS dir1, CASE WHEN a.pos < b.pos THEN b.end_pos - a.pos ELSE a.end_pos - b.pos END AS tlen, a.trans_id = b.trans_id AS t, a.gene_id = b.gene_id AS g, a.score + b.score AS score
+FROM c a JOIN c b ON a.rname = b.rname AND a.chr = b.chr AND a.mate = 1 AND b.mate = 2 AND a.dir <> b.dir)"""
 
 
-@query("mate_pair_candidates", f"""WITH c AS ({CHAINS}) SELECT a.rname, a.chr, a.pos AS pos1, b.pos AS pos2, abs(b.pos - a.pos) AS tlen, CASE WHEN a.trans_id = b.trans_id THEN 0 WHEN a.gene_id = b.gene_id THEN 1 ELSE 2 END AS kind, a.score + b.score AS score
-FROM c a JOIN c b ON a.rname = b.rname AND a.chr = b.chr AND a.mate = 1 AND b.mate = 2 AND a.dir <> b.dir WHERE a.trans_id = b.trans_id OR a.gene_id = b.gene_id OR abs(b.pos - a.pos) <= 20000""")
-def _(v):
+def _chains(v):
     v("lineitem").createOrReplaceTempView("lineitem")
-    chains = v("lineitem").sparkSession.sql(CHAINS).withColumn("trans_ids", F.array("trans_id"))
-    return pairs.mate_pair_candidates(chains)
+    return v("lineitem").sparkSession.sql(CHAINS).withColumn("trans_ids", F.array("trans_id"))
 
 
-@query("explain_concordant", "SELECT rname, ord, CASE WHEN gm AND tlen <= 500 THEN 0 WHEN ed % 2 <> 0 AND mlen % 2 <> 0 AND tlen <= 500 THEN 7 WHEN ed % 2 = 0 AND mlen % 2 = 0 AND tlen <= 500 THEN 5 WHEN tlen <= 20000 THEN 1 END AS type FROM v_map_cand")
+@query("mate_pair_candidates", f"WITH {PAIRED} SELECT rname, chr, pos1, pos2, tlen, CASE WHEN t THEN 0 WHEN g THEN 1 ELSE 2 END AS kind, score FROM j WHERE t OR g OR tlen <= 20000")
 def _(v):
-    return v("v_map_cand").select("rname", "ord", pairs.explain_concordant(C("tlen"), C("gm"), C("ed") % 2 == 0, C("mlen") % 2 == 0).alias("type"))
+    return pairs.mate_pair_candidates(_chains(v))
 
 
-@query("detect_inverted", "SELECT rname, CASE WHEN epos - 300 < spos AND rname % 3 = spos % 3 THEN 2 END AS type FROM v_bsj")
+@query("mate_pair_candidates_gated", f"WITH {PAIRED}, s AS (SELECT *, (rname % 5 + 3) AS saved FROM j) SELECT rname, chr, pos1, pos2, tlen, CASE WHEN t THEN 0 WHEN g AND saved >= 5 THEN 1 ELSE 2 END AS kind, score FROM s WHERE t OR (g AND saved >= 5) OR (tlen <= 20000 AND saved >= 7)")
 def _(v):
-    return v("v_bsj").select("rname", pairs.detect_inverted(C("spos"), C("epos") - 300, F.array(C("rname") % 3), F.array(C("spos") % 3)).alias("type"))
+    chains = _chains(v)
+    saved = chains.select("rname", (C("rname") % 5 + 3).cast("int").alias("type")).distinct()
+    return pairs.mate_pair_candidates(chains, saved=saved)
 
 
-@query("detect_bsj", "SELECT rname, ord, CASE WHEN ed < 5 AND (gm OR (ord > 2 AND tlen - mlen <= 1000)) AND type > 5 AND mlen > 185 THEN 4 WHEN ed < 5 AND (gm OR (ord > 2 AND tlen - mlen <= 1000)) AND (type > 5 OR mlen > 185) THEN 3 END AS kind FROM v_map_cand")
+@query("unpaired_chains", f"WITH {PAIRED}, k AS (SELECT * FROM j WHERE t OR g OR tlen <= 20000) SELECT rname, mate, dir, chr, pos FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.rname = c.rname AND k.chr = c.chr AND ((c.mate = 1 AND k.pos1 = c.pos AND k.dir1 = c.dir) OR (c.mate = 2 AND k.pos2 = c.pos AND k.dir1 = -c.dir)))")
 def _(v):
-    gap = F.when(C("ord") > 2, C("mlen"))
-    return v("v_map_cand").select("rname", "ord", pairs.detect_bsj(C("type") > 5, C("mlen") > 185, C("ed") < 5, C("gm"), C("tlen"), gap).alias("kind"))
+    chains = _chains(v)
+    return pairs.unpaired_chains(chains, pairs.mate_pair_candidates(chains, keep_dir=True)).select("rname", "mate", "dir", "chr", "pos")
