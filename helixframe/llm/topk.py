@@ -4,7 +4,7 @@ Candidates are dealt into bands of descending length and cells of bounded size.
 vectors gives each query a lower bound of its k-th score; then a query meets only the bands that can reach it (Cauchy-Schwarz
 on whole lengths). Inside a cell, vectors are taken by descending length, their first SVD-rotated coordinates are multiplied,
 and those whose partial sum plus the product of the residual lengths stays below the bound are dropped before the exact
-integer product.
+integer product. Which bands a block of queries can reach is known before any vector is sent to it.
 """
 
 from __future__ import annotations
@@ -24,10 +24,14 @@ CELL, BLOCK, BANDS, STEP = 8_192, 1_024, 32, 1_024
 
 
 def quantised(embeddings: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, v (floor(scale * x) of every component), norm; vectors null or with null or non-finite components left out."""
+    """row (an id of the row, as vec_id may repeat), vec_id, v (floor(scale * x) of every component), norm.
+
+    Vectors null or with null or non-finite components are left out. The table must be written before it is used, so that the
+    ids of rows stay the same.
+    """
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(math.inf)))
     v = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
-    rows = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).select("vec_id", v.alias("v")).distinct()
+    rows = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)))
 
 
@@ -60,11 +64,11 @@ def rotation(vectors: DataFrame, d: int) -> np.ndarray:
     return np.linalg.eigh(gram)[1][:, ::-1]
 
 
-def best_in_cell(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of the k best of a cell for each query, as far as they reach the query's floor."""
+def best_in_cell(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, query_rows: np.ndarray, q: np.ndarray, floor: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, vec_id, score) of the k best of a cell for each query, as far as they reach the query's floor."""
     nx, nq = np.sqrt((x.astype(float) ** 2).sum(1)), np.sqrt((q.astype(float) ** 2).sum(1))
     order = np.argsort(-nx, kind="stable")
-    ids, x, nx = ids[order], x[order], nx[order]
+    own, ids, x, nx = rows[order], ids[order], x[order], nx[order]
     exact_type = float if nx.max(initial=0) * nq.max(initial=0) < 2**52 else np.int64  # doubles hold such sums exactly
     head = max(1, x.shape[1] // 4)
     xr, qr = x @ turn, q @ turn
@@ -78,7 +82,7 @@ def best_in_cell(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
             break
         part = slice(a, a + STEP)
         bound = qr[live, :head] @ xr[part, :head].T + np.outer(rest_q[live], rest_x[part]) + slack[live, None]
-        keep = (bound >= floor[live, None]) & (query_ids[live, None] != ids[None, part])
+        keep = (bound >= floor[live, None]) & (query_rows[live, None] != own[None, part])
         if keep.sum() * 8 > keep.size:
             scores = (q[live].astype(exact_type) @ x[part].astype(exact_type).T).astype(np.int64)
             if keep.shape[1] > k:
@@ -97,57 +101,62 @@ def best_in_cell(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
         found = [at[top], vec[top], score[top]]
         full = place == k - 1
         floor[at[full]] = np.maximum(floor[at[full]], score[full])
-    return query_ids[found[0]], found[1], found[2]
+    return found[0], found[1], found[2]
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each query its k vectors of highest inner product, other than itself.
+    """query_id, rank (from 1), vec_id, score: for each query row the k rows of vectors of highest inner product, save itself.
 
-    vectors and queries are tables (vec_id, v, norm) as from quantised(). Ties go to the smaller vec_id; fewer rows come back
-    where there are fewer candidates. Shorter vectors count as padded with zeros. Empty tables give an empty result. Scores
-    must fit a long. A query never meets more than CELL candidates and BLOCK other queries in one task.
+    vectors and queries are tables (row, vec_id, v, norm) as from quantised(), queries being some rows of vectors. Ties go to
+    the smaller vec_id. Rows that repeat, or share a vec_id, are candidates like any others, and each query row has a ranking of
+    its own. Fewer rows come back where there are fewer candidates. Shorter vectors count as padded with zeros. Empty tables
+    give an empty result. Vectors so long that a score might not fit a long are an error. A task never meets more than about
+    CELL candidates and BLOCK queries.
     """
-    schema = "query_id long, vec_id long, score long"
-    n, d = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
+    schema = "query_row long, query_id long, vec_id long, score long"
+    n, d, longest = vectors.agg(F.count("*"), F.max(F.size("v")), F.max("norm")).first()
     n_queries = queries.count()
     if not n or not n_queries:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if longest >= 2.0**31:
+        raise ValueError("components are too large: a score might not fit a long")
     d = max(d, 1)
     turn = rotation(vectors, d)
     bands = min(BANDS, math.ceil(n / CELL))
     edges = sorted(set(vectors.approxQuantile("norm", [i / bands for i in range(1, bands)], 0.005))) if bands > 1 else []
     band = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: F.col("norm") < e)) if edges else F.lit(0)
-    placed = vectors.withColumn("band", band)
-    sizes = {r["band"]: (r["n"], r["longest"]) for r in placed.groupBy("band").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()}
-    cells = [(b, c, sizes[b][1]) for b in sorted(sizes) for c in range(math.ceil(sizes[b][0] / CELL))]
-    per_band = F.element_at(F.create_map(*[F.lit(x) for b in sizes for x in (b, math.ceil(sizes[b][0] / CELL))]), F.col("band"))
-    placed = placed.withColumn("cell", F.pmod(F.xxhash64("vec_id"), per_band).cast("int"))
+    # one row for each of the BANDS bands, the longest vectors first
+    stats = vectors.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.max("norm").alias("longest")).orderBy("band").collect()
+    spots = F.array(*[F.struct(F.lit(r["band"]).alias("band"), F.lit(math.ceil(r["n"] / CELL)).alias("cells"), F.lit(r["longest"]).alias("longest")) for r in stats])
+    top = stats[0]["band"]
+    in_band = F.filter(spots, lambda s: s["band"] == F.col("band"))[0]
+    placed = vectors.withColumn("band", band).withColumn("cell", F.pmod(F.xxhash64("row"), in_band["cells"]).cast("int"))
     blocks = math.ceil(n_queries / BLOCK)
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [np.empty(0, np.int64)] * 3
+        at, ids, scores = [np.empty(0, np.int64)] * 3
         if left.num_rows and right.num_rows:
             floor = right["q_floor"].to_numpy().astype(float)
-            out = best_in_cell(left["vec_id"].to_numpy(), _matrix(left["v"], d), right["q_id"].to_numpy(), _matrix(right["q_v"], d), floor, turn, k)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
-
-    def meet(where: list[tuple[int, int, float]], asked: DataFrame) -> DataFrame:
-        """Every query with the cells that can reach its floor."""
-        spots = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(c).alias("cell"), F.lit(m).alias("longest")) for b, c, m in where])
-        can = F.filter(spots, lambda s: s["longest"] * F.col("norm") * (1 + 1e-9) + 1 >= F.col("floor"))
-        right = asked.select("vec_id", "v", "floor", "block", F.explode(can).alias("s")).select(F.col("vec_id").alias("q_id"), F.col("v").alias("q_v"), F.col("floor").alias("q_floor"), F.col("block").alias("q_block"), F.col("s.band").alias("q_band"), F.col("s.cell").alias("q_cell"))
-        chosen = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(c).alias("cell")) for b, c, _ in where])
-        left = placed.where(F.array_contains(chosen, F.struct("band", "cell"))).select("vec_id", "v", "band", "cell", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+            at, ids, scores = best_in_cell(left["row"].to_numpy(), left["vec_id"].to_numpy(), _matrix(left["v"], d), right["q_row"].to_numpy(), _matrix(right["q_v"], d), floor, turn, k)
+        columns = [right["q_row"].to_numpy()[at], right["q_id"].to_numpy()[at], ids, scores]
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_row", "query_id", "vec_id", "score"), columns)})
+
+    def meet(candidates: DataFrame, asked: DataFrame) -> DataFrame:
+        """Every query (with s, a band that can reach its floor) with the candidates of the cells of that band."""
+        reached = asked.select("block", F.col("s.band").alias("band")).distinct()
+        left = candidates.join(reached, "band").select("row", "vec_id", "v", "band", "cell", "block")
+        right = asked.select("row", "vec_id", "v", "floor", "block", "s.band", F.explode(F.sequence(F.lit(0), F.col("s.cells") - 1)).alias("cell")).toDF("q_row", "q_id", "q_v", "q_floor", "q_block", "q_band", "q_cell")
         return left.groupBy("band", "cell", "block").cogroup(right.groupBy("q_band", "q_cell", "q_block")).applyInArrow(kernel, schema)
 
-    first = materialize(meet(cells[:1], asked.withColumn("floor", F.lit(-math.inf))), "topk-first")
-    found = first
-    if cells[1:]:
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        floors = first.withColumn("place", F.row_number().over(w)).where(F.col("place") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
-        found = first.unionByName(meet(cells[1:], asked.join(floors, "vec_id", "left").fillna(-math.inf, ["floor"])))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    began = (F.col("band") == top) & (F.col("cell") == 0)
+    one_cell = F.struct(F.lit(top).alias("band"), F.lit(1).alias("cells"))
+    first = materialize(meet(placed.where(began), asked.select("*", F.lit(-math.inf).alias("floor"), one_cell.alias("s"))), "topk-first")
+    w = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    floors = first.withColumn("place", F.row_number().over(w)).where(F.col("place") == k).select(F.col("query_row").alias("row"), F.col("score").cast("double").alias("floor"))
+    can = F.filter(spots, lambda s: s["longest"] * F.col("norm") * (1 + 1e-9) + 1 >= F.col("floor"))
+    asked = asked.join(floors, "row", "left").fillna(-math.inf, ["floor"]).select("*", F.explode(can).alias("s"))
+    found = first.unionByName(meet(placed.where(~began), asked))
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
@@ -159,12 +168,12 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  SELECT q.own, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.own <> c.own),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from helixframe.llm import pii, topk
 
@@ -39,6 +40,30 @@ def test_topk_of_few_and_of_none(spark):
     assert topk.exact_topk(none, none, 5).count() == 0
 
 
+def test_topk_keeps_repeated_rows_and_ranks_every_query_row(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(topk, "CELL", 20)
+    monkeypatch.setattr(topk, "BLOCK", 2)
+    g = np.random.default_rng(2)
+    rows = [(i % 60 if i < 100 else 50, (g.normal(size=6) * (1 + i % 3)).tolist()) for i in range(110)]
+    rows += rows[:30] + [(None, [1.0] * 6)]
+    frame = spark.createDataFrame([(k, v) for k, v in rows], "vec_id long, embedding array<double>")
+    topk.quantised(frame).write.parquet(str(tmp_path / "v"))
+    q = spark.read.parquet(str(tmp_path / "v"))
+    ints = [(k, np.floor(256 * np.array(v)).astype(np.int64)) for k, v in rows if k is not None]
+    want = []
+    for i, (k, v) in enumerate(ints):
+        if k % 50 == 0:
+            best = sorted((-int(v @ x), c) for j, (c, x) in enumerate(ints) if j != i)[:5]
+            want += [(k, n + 1, c, -s) for n, (s, c) in enumerate(best)]
+    assert sorted(map(tuple, topk.exact_topk(q, q.where("vec_id % 50 = 0"), 5).collect())) == sorted(want)
+
+
+def test_topk_of_too_large_components(spark):
+    q = topk.quantised(spark.createDataFrame([(0, [1e8]), (50, [1.0])], "vec_id long, embedding array<double>"))
+    with pytest.raises(ValueError, match="too large"):
+        topk.exact_topk(q, q, 5)
+
+
 def brute(text):
     def valid(kind, v):
         digits = re.sub("[^0-9]", "", v)
