@@ -4,7 +4,9 @@ A suffix is filed under its anchor: the gram of smallest hash among those that i
 strings of LENGTH bytes share a bucket, aligned at the anchor. Anchors that occur once are dropped unread. Of the others, equal
 contexts are counted first; where the contexts of a bucket differ, its suffixes are sorted by their first bytes, and ties are
 resolved by ranks that were computed beforehand for a cover sample (every PERIOD-th position from the anchor, which covers all
-pairs of a bucket as its suffixes are aligned). A task holds a block of buckets, never the text of the corpus.
+pairs of a bucket as its suffixes are aligned). A crowded bucket is split by further bytes, those that all suffixes at like
+distances from the anchor have, and the parts are sorted; what is crowded even then is split by all LENGTH bytes, so that the
+parts are the equal strings. A task holds a block of buckets, never the text of the corpus.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from .word_arrays import _BYTE, _Powers, mixed, slabs
 
 #: Bytes of a repeat, of a gram, and from one position of the cover sample to the next.
 LENGTH, GRAM, PERIOD = 200, 48, 32
-#: Bytes of contexts sorted at once; contexts of one bucket above which its suffixes are counted by hash instead.
+#: Bytes of contexts sorted at once; contexts of one bucket, or part of one, above which it is split.
 BLOCK, CROWDED = 3_000_000, 5_000
+#: A gram of more than this share of all anchors is joined without a shuffle.
+HOT = 1 / 1_000
 
 
 def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -149,6 +153,23 @@ def repeated_suffixes(contexts: list[bytes], before: np.ndarray, copies: np.ndar
     return out
 
 
+def split_buckets(found: DataFrame) -> DataFrame:
+    """The contexts of crowded buckets in parts: rows as from contexts, h being the part.
+
+    Suffixes that begin up to PERIOD bytes apart, counted from the anchor, have LENGTH - PERIOD + 1 bytes in common; their hash
+    tells the parts of a bucket apart. Equal suffixes begin at the same distance from their anchor and so share a part.
+    """
+    x = found.where("crowded").withColumn("hi", F.col("lo") + F.octet_length("x") - LENGTH)
+    step = F.explode(F.sequence(F.floor((F.col("a") - F.col("hi")) / PERIOD), F.floor((F.col("a") - F.col("lo")) / PERIOD)))
+    x = x.withColumn("step", step).withColumn("near", F.col("a") - F.col("step") * PERIOD)
+    x = x.withColumn("lo2", F.greatest("lo", F.col("near") - (PERIOD - 1))).withColumn("hi2", F.least("hi", "near"))
+    bytes_of = lambda start, n: F.substring("x", (start - F.col("lo") + 1).cast("int"), n)
+    part = F.xxhash64("h", "step", bytes_of(F.col("near"), F.lit(LENGTH - PERIOD + 1)))
+    parts = x.select(part.alias("h"), "d", "t", "a", F.col("lo2").alias("lo"), "n", bytes_of(F.col("lo2"), (F.col("hi2") - F.col("lo2") + LENGTH).cast("int")).alias("x"))
+    sizes = parts.groupBy("h").agg(F.count("*").alias("m"))
+    return parts.join(sizes, "h").where("m > 1 OR n > 1").select("h", "d", "t", "a", "lo", "n", (F.col("m") > CROWDED).alias("crowded"), "x")
+
+
 def sorted_buckets(found: DataFrame) -> DataFrame:
     """d, t, start, end of the repeats that the sorting of the buckets of found (as from contexts) shows."""
     kind = found.schema["d"].dataType.simpleString()
@@ -197,7 +218,7 @@ def _cut(t: pa.Table, work) -> Iterator[pa.RecordBatch]:
 
 
 def counted_buckets(found: DataFrame) -> DataFrame:
-    """The same for crowded buckets: their suffixes' first LENGTH bytes are counted by a 128-bit hash, pre-aggregated."""
+    """The same for parts of buckets that are crowded still: the first LENGTH bytes of their suffixes are counted by a 128-bit hash, pre-aggregated."""
     kind = found.schema["d"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,16 +245,21 @@ def repeats(documents: DataFrame) -> DataFrame:
     """d, t, start, end: byte ranges of each text (doc_id and hash) covered by strings of LENGTH bytes that occur elsewhere."""
     found = materialize(anchors(documents), "anchors", True)
     # within one text the same context may stand at several places, so rows are counted, not texts
-    buckets = found.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("m > 1")
-    kept = materialize(found.join(buckets.select("h", (F.col("c1") != F.col("c2")).alias("differ")), "h"), "anchors-repeated", True)
+    buckets = materialize(found.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("m > 1"), "buckets")
+    # grams of more than HOT of all anchors, of which there are fewer than 1 / HOT, are broadcast, so that no task gets one whole
+    hot = F.col("m") > max(1, found.count() * HOT)
+    often = F.broadcast(buckets.where(hot))
+    kept = found.join(often, "h").unionByName(found.join(often, "h", "left_anti").join(buckets.where(~hot), "h"))
+    kept = materialize(kept.select(*found.columns, (F.col("c1") != F.col("c2")).alias("differ")), "anchors-repeated", True)
     place = F.struct("d", "t", "a", "lo", "hi")
     groups = materialize(kept.where("differ").groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("w")), "contexts-counted", True)
-    crowd = groups.groupBy("h").agg((F.count("*") > CROWDED).alias("crowded"))
-    wanted = groups.join(crowd, "h").select("h", "w.d", "w.t", "w.a", "w.lo", "w.hi", "n", "crowded")
+    crowd = groups.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > CROWDED).select("h", F.lit(True).alias("crowded"))
+    wanted = groups.join(crowd, "h", "left").select("h", "w.d", "w.t", "w.a", "w.lo", "w.hi", "n", F.coalesce("crowded", F.lit(False)).alias("crowded"))
     x = materialize(contexts(documents, wanted), "contexts", True)
+    parts = materialize(split_buckets(x), "bucket-parts")
     whole = kept.where("NOT differ").unionByName(kept.where("differ").join(groups.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select(*kept.columns))
     whole = whole.select("d", "t", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end"))
-    return whole.unionByName(sorted_buckets(x)).unionByName(counted_buckets(x))
+    return whole.unionByName(sorted_buckets(x.where("NOT crowded").unionByName(parts.where("NOT crowded")))).unionByName(counted_buckets(parts))
 
 
 def _merged(ranges: list[dict]) -> list[tuple[int, int]]:

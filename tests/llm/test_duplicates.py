@@ -154,25 +154,29 @@ def test_classes_of_nothing(spark):
 def brute_repeats(docs, length=200):
     data = [(d, (t or "").encode()) for d, t in docs]
     count = Counter(b[p : p + length] for _, b in data for p in range(len(b) - length + 1))
-    out = {}
+    out = []
     for d, b in data:
         gone = bytearray(len(b))
         for p in range(len(b) - length + 1):
             if count[b[p : p + length]] > 1:
                 gone[p : p + length] = b"\1" * length
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        out[d] = (len(b), sum(gone), sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), hashlib.sha256(kept).hexdigest())
+        out.append((d, (len(b), sum(gone), sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), hashlib.sha256(kept).hexdigest())))
     return out
 
 
-@pytest.mark.parametrize("crowded", [5_000, 0])
-def test_repeats_equal_brute_force(spark, prose, monkeypatch, crowded):
+@pytest.mark.parametrize(("crowded", "hot"), [(5_000, 1e-3), (0, 1e-3), (3, 1.0)])
+def test_repeats_equal_brute_force(spark, prose, monkeypatch, crowded, hot):
     monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     passage, twin = prose(70, 1), prose(300, 2)
     docs = [(i, prose(40, 10 + i) + passage + prose(30, 90 + i)) for i in range(12)]
     docs += [(20, twin), (21, twin), (22, twin[: len(twin) // 2] + "X" + twin[len(twin) // 2 :]), (23, "ab" * 400), (24, "y" * 700 + prose(5, 4)), (25, None), (26, ""), (27, "z" * 200), (28, "z" * 199), (29, "é" * 150 + passage[:199])]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(spark.createDataFrame([(d, t, 2) for d, t in docs], DOCS)).collect()}
-    assert got == brute_repeats(docs)
+    docs += [(30 + i, prose(9, 700 + i) + passage[:190] + prose(9, 800 + i % 3)) for i in range(9)]
+    long = prose(30_000, 71)
+    docs += [(50, long), (51, "x" + long[:90_000] + "y"), (52, prose(50, 72)), (52, prose(50, 72)), (52, prose(50, 73))]
+    got = sorted((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in suffix_dedup.remove_repeats(spark.createDataFrame([(d, t, 2) for d, t in docs], DOCS)).collect())
+    assert got == sorted(brute_repeats(docs))
 
 
 def test_no_documents_have_no_repeats(spark):
