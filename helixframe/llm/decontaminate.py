@@ -33,7 +33,9 @@ CHUNK = 200_000
 #: Words of a part of a long item, and of the longest item that is not cut: a passage holds too little of a longer one to be like it.
 PART, WHOLE = 48, 64
 #: Parts of items searched at once; a larger benchmark is searched in parts, so that what tasks are sent stays bounded.
-ITEMS = 20_000
+ITEMS = 8_000
+#: Cosines of passages and parts worked out at once.
+CELLS = 4_000_000
 
 
 class Benchmark:
@@ -127,10 +129,10 @@ def passage_frequencies(stored: DataFrame, size: int) -> tuple[np.ndarray, int]:
     return np.array([found.get(i, 0) for i in range(size)], float), found.get(-1, 0)
 
 
-def key_weights(benchmark: Benchmark, df: np.ndarray, passages: int) -> np.ndarray:
-    """The inverse document frequency of key words, 0 for other words."""
+def key_weights(benchmark: Benchmark, df: np.ndarray, passages: int, exact: bool = False) -> np.ndarray:
+    """The inverse document frequency of key words (exact: of all words), 0 for other words."""
     idf = np.log((1 + passages) / (1 + df)) + 1e-3
-    key = df <= COMMON * passages
+    key = (df <= COMMON * passages) | exact
     for ids in benchmark.parts:
         distinct = np.unique(ids)
         key[distinct[np.argsort(df[distinct], kind="stable")[:KEYS]]] = True
@@ -176,9 +178,10 @@ def latent_basis(stored: DataFrame, weights: np.ndarray, seed: int = 7) -> np.nd
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(total[used]), pa.list_(pa.float64()))], names=["id", "row"])
 
     rows = stored.select("gaps", "ids").mapInArrow(run, "id long, row array<double>").select("id", F.posexplode("row").alias("j", "x"))
+    # the words of a benchmark's part times RANK numbers, as Arrow columns
+    found = rows.groupBy("id", "j").agg(F.sum("x").alias("x")).toArrow()
     z = np.zeros((size, rank))
-    for r in rows.groupBy("id", "j").agg(F.sum("x").alias("x")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("j", "x"))).alias("row")).collect():
-        z[r["id"]] = [c["x"] for c in r["row"]]
+    z[found["id"].to_numpy(), found["j"].to_numpy()] = found["x"].to_numpy()
     return np.linalg.qr(z * weights[:, None])[0]
 
 
@@ -201,19 +204,21 @@ def _masks(ids: np.ndarray) -> dict[int, int]:
     return out
 
 
-def _search(stored: DataFrame, benchmark: Benchmark, weights: np.ndarray, basis: np.ndarray) -> DataFrame:
+def _search(stored: DataFrame, benchmark: Benchmark, weights: np.ndarray, basis: np.ndarray, exact: bool = False) -> DataFrame:
     size = len(weights)
+    least_cosine, least_weight = (-2.0, 0.0) if exact else (LEAST_COSINE, LEAST_WEIGHT)
     loads = (basis * weights[:, None]).astype(np.float32)
     latent = np.stack([loads[ids].sum(0) for ids in benchmark.parts])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-30)
-    has = np.zeros((len(benchmark.parts), size), bool)
-    for k, ids in enumerate(benchmark.parts):
-        has[k, ids] = True
-    mass = has @ weights
+    # the words of each part as sorted numbers, part * size + word
+    has = np.concatenate([np.unique(ids) + k * size for k, ids in enumerate(benchmark.parts)])
+    mass = np.bincount(has // size, weights[has % size], len(benchmark.parts))
     # a part in the middle of a long item lies in up to four stretches, so that a passage may hold no more than half of it
     held = np.where(np.bincount(benchmark.item_of)[benchmark.item_of] > 1, 0.5, 1.0)
     fewest = max(1, math.floor(PARAPHRASE * min(h * int((weights[np.unique(ids)] > 0).sum()) for h, ids in zip(held, benchmark.parts))))
+    fewest = 1 if exact else fewest
     lengths = np.array([len(i) for i in benchmark.ids])
+    at_once = max(64, CELLS // len(benchmark.parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = [_masks(i) for i in benchmark.ids]
@@ -223,17 +228,19 @@ def _search(stored: DataFrame, benchmark: Benchmark, weights: np.ndarray, basis:
             row, pos, ids = _flat(batch.column("gaps"), batch.column("ids"))
             bounds = np.searchsorted(row, np.arange(len(batch) + 1))
             key_row, key_pos, key_ids, block, first = _passages(batch, weights, fewest)
-            for a in range(0, len(first), 20_000):
-                some = first[a : a + 20_000]
+            for a in range(0, len(first), at_once):
+                some = first[a : a + at_once]
                 lo, hi = np.searchsorted(block, some), np.searchsorted(block, some + 1, "right")
                 p = _projected(block[lo[0] : hi[-1]], loads[key_ids[lo[0] : hi[-1]]], some).astype(np.float32)
                 p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-30)
-                w, part_no = np.nonzero(p @ latent.T >= LEAST_COSINE)
+                w, part_no = np.nonzero(p @ latent.T >= least_cosine)
                 n = hi[w] - lo[w]
                 at = np.repeat(lo[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 pair = np.repeat(np.arange(len(w)), n)
-                shared = np.bincount(pair, np.where(has[part_no[pair], key_ids[at]], weights[key_ids[at]], 0.0), len(w))
-                ok = shared >= LEAST_WEIGHT * mass[part_no]
+                wanted = part_no[pair] * size + key_ids[at]
+                held_here = has[np.minimum(np.searchsorted(has, wanted), len(has) - 1)] == wanted
+                shared = np.bincount(pair, np.where(held_here, weights[key_ids[at]], 0.0), len(w))
+                ok = shared >= least_weight * mass[part_no]
                 for k, i in zip(w[ok].tolist(), benchmark.item_of[part_no[ok]].tolist()):
                     r = int(key_row[lo[k]])
                     if hits.get((r, i), 0.0) >= COPY:
@@ -257,12 +264,15 @@ def _search(stored: DataFrame, benchmark: Benchmark, weights: np.ndarray, basis:
     return stored.mapInArrow(run, f"doc_id {kind}, item_id long, part double")
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, exact: bool = False) -> DataFrame:
     """doc_id, item_id and part (share of the item's words found in order) for each benchmark item that a document holds.
 
+    exact: every passage with a word of an item is a candidate, whatever its cosine and weight; slow, but nothing is missed.
+
     documents: doc_id, text; benchmark: item_id, text. Words are what white space and ASCII punctuation leave, in lower case (up to Latin-1). Null or empty
-    texts hold nothing, and items without a word are not looked for. Rows that repeat a doc_id are reported once, with the
-    largest part. Empty tables give an empty result. Other columns are ignored.
+    texts hold nothing, and items without a word are not looked for. Rows that repeat a doc_id (or a null one) are reported
+    once, with the largest part. Texts may be of any length: they are searched passage by passage. Empty tables give an empty
+    result. Other columns are ignored.
     """
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL")
     cuts = items.select(F.sum(F.ceil((F.regexp_count("text", F.lit(WORD)) + 1) / PART)).alias("n")).first()["n"] or 0
@@ -272,8 +282,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         bench = Benchmark([(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()])
         if bench.items:
             stored = materialize(benchmark_words(documents, bench.vocabulary), "benchmark-words")
-            weights = key_weights(bench, *passage_frequencies(stored, len(bench.vocabulary)))
-            found = _search(stored, bench, weights, latent_basis(stored, weights))
+            weights = key_weights(bench, *passage_frequencies(stored, len(bench.vocabulary)), exact)
+            found = _search(stored, bench, weights, latent_basis(stored, weights), exact)
             out = found if out is None else out.unionByName(found)
     if out is None:
         kind = documents.schema["doc_id"].dataType.simpleString()
@@ -282,7 +292,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_uncontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The pipeline's stage: documents that hold a benchmark item go."""
+    """The pipeline's stage: documents that hold a benchmark item go.
+
+    Of rows that repeat a doc_id all go if one holds an item; null texts stay; an empty benchmark or table changes nothing.
+    """
     gone = contaminated(documents, benchmark).select("doc_id").distinct()
     return documents.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti").select(*documents.columns)
 

@@ -99,7 +99,10 @@ def identify_languages(documents: DataFrame, dictionaries: dict[str, bytes]) ->
 
 
 def keep_identified(documents: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """The rows of documents whose language is identified with a sufficient margin, with their own columns."""
+    """The rows of documents whose language is identified with a sufficient margin, with their own columns.
+
+    Null texts and texts without a letter go; repeated rows stay repeated; an empty table gives an empty result.
+    """
     return identify_languages(documents, dictionaries).where(~F.col("rejected")).select(*documents.columns)
 
 

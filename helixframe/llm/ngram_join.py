@@ -313,7 +313,11 @@ def jaccard_classes(documents: DataFrame, size: int = 5, percent: int = 80) -> D
 
 
 def keep_one_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The pipeline's stage: of each class of similar documents only the one with the smallest doc_id stays."""
+    """The pipeline's stage: of each class of similar documents only the one with the smallest doc_id stays.
+
+    Null texts, texts without words and null doc_ids are in no class and stay; rows that repeat a doc_id stay or go together; an
+    empty table gives an empty result.
+    """
     gone = jaccard_classes(documents, size, percent).where("component_id <> doc_id").select("doc_id").distinct()
     return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
 

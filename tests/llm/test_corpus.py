@@ -155,6 +155,66 @@ def test_pipeline_stages_keep_the_columns_and_the_last_mixes(spark):
     assert set(corpus_pipeline.STAGES[-1][1](spark, docs, SF).columns) == {"doc_id", "size", "source_size", "target", "taken"}
 
 
+def plain_words(text):
+    import re
+
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def brute_contaminated(docs, items):
+    found = {}
+    for d, text in docs:
+        w = plain_words(text)
+        for i, item in items:
+            x = plain_words(item)
+            answer = plain_words(item.split(". ")[-1]) if ". " in item else []
+            best = 0.0
+            for begin in range(0, len(w), decontaminate.STRIDE):
+                if not set(w[begin : begin + 2 * decontaminate.STRIDE]) & set(x):
+                    continue
+                seen = w[max(0, begin - len(x)) : begin + 2 * decontaminate.STRIDE + len(x)]
+                part = subsequence(x, seen) / len(x)
+                if part >= 0.8 or (part >= 0.6 and answer and subsequence(answer, seen) >= 0.8 * len(answer)):
+                    best = max(best, part)
+            if best:
+                found[d, i] = max(best, found.get((d, i), 0.0))
+    return found
+
+
+def test_contamination_equals_brute_force(spark, prose):
+    r = random.Random(6)
+    items = [(i, prose(r.choice([8, 20, 40, 90]), 3000 + i) + ". " + prose(4, 4000 + i)) for i in range(8)]
+    docs = []
+    for d in range(40):
+        text = prose(r.randint(0, 90), d).split()
+        if d % 2:
+            w = items[r.randrange(8)][1].split()
+            for _ in range(r.randint(0, len(w) // 2)):
+                k = r.randrange(len(w))
+                w[k : k + 1] = r.choice([[], ["zz"], [w[k], "qq"]])
+            text[5:5] = w
+        docs.append((d, " ".join(text)))
+    docs += [(40, None), (41, ""), docs[3], docs[3], (42, prose(20_000, 9) + " " + items[2][1] + " " + prose(9_000, 8))]
+    want = brute_contaminated(docs, items)
+    found = {}
+    for exact in (True, False):
+        rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), exact).collect()
+        found[exact] = {(x.doc_id, x.item_id): x.part for x in rows}
+        assert len(rows) == len(found[exact])
+    assert set(found[True]) == set(want)
+    assert set(found[False]) <= set(want) and len(found[False]) >= 0.9 * len(want) >= 5
+    assert (42, 2) in found[False]
+
+
 def test_the_draw_fills_every_shard_and_keeps_the_totals(spark):
     rows = [("a", 9_000, 27_000.0), ("b", 40_000, 60_000.5), (None, 90_000, 52_000.0), ("t", 3, 9.0)]
     targets = spark.createDataFrame(rows, "source string, source_size long, target double")
