@@ -1,9 +1,12 @@
 """N-gram Jaccard join with skipping.
 
 Sets of word shingles are joined through an inverted index of their prefixes (the rarest shingles that any partner must
-share one of). Lists are ordered by set size, so that a whole stretch of a list is skipped when its sizes or positions cannot
-reach the threshold. Equal sets are one set, and pairs whose link follows from links already computed for similar sets are not
-verified again. Lists longer than SHORT belong to groups of many similar sets; these are verified block against block.
+share one of). A list is cut into blocks of one set size, each in order of position: a set jumps to the blocks that its size can
+reach, and in each to the stretch of positions from which enough shingles can still be shared; the rest of the list is skipped.
+Equal sets are one set. Every set has its most similar partner among the candidates; the answers of the partners are computed
+first, and those of the other sets are derived from them where the shingles that the two sets don't share can't change the
+answer; only what that leaves open is verified. Lists longer than SHORT belong to groups of many similar sets; these are
+verified block against block.
 """
 
 from __future__ import annotations
@@ -87,20 +90,33 @@ def shingled(documents: DataFrame, size: int, percent: int, common: np.ndarray)
 
 
 def _pairs_of_lists(token: np.ndarray, doc: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within equal tokens (rows sorted by token, n) that size and position allow, the smaller set first."""
-    left, right = [], []
+    """Pairs within equal tokens (rows sorted by token, n, pos) that size and position allow, the smaller set first."""
+    rows = np.arange(len(token))
+    first = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (n[1:] != n[:-1]))[: len(token)])
+    block = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(token))))
+    wide = int(pos.max(initial=0)) + 2
+    place = block * wide + pos  # ascends: blocks in order, and positions within each
     reach = 100 * n // percent
-    for gap in range(1, SHORT):
-        i = np.flatnonzero(token[gap:] == token[:-gap])
-        if not len(i):
+    left, right = [], []
+    live = rows
+    for skip in range(len(first)):
+        target = block[live] + skip
+        live, target = live[target < len(first)], target[target < len(first)]
+        head = first[target]
+        ok = (token[head] == token[live]) & (n[head] <= reach[live])  # sizes ascend: beyond one out of reach all are
+        live, target, head = live[ok], target[ok], head[ok]
+        if not len(live):
             break
-        j = i + gap
-        near = n[j] <= reach[i]  # lists ascend by size: what is too large for one partner stays so for all behind it
-        i, j = i[near], j[near]
-        most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-        ok = most * (100 + percent) >= percent * (n[i] + n[j])
-        left.append(i[ok])
-        right.append(j[ok])
+        # of a pair at positions p and q at most min(p, q) + min(n - p, m - q) shingles are shared: q is in an interval around p
+        need = -(-percent * (n[live] + n[head]) // (100 + percent))
+        low = np.maximum(pos[live] + need - n[live], 0)
+        high = np.minimum(pos[live] + n[head] - need, wide - 2)
+        begin = np.searchsorted(place, target * wide + np.minimum(low, wide - 1))
+        end = np.searchsorted(place, target * wide + np.maximum(high, -1), "right")
+        begin = np.maximum(begin, live + 1) if skip == 0 else begin
+        count = np.maximum(end - begin, 0)
+        left.append(np.repeat(live, count))
+        right.append(np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
     i, j = np.concatenate(left or [np.empty(0, int)]), np.concatenate(right or [np.empty(0, int)])
     return doc[i], doc[j]
 
@@ -111,7 +127,7 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
     sets: doc_id, n, prefix. The lists arrive sorted, and a list is never held beyond SHORT + 1 rows.
     """
     postings = sets.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "n", "doc_id", "pos")
-    postings = postings.repartition("token").sortWithinPartitions("token", "n", "doc_id")
+    postings = postings.repartition("token").sortWithinPartitions("token", "n", "pos", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64)] * 4
@@ -162,8 +178,8 @@ def full_sets(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return wanted.mapInArrow(run, "doc_id long, tokens array<long>").dropDuplicates(["doc_id"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, o (shingles shared), na and nb (set sizes) of pairs (a, b)."""
     with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
     both = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
 
@@ -172,15 +188,32 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             xs, ys = batch.column(1), batch.column(3)
             xo, yo = xs.offsets.to_numpy(), ys.offsets.to_numpy()
             x, y = xs.values.to_numpy(), ys.values.to_numpy()
-            ok = np.zeros(len(batch), bool)
+            shared = np.zeros(len(batch), np.int64)
             for r in range(len(batch)):
-                p, q = x[xo[r] : xo[r + 1]], y[yo[r] : yo[r + 1]]
-                merged = np.sort(np.concatenate([p, q]))
-                shared = int((merged[1:] == merged[:-1]).sum())
-                ok[r] = 100 * shared >= percent * (len(p) + len(q) - shared)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["u", "v"]).filter(pa.array(ok))
+                merged = np.sort(np.concatenate([x[xo[r] : xo[r + 1]], y[yo[r] : yo[r + 1]]]))
+                shared[r] = (merged[1:] == merged[:-1]).sum()
+            columns = [batch.column(0), batch.column(2), pa.array(shared), *(pa.array(np.diff(z).astype(np.int64)) for z in (xo, yo))]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "o", "na", "nb"])
+
+    return both.select("a", "x", "b", "y").mapInArrow(run, "a long, b long, o long, na long, nb long")
+
 
-    return both.select("a", "x", "b", "y").mapInArrow(run, "u long, v long")
+def reaching(found: DataFrame, percent: int) -> DataFrame:
+    """u, v of the pairs (as from overlaps) that reach the threshold."""
+    return found.where(F.col("o") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def derived(open_pairs: DataFrame, nearest: DataFrame, known: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """open_pairs (b, c) with link: true or false where the answers of b's nearest set tell, null where they don't.
+
+    nearest: b, r, o (shared), nr, nb. known: the answers of nearest sets, r, c, o. What r shares with c, b shares as well save for
+    the shingles of r that b lacks, and b may share no more than that and the shingles that r lacks.
+    """
+    j = open_pairs.join(nearest.select("b", "r", F.col("o").alias("rb"), F.col("nr"), F.col("nb")), "b", "left").join(known.select("r", "c", F.col("o").alias("rc")), ["r", "c"], "left")
+    j = j.join(sizes.select(F.col("doc_id").alias("c"), F.col("n").alias("nc")), "c")
+    least, most = F.col("rc") - (F.col("nr") - F.col("rb")), F.least(F.col("rc") + F.col("nb") - F.col("rb"), "nb", "nc")
+    need = percent * (F.col("nb") + F.col("nc"))
+    return j.select("b", "c", F.when(least * (100 + percent) >= need, True).when(most * (100 + percent) < need, False).alias("link"))
 
 
 def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -300,14 +333,25 @@ def jaccard_classes(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     pairs = materialize(pairs.where(can & ~F.coalesce(F.col("ga") == F.col("gb"), F.lit(False))).select("a", "b", "shared"), "pairs", True)
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(groups.select("doc_id")).distinct()
     sets = materialize(full_sets(documents, materialize(ids, "ids"), size), "sets", True)
-    # first each set with the partner it shares most with; what these links already join is not verified again
+    # each set with the partner it shares most with; what these links and the groups join is settled
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-    links = materialize(verified(best, sets, percent).unionByName(group_links(groups, sets, sizes, percent)), "links", True)
+    near = materialize(overlaps(best, sets), "nearest-answers")
+    links = materialize(reaching(near, percent).unionByName(group_links(groups, sets, sizes, percent)), "links", True)
     so_far = components(links)
     c_a, c_b = so_far.select(F.col("node").alias("a"), F.col("component").alias("ca")), so_far.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     open_pairs = pairs.join(best.withColumn("done", F.lit(True)), ["a", "b"], "left_anti").join(c_a, "a", "left").join(c_b, "b", "left")
-    open_pairs = open_pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    classes = components(links.unionByName(verified(open_pairs, sets, percent)))
+    open_pairs = materialize(open_pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "open-pairs")
+    # the answers of sets that are the nearest of some other one, and from them those of these others
+    heads = best.select("a").distinct()
+    head_pairs = open_pairs.join(heads, "a", "left_semi").unionByName(open_pairs.join(heads.toDF("b"), "b", "left_semi").select("a", "b")).distinct()
+    answers = materialize(overlaps(head_pairs, sets), "head-answers")
+    known = answers.select(F.col("a").alias("r"), F.col("b").alias("c"), "o").unionByName(answers.select(F.col("b").alias("r"), F.col("a").alias("c"), "o"))
+    nearest = near.select("b", F.col("a").alias("r"), "o", F.col("na").alias("nr"), "nb")
+    rest = open_pairs.join(head_pairs, ["a", "b"], "left_anti")
+    told = materialize(derived(rest.select("b", F.col("a").alias("c")), nearest, known, sizes, percent), "derived-answers")
+    left = overlaps(told.where("link IS NULL").select(F.col("c").alias("a"), "b"), sets)
+    links = links.unionByName(reaching(answers, percent)).unionByName(told.where("link").select(F.col("b").alias("u"), F.col("c").alias("v"))).unionByName(reaching(left, percent))
+    classes = components(links)
     of_rep = alike.select("n", "f1", "f2", "rep").join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     return docs.select("doc_id", "n", "f1", "f2").join(of_rep, ["n", "f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 

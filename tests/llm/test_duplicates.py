@@ -147,6 +147,43 @@ def test_classes_equal_brute_force(spark, similar, monkeypatch, size, percent, s
     assert got == brute_classes(similar, size, percent)
 
 
+def test_pairs_of_lists_are_those_that_size_and_position_allow():
+    import numpy as np
+
+    r = random.Random(9)
+    rows = sorted({(r.randrange(6), n, r.randrange(max(1, n // 5)), d) for d in range(300) for n in [r.choice([5, 20, 21, 22, 24, 40])]})
+    token, n, pos, doc = (np.array(c, np.int64) for c in zip(*rows))
+    a, b = ngram_join._pairs_of_lists(token, doc, n, pos, 80)
+    want = []
+    for i, (t, m, p, d) in enumerate(rows):
+        for u, k, q, e in rows[i + 1 :]:
+            if t == u and (min(p, q) + min(m - p, k - q)) * 180 >= 80 * (m + k) and k <= 100 * m // 80:
+                want.append((d, e))
+    assert sorted(zip(a.tolist(), b.tolist())) == sorted(want) and len(want) > 100
+
+
+def test_answers_are_derived_from_the_nearest_set(spark):
+    sets = {0: set(range(100)), 1: set(range(99)), 2: set(range(4, 100)), 3: set(range(40, 140)), 4: set(range(12, 100))}
+    size = {k: len(v) for k, v in sets.items()}
+    share = lambda a, b: len(sets[a] & sets[b])
+    nearest = spark.createDataFrame([(1, 0, share(0, 1), size[0], size[1])], "b long, r long, o long, nr long, nb long")
+    known = spark.createDataFrame([(0, c, share(0, c)) for c in (2, 3, 4)], "r long, c long, o long")
+    sizes = spark.createDataFrame([(k, n) for k, n in size.items()], "doc_id long, n long")
+    asked = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 4)], "b long, c long")
+    got = {(x.b, x.c): x.link for x in ngram_join.derived(asked, nearest, known, sizes, 88).collect()}
+    for (b, c), link in got.items():
+        assert link is None or link == (100 * share(b, c) >= 88 * len(sets[b] | sets[c]))
+    assert got == {(1, 2): True, (1, 3): False, (1, 4): None, (2, 4): None}
+
+
+def test_classes_of_odd_rows(spark, prose):
+    long = prose(40_000, 12)
+    rows = [(1, long), (2, long + " x"), (2, long + " x"), (None, long), (3, "one two"), (3, None), (4, "ONE two")]
+    got = {(x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n, m = len(shingles(long, 5)), len(shingles(long + " x", 5))
+    assert got == {(1, n, 1), (2, m, 1), (None, n, None), (3, 1, 3), (3, 0, 3), (4, 1, 3)}
+
+
 def test_classes_of_nothing(spark):
     assert ngram_join.jaccard_classes(spark.createDataFrame([], DOCS)).count() == 0
 
