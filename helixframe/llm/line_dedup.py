@@ -47,11 +47,14 @@ def _variants(words: Column, most: int, kind: int) -> list[Column]:
     return [F.xxhash64(F.lit(kind), *[F.get(words, F.lit(j)) for j in range(most) if j != i]) for i in range(most)]
 
 
-def lines_of(documents: DataFrame) -> DataFrame:
-    """d (doc_id), t (hash of the text), pos, line (without white space at its ends) and size (words) of every line but blank ones."""
+def lines_of(documents: DataFrame, counted: int | None = None) -> DataFrame:
+    """d (doc_id), t (hash of the text), pos, line (without white space at its ends) and size (words) of every line but blank ones.
+
+    Words are counted no further than counted, if given.
+    """
     docs = documents.where("text IS NOT NULL").select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = docs.withColumn("line", F.btrim("line", F.lit(" \t\r"))).where("line != ''")
-    return lines.withColumn("size", F.size(F.split("line", " ")))
+    return lines.withColumn("size", F.size(F.split("line" if counted is None else F.substring_index("line", " ", counted), " ")))
 
 
 def _hashed(line: str = "line") -> list[Column]:
@@ -62,7 +65,7 @@ def _hashed(line: str = "line") -> list[Column]:
 def line_keys(documents: DataFrame) -> DataFrame:
     """h1 and key of every deletion variant of every line that need not be equal to be similar."""
     ends = F.col("size") >= WHOLE
-    lines = lines_of(documents).where(F.col("size") >= WORDS_AN_EDIT).select(
+    lines = lines_of(documents, WHOLE + 1).where(F.col("size") >= WORDS_AN_EDIT).select(
         *_hashed(),
         "size",
         F.split(F.substring_index("line", " ", END), " ").alias("first"),
