@@ -8,6 +8,7 @@ blocks and slots meet in a join on the index. Only sizes and indices are shuffle
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -158,8 +159,8 @@ def draw_slots(targets: DataFrame, seed: int = 42) -> DataFrame:
     slots = materialize(source_slots(targets), "source-slots")
     counts = materialize(draw_counts(slots, seed), "shard-counts")
     # running counts over the shards of a source, in groups of shards, so that no window holds more than about their square root
-    group = F.floor(F.col("shard") / F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("all_slots") / SHARD))))
-    counts = counts.join(F.broadcast(slots.select("all_slots").limit(1))).withColumn("group", group).drop("all_slots")
+    shards = (slots.agg(F.max("all_slots")).first()[0] or 0) / SHARD
+    counts = counts.withColumn("group", F.floor(F.col("shard") / max(1, math.ceil(math.sqrt(shards)))))
     groups = counts.groupBy("source", "group").agg(F.sum("drawn").alias("n"))
     before = Window.partitionBy("source").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select(F.col("source").alias("s2"), F.col("group").alias("g2"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
