@@ -257,7 +257,11 @@ def repeats(documents: DataFrame) -> DataFrame:
     wanted = groups.join(crowd, "h", "left").select("h", "w.d", "w.t", "w.a", "w.lo", "w.hi", "n", F.coalesce("crowded", F.lit(False)).alias("crowded"))
     x = materialize(contexts(documents, wanted), "contexts", True)
     parts = materialize(split_buckets(x), "bucket-parts")
-    whole = kept.where("NOT differ").unionByName(kept.where("differ").join(groups.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select(*kept.columns))
+    differ, again = kept.where("differ"), groups.where("n > 1")
+    hot_context = F.col("n") > max(1, found.count() * HOT)
+    often = F.broadcast(again.where(hot_context).select("h", "c"))
+    rest = differ.join(often, ["h", "c"], "left_anti").join(again.where(~hot_context).select("h", "c"), ["h", "c"], "left_semi")
+    whole = kept.where("NOT differ").unionByName(differ.join(often, ["h", "c"], "left_semi").select(*kept.columns)).unionByName(rest.select(*kept.columns))
     whole = whole.select("d", "t", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end"))
     return whole.unionByName(sorted_buckets(x.where("NOT crowded").unionByName(parts.where("NOT crowded")))).unionByName(counted_buckets(parts))
 
