@@ -44,8 +44,8 @@ def unmapped_class(chains1: Column, chains2: Column, capped1: Column, capped2: C
 def final_mate_class(saved: Column, kind1: Column, kind2: Column, genic1: Column, genic2: Column) -> Column:
     """Category of a pair that nothing explains, kept only if it is smaller than what was saved."""
     both, one = (kind1 == P.CONCRD) & (kind2 == P.CONCRD), (kind1 == P.CONCRD) | (kind2 == P.CONCRD)
-    orphan = (kind1 == P.ORPHAN) & (kind2 == P.ORPHAN)
-    kind = F.when(orphan, P.ORPHAN).when(both & genic1 & genic2, P.CHIFUS).when(both, P.OEA2).when(one, P.OEANCH).otherwise(P.CANDID)
+    orphan = (kind1 == P.ORPHAN) | (kind2 == P.ORPHAN)
+    kind = F.when(orphan & one, P.OEANCH).when(orphan, P.ORPHAN).when(both & genic1 & genic2, P.CHIFUS).when(both, P.OEA2).otherwise(P.CANDID)
     return F.least(saved, kind)
 
 

@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import pairs, report
 from ..operators.alignments import sam_header
+from ..operators.tables import scratch
 from ..sources import files
 from .registry import query
 
 C = F.col
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share, which is the warehouse where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def _written(lines: DataFrame) -> str:
-    path = _scratch(lines.sparkSession)
+    path = scratch(lines.sparkSession)
     lines.write.text(path)
     return path
 
@@ -63,21 +56,21 @@ def _pam(v):
 
 @query("src_pam", "SELECT concat('r', rname) AS rname, CASE WHEN rname % 14 IN (0, 1, 2, 3, 4, 5, 7) THEN chr END AS chr1, CASE WHEN rname % 14 IN (0, 1, 2, 3, 4, 5, 7) THEN spos END AS spos1, CAST(rname % 14 AS INTEGER) AS type FROM v_bsj")
 def _(v):
-    rows, path = _pam(v), _scratch(v("v_bsj").sparkSession)
+    rows, path = _pam(v), scratch(v("v_bsj").sparkSession)
     files.write_pam(rows, path)
     return files.read_pam(rows.sparkSession, path).select("rname", "chr1", "spos1", "type")
 
 
 @query("sink_pam", "SELECT CAST(rname % 14 AS INTEGER) AS type, count(*) AS n, count(*) FILTER (rname % 14 IN (0, 1, 2, 3, 4, 5, 7)) AS placed FROM v_bsj GROUP BY ALL")
 def _(v):
-    rows, path = _pam(v), _scratch(v("v_bsj").sparkSession)
+    rows, path = _pam(v), scratch(v("v_bsj").sparkSession)
     files.write_pam(rows, path)
     return files.read_pam(rows.sparkSession, path).groupBy("type").agg(F.count("*").alias("n"), F.count("spos2").alias("placed"))
 
 
 def _sam(v):
     rows = v("v_sam").select("qname", F.when(C("nm") == 4, 256).otherwise(C("flag")).alias("flag"), "rname", "pos", F.lit(60).alias("mapq"), "cigar", F.lit("=").alias("rnext"), C("pos").alias("pnext"), F.lit(0).cast("long").alias("tlen"), F.lit("ACGT").alias("seq"), F.lit("IIII").alias("qual"), F.create_map(F.lit("NM"), C("nm").cast("string")).alias("tags"))
-    path = _scratch(rows.sparkSession)
+    path = scratch(rows.sparkSession)
     files.write_sam(rows, sam_header(v("v_contigs").select("chr", F.length("seq").alias("len"))), path)
     return files.read_sam(rows.sparkSession, path)
 
@@ -95,7 +88,7 @@ def _(v):
 @query("src_circ_report")
 def _(v):
     rows = report.bsj_report(v("v_bsj"))
-    path = _scratch(rows.sparkSession)
+    path = scratch(rows.sparkSession)
     files.write_report(rows, path)
     return files.read_report(rows.sparkSession, path)
 
@@ -103,7 +96,7 @@ def _(v):
 @query("sink_circ_report", "SELECT chr, count(*) AS events, CAST(sum(n) AS BIGINT) AS support FROM (SELECT chr, spos, epos, count(*) AS n, min(type) AS t FROM v_bsj GROUP BY ALL) WHERE t = 20 GROUP BY chr")
 def _(v):
     rows = report.bsj_report(v("v_bsj"))
-    path = _scratch(rows.sparkSession)
+    path = scratch(rows.sparkSession)
     files.write_report(rows, path)
     return files.read_report(rows.sparkSession, path).groupBy("chr").agg(F.count("*").alias("events"), F.sum("support").alias("support"))
 
@@ -111,7 +104,7 @@ def _(v):
 @query("sink_candidates", "SELECT CAST(rname AS VARCHAR) AS rname, chr, CASE WHEN type = 20 THEN CAST(epos AS VARCHAR) END AS second, CAST(type AS VARCHAR) AS type FROM v_bsj")
 def _(v):
     rows = v("v_bsj").select("rname", "chr", F.when(C("type") == 20, C("epos")).alias("second"), "type")
-    path = _scratch(rows.sparkSession)
+    path = scratch(rows.sparkSession)
     files.write_candidates(rows, path)
     return rows.sparkSession.read.csv(path, sep="\t", nullValue="*", schema="rname string, chr string, second string, type string")
 
@@ -155,4 +148,4 @@ def _(v):
 @query("unpaired_chains", f"WITH {PAIRED}, k AS (SELECT * FROM j WHERE t OR g OR tlen <= 20000) SELECT rname, mate, dir, chr, pos FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.rname = c.rname AND k.chr = c.chr AND ((c.mate = 1 AND k.pos1 = c.pos AND k.dir1 = c.dir) OR (c.mate = 2 AND k.pos2 = c.pos AND k.dir1 = -c.dir)))")
 def _(v):
     chains = _chains(v)
-    return pairs.unpaired_chains(chains, pairs.mate_pair_candidates(chains, keep_dir=True)).select("rname", "mate", "dir", "chr", "pos")
+    return pairs.unpaired_chains(chains, pairs.mate_pair_candidates(chains, keep=("dir",))).select("rname", "mate", "dir", "chr", "pos")

@@ -281,7 +281,7 @@ def _(v):
 
 
 @query("final_mate_class", """WITH k AS (SELECT *, CASE ed % 3 WHEN 0 THEN 0 WHEN 1 THEN 9 ELSE 11 END AS k1, CASE tlen % 3 WHEN 0 THEN 0 WHEN 1 THEN 9 ELSE 11 END AS k2 FROM v_map_cand)
-SELECT rname, ord, least(type, CASE WHEN k1 = 11 AND k2 = 11 THEN 11 WHEN k1 = 0 AND k2 = 0 AND gm AND mlen > 180 THEN 6 WHEN k1 = 0 AND k2 = 0 THEN 8 WHEN k1 = 0 OR k2 = 0 THEN 10 ELSE 9 END) AS type FROM k""")
+SELECT rname, ord, least(type, CASE WHEN (k1 = 11 AND k2 = 0) OR (k1 = 0 AND k2 = 11) THEN 10 WHEN k1 = 11 OR k2 = 11 THEN 11 WHEN k1 = 0 AND k2 = 0 AND gm AND mlen > 180 THEN 6 WHEN k1 = 0 AND k2 = 0 THEN 8 ELSE 9 END) AS type FROM k""")
 def _(v):
     kinds = F.array(F.lit(P.CONCRD), F.lit(P.CANDID), F.lit(P.ORPHAN))
     return v("v_map_cand").select("rname", "ord", R.final_mate_class(C("type"), kinds[C("ed") % 3], kinds[C("tlen") % 3], C("gm"), C("mlen") > 180).alias("type"))
