@@ -232,7 +232,7 @@ def _best_pairs(pairs: DataFrame, trans_seg: DataFrame, exons: DataFrame, genes:
     """The extended pairs (rname, attempt, forward_left, kind, columns of extend_pair) with the category that each is evidence of."""
     facts = pair_facts(pairs.withColumns({"len1": F.col("mlen1"), "len2": F.col("mlen2")}), exons, genes)
     facts = facts.withColumnsRenamed({"left_ok1": "left1", "right_ok1": "right1", "left_ok2": "left2", "right_ok2": "right2"})
-    sizes = insert_size(pairs.select("id", "chr", F.col("epos1").alias("end1"), F.col("spos2").alias("start2")), trans_seg)
+    sizes = insert_size(pairs.select("id", "chr", F.col("epos1").alias("end1"), F.col("spos2").alias("start2"), F.col("mlen1").alias("len1"), F.col("mlen2").alias("len2")), trans_seg)
     facts = stored(facts.join(sizes, "id"))
     told = facts.join(explain_concordant(facts, p).withColumnRenamed("type", "explained"), "id").join(detect_chimeric(facts, p), "id")
     whole1, whole2 = F.col("type1") == P.CONCRD, F.col("type2") == P.CONCRD

@@ -136,13 +136,13 @@ TLEN = """z0 AS (SELECT DISTINCT p.id, p.chr, epos1, spos2, l.trans_id FROM p JO
 z AS (SELECT id, min(t) AS tlen FROM (SELECT id, z0.trans_id, sum(least(e, spos2) - greatest(s, epos1) + 1) AS t FROM z0 JOIN ts ON ts.chr = z0.chr AND ts.trans_id = z0.trans_id AND e >= epos1 AND s <= spos2 GROUP BY ALL) GROUP BY id)"""
 
 
-@query("explain_concordant", f"""WITH {FACTS}, {SEGS}, {TLEN}, y AS (SELECT f.*, coalesce(tlen, -1) AS tlen, CASE WHEN kind = 0 THEN 0 ELSE 5 END AS near, spos2 - epos1 - 1 + len1 + len2 AS apart FROM f LEFT JOIN z USING (id)),
+@query("explain_concordant", f"""WITH {FACTS}, {SEGS}, {TLEN}, y AS (SELECT f.*, coalesce(tlen + len1 + len2 - 2, -1) AS tlen, CASE WHEN kind = 0 THEN 0 ELSE 5 END AS near, spos2 - epos1 - 1 + len1 + len2 AS apart FROM f LEFT JOIN z USING (id)),
 u AS (SELECT *, CASE WHEN NOT e_s1 OR NOT e_s2 THEN CASE WHEN apart <= 20000 THEN 7 END WHEN same_exon THEN CASE WHEN spos2 + len2 - spos1 <= 500 THEN near ELSE 1 END END AS starts,
   CASE WHEN NOT e_e1 OR NOT e_s2 THEN CASE WHEN apart <= 20000 THEN 7 END WHEN tlen BETWEEN 0 AND 500 THEN near ELSE 1 END AS inn FROM y)
 SELECT id, CAST(CASE WHEN spos1 <= spos2 THEN least(starts, inn) END AS INTEGER) AS type FROM u""")
 def _(v):
     facts = _facts(v)
-    sizes = annotation.insert_size(facts.select("id", "chr", C("epos1").alias("end1"), C("spos2").alias("start2")), annotation.transcript_segments(v("v_exons")))
+    sizes = annotation.insert_size(facts.select("id", "chr", C("epos1").alias("end1"), C("spos2").alias("start2"), "len1", "len2"), annotation.transcript_segments(v("v_exons")))
     return spans.explain_concordant(facts.join(sizes, "id"))
 
 
