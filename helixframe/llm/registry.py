@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["chat_format", "url_filter", "topk", "pii", "line_dedup", "ngram_join", "mixing", "suffix_dedup", "language_id", "decontaminate", "fill_in_middle", "filter_audit"]
+MODULES = ["chat_format", "url_filter", "topk", "pii", "line_dedup", "ngram_join", "mixing", "suffix_dedup", "language_id", "decontaminate", "license_scan", "fill_in_middle", "filter_audit"]
 
 
 def _all(what: str) -> dict:
