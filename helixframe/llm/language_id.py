@@ -99,11 +99,13 @@ def identify_languages(documents: DataFrame, dictionaries: dict[str, bytes]) ->
 
 
 def keep_identified(documents: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """The rows of documents whose language is identified with a sufficient margin, with their own columns.
+    """The rows of documents whose language is identified with a sufficient margin, with all their columns as they were.
 
-    Null texts and texts without a letter go; repeated rows stay repeated; an empty table gives an empty result.
+    The columns ride along as one struct, so that their names can't clash with those of the prediction. Null texts and texts without a
+    letter go; repeated rows stay repeated; an empty table gives an empty result.
     """
-    return identify_languages(documents, dictionaries).where(~F.col("rejected")).select(*documents.columns)
+    rows = documents.select("text", F.struct(*[documents[c] for c in documents.columns]).alias("row"))
+    return identify_languages(rows, dictionaries).where(~F.col("rejected")).select("row.*")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

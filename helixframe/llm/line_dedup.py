@@ -218,27 +218,32 @@ def dedup_lines(documents: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
     if not 0 <= edits <= MOST_EDITS:
         raise ValueError(f"edits must be from 0 to {MOST_EDITS}")
     gone = materialize(removed_lines(documents, edits), "lines-gone", True)
-    joined = _of_texts(documents.drop("n_lines", "n_removed"), gone, "left")
+    # other columns ride along as one struct, so that their names can't clash
+    others = [c for c in documents.columns if c not in ("doc_id", "text", "n_lines", "n_removed")]
+    packed = documents.select("doc_id", "text", *([F.struct(*[documents[c] for c in others]).alias("line_dedup_others")] if others else []))
+    joined = _of_texts(packed, gone, "left")
     parts = F.split("text", "\n")
     left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("line_dedup_gone", i)), "\n")
-    return joined.withColumns(
+    deduped = joined.withColumns(
         {
             "n_lines": F.coalesce(F.array_size(parts), F.lit(0)),
             "n_removed": F.coalesce(F.array_size("line_dedup_gone"), F.lit(0)),
             "text": F.when(F.col("line_dedup_gone").isNull(), F.col("text")).otherwise(left),
         }
-    ).drop("line_dedup_gone")
+    )
+    own = [F.col("line_dedup_others")[c].alias(c) if c in others else F.col(c) for c in documents.columns if c not in ("n_lines", "n_removed")]
+    return deduped.select(*own, "n_lines", "n_removed")
 
 
 def keep_deduped(documents: DataFrame) -> DataFrame:
-    """The pipeline's stage: the columns of documents, with texts deduped and n_chars renewed; documents left blank go.
+    """The pipeline's stage: the columns of documents, with texts deduped and n_chars renewed, others as they were; documents left blank go.
 
     Null texts and blank ones stay as they are, repeated rows stay repeated, and an empty table gives an empty result.
     """
-    out = dedup_lines(documents).where((F.col("n_removed") == 0) | (F.btrim("text", F.lit(" \t\r\n")) != ""))
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")))
-    return out.select(*documents.columns)
+    rows = documents.select("doc_id", "text", F.struct(*[documents[c] for c in documents.columns]).alias("row"))
+    out = dedup_lines(rows).where((F.col("n_removed") == 0) | (F.btrim("text", F.lit(" \t\r\n")) != ""))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row")["n_chars"]) if "n_chars" in documents.columns else None}
+    return out.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in documents.columns])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,14 @@ def _ordered(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~common_here], s[common_here]])
 
 
+def _sums(sets: list[np.ndarray]) -> list[pa.Array]:
+    """n, f1 and f2 of sets: their sizes and 128-bit sums."""
+    n = np.array([len(s) for s in sets], np.int64)
+    f1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+    f2 = np.array([(s * (s >> np.uint64(7) | np.uint64(1))).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+    return [pa.array(n), pa.array(f1), pa.array(f2)]
+
+
 def shingled(documents: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
     """doc_id, n (set size), f1, f2 (128-bit sum of the set) and prefix (first shingles in order) of every document."""
 
@@ -79,12 +87,11 @@ def shingled(documents: DataFrame, size: int, percent: int, common: np.ndarray)
         for batch in batches:
             for a, b, data, offsets in slabs(batch.column(1)):
                 sets = shingle_sets(data, offsets, size)
-                n = np.array([len(s) for s in sets], np.int64)
-                f1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                f2 = np.array([(s * (s >> np.uint64(7) | np.uint64(1))).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                sums = _sums(sets)
+                n = sums[0].to_numpy()
                 keep = n - least_overlap(n, percent) + 1
                 prefix = array_of_lists([_ordered(s, common)[:k] if len(s) else s for s, k in zip(sets, keep)], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(f1), pa.array(f2), prefix], names=["doc_id", "n", "f1", "f2", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *sums, prefix], names=["doc_id", "n", "f1", "f2", "prefix"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, prefix array<long>")
 
@@ -165,17 +172,24 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
     return postings.mapInArrow(run, "kind int, a long, b long")
 
 
-def full_sets(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """doc_id and tokens of the documents with these ids. Up to BROADCAST_IDS ids (counted) are broadcast."""
-    few = ids.count() <= BROADCAST_IDS
-    wanted = documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+def full_sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """doc_id (here and in what follows the number of a distinct set) and tokens of the sets wanted.
+
+    wanted: doc_id, n, f1, f2 and rep, a document that has the set; a rep may have other texts as well. Up to BROADCAST_IDS
+    reps (counted) are broadcast.
+    """
+    reps = wanted.select("rep").distinct()
+    few = wanted.count() <= BROADCAST_IDS
+    rows = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(reps) if few else reps, "rep", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in slabs(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), array_of_lists(shingle_sets(data, offsets, size), pa.int64())], names=["doc_id", "tokens"])
+                sets = shingle_sets(data, offsets, size)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *_sums(sets), array_of_lists(sets, pa.int64())], names=[*keys, "tokens"])
 
-    return wanted.mapInArrow(run, "doc_id long, tokens array<long>").dropDuplicates(["doc_id"])
+    keys = ["rep", "n", "f1", "f2"]
+    return rows.mapInArrow(run, "rep long, n long, f1 long, f2 long, tokens array<long>").dropDuplicates(keys).join(wanted, keys).select("doc_id", "tokens")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -310,20 +324,24 @@ def jaccard_classes(documents: DataFrame, size: int = 5, percent: int = 80) -> D
 
     component_id is the smallest doc_id that links lead to, itself included. Words are separated by white space and lower-cased
     (A-Z); a text of fewer words than size is one shingle; a null text, or one without words, has no shingle and no link.
-    Rows that repeat a doc_id are one document for its links. An empty table gives an empty result. Other columns are
+    Rows that repeat a doc_id, with one text or several, are one document for its links; each row has the size of its own set, and
+    one without words keeps its doc_id. An empty table gives an empty result. Other columns are
     ignored; doc_id must be a number, and rows without one come back with a null component_id.
     """
     common = _common_shingles(documents, size)
     docs = materialize(shingled(documents, size, percent, common), "shingled", True)
-    alike = docs.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    reps = alike.select(F.col("rep").alias("doc_id"), "n", "prefix")
+    filled = docs.where("n > 0 AND doc_id IS NOT NULL")
+    alike = filled.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
+    # the sets are numbered once, when they are written
+    alike = materialize(alike.withColumn("set_id", F.monotonically_increasing_id()), "distinct-sets", True)
+    reps = alike.select(F.col("set_id").alias("doc_id"), "n", "prefix")
     found = materialize(candidates(reps, percent), "candidates", True)
     pairs = materialize(found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs", True)
     crowded = found.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("token"))
     hubs = crowded.groupBy("token").agg(F.min("doc_id").alias("hub"))
     groups = components(crowded.join(hubs, "token").select(F.col("doc_id").alias("u"), F.col("hub").alias("v")))
     groups = materialize(groups.select(F.col("node").alias("doc_id"), "component"), "groups")
-    sizes = alike.select(F.col("rep").alias("doc_id"), "n")
+    sizes = alike.select(F.col("set_id").alias("doc_id"), "n")
     # a pair is kept only if what it shares of the prefixes leaves the threshold in reach; members of one group meet there
     n_a, n_b = sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
     g_a, g_b = groups.select(F.col("doc_id").alias("a"), F.col("component").alias("ga")), groups.select(F.col("doc_id").alias("b"), F.col("component").alias("gb"))
@@ -332,7 +350,8 @@ def jaccard_classes(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     can = (F.col("shared") + rest) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
     pairs = materialize(pairs.where(can & ~F.coalesce(F.col("ga") == F.col("gb"), F.lit(False))).select("a", "b", "shared"), "pairs", True)
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(groups.select("doc_id")).distinct()
-    sets = materialize(full_sets(documents, materialize(ids, "ids"), size), "sets", True)
+    wanted = materialize(ids.join(alike.select(F.col("set_id").alias("doc_id"), "n", "f1", "f2", "rep"), "doc_id"), "ids")
+    sets = materialize(full_sets(documents, wanted, size), "sets", True)
     # each set with the partner it shares most with; what these links and the groups join is settled
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
     near = materialize(overlaps(best, sets), "nearest-answers")
@@ -351,9 +370,16 @@ def jaccard_classes(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     told = materialize(derived(rest.select("b", F.col("a").alias("c")), nearest, known, sizes, percent), "derived-answers")
     left = overlaps(told.where("link IS NULL").select(F.col("c").alias("a"), "b"), sets)
     links = links.unionByName(reaching(answers, percent)).unionByName(told.where("link").select(F.col("b").alias("u"), F.col("c").alias("v"))).unionByName(reaching(left, percent))
+    # the texts of one document are one node
+    repeated = filled.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    texts = filled.select("doc_id", "n", "f1", "f2").join(repeated, "doc_id", "left_semi").distinct().join(alike.select("n", "f1", "f2", "set_id"), ["n", "f1", "f2"])
+    texts = materialize(texts.select("doc_id", "set_id"), "texts-of-ids")
+    links = links.unionByName(texts.join(texts.groupBy("doc_id").agg(F.min("set_id").alias("v")), "doc_id").select(F.col("set_id").alias("u"), "v"))
     classes = components(links)
-    of_rep = alike.select("n", "f1", "f2", "rep").join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    return docs.select("doc_id", "n", "f1", "f2").join(of_rep, ["n", "f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    of_set = alike.join(classes.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("n", "f1", "f2", "rep", F.coalesce("component", "set_id").alias("component"))
+    least = of_set.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_set = of_set.join(least, "component").select("n", "f1", "f2", "component_id")
+    return docs.select("doc_id", "n", "f1", "f2").join(of_set, ["n", "f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def keep_one_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
