@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import calls, extend, intervals, pipeline, reads, seeds, spans
+from .plans import calls, chains, circ, extend, intervals, pipeline, reads, seeds, spans
 from .plans.registry import ORACLES, QUERIES
 
-MODULES = [calls, extend, intervals, pipeline, reads, seeds, spans]
+MODULES = [calls, chains, circ, extend, intervals, pipeline, reads, seeds, spans]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..params import DEFAULT, Params
 from .annotation import insert_size
 from .intervals import point_join
 from .pairs import mate_pair_candidates
-from .pairwise import clip_align, edit_distance
+from .pairwise import clip_aligned, edit_distance
 from .reads import final_mate_class, mate_status, unmapped_class
 from .report import best_mapping
 from .seeds import PIECE, pieces
@@ -22,12 +23,18 @@ from .tables import stored
 FAR = 1 << 40
 
 
+def cut_genome(genome: DataFrame) -> DataFrame:
+    """Pieces of a genome (chr, at, seq), written once, that all operators here take in its place."""
+    return stored(pieces(genome.select("chr", F.upper("seq").alias("seq")), 0, "chr"))
+
+
 def bases(spans: DataFrame, genome: DataFrame, *keys: str) -> DataFrame:
     """spans (keys, which are unique, chr, pos, len) with the column bases, short or empty where a chromosome ends.
 
-    The genome is cut into pieces that spans meet in a join on chromosome and offset, so that no task holds a chromosome.
+    The genome is cut into pieces, if it is not yet (cut_genome), that spans meet in a join on chromosome and offset, so that no
+    task holds a chromosome.
     """
-    cut = pieces(genome.select("chr", F.upper("seq").alias("seq")), 0, "chr")
+    cut = genome if "at" in genome.columns else pieces(genome.select("chr", F.upper("seq").alias("seq")), 0, "chr")
     first, last = F.greatest(F.col("pos"), F.lit(1)), F.col("pos") + F.col("len") - 1
     asked = spans.select(*keys, "chr", first.alias("a"), last.alias("b")).where("b >= a")
     asked = asked.withColumn("at", F.explode(F.sequence(F.floor((F.col("a") - 1) / PIECE) * PIECE, F.floor((F.col("b") - 1) / PIECE) * PIECE, F.lit(PIECE).cast("long"))))
@@ -39,10 +46,12 @@ def bases(spans: DataFrame, genome: DataFrame, *keys: str) -> DataFrame:
 
 
 def _clip_aligned(p: Params):
-    @F.pandas_udf("clip int, indel int, ed int")
-    def run(q: pd.Series, ref: pd.Series, edits: pd.Series) -> pd.DataFrame:
-        found = [clip_align(a, b, p.max_clip, p.band, int(e)) or (None, None, None) for a, b, e in zip(q, ref, edits)]
-        return pd.DataFrame({name: pd.array([f[i] for f in found], "Int32") for i, name in enumerate(("clip", "indel", "ed"))})
+    @F.pandas_udf("clip int, indel int, ed int, whole boolean")
+    def run(q: pd.Series, ref: pd.Series, edits: pd.Series, stops: pd.Series) -> pd.DataFrame:
+        found = clip_aligned(q.tolist(), ref.tolist(), edits.to_numpy(), [np.asarray(s) for s in stops], p.max_clip, p.band)
+        none = found[:, 2] < 0
+        columns = {name: pd.arrays.IntegerArray(found[:, i].astype(np.int32), none) for i, name in enumerate(("clip", "indel", "ed"))}
+        return pd.DataFrame({**columns, "whole": found[:, 3] == 1})
 
     return run
 
@@ -53,10 +62,12 @@ def extend_alignment(anchors: DataFrame, trans_seg: DataFrame, genome: DataFrame
     anchors: id, chr, pos (that base), seq (the bases left over, in the order of the genome), edits (allowed), bound (no path
     goes beyond it), tids (transcripts to follow; all, if empty). Paths run along every transcript with a segment at pos, and
     straight on, as where an intron is kept. The end of the read may be clipped. The best has the least clip and twice the edits,
-    then the fewest edits, the nearest end, a transcript rather than none, and the first transcript.
+    then the fewest edits, the nearest end, a transcript rather than none, and the first transcript. Where nothing reaches the end of
+    the read within the limits, what reaches the end of an exon counts: the most bases less twice the edits. Such an anchor is
+    ok only if what is left of the read may be clipped.
 
     Per anchor: id, ok, pos (last base reached), ed, clip, covered (bases of the read), trans_id (null if straight on). Without
-    bases left over an anchor is ok as it is; where nothing is within the limits, ok is false and pos stays.
+    bases left over an anchor is ok as it is; where no exon's end is within the limits either, ok is false and pos stays.
     """
     sign = 1 if right else -1
     n = F.length("seq")
@@ -73,7 +84,15 @@ def extend_alignment(anchors: DataFrame, trans_seg: DataFrame, genome: DataFrame
     # transcripts that go the same way are aligned once
     paths = paths.groupBy("id", "steps").agg(F.min(F.struct((F.col("path") == "").alias("bare"), "path")).alias("by"))
     ref = F.substring(F.array_join(F.transform("steps", lambda x: x["bases"]), ""), 2, 1 << 30)
-    tried = paths.join(todo.select("id", turn(F.col("seq")).alias("seq"), "edits"), "id").withColumn("al", _clip_aligned(p)(F.col("seq"), ref, F.col("edits"))).where("al.ed IS NOT NULL")
+    # ends of exons before the end of the read: where the next step isn't the next base, or none follows
+    ends = F.transform("steps", lambda x: x["pos"] + x["len"] - 1 if right else x["pos"])
+    begins = F.transform("steps", lambda x: x["pos"] if right else x["pos"] + x["len"] - 1)
+    far = F.transform(F.sequence(F.lit(1), F.size("steps")), lambda k: F.aggregate(F.slice("steps", 1, k), F.lit(-1).cast("long"), lambda t, x: t + x["len"]).cast("int"))
+    is_end = F.zip_with(F.slice(begins, 2, F.size("steps")), ends, lambda x, y: F.coalesce(x != y + sign, F.lit(True)))
+    stops = F.filter(far, lambda x, k: F.get("is_end", k) & (x > 0) & (x < n + p.band))
+    todo_seq = todo.select("id", turn(F.col("seq")).alias("seq"), "edits")
+    tried = paths.join(todo_seq, "id").withColumn("is_end", is_end).withColumn("stops", F.when(F.col("by.bare"), F.array().cast("array<int>")).otherwise(stops))
+    tried = tried.withColumn("al", _clip_aligned(p)(F.col("seq"), ref, F.col("edits"), F.col("stops"))).where("al.ed IS NOT NULL")
 
     def step(t: Column, x: Column) -> Column:
         take = F.least(t["rest"], x["len"])
@@ -82,16 +101,17 @@ def extend_alignment(anchors: DataFrame, trans_seg: DataFrame, genome: DataFrame
 
     reach = (n - F.col("al.clip") + F.col("al.indel") + 1).cast("long")
     at = F.aggregate("steps", F.struct(reach.alias("rest"), F.lit(0).cast("long").alias("at")), step)["at"]
-    key = F.struct((F.col("al.ed") * 2 + F.col("al.clip")).alias("cost"), F.col("al.ed").alias("ed"), (at * sign).alias("near"), F.col("by.bare").alias("bare"), F.col("by.path").alias("path"), F.col("al.clip").alias("clip"))
+    key = F.struct((~F.col("al.whole")).alias("short"), (F.col("al.ed") * 2 + F.col("al.clip")).alias("cost"), F.col("al.ed").alias("ed"), (at * sign).alias("near"), F.col("by.bare").alias("bare"), F.col("by.path").alias("path"), F.col("al.clip").alias("clip"))
     best = tried.groupBy("id").agg(F.min(key).alias("b"))
     hit = F.col("b").isNotNull()
+    ok = (hit & (~F.col("b.short") | (F.col("b.clip") <= p.max_clip))) | (n == 0)
     out = anchors.join(best, "id", "left")
     return out.select(
         "id",
-        (hit | (n == 0)).alias("ok"),
+        ok.alias("ok"),
         F.coalesce(F.col("b.near") * sign, F.col("pos")).alias("pos"),
         F.coalesce("b.ed", F.lit(0)).alias("ed"),
-        F.coalesce("b.clip", F.lit(0)).alias("clip"),
+        F.when(ok, F.coalesce("b.clip", F.lit(0))).otherwise(0).alias("clip"),
         F.when(hit, n - F.col("b.clip")).otherwise(0).alias("covered"),
         F.when(hit & ~F.col("b.bare"), F.col("b.path")).alias("trans_id"),
     )
@@ -255,8 +275,8 @@ def classify_pair(reads: DataFrame, chains: DataFrame, exons: DataFrame, trans_s
     its category, unless what its mates are by themselves (final_mate_class) is a smaller one. Reads without chains on a mate
     have the category of that.
 
-    Columns: rname, type, and (null without a mapping) chr, and with 1 for the left and 2 for the right mate mate, spos, epos,
-    qspos, qepos and mtype.
+    Columns: rname, type, and (null without a mapping) chr, and with 1 for the left and 2 for the right mate mate, dir, ed, spos,
+    epos, qspos, qepos and mtype.
     """
     name = F.struct("rname", "mate", "dir", "chr", "chain_no")
     chains = stored(chain_facts(chains.withColumn("id", name), exons, genes))
@@ -288,7 +308,9 @@ def classify_pair(reads: DataFrame, chains: DataFrame, exons: DataFrame, trans_s
     counts = chains.groupBy("rname").agg(*[F.count_if(F.col("mate") == k).alias(f"n{k}") for k in (1, 2)])
     none = unmapped_class(F.coalesce("n1", F.lit(0)), F.coalesce("n2", F.lit(0)), F.lit(0), F.lit(0))
     left_mate = F.when(F.col("forward_left"), F.col("attempt")).otherwise(3 - F.col("attempt"))
-    shown = best.select("rname", F.col("type").alias("shown"), "chr", left_mate.alias("mate1"), (3 - left_mate).alias("mate2"), *[F.col(f"{c}{k}") for c in ("spos", "epos", "qspos", "qepos") for k in (1, 2)], *[F.col(f"type{k}").alias(f"mtype{k}") for k in (1, 2)])
+    ed = lambda k: sum(F.col(f"{c}{k}") for c in ("middle_ed", "left_ed", "right_ed"))
+    dirs = [F.when(F.col("forward_left") == F.lit(x), 1).otherwise(-1).alias(f"dir{k}") for k, x in ((1, True), (2, False))]
+    shown = best.select("rname", F.col("type").alias("shown"), "chr", left_mate.alias("mate1"), (3 - left_mate).alias("mate2"), *dirs, ed(1).alias("ed1"), ed(2).alias("ed2"), *[F.col(f"{c}{k}") for c in ("spos", "epos", "qspos", "qepos") for k in (1, 2)], *[F.col(f"type{k}").alias(f"mtype{k}") for k in (1, 2)])
     out = reads.select("rname").distinct().join(counts, "rname", "left").join(shown, "rname", "left").join(by_mates, "rname", "left")
     # what the mates are by themselves counts only where no pair is a concordant, discordant or chimeric one
     told = F.when(F.col("shown") <= P.CHI2BSJ, F.col("shown")).otherwise(F.least("shown", "by_mates"))

@@ -1,4 +1,4 @@
-"""K-mer seeds: postings, seed joins, caps, bins and chains."""
+"""K-mer seeds: postings, seed joins, caps and bins."""
 
 from __future__ import annotations
 
@@ -157,70 +157,3 @@ def composition_window(sequences: DataFrame, length: int) -> DataFrame:
     sums = cut.select("chr", "at", "i", *[(F.col("base") == b).cast("int").alias(f"is_{b}") for b in "ACGT"]).select("*", *[F.sum(f"is_{b}").over(so_far).alias(b) for b in "ACGT"])
     ends = sums.select("chr", (F.col("at") + F.col("i") + 1).cast("int").alias("pos"), "i", *[(F.lead(b, length - 1).over(w) - F.col(b) + F.col(f"is_{b}")).alias(b.lower()) for b in "ACGT"])
     return ends.where((F.col("i") < PIECE) & F.col("a").isNotNull()).drop("i")
-
-
-def chain_links(hits: DataFrame, k: int, max_edit: int = DEFAULT.max_edit, reach: int = DEFAULT.max_intron) -> DataFrame:
-    """Legal pairs of seeds of a read: the second further on in both read and genome, their distances alike within max_edit.
-
-    Columns q1, r1, q2, r2 and score, the gain of the link. Seeds of a read are met by diagonal bin, an equi-join.
-    """
-    keys = ["rname", "dir", "chr"]
-    width = max_edit + 1
-    diag = F.floor((F.col("rpos") - F.col("qpos")) / width)
-    a = hits.select(*keys, F.col("qpos").alias("q1"), F.col("rpos").alias("r1"), diag.alias("bin"))
-    b = hits.select(*keys, F.col("qpos").alias("q2"), F.col("rpos").alias("r2"), F.explode(F.array(diag - 1, diag, diag + 1)).alias("bin"))
-    shift = F.abs((F.col("r2") - F.col("r1")) - (F.col("q2") - F.col("q1")))
-    j = a.join(b, [*keys, "bin"]).where((F.col("q2") > F.col("q1")) & (F.col("r2") > F.col("r1")) & (F.col("r2") - F.col("r1") <= reach) & (shift <= max_edit))
-    return j.select(*keys, "q1", "r1", "q2", "r2", F.round(F.lit(2e4 * k) - 0.1 * shift, 6).alias("score"))
-
-
-def chain_seeds(hits: DataFrame, k: int, keys: list[str] | None = None, best: int = DEFAULT.max_chains, max_edit: int = DEFAULT.max_edit, reach: int = DEFAULT.max_intron) -> DataFrame:
-    """The best co-linear chains of each key: chain_no, score, frags (qpos, rpos, len).
-
-    Chains are built from the last seed to the first, score = k, or the link's gain and the score of what follows. A chain whose
-    first seed is part of a better one is no chain of its own. Seeds of a key are those of a read on a strand of a chromosome,
-    after the cap on seeds, so that a group is bounded.
-    """
-    import pandas as pd
-
-    keys = keys or ["rname", "dir", "chr"]
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["qpos", "rpos"]).sort_values(["qpos", "rpos"])
-        q, r = rows["qpos"].to_numpy(), rows["rpos"].to_numpy()
-        n = len(q)
-        score, then = np.full(n, float(k)), np.full(n, -1)
-        for i in range(n - 2, -1, -1):
-            dq, dr = q[i + 1 :] - q[i], r[i + 1 :] - r[i]
-            shift = np.abs(dr - dq)
-            gain = np.where((dq > 0) & (dr > 0) & (dr <= reach) & (shift <= max_edit), score[i + 1 :] + 2e4 * k - 0.1 * shift, -np.inf)
-            j = int(np.argmax(gain)) if len(gain) else 0
-            if len(gain) and gain[j] > score[i]:
-                score[i], then[i] = gain[j], i + 1 + j
-        used: set[int] = set()
-        out = []
-        for i in np.lexsort((np.arange(n), -score)):
-            if i in used:
-                continue
-            path, j = [], int(i)
-            while j >= 0:
-                path.append(j)
-                j = int(then[j])
-            used.update(path)
-            out.append((len(out), float(score[i]), [{"qpos": int(q[x]), "rpos": int(r[x]), "len": k} for x in path]))
-            if len(out) == best:
-                break
-        frame = pd.DataFrame(out, columns=["chain_no", "score", "frags"])
-        for key in reversed(keys):
-            frame.insert(0, key, rows[key].iloc[0])
-        return frame
-
-    types = dict(hits.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", chain_no int, score double, frags array<struct<qpos: long, rpos: long, len: int>>"
-    return hits.select(*keys, "qpos", "rpos").groupBy(*keys).applyInPandas(work, schema)
-
-
-def kbest_chains(chains: DataFrame, keys: list[str], best: int) -> DataFrame:
-    """The best chains over all chromosomes of each key, by score and order of discovery."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "chr", "chain_no")
-    return chains.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= best)

@@ -13,36 +13,59 @@ from ..params import DEFAULT, Params
 from .intervals import gap_neighbours, merge_islands, point_join
 
 
-def seed_upper_bound(seeds: DataFrame, exons: DataFrame, max_edit: int = DEFAULT.max_edit) -> DataFrame:
-    """id and bound: the furthest start that the seed after each may have.
+def place_facts(places: DataFrame, exons: DataFrame, k: int) -> DataFrame:
+    """What the gene model says of a seed of k bases at each place (chr, pos; distinct): chr, pos, in_exon, max_end, min_end, max_next, next_start, exons.
+
+    exons lists those that hold pos (start_pos, end_pos, gene_id, next_exon_beg). in_exon tells whether there is any; max_end,
+    min_end and max_next are of those that hold the whole seed. Outside exons max_end is the base before next_start, the
+    next exon's; it is null where none follows.
+    """
+    held = point_join(places, exons.select("chr", "start_pos", "end_pos", "gene_id", "next_exon_beg").distinct())
+    whole = F.col("end_pos") >= F.col("pos") + k - 1
+    per = held.groupBy("chr", "pos").agg(
+        F.max(F.when(whole, F.col("end_pos"))).alias("most"),
+        F.min(F.when(whole, F.col("end_pos"))).alias("min_end"),
+        F.max(F.when(whole, F.col("next_exon_beg"))).alias("max_next"),
+        F.collect_list(F.struct("start_pos", "end_pos", "gene_id", "next_exon_beg")).alias("exons"),
+    )
+    out = gap_neighbours(places, merge_islands(exons)).select("chr", "pos", "next_start").join(per, ["chr", "pos"], "left")
+    max_end = F.when(F.col("exons").isNull(), F.col("next_start") - 1).otherwise(F.coalesce("most", F.lit(0)))
+    return out.select("chr", "pos", F.col("exons").isNotNull().alias("in_exon"), max_end.alias("max_end"), "min_end", "max_next", "next_start", "exons")
+
+
+def seed_bound(pos: Column, rlen: Column, k: int | Column, p: Params = DEFAULT) -> Column:
+    """The furthest start that the seed after one of k bases at pos may have, from the columns of place_facts; rlen bases of the read follow it.
 
-    seeds: id, chr, pos, mlen (bases), rlen (bases of the read after it); exons with next_exon_beg as from exon_neighbours.
     In an intron the bound is rlen and the edits further on, or where the seed would touch the next exon; in exons it is their
     end, or the furthest next exon where one of them ends before the read does; on a border it is 0.
     """
-    end = F.col("pos") + F.col("mlen") - 1
-    held = point_join(seeds, exons.select("chr", "start_pos", "end_pos", "next_exon_beg"))
-    whole = F.col("end_pos") >= end
-    per = held.groupBy("id").agg(F.max(F.when(whole, F.col("end_pos"))).alias("max_end"), F.min(F.when(whole, F.col("end_pos"))).alias("min_end"), F.max(F.when(whole, F.col("next_exon_beg"))).alias("max_next"), F.lit(True).alias("held"))
-    next_start = gap_neighbours(seeds.select("id", "chr", "pos"), merge_islands(exons)).select("id", "next_start")
-    j = seeds.join(per, "id", "left").join(next_start, "id", "left")
-    reach = F.col("pos") + F.col("rlen") + max_edit
-    intron = F.when(F.col("next_start").isNull(), reach).when(F.col("next_start") - 1 < end, 0).otherwise(F.least(reach, F.col("next_start") - F.col("mlen")))
-    exonic = F.when(F.col("max_end").isNull(), 0).when((F.col("min_end") < F.col("rlen") + end) & (F.col("max_next") != 0), F.col("max_next") + F.col("mlen") - 1).otherwise(F.col("max_end") - F.col("mlen") + 1)
-    return j.select("id", F.when(F.col("held").isNull(), intron).otherwise(exonic).cast("long").alias("bound"))
+    end = pos + k - 1
+    reach = pos + rlen + p.max_edit
+    intron = F.when(F.col("next_start").isNull(), reach).when(F.col("next_start") - 1 < end, 0).otherwise(F.least(reach, F.col("next_start") - k))
+    exonic = F.when(F.col("min_end").isNull(), 0).when((F.col("min_end") < rlen + end) & (F.col("max_next") != 0), F.col("max_next") + k - 1).otherwise(F.col("max_end") - k + 1)
+    return F.when(F.col("in_exon"), exonic).otherwise(intron).cast("long")
+
+
+def seed_upper_bound(seeds: DataFrame, exons: DataFrame, k: int = DEFAULT.kmer, p: Params = DEFAULT) -> DataFrame:
+    """id and bound (seed_bound) of seeds of k bases: id, chr, pos, rlen (bases of the read after them).
+
+    exons have next_exon_beg as from exon_neighbours. What the gene model says of a place is found once for all seeds there.
+    """
+    facts = place_facts(seeds.select("chr", "pos").distinct(), exons, k)
+    return seeds.join(facts, ["chr", "pos"]).select("id", seed_bound(F.col("pos"), F.col("rlen"), k, p).alias("bound"))
 
 
 def junction_distance(pairs: DataFrame, exons: DataFrame, k: int = DEFAULT.kmer, max_edit: int = DEFAULT.max_edit) -> DataFrame:
     """id and dist of the pairs of seeds (id, chr, s1, s2, read_dist) that a junction can lie between.
 
     dist is what of an exon of the first seed follows it and what of the next exon precedes the second one, if it is within
-    max_edit of the distance in the read (of several exons the one that fits best, then the shorter distance); failing that, the
+    max_edit of the distance in the read (of several exons the first by start, end, gene and furthest next exon); failing that, the
     distance in the genome where the second seed lies wholly in the intron after an exon that ends within the read's distance.
     """
     e1 = F.col("s1") + k - 1
-    held = point_join(pairs.where(F.col("s2") > e1), exons.select("chr", "start_pos", "end_pos", "next_exon_beg"), "s1")
+    held = point_join(pairs.where(F.col("s2") > e1), exons.select("chr", "start_pos", "end_pos", "gene_id", "next_exon_beg"), "s1")
     after, ahead = F.col("end_pos") - e1, F.col("s2") - F.col("next_exon_beg")
-    across = F.when((after >= 0) & (ahead >= 0) & (F.abs(after + ahead - F.col("read_dist")) <= max_edit), F.struct(F.abs(after + ahead - F.col("read_dist")).alias("off"), (after + ahead).alias("dist")))
+    across = F.when((after >= 0) & (ahead >= 0) & (F.abs(after + ahead - F.col("read_dist")) <= max_edit), F.struct("start_pos", "end_pos", "gene_id", (-F.col("next_exon_beg")).alias("next"), (after + ahead).alias("dist")))
     inside = F.when((after >= 0) & (after < F.col("read_dist")) & (ahead + k < 0), F.col("s2") - e1 - 1)
     per = held.groupBy("id").agg(F.min(across).alias("across"), F.min(inside).alias("inside"))
     return per.select("id", F.coalesce("across.dist", "inside").alias("dist")).where("dist IS NOT NULL")

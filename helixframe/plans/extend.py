@@ -30,9 +30,12 @@ t AS (SELECT *, length(q) - c AS n, length(q) - c + d AS j FROM w, (SELECT unnes
 e AS (SELECT *, CASE WHEN n = 0 THEN j ELSE levenshtein(substr(q, 1, CAST(n AS INTEGER)), substr(r, 1, CAST(j AS INTEGER))) END AS ed FROM t WHERE j >= 0 AND n >= 0),
 p AS (SELECT * FROM e WHERE ed <= edits QUALIFY row_number() OVER (PARTITION BY id, bare ORDER BY c + 2 * ed, ed, abs(d), j) = 1),
 m AS (SELECT *, CASE WHEN bare = 1 OR j <= 9 THEN pos + j ELSE 491 + j END AS reached FROM p),
-b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY c + 2 * ed, ed, reached, bare) = 1)
-SELECT l.id, b.id IS NOT NULL AS ok, CAST(coalesce(reached, l.pos) AS BIGINT) AS pos, CAST(coalesce(ed, 0) AS INTEGER) AS ed, CAST(coalesce(c, 0) AS INTEGER) AS clip, CAST(coalesce(n, 0) AS INTEGER) AS covered, CASE WHEN bare = 0 THEN CAST(l.id AS VARCHAR) END AS trans_id
-FROM l LEFT JOIN b USING (id)""")
+b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY c + 2 * ed, ed, reached, bare) = 1),
+x AS (SELECT id, length(q) AS n, i, levenshtein(substr(q, 1, CAST(i AS INTEGER)), substr(r, 1, 9)) AS ed, edits FROM w, (SELECT unnest(range(6, 13)) AS i) WHERE bare = 0 AND i <= length(q)),
+s AS (SELECT * FROM x WHERE ed <= edits QUALIFY row_number() OVER (PARTITION BY id ORDER BY 2 * ed - i, ed, abs(i - 9), i DESC) = 1)
+SELECT l.id, b.id IS NOT NULL OR coalesce(s.n - s.i <= 7, false) AS ok, CAST(coalesce(reached, CASE WHEN s.id IS NOT NULL THEN 300 END, l.pos) AS BIGINT) AS pos, CAST(coalesce(b.ed, s.ed, 0) AS INTEGER) AS ed,
+       CAST(coalesce(c, CASE WHEN s.n - s.i <= 7 THEN s.n - s.i END, 0) AS INTEGER) AS clip, CAST(coalesce(b.n, s.i, 0) AS INTEGER) AS covered, CASE WHEN b.bare = 0 OR (b.id IS NULL AND s.id IS NOT NULL) THEN CAST(l.id AS VARCHAR) END AS trans_id
+FROM l LEFT JOIN b USING (id) LEFT JOIN s USING (id)""")
 def _(v):
     genome, _, segs, _ = _world(v)
     anchors = genome.sparkSession.sql(LEFT).select("id", "chr", "pos", C("q").alias("seq"), "edits", F.lit(extend.FAR).cast("long").alias("bound"), F.array().cast("array<long>").alias("tids"))

@@ -60,26 +60,6 @@ def _(v):
 
 
 HITS = f"{_sql(INDEX, 20)}, {_sql(READS, 20)}, h AS (SELECT rname, dir, CAST(qpos AS INTEGER) AS qpos, chr, rpos FROM rk JOIN ix USING (kmer))"
-LINKS = f"""WITH {HITS}
-SELECT a.rname, a.dir, a.chr, a.qpos AS q1, a.rpos AS r1, b.qpos AS q2, b.rpos AS r2, round(CAST(400000.0 AS DOUBLE) - CAST(0.1 AS DOUBLE) * abs((b.rpos - a.rpos) - (b.qpos - a.qpos)), 6) AS score
-FROM h a JOIN h b ON a.rname = b.rname AND a.dir = b.dir AND a.chr = b.chr AND b.qpos > a.qpos AND b.rpos > a.rpos AND b.rpos - a.rpos <= 2000 AND abs((b.rpos - a.rpos) - (b.qpos - a.qpos)) <= 4"""
-
-
-@query("chain_links", LINKS)
-def _(v):
-    return seeds.chain_links(seeds.kmer_seed_join(v("v_reads"), v("v_contigs"), 20), 20, reach=2_000)
-
-
-@query("chain_seeds")
-def _(v):
-    return seeds.chain_seeds(seeds.kmer_seed_join(v("v_reads"), v("v_contigs"), 20), 20)
-
-
-@query("kbest_chains")
-def _(v):
-    chains = seeds.chain_seeds(seeds.kmer_seed_join(v("v_reads"), v("v_contigs"), 20), 20)
-    return seeds.kbest_chains(chains, ["rname", "dir"], 30).select("rname", "dir", "chr", "score", "rank")
-
 
 
 def _regional(v):
@@ -100,12 +80,6 @@ def _(v):
     return seeds.regional_kmer_join(*_regional(v))
 
 
-@query("chain_seeds_regional")
-def _(v):
-    hits = seeds.regional_kmer_join(*_regional(v))
-    return seeds.chain_seeds(hits, 8, ["id", "gene_id"], best=10)
-
-
 DNA = "translate(upper({c}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ ', 'ACGTACGTACGTACGTACGTACGTACN')"
 
 

@@ -38,8 +38,8 @@ LINKS = "SELECT rname AS id, chr, spos + rname % 29 AS s1, spos + rname % 29 + 1
 
 
 @query("junction_distance", f"""WITH {NEIGHBOURS}, p AS ({LINKS}),
-h AS (SELECT p.*, end_pos - (s1 + 19) AS a, s2 - next_exon_beg AS b FROM p JOIN nb e ON e.chr = p.chr AND s1 BETWEEN start_pos AND end_pos WHERE s2 > s1 + 19),
-x AS (SELECT id, arg_min(a + b, abs(a + b - read_dist) * 1000000 + a + b) FILTER (a >= 0 AND b >= 0 AND abs(a + b - read_dist) <= 4) AS across,
+h AS (SELECT p.*, start_pos, end_pos, gene_id, next_exon_beg, end_pos - (s1 + 19) AS a, s2 - next_exon_beg AS b FROM p JOIN nb e ON e.chr = p.chr AND s1 BETWEEN start_pos AND end_pos WHERE s2 > s1 + 19),
+x AS (SELECT id, first(a + b ORDER BY start_pos, end_pos, gene_id, next_exon_beg DESC) FILTER (a >= 0 AND b >= 0 AND abs(a + b - read_dist) <= 4) AS across,
   min(s2 - s1 - 20) FILTER (a >= 0 AND a < read_dist AND b + 20 < 0) AS inside FROM h GROUP BY id)
 SELECT id, coalesce(across, inside) AS dist FROM x WHERE coalesce(across, inside) IS NOT NULL""")
 def _(v):

@@ -36,7 +36,7 @@ def planted():
 def test_planted_circle_is_reported(spark, planted):
     genome, exons, reads = planted
     g = spark.createDataFrame([("chr1", genome)], "chr string, seq string")
-    e = spark.createDataFrame([("chr1", 1, 1, i + 1, s, t) for i, (s, t) in enumerate(exons)], "chr string, gene_id long, trans_id long, exon_num int, start_pos long, end_pos long")
+    e = spark.createDataFrame([("chr1", 1, 1, i + 1, s, t, "+") for i, (s, t) in enumerate(exons)], "chr string, gene_id long, trans_id long, exon_num int, start_pos long, end_pos long, strand string")
     got = circ.call_circles(spark.createDataFrame(reads, "rname string, mate int, seq string"), g, e).collect()
     assert [(x.chr, x.start_pos, x.end_pos, x.support, x.type, x["pass"]) for x in got] == [("chr1", 500, 3699, 10, "STC", "Pass")]
     assert got[0].reads == ",".join(f"c{i}" for i in range(10))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe import params as P
-from helixframe.operators import annotation, extend, reads, seeds, tables
+from helixframe.operators import annotation, circ, extend, tables
 
 FLIP = str.maketrans("ACGT", "TGCA")
 EXONS = [(500, 699), (1500, 1699), (3500, 3699)]
@@ -30,14 +30,15 @@ def prefix_edits(q, r):
 
 
 def brute(genome, pos, seq, edits, right, bound):
-    """The least clip and twice the edits over all clips and ends, straight on or along the exons."""
+    """The least clip and twice the edits over all clips and ends, straight on or along the exons; failing that the most bases less
+    twice the edits that reach an exon's end, as (None, that)."""
     sign = 1 if right else -1
     inside = [b for s, e in EXONS for b in range(s, e + 1)]
     ways = [("", [pos + sign * (i + 1) for i in range(len(seq) + 3)])]
     if pos in inside:
         at = inside.index(pos)
         ways.append(("1", (inside[at + 1 :] if right else inside[:at][::-1])[: len(seq) + 3]))
-    best = None
+    best, short = None, None
     for name, path in ways:
         path = [b for b in path if 1 <= b <= len(genome) and (b <= bound if right else b >= bound)]
         q, ref = seq if right else seq[::-1], "".join(genome[b - 1] for b in path)
@@ -46,7 +47,13 @@ def brute(genome, pos, seq, edits, right, bound):
                 if ed <= edits and abs(j - len(q) + clip) <= 3:
                     key = (clip + 2 * ed, ed, abs(j - len(q) + clip), sign * (path[j - 1] if j else pos), name == "")
                     best = min(best, key) if best else key
-    return best and (best[0], best[1])
+        for j, b in enumerate(path, 1):
+            if name and (j == len(path) < len(seq) + 3 or b in {e if right else s for s, e in EXONS}):
+                for i in range(max(1, j - 3), min(len(q), j + 3) + 1):
+                    ed = prefix_edits(q[:i], ref[:j])[j]
+                    if ed <= edits:
+                        short = max(short, i - 2 * ed) if short is not None else i - 2 * ed
+    return (best[0], best[1]) if best else (None, short) if short is not None else None
 
 
 @pytest.mark.parametrize("right", [True, False])
@@ -64,6 +71,11 @@ def test_extension_is_the_best_of_all_paths(spark, world, right):
         else:
             path = [pos + sign * (k + 1) for k in range(n)]
         seq = [genome[b - 1] for b in path]
+        if i % 4 == 1:  # over an exon's end, and elsewhere then
+            e = r.choice(EXONS)
+            pos, n = (e[1] - r.randrange(3, 25), r.randrange(30, 45)) if right else (e[0] + r.randrange(3, 25), r.randrange(30, 45))
+            stretch = range(pos + 1, e[1] + 1) if right else range(pos - 1, e[0] - 1, -1)
+            seq = [genome[b - 1] for b in stretch] + r.choices("ACGT", k=n)
         for _ in range(r.randrange(0, 6)):
             if seq:
                 x = r.randrange(len(seq))
@@ -72,16 +84,23 @@ def test_extension_is_the_best_of_all_paths(spark, world, right):
     anchors = spark.createDataFrame(rows, "id long, chr string, pos long, seq string, edits int, bound long").withColumn("tids", F.array().cast("array<long>"))
     got = {g.id: g for g in extend.extend_alignment(anchors, segs, frame, right).collect()}
     assert len(got) == len(rows)
+    short = 0
     for i, _, pos, seq, edits, bound in rows:
         want = brute(genome, pos, seq, edits, right, bound) if seq else (0, 0)
         g = got[i]
-        assert g.ok == (want is not None), (i, g)
-        if want:
+        clipped = want is not None and want[0] is None and g.covered >= len(seq) - 7
+        assert g.ok == bool(want and (want[0] is not None or clipped)), (i, g)
+        if want and want[0] is None:
+            assert g.covered - 2 * g.ed == want[1] and g.clip == (len(seq) - g.covered if clipped else 0), (i, g, want)
+            assert g.pos in {e[1] if right else e[0] for e in EXONS} | {bound}
+            short += 1
+        elif want:
             assert (g.clip + 2 * g.ed, g.ed) == want and g.covered == len(seq) - g.clip, (i, g, want)
         else:
             assert (g.pos, g.ed, g.clip, g.covered, g.trans_id) == (pos, 0, 0, 0, None)
         if g.trans_id is None and g.ok and g.ed == 0 and seq:
             assert abs(g.pos - pos) == g.covered
+    assert short > 5
 
 
 def test_bases_meet_pieces(spark):
@@ -92,12 +111,9 @@ def test_bases_meet_pieces(spark):
     assert got == {i: seq[max(p - 1, 0) : max(p - 1 + n, 0)] for i, _, p, n in rows}
 
 
-def chains_of(spark, rows, frame):
+def chains_of(spark, rows, frame, exons):
     mates = spark.createDataFrame(rows, "rname string, mate int, seq string")
-    ids = mates.select(F.concat_ws("/", "rname", F.col("mate").cast("string")).alias("rname"), "seq")
-    found = seeds.chain_seeds(seeds.kmer_seed_join(ids, frame, 20, 500), 20).withColumnRenamed("rname", "x")
-    j = mates.withColumn("x", F.concat_ws("/", "rname", F.col("mate").cast("string"))).join(found, "x").drop("x")
-    return mates, tables.stored(j).withColumn("seq", F.when(F.col("dir") == 1, F.col("seq")).otherwise(reads.revcomp(F.col("seq"))))
+    return mates, tables.stored(circ.read_chains(mates, frame, annotation.exon_neighbours(exons.withColumn("strand", F.lit("+")))))
 
 
 def test_pairs_get_their_category(spark, world):
@@ -114,7 +130,7 @@ def test_pairs_get_their_category(spark, world):
         rows += [(f"out{i}", 1, flip(genome[1509:1609])), (f"out{i}", 2, genome[3509:3609])]
         rows += [(f"no{i}", m, "".join(r.choices("ACGT", k=100))) for m in (1, 2)]
         rows += [(f"one{i}", 1, genome[1519:1619]), (f"one{i}", 2, "".join(r.choices("ACGT", k=100)))]
-    mates, chains = chains_of(spark, rows, frame)
+    mates, chains = chains_of(spark, rows, frame, exons)
     got = {g.rname: g for g in extend.classify_pair(mates, chains, exons, segs, genes, frame).collect()}
     kinds = {"lin": P.CONCRD, "rev": P.CONCRD, "bsj": P.CHIBSJ, "out": P.CHIORF, "no": P.NOMATCH, "one": P.OEANCH}
     assert {n: g.type for n, g in got.items()} == {n: kinds[n[:-1]] for n in got} and len(got) == 24
@@ -125,10 +141,10 @@ def test_pairs_get_their_category(spark, world):
 
 
 def test_single_reads(spark, world):
-    genome, frame, _, _, segs = world
+    genome, frame, exons, _, segs = world
     spliced = "".join(genome[s - 1 : e] for s, e in EXONS)
     rows = [("whole", 1, spliced[150:250]), ("part", 1, spliced[150:200] + "ACGT" * 12), ("none", 1, "ACGT" * 25)]
-    mates, chains = chains_of(spark, rows, frame)
+    mates, chains = chains_of(spark, rows, frame, exons)
     grown = extend.extend_mate(chains.withColumn("id", F.struct("rname", "dir", "chr", "chain_no")), segs, frame)
     got = extend.classify_single(mates, grown.select("id.rname", "type"))
     assert {g.rname: g.type for g in got.collect()} == {"whole": P.CONCRD, "part": P.CANDID, "none": P.ORPHAN}
