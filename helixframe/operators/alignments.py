@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
 from .intervals import overlap_join
+from .tables import stored
 
 #: Positions that differ by this much or less agree, and calls that match a true event.
 NEAR = 10
+#: Positions of a log that are counted together.
+STRETCH = 100_000
 
 
 def cigar_operations(cigar: Column) -> Column:
@@ -70,12 +73,28 @@ def mapping_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.select("qname", F.when(n == 2, "both").when(n == 1, "one").otherwise("none").alias("agreement"))
 
 
-def three_way_overlap(a: DataFrame, b: DataFrame, coords: list[str]) -> DataFrame:
-    """Per read in both sets the most coordinates within NEAR of each other over all pairs of alignments; -1 in one set only."""
-    y = b.select("rid", *[F.col(c).alias(f"o_{c}") for c in coords])
-    j = a.join(y, "rid", "full_outer")
-    score = sum((F.abs(F.col(c) - F.col(f"o_{c}")) < NEAR).cast("int") for c in coords)
-    return j.groupBy("rid").agg(F.max(F.coalesce(score, F.lit(-1))).alias("score"))
+def _alignments(mapped: DataFrame, name: str) -> DataFrame:
+    """rid and, under the set's name, its alignments in order: the two mates' starts and ends, the mate of smaller start first."""
+    swap = F.col("s2") < F.col("s1")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    one = F.struct("ord", pick("s1", "s2").alias("s1"), pick("e1", "e2").alias("e1"), pick("s2", "s1").alias("s2"), pick("e2", "e1").alias("e2"))
+    return mapped.groupBy("rid").agg(F.array_sort(F.collect_list(one)).alias(name))
+
+
+def three_way_overlap(p: DataFrame, r: DataFrame, g: DataFrame, near: int = NEAR) -> DataFrame:
+    """rid, pr, pg, rg and missing: how many of the four coordinates of a read two sets have within less than near of each other.
+
+    p, r, g: rid, ord, s1, e1, s2, e2 (starts and ends of both mates). Where the first set of a pair has several alignments of a read,
+    the best of them against the other's first one counts; else the best of the other's against it. Reads that a set lacks have
+    no scores, and missing names those sets, from which the counts of skipped reads follow.
+    """
+    j = _alignments(p, "p").join(_alignments(r, "r"), "rid", "full_outer").join(_alignments(g, "g"), "rid", "full_outer")
+    alike = lambda x, y: sum((F.abs(x[c] - y[c]) < near).cast("int") for c in ("s1", "e1", "s2", "e2"))
+    best = lambda x, y: F.array_max(F.transform(x, lambda a: alike(a, F.get(y, F.lit(0)))))
+    score = lambda x, y: F.when(F.size(x) > 1, best(F.col(x), F.col(y))).otherwise(best(F.col(y), F.col(x)))
+    whole = F.col("p").isNotNull() & F.col("r").isNotNull() & F.col("g").isNotNull()
+    missing = F.concat_ws(",", *[F.when(F.col(n).isNull(), F.lit(n)) for n in "prg"])
+    return j.select("rid", *[F.when(whole, score(x, y)).alias(x + y) for x, y in ("pr", "pg", "rg")], missing.alias("missing"))
 
 
 def sam_flags(first: Column, mapped: Column, mate_mapped: Column, reverse: Column, mate_reverse: Column, kind: Column) -> Column:
@@ -116,6 +135,43 @@ def gene_class(blocks: DataFrame, genes: DataFrame, exons: DataFrame) -> DataFra
     return blocks.select("qname").distinct().join(best, "qname", "left").select("qname", F.coalesce("b.class", F.lit(0)).alias("class"), F.col("b.gene_id").alias("gene_id"))
 
 
+def isoform_class(blocks: DataFrame, exons: DataFrame) -> DataFrame:
+    """How the chain of a read's blocks (qname, chr, block from 0, a_start, a_end) fits the exons of a transcript: qname, iso_class, trans_id, iso_gene.
+
+    3: the only block lies in an exon. 2: the only block meets an exon, or the last of several blocks meets one that begins
+    behind the block before it. 1: some other block meets an exon. 0: none does. The best transcript counts, of equals the one
+    of the smallest gene, then the smallest one.
+    """
+    w = Window.partitionBy("qname", "chr")
+    told = blocks.withColumns({"n": F.count("*").over(w), "before": F.lag("a_end").over(w.orderBy("block"))})
+    e = exons.select("chr", "gene_id", "trans_id", F.col("start_pos").alias("b_start"), F.col("end_pos").alias("b_end"))
+    met = overlap_join(told, e)
+    inside = (F.col("n") == 1) & (F.col("a_start") >= F.col("b_start")) & (F.col("a_end") <= F.col("b_end"))
+    last = (F.col("block") == F.col("n") - 1) & (F.col("before").isNull() | (F.col("b_start") > F.col("before")))
+    fit = F.when(inside, 3).when(last, 2).otherwise(1)
+    best = met.groupBy("qname", "gene_id", "trans_id").agg(F.max(fit).alias("fit")).groupBy("qname").agg(F.min(F.struct((-F.col("fit")).alias("f"), "gene_id", "trans_id")).alias("b"))
+    return blocks.select("qname").distinct().join(best, "qname", "left").select("qname", F.coalesce(-F.col("b.f"), F.lit(0)).alias("iso_class"), F.col("b.trans_id").alias("trans_id"), F.col("b.gene_id").alias("iso_gene"))
+
+
+def tag_classes(sam: DataFrame) -> DataFrame:
+    """class and value, the SAM line with its tags, of rows with line, xc, xd, xv, xy and class."""
+    tags = [F.concat(F.lit("XC:i:"), F.col("xc").cast("string")), F.concat(F.lit("XD:i:"), F.col("xd").cast("string")), F.concat(F.lit("XV:i:"), F.col("xv").cast("string")), F.concat(F.lit("XY:Z:"), F.col("xy"))]
+    return sam.select("class", F.concat_ws("\t", F.regexp_replace("line", r"\s+$", ""), *tags).alias("value"))
+
+
+def write_classes(tagged: DataFrame, path: str) -> None:
+    """One dataset of lines for each class (column class), each task appending to those it has rows of."""
+    tagged.select("class", "value").write.partitionBy("class").text(path)
+
+
+def read_classes(spark: SparkSession, path: str) -> DataFrame:
+    """class, the fields of the lines that every line has, and their tags by name."""
+    lines = spark.read.text(path).select("class", F.split("value", "\t").alias("f"))
+    tag = lambda x: F.split(x, ":", 3)
+    tags = F.map_from_entries(F.transform(F.filter("f", lambda x: x.rlike("^X[A-Z]:[iZ]:")), lambda x: F.struct(tag(x)[0].alias("k"), tag(x)[2].alias("v"))))
+    return lines.select("class", F.get("f", F.lit(0)).alias("qname"), F.get("f", F.lit(1)).cast("int").alias("flag"), tags.alias("tags"))
+
+
 def truth_candidates(calls: DataFrame, truth: DataFrame, near: int = NEAR) -> DataFrame:
     """Calls with the true events of the chromosome whose both ends lie within near.
 
@@ -129,29 +185,25 @@ def truth_candidates(calls: DataFrame, truth: DataFrame, near: int = NEAR) -> Da
 
 
 def truth_match(calls: DataFrame, truth: DataFrame, near: int = NEAR) -> DataFrame:
-    """One-to-one greedy match in the order of calls: each takes the first unused true event within near, or is a false positive.
+    """One-to-one greedy match in the order of calls (start, end): each takes the first unused true event within near, or is a false positive.
 
-    Only calls that compete, directly or through others, depend on each other; on one chromosome these are stretches without a
-    gap of more than 2 * near between candidates' starts, and each stretch is matched by itself.
+    All events prefer earlier calls, so that the match is the only stable one, and proposals find it in rounds: every call
+    proposes to the first event that it has left, and an event holds the earliest call that proposed and turns down all later ones. A
+    round is a few aggregations over the pairs that are left, and chromosomes or dense stretches are never put in order. There are at
+    most as many rounds as calls that compete in a chain.
     """
-    import pandas as pd
-
-    pairs = truth_candidates(calls, truth, near)
-    w = Window.partitionBy("chr").orderBy("start_pos", "t_start")
-    marked = pairs.withColumn("fresh", F.when(F.col("start_pos") - F.lag("start_pos").over(w) <= 2 * near, 0).otherwise(1))
-    stretch = marked.withColumn("stretch", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for (s, e), found in rows.sort_values(["start_pos", "end_pos", "t_start", "t_end"]).groupby(["start_pos", "end_pos"], sort=True):
-            for r in found.itertuples():
-                if (r.t_start, r.t_end) not in used:
-                    used.add((r.t_start, r.t_end))
-                    out.append((r.chr, s, e, r.t_start, r.t_end))
-                    break
-        return pd.DataFrame(out, columns=["chr", "start_pos", "end_pos", "t_start", "t_end"])
-
-    matched = stretch.select("chr", "stretch", "start_pos", "end_pos", "t_start", "t_end").groupBy("chr", "stretch").applyInPandas(greedy, "chr string, start_pos long, end_pos long, t_start long, t_end long")
+    pairs = truth_candidates(calls.select("chr", "start_pos", "end_pos").distinct(), truth, near)
+    pairs = stored(pairs.select("chr", F.struct("start_pos", "end_pos").alias("call"), F.struct(F.col("t_start").alias("start_pos"), F.col("t_end").alias("end_pos")).alias("event")).distinct())
+    n = pairs.count()
+    while True:
+        asked = pairs.groupBy("chr", "call").agg(F.min("event").alias("event"))
+        held = asked.groupBy("chr", "event").agg(F.min("call").alias("holder"))
+        pairs = stored(pairs.join(held, ["chr", "event"], "left").where("holder IS NULL OR call <= holder").drop("holder"))
+        left = pairs.count()
+        if left == n:
+            break
+        n = left
+    matched = pairs.groupBy("chr", "call").agg(F.min("event").alias("event")).select("chr", "call.*", F.col("event.start_pos").alias("t_start"), F.col("event.end_pos").alias("t_end"))
     keys = ["chr", "start_pos", "end_pos"]
     return calls.select(*keys).distinct().join(matched, keys, "left").withColumn("verdict", F.when(F.col("t_start").isNull(), "FP").otherwise("TP"))
 
@@ -164,26 +216,43 @@ def read_event_verdict(reads: DataFrame, reported: DataFrame, truth: DataFrame)
     return got.join(known, "found", "left").select("rname", verdict.alias("verdict"))
 
 
-def parse_sim_log(lines: DataFrame) -> DataFrame:
-    """Simulator log (column value, line) to events: event, gene_id, trans_id, spliced_len, declared, reads, split_reads.
+def running_counts(rows: DataFrame, key: str, order: str, flags: dict[str, Column], size: int = STRETCH) -> DataFrame:
+    """rows with running counts of flags along order within key: those at or before each row.
+
+    Rows are counted for each stretch of size positions first; the few counts, summed over the stretches before it, are added to
+    counts within a stretch, so that a long key goes to many tasks.
+    """
+    cut = rows.withColumns({"stretch": F.floor(F.col(order) / size), **{f: c.cast("long") for f, c in flags.items()}})
+    per = cut.groupBy(key, "stretch").agg(*[F.sum(f).alias(f) for f in flags])
+    so_far = Window.partitionBy(key).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(key, "stretch", *[F.coalesce(F.sum(f).over(so_far), F.lit(0)).alias(f"{f}_before") for f in flags])
+    within = Window.partitionBy(key, "stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = cut.join(per, [key, "stretch"])
+    return counted.select(*rows.columns, *[(F.sum(f).over(within) + F.col(f"{f}_before")).alias(f) for f in flags])
+
+
+def parse_sim_log(lines: DataFrame, size: int = STRETCH) -> DataFrame:
+    """Simulator log (columns log, line, value) to events: event, gene_id, trans_id, spliced_len, declared, reads, split_reads.
 
     ``> n rid`` begins a read, ``** mate s1 s2`` adds a split mate to it, ``summary: gid tid event len support`` closes the event.
-    Which event a line is of is how many events close at or after it; the same from the front gives the read. The log of a
-    library (column log) is its own order.
+    Which event a line is of is how many events close before it; the reads that begin up to it tell the read (running_counts).
     """
     c = F.split("value", " ")
     kind = F.when(F.col("value").startswith("> "), "read").when(F.col("value").startswith("** "), "split").when(F.col("value").startswith("summary: "), "event")
     rows = lines.select("log", "line", "value", kind.alias("kind")).where("kind IS NOT NULL")
-    back = Window.partitionBy("log").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy("log").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = lambda k, w: F.sum((F.col("kind") == k).cast("long")).over(w)
-    numbered = rows.withColumns({"e": n("event", back), "r": n("read", ahead)})
+    numbered = running_counts(rows, "log", "line", {"e": F.col("kind") == "event", "r": F.col("kind") == "read"}, size)
+    numbered = numbered.withColumn("e", F.col("e") - (F.col("kind") == "event").cast("long"))
     per_read = numbered.where("kind <> 'event'").groupBy("log", "e", "r").agg(F.sum((F.col("kind") == "split").cast("long")).alias("splits"))
     per_event = per_read.groupBy("log", "e").agg(F.count("*").alias("reads"), F.sum((F.col("splits") > 0).cast("long")).alias("split_reads"))
     closed = numbered.where("kind = 'event'").select("log", "e", c[3].alias("event"), c[1].alias("gene_id"), c[2].alias("trans_id"), c[4].cast("long").alias("spliced_len"), c[5].cast("long").alias("declared"))
     return closed.join(per_event, ["log", "e"], "left").na.fill(0, ["reads", "split_reads"]).drop("e")
 
 
+def event_support(events: DataFrame) -> DataFrame:
+    """event, declared, split_reads and whether they are the same, of the events of a log."""
+    return events.select("event", "declared", "split_reads", (F.col("declared") == F.col("split_reads")).alias("matches"))
+
+
 def parse_ciri_table(rows: DataFrame) -> DataFrame:
     """event, split_reads (half the brackets of the first list), pair_reads (&& marked) and reads (distinct, of both lists)."""
     a, b = F.col("split_list"), F.col("pair_list")

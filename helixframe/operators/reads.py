@@ -82,17 +82,6 @@ def full_length_concordant(frags: Column, read_length: Column) -> Column:
     return (F.size(frags) >= 2) & (last["qpos"] + last["len"] - first["qpos"] >= read_length)
 
 
-def split_order_class(parts: DataFrame, clip: int = DEFAULT.max_clip) -> DataFrame:
-    """Class of the two parts of a split read (a first in the read): a before b is a linear split, FR or RF by strand; the other
-
-    way round a back-splice, when the other mate (m) lies within the circle, clip bases more or less; else undecided.
-    """
-    linear = F.col("a_end") < F.col("b_start")
-    circle = (F.col("b_end") < F.col("a_start")) & (F.col("m_start") >= F.col("b_start") - clip) & (F.col("m_end") <= F.col("a_end") + clip)
-    kind = F.when(linear & F.col("forward"), P.FR).when(linear, P.RF).when(circle, P.CR).otherwise(P.UD)
-    return parts.select("id", kind.alias("type"))
-
-
 def split_edit_gate(kind: Column, edits: list[Column], most: int = DEFAULT.max_edit) -> Column:
     return F.when(sum(edits) > most, P.UD).otherwise(kind)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..operators import alignments as A
 from ..operators import reads as R
+from ..operators.tables import scratch, stored
 from .registry import query
 
 C = F.col
@@ -77,12 +78,35 @@ def _(v):
     return A.mapping_agreement(a, a.select("qname", (C("pos2") + C("pos1") % 25).alias("pos1"), (C("pos1") + C("pos2") % 15).alias("pos2")))
 
 
-@query("three_way_overlap", f"""WITH a AS (SELECT qname AS rid, pos1, pos2 FROM ({PAIRS}) WHERE pos1 IS NOT NULL AND pos2 IS NOT NULL), b AS (SELECT rid, pos1 + pos2 % 15 AS p1, pos2 + pos1 % 12 AS p2 FROM a WHERE pos1 % 30 <> 0)
-SELECT a.rid, CASE WHEN b.rid IS NULL THEN -1 ELSE CASE WHEN abs(pos1 - p1) < 10 THEN 1 ELSE 0 END + CASE WHEN abs(pos2 - p2) < 10 THEN 1 ELSE 0 END END AS score FROM a LEFT JOIN b USING (rid)""")
+MATES = "SELECT qname AS rid, pos1 AS a, pos2 AS b FROM (" + PAIRS + ") WHERE pos1 IS NOT NULL AND pos2 IS NOT NULL"
+# the aligners: every read twice in the first one, some twice in the second, and some reads missing in each
+SETS = {
+    "p": ["SELECT rid, 1 AS ord, a AS s1, a + 70 AS e1, b AS s2, b + 70 AS e2 FROM m WHERE a % 7 <> 0", "SELECT rid, 2, b + a % 15, b + 70 + a % 11, a, a + 75 FROM m WHERE a % 7 <> 0"],
+    "r": ["SELECT rid, 1 AS ord, a + b % 15 AS s1, a + 70 AS e1, b + a % 12 AS s2, b + 70 + b % 25 AS e2 FROM m WHERE b % 9 <> 0", "SELECT rid, 2, a + 5, a + 90, b - 5, b + 50 FROM m WHERE b % 9 <> 0 AND a % 2 = 0"],
+    "g": ["SELECT rid, 1 AS ord, a + a % 13 AS s1, a + 70 - b % 14 AS e1, b AS s2, b + 80 - a % 16 AS e2 FROM m WHERE (a + b) % 8 <> 0"],
+}
+_SCORE = "(CASE WHEN abs({x}.s1 - {y}.s1) < 10 THEN 1 ELSE 0 END + CASE WHEN abs({x}.e1 - {y}.e1) < 10 THEN 1 ELSE 0 END + CASE WHEN abs({x}.s2 - {y}.s2) < 10 THEN 1 ELSE 0 END + CASE WHEN abs({x}.e2 - {y}.e2) < 10 THEN 1 ELSE 0 END)"
+
+
+def _three_sql() -> str:
+    ctes = [f"m AS ({MATES})"]
+    for n, parts in SETS.items():
+        ctes.append(f"{n}0 AS ({' UNION ALL '.join(parts)}), {n} AS (SELECT rid, ord, least(s1, s2) AS s1, CASE WHEN s2 < s1 THEN e2 ELSE e1 END AS e1, greatest(s1, s2) AS s2, CASE WHEN s2 < s1 THEN e1 ELSE e2 END AS e2, count(*) OVER (PARTITION BY rid) AS n FROM {n}0)")
+    for x, y in ("pr", "pg", "rg"):
+        ctes.append(f"{x}{y} AS (SELECT {x}.rid, max({_SCORE.replace('{x}', x).replace('{y}', y)}) AS score FROM {x} JOIN {y} USING (rid) WHERE CASE WHEN {x}.n > 1 THEN {y}.ord = 1 ELSE {x}.ord = 1 END GROUP BY {x}.rid)")
+    has = {n: f"(SELECT DISTINCT rid, true AS y FROM {n})" for n in SETS}
+    return f"""WITH {', '.join(ctes)}
+SELECT rid, CASE WHEN q.y AND s.y AND t.y THEN pr.score END AS pr, CASE WHEN q.y AND s.y AND t.y THEN pg.score END AS pg, CASE WHEN q.y AND s.y AND t.y THEN rg.score END AS rg,
+       concat_ws(',', CASE WHEN q.y IS NULL THEN 'p' END, CASE WHEN s.y IS NULL THEN 'r' END, CASE WHEN t.y IS NULL THEN 'g' END) AS missing
+FROM {has['p']} q FULL JOIN {has['r']} s USING (rid) FULL JOIN {has['g']} t USING (rid) LEFT JOIN pr USING (rid) LEFT JOIN pg USING (rid) LEFT JOIN rg USING (rid)"""
+
+
+@query("three_way_overlap", _three_sql())
 def _(v):
-    a = _pairs(v).withColumnRenamed("qname", "rid")
-    b = a.where("pos1 % 30 <> 0").select("rid", (C("pos1") + C("pos2") % 15).alias("pos1"), (C("pos2") + C("pos1") % 12).alias("pos2"))
-    return A.three_way_overlap(a, b, ["pos1", "pos2"])
+    v("v_sam").createOrReplaceTempView("v_sam")
+    spark = v("v_sam").sparkSession
+    sets = [spark.sql(f"WITH m AS ({MATES}) {' UNION ALL '.join(parts)}") for parts in SETS.values()]
+    return A.three_way_overlap(*sets)
 
 
 @query("best_class_per_read", "SELECT rname, min(type) AS type FROM v_map_cand GROUP BY rname")
@@ -136,18 +160,33 @@ def _(v):
     return A.sam_header(v("v_contigs").select("chr", F.length("seq").alias("len")))
 
 
-@query("sam_class_split", "SELECT qname, flag, concat('XC:i:', CAST(nm % 5 AS VARCHAR)) AS tag, CASE nm % 5 WHEN 0 THEN 'con' WHEN 1 THEN 'dis' WHEN 2 THEN 'rf' WHEN 3 THEN 'split' ELSE 'remain' END AS class FROM v_sam")
+@query("sam_class_split", """SELECT qname, flag, CASE nm % 5 WHEN 0 THEN 'con' WHEN 1 THEN 'dis' WHEN 2 THEN 'rf' WHEN 3 THEN 'split' ELSE 'remain' END AS class,
+CASE WHEN cigar LIKE '%N%' THEN '2' ELSE '1' END AS xc, CAST(pos % 5 AS VARCHAR) AS xd, CAST(pos % 3 AS VARCHAR) AS xv, concat(pos % 4, flag % 4) AS xy FROM v_sam""")
 def _(v):
     names = F.array(*map(F.lit, ("con", "dis", "rf", "split", "remain")))
-    return v("v_sam").select("qname", "flag", F.concat(F.lit("XC:i:"), (C("nm") % 5).cast("string")).alias("tag"), names[C("nm") % 5].alias("class"))
+    line = F.concat_ws("\t", "qname", C("flag").cast("string"), "rname", C("pos").cast("string"), F.lit("60"), "cigar", F.lit("=\t0\t0\t*\t*"), F.concat(F.lit("NM:i:"), C("nm").cast("string")))
+    digits = F.concat((C("pos") % 4).cast("string"), (C("flag") % 4).cast("string"))
+    sam = v("v_sam").select(line.alias("line"), F.when(C("cigar").contains("N"), 2).otherwise(1).alias("xc"), (C("pos") % 5).alias("xd"), (C("pos") % 3).alias("xv"), digits.alias("xy"), names[C("nm") % 5].alias("class"))
+    path = scratch(sam.sparkSession)
+    A.write_classes(A.tag_classes(sam), path)
+    return A.read_classes(sam.sparkSession, path).select("qname", "flag", "class", *[C("tags")[t].alias(t.lower()) for t in ("XC", "XD", "XV", "XY")])
+
 
+BLOCKS = "SELECT concat('p', rname) AS qname, chr, 0 AS block, pos AS a_start, pos + 15 AS a_end FROM v_points UNION ALL SELECT concat('p', rname), chr, 1, pos + 60, pos + 70 + rname % 9 FROM v_points WHERE rname % 3 = 0 UNION ALL SELECT concat('p', rname), chr, 2, pos + 120, pos + 124 FROM v_points WHERE rname % 6 = 0"
 
-@query("sam_gene_class", """WITH b AS (SELECT concat('p', rname) AS qname, chr, pos AS s, pos + 15 AS e FROM v_points),
-f AS (SELECT qname, gene_id, CASE WHEN s >= start_pos AND e <= end_pos THEN 3 ELSE 2 END AS k FROM b JOIN v_exons x ON b.chr = x.chr AND s <= end_pos AND start_pos <= e UNION ALL SELECT qname, gene_id, 1 FROM b JOIN v_genes g ON b.chr = g.chr AND s <= end_pos AND start_pos <= e)
-SELECT b.qname, coalesce(max(k), 0) AS class, max(k * 1000000 + gene_id) % 1000000 AS gene_id FROM b LEFT JOIN f USING (qname) GROUP BY b.qname""")
+
+@query("sam_gene_class", f"""WITH bl AS ({BLOCKS}), b AS (SELECT qname, chr, a_start AS s, a_end AS e FROM bl),
+f AS (SELECT qname, gene_id, CASE WHEN s >= start_pos AND e <= end_pos THEN 3 ELSE 2 END AS k FROM b JOIN v_exons x ON b.chr = x.chr AND s <= end_pos AND start_pos <= e UNION ALL SELECT qname, gene_id, 1 FROM b JOIN v_genes g ON b.chr = g.chr AND s <= end_pos AND start_pos <= e),
+c AS (SELECT b.qname, coalesce(max(k), 0) AS class, max(k * 1000000 + gene_id) % 1000000 AS gene_id FROM b LEFT JOIN f USING (qname) GROUP BY b.qname),
+n AS (SELECT *, count(*) OVER (PARTITION BY qname) AS n, lag(a_end) OVER (PARTITION BY qname ORDER BY block) AS before FROM bl),
+x AS (SELECT qname, gene_id, trans_id, max(CASE WHEN n = 1 AND a_start >= start_pos AND a_end <= end_pos THEN 3 WHEN block = n - 1 AND (before IS NULL OR start_pos > before) THEN 2 ELSE 1 END) AS fit
+      FROM n JOIN v_exons e ON e.chr = n.chr AND a_start <= end_pos AND start_pos <= a_end GROUP BY ALL),
+i AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY qname ORDER BY fit DESC, gene_id, trans_id) = 1)
+SELECT c.qname, class, c.gene_id, CAST(coalesce(fit, 0) AS INTEGER) AS iso_class, i.trans_id, i.gene_id AS iso_gene FROM c LEFT JOIN i USING (qname)""")
 def _(v):
-    blocks = v("v_points").select(F.concat(F.lit("p"), C("rname").cast("string")).alias("qname"), "chr", C("pos").alias("a_start"), (C("pos") + 15).alias("a_end"))
-    return A.gene_class(blocks, v("v_genes"), v("v_exons"))
+    v("v_points").createOrReplaceTempView("v_points")
+    blocks = stored(v("v_points").sparkSession.sql(BLOCKS))
+    return A.gene_class(blocks, v("v_genes"), v("v_exons")).join(A.isoform_class(blocks, v("v_exons")), "qname")
 
 
 @query("chimeric_flag", "SELECT s.qname, s.flag, CASE WHEN b.q IS NOT NULL THEN 7 WHEN s.nm % 2 = 0 THEN 5 ELSE 6 END AS class FROM v_sam s LEFT JOIN (SELECT DISTINCT concat('r.', rname) AS q FROM v_bsj WHERE type = 20) b ON s.qname = b.q")
@@ -184,7 +223,14 @@ def _events(v):
     return v("v_bsj").groupBy("chr", C("spos").alias("start_pos"), C("epos").alias("end_pos")).agg(F.count("*").alias("support"))
 
 
-@query("truth_match")
+@query("truth_match", f"""WITH RECURSIVE {TRUTH},
+k AS (SELECT c.chr, c.start_pos, c.end_pos, list(concat(t.chr, ':', t.start_pos, ':', t.end_pos) ORDER BY t.start_pos, t.end_pos) AS found, list({{'s': t.start_pos, 'e': t.end_pos}} ORDER BY t.start_pos, t.end_pos) AS spots
+      FROM calls c JOIN v_truth t ON c.chr = t.chr AND abs(c.start_pos - t.start_pos) <= 10 AND abs(c.end_pos - t.end_pos) <= 10 GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (ORDER BY chr, start_pos, end_pos) AS i FROM k),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS pick
+      UNION ALL SELECT n.i, CASE WHEN p IS NULL THEN used ELSE list_append(used, p) END, p FROM (SELECT n.i, g.used, list_filter(n.found, lambda x: NOT list_contains(g.used, x))[1] AS p FROM g JOIN n ON n.i = g.i + 1) n),
+m AS (SELECT n.*, spots[list_position(found, pick)] AS t FROM n JOIN g USING (i) WHERE pick IS NOT NULL)
+SELECT c.chr, c.start_pos, c.end_pos, m.t.s AS t_start, m.t.e AS t_end, CASE WHEN m.i IS NULL THEN 'FP' ELSE 'TP' END AS verdict FROM calls c LEFT JOIN m USING (chr, start_pos, end_pos)""")
 def _(v):
     return A.truth_match(_events(v), v("v_truth"))
 
@@ -246,7 +292,7 @@ def _(v):
 
 @query("event_support", f"SELECT event, declared, split_reads, declared = split_reads AS matches FROM ({EVENTS})")
 def _(v):
-    return _log(v).select("event", "declared", "split_reads", (C("declared") == C("split_reads")).alias("matches"))
+    return A.event_support(_log(v))
 
 
 @query("src_ciri_table", """WITH e AS (SELECT chr, spos, list_sort(list(DISTINCT concat('r', rname)) FILTER (type = 20)) AS a, list_sort(list(DISTINCT concat('r', rname)) FILTER (type <> 20)) AS b FROM v_bsj GROUP BY chr, spos)
@@ -334,12 +380,28 @@ def _(v):
     return _frags(v).select("rname", R.full_length_concordant(C("frags"), F.lit(110)).alias("concordant"))
 
 
-@query("split_order_class", """WITH p AS (SELECT rname AS id, spos + (rname % 3) * 150 AS a1, spos + (rname % 3) * 150 + 40 AS a2, spos + 100 AS b1, spos + 140 AS b2, spos + 95 + rname % 7 AS m1, spos + 250 AS m2, rname % 2 = 0 AS fw FROM v_bsj)
-SELECT id, CASE WHEN a2 < b1 AND fw THEN 0 WHEN a2 < b1 THEN 1 WHEN b2 < a1 AND m1 >= b1 - 7 AND m2 <= a2 + 7 THEN 20 ELSE 30 END AS type FROM p""")
+# parts of reads by position: of one split mate (a, b) beside a whole one (m), and of two split mates (l, r; x, y)
+PARTS = """SELECT rname AS id, CASE WHEN rname % 2 = 0 THEN 1 ELSE -1 END AS d, spos + (rname % 3) * 100 AS a_s, spos + (rname % 3) * 100 + 50 AS a_e, spos + 100 - rname % 5 AS b_s, spos + 145 AS b_e,
+spos + 20 * (rname % 13) AS m_s, spos + 20 * (rname % 13) + 99 AS m_e, rname % 6 AS cl, rname % 8 AS cr, 1 + 40 * (rname % 2) AS lq, 1 + 40 * ((rname + spos) % 2) AS rq, 1 + 60 * ((rname + epos) % 2) AS xq, 1 + 30 * (rname % 3) AS yq,
+spos + 30 * (rname % 4) AS x_s, spos + 90 + 70 * (rname % 3) AS y_e FROM v_bsj"""
+
+
+@query("split_order_class", f"""WITH p AS ({PARTS}),
+t AS (SELECT *, CASE WHEN b_s > m_s AND b_s - m_s <= 7 - cl THEN b_s ELSE m_s END AS f_s, CASE WHEN m_e > a_e AND m_e - a_e <= 7 - cr THEN a_e ELSE m_e END AS f_e FROM p)
+SELECT id, CAST(CASE WHEN a_e < b_s THEN CASE WHEN d = 1 AND f_s <= a_s THEN 0 WHEN d = 1 AND f_e >= b_e THEN 1 WHEN d = -1 AND f_e >= b_e THEN 0 WHEN d = -1 AND f_s <= a_s THEN 1 ELSE 30 END
+  WHEN b_s <= a_s AND a_e >= b_e AND f_s >= b_s AND f_e <= a_e THEN 20 ELSE 30 END AS INTEGER) AS type,
+  CASE WHEN lq < rq AND xq < yq THEN CASE WHEN d = 1 AND b_s <= x_s THEN 'FR' WHEN d = 1 AND a_e >= y_e THEN 'RF' WHEN d = -1 AND y_e - 40 <= a_s THEN 'FR' WHEN d = -1 AND x_s + 50 >= b_e THEN 'RF' ELSE 'UD' END
+  WHEN lq < rq THEN 'two' WHEN xq < yq THEN 'one' WHEN a_s = x_s AND b_e = y_e THEN 'both' ELSE 'UD' END AS pair FROM t""")
 def _(v):
-    s, r = C("spos"), C("rname")
-    parts = v("v_bsj").select(r.alias("id"), (s + r % 3 * 150).alias("a_start"), (s + r % 3 * 150 + 40).alias("a_end"), (s + 100).alias("b_start"), (s + 140).alias("b_end"), (s + 95 + r % 7).alias("m_start"), (s + 250).alias("m_end"), (r % 2 == 0).alias("forward"))
-    return R.split_order_class(parts)
+    from ..operators.splits import pair_order, part, split_order, trimmed
+
+    v("v_bsj").createOrReplaceTempView("v_bsj")
+    rows = v("v_bsj").sparkSession.sql(PARTS)
+    zero = F.lit(0)
+    make = lambda s, e, q=zero, sl=zero, sr=zero: part(spos=s, epos=e, qspos=q, qepos=zero, sl=sl, sr=sr, mlen=zero, ed=zero, med=zero, dir=C("d"))
+    rows = rows.withColumns({"full": make(C("m_s"), C("m_e"), sl=C("cl"), sr=C("cr")), "a": make(C("a_s"), C("a_e"), C("lq")), "b": make(C("b_s"), C("b_e"), C("rq")), "x": make(C("x_s"), C("x_s") + 50, C("xq")), "y": make(C("y_e") - 40, C("y_e"), C("yq"))})
+    rows = rows.withColumn("full", trimmed(C("full"), C("b"), C("a")))
+    return rows.select("id", split_order(C("full"), C("a"), C("b")).alias("type"), pair_order(C("a"), C("b"), C("x"), C("y")).alias("pair"))
 
 
 @query("split_edit_gate", "SELECT rname, CASE WHEN rname % 3 + spos % 2 + epos % 4 > 4 THEN 30 ELSE type END AS type FROM v_bsj")
