@@ -61,8 +61,8 @@ def extend_alignment(anchors: DataFrame, trans_seg: DataFrame, genome: DataFrame
 
     anchors: id, chr, pos (that base), seq (the bases left over, in the order of the genome), edits (allowed), bound (no path
     goes beyond it), tids (transcripts to follow; all, if empty). Paths run along every transcript with a segment at pos, and
-    straight on, as where an intron is kept. The end of the read may be clipped. The best has the least clip and twice the edits,
-    then the fewest edits, the nearest end, a transcript rather than none, and the first transcript. Where nothing reaches the end of
+    straight on, as where an intron is kept. The end of the read may be clipped. A transcript counts before none; the best has the
+    least clip and twice the edits, then the fewest edits, the nearest end, and the first transcript. Where nothing reaches the end of
     the read within the limits, what reaches the end of an exon counts: the most bases less twice the edits. Such an anchor is
     ok only if what is left of the read may be clipped.
 
@@ -101,7 +101,7 @@ def extend_alignment(anchors: DataFrame, trans_seg: DataFrame, genome: DataFrame
 
     reach = (n - F.col("al.clip") + F.col("al.indel") + 1).cast("long")
     at = F.aggregate("steps", F.struct(reach.alias("rest"), F.lit(0).cast("long").alias("at")), step)["at"]
-    key = F.struct((~F.col("al.whole")).alias("short"), (F.col("al.ed") * 2 + F.col("al.clip")).alias("cost"), F.col("al.ed").alias("ed"), (at * sign).alias("near"), F.col("by.bare").alias("bare"), F.col("by.path").alias("path"), F.col("al.clip").alias("clip"))
+    key = F.struct((~F.col("al.whole")).alias("short"), F.col("by.bare").alias("bare"), (F.col("al.ed") * 2 + F.col("al.clip")).alias("cost"), F.col("al.ed").alias("ed"), (at * sign).alias("near"), F.col("by.path").alias("path"), F.col("al.clip").alias("clip"))
     best = tried.groupBy("id").agg(F.min(key).alias("b"))
     hit = F.col("b").isNotNull()
     ok = (hit & (~F.col("b.short") | (F.col("b.clip") <= p.max_clip))) | (n == 0)

@@ -30,7 +30,7 @@ def prefix_edits(q, r):
 
 
 def brute(genome, pos, seq, edits, right, bound):
-    """The least clip and twice the edits over all clips and ends, straight on or along the exons; failing that the most bases less
+    """The least clip and twice the edits over all clips and ends, along the exons or else straight on; failing that the most bases less
     twice the edits that reach an exon's end, as (None, that)."""
     sign = 1 if right else -1
     inside = [b for s, e in EXONS for b in range(s, e + 1)]
@@ -45,7 +45,7 @@ def brute(genome, pos, seq, edits, right, bound):
         for clip in range(min(7, len(q)) + 1):
             for j, ed in enumerate(prefix_edits(q[: len(q) - clip], ref)):
                 if ed <= edits and abs(j - len(q) + clip) <= 3:
-                    key = (clip + 2 * ed, ed, abs(j - len(q) + clip), sign * (path[j - 1] if j else pos), name == "")
+                    key = (name == "", clip + 2 * ed, ed, abs(j - len(q) + clip), sign * (path[j - 1] if j else pos))
                     best = min(best, key) if best else key
         for j, b in enumerate(path, 1):
             if name and (j == len(path) < len(seq) + 3 or b in {e if right else s for s, e in EXONS}):
@@ -53,7 +53,7 @@ def brute(genome, pos, seq, edits, right, bound):
                     ed = prefix_edits(q[:i], ref[:j])[j]
                     if ed <= edits:
                         short = max(short, i - 2 * ed) if short is not None else i - 2 * ed
-    return (best[0], best[1]) if best else (None, short) if short is not None else None
+    return (best[1], best[2]) if best else (None, short) if short is not None else None
 
 
 @pytest.mark.parametrize("right", [True, False])
