@@ -69,20 +69,18 @@ def tool_overlap_matrix(ratios: DataFrame, top: int = 100) -> DataFrame:
 
 def depletion_summary(ratios: DataFrame, post_events: DataFrame) -> DataFrame:
     """Per tool: events before and after, not depleted ones and their share, and flags among the best 10 and 100 of support 2."""
-    ranked = ranked_events(ratios)
     ok, rich = F.col("ratio") >= NOT_DEPLETED, F.col("ratio") >= ENRICHED
     strong = F.col("pre") >= 2
 
     def n(cond: Column) -> Column:
         return F.sum(cond.cast("long"))
 
-    pre = ranked.groupBy("tool").agg(
-        F.count("*").alias("n_pre"),
-        n(ok).alias("not_depleted"),
-        *[n((F.col("rank") <= k) & strong & c).alias(f"top{k}_{name}") for k in (10, 100) for name, c in (("not_depleted", ok), ("enriched", rich))],
-    )
+    # counts need no order, and of the ranked events only the best 100 of each task leave it
+    pre = ratios.groupBy("tool").agg(F.count("*").alias("n_pre"), n(ok).alias("not_depleted"))
+    best = ranked_events(ratios).where(F.col("rank") <= 100)
+    flags = best.groupBy("tool").agg(*[n((F.col("rank") <= k) & strong & c).alias(f"top{k}_{name}") for k in (10, 100) for name, c in (("not_depleted", ok), ("enriched", rich))])
     post = post_events.groupBy("tool").agg(F.count("*").alias("n_post"))
-    return pre.join(post, "tool").withColumn("percent", F.round(100.0 * F.col("not_depleted") / F.col("n_pre"), 6))
+    return pre.join(flags, "tool").join(post, "tool").withColumn("percent", F.round(100.0 * F.col("not_depleted") / F.col("n_pre"), 6))
 
 
 def confidence_score(summary: DataFrame) -> DataFrame:

@@ -21,13 +21,16 @@ def _consensus(signal: str, out: str) -> str:
     return CONSENSUS.replace("{s}", signal).replace("{out}", out).replace("letters", f"letters_{out}").replace("votes", f"votes_{out}")
 
 
-@query("bsj_report", f"""
+REPORT_SQL = f"""
 WITH {_consensus('start_signal', 'cs')}, {_consensus('end_signal', 'ce')},
 g AS (SELECT chr, spos, epos, count(*) AS support, min(type) AS best, arg_min(start_bp_ref, CAST(type AS BIGINT) * 1000000000 + rname) AS rs, arg_min(end_bp_ref, CAST(type AS BIGINT) * 1000000000 + rname) AS re,
-      string_agg(CAST(rname AS VARCHAR), ',' ORDER BY rname) AS reads FROM v_bsj GROUP BY chr, spos, epos)
-SELECT g.chr, g.spos AS start_pos, g.epos AS end_pos, support, 'STC' AS type, cs.s || '-' || ce.s AS consensus_signal, rs || '-' || re AS ref_signal,
+      string_agg(CAST(rname AS VARCHAR), ',' ORDER BY rname) AS reads FROM v_bsj GROUP BY chr, spos, epos),
+rp AS (SELECT g.chr, g.spos AS start_pos, g.epos AS end_pos, support, 'STC' AS type, cs.s || '-' || ce.s AS consensus_signal, rs || '-' || re AS ref_signal,
        CASE WHEN cs.s = rs AND ce.s = re THEN 'Pass' ELSE 'Fail' END AS pass, reads
-FROM g JOIN cs USING (chr, spos, epos) JOIN ce USING (chr, spos, epos) WHERE best = 20""")
+FROM g JOIN cs USING (chr, spos, epos) JOIN ce USING (chr, spos, epos) WHERE best = 20)"""
+
+
+@query("bsj_report", f"{REPORT_SQL} SELECT * FROM rp")
 def _(v):
     return report.bsj_report(v("v_bsj"))
 

@@ -9,6 +9,7 @@ from ..operators import pairs, report
 from ..operators.alignments import sam_header
 from ..operators.tables import scratch
 from ..sources import files
+from .calls import REPORT_SQL
 from .registry import query
 
 C = F.col
@@ -85,12 +86,16 @@ def _(v):
     return _sam(v).groupBy("rname").agg(F.count("*").alias("rows"))
 
 
-@query("src_circ_report")
+@query("src_circ_report", f"""WITH {REPORT_SQL.strip()[5:]},
+n AS (SELECT 'new' AS layout, * FROM rp UNION ALL SELECT 'old', chr, start_pos, end_pos, support, type, NULL, NULL, NULL, reads FROM rp)
+SELECT * FROM n""")
 def _(v):
     rows = report.bsj_report(v("v_bsj"))
-    path = scratch(rows.sparkSession)
-    files.write_report(rows, path)
-    return files.read_report(rows.sparkSession, path)
+    new, old = scratch(rows.sparkSession), scratch(rows.sparkSession)
+    files.write_report(rows, new)
+    rows.select("chr", "start_pos", "end_pos", "support", "type", "reads").write.csv(old, sep="\t")
+    back = [files.read_report(rows.sparkSession, path).withColumn("layout", F.lit(name)) for name, path in (("new", new), ("old", old))]
+    return back[0].unionByName(back[1]).withColumn("reads", F.array_join("reads", ","))
 
 
 @query("sink_circ_report", "SELECT chr, count(*) AS events, CAST(sum(n) AS BIGINT) AS support FROM (SELECT chr, spos, epos, count(*) AS n, min(type) AS t FROM v_bsj GROUP BY ALL) WHERE t = 20 GROUP BY chr")

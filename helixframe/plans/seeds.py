@@ -96,13 +96,22 @@ def _(v):
     return _pairs(v).select("pair_id", pairwise.edit_distance(C("q"), C("r")).alias("ed"), pairwise.edit_distance(C("q"), C("r"), 12).alias("banded"))
 
 
-@query("pairwise_hamming", f"WITH {D} SELECT pair_id, CAST(hamming(left(q, least(length(q), length(r))), left(r, least(length(q), length(r)))) AS INTEGER) AS mismatches FROM e")
+@query("pairwise_hamming", f"""WITH {D}, n AS (SELECT pair_id, q, r, least(length(q), length(r)) AS n FROM e),
+x AS (SELECT pair_id, n, n - i + 1 AS k, CASE WHEN substr(q, CAST(i AS INTEGER), 1) <> substr(r, CAST(i AS INTEGER), 1) THEN 1 ELSE 0 END AS off FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM n)),
+s AS (SELECT *, sum(off) OVER (PARTITION BY pair_id ORDER BY k) AS side FROM x),
+c AS (SELECT pair_id, coalesce(max(k) FILTER (k <= 7 AND off = 1 AND 2 * side >= k), 0) AS clip, sum(off) AS total, max(off) FILTER (k = 8) AS next_off FROM s GROUP BY pair_id)
+SELECT c.pair_id, CAST(total AS INTEGER) AS mismatches, CAST(clip AS INTEGER) AS clip, CASE WHEN clip = 7 AND next_off = 1 THEN NULL ELSE CAST(total - coalesce(side, 0) AS INTEGER) END AS clipped
+FROM c LEFT JOIN s ON s.pair_id = c.pair_id AND s.k = clip""")
 def _(v):
     n = F.least(F.length("q"), F.length("r"))
-    return _pairs(v).select("pair_id", pairwise.hamming(F.left("q", n), F.left("r", n)).alias("mismatches"))
+    clipped = pairwise.clip_hamming(C("q"), C("r"))
+    return _pairs(v).select("pair_id", pairwise.hamming(F.left("q", n), F.left("r", n)).alias("mismatches"), clipped["clip"].alias("clip"), clipped["mismatches"].alias("clipped"))
 
 
-@query("pairwise_clip_align")
+@query("pairwise_clip_align", f"""WITH {D}, t AS (SELECT pair_id, c, d, length(q) - c AS n, length(q) - c + d AS j, q, r FROM e, (SELECT unnest(range(0, 8)) AS c), (SELECT unnest(range(-3, 4)) AS d)),
+x AS (SELECT pair_id, c, d, CASE WHEN n = 0 THEN j WHEN j = 0 THEN n ELSE levenshtein(substr(q, 1, CAST(n AS INTEGER)), substr(r, 1, CAST(j AS INTEGER))) END AS ed FROM t WHERE n >= 0 AND j BETWEEN 0 AND length(r)),
+b AS (SELECT * FROM x WHERE ed <= 4 QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY c + 2 * ed, ed, abs(d), d) = 1)
+SELECT e.pair_id, CAST(c AS INTEGER) AS clip, CAST(d AS INTEGER) AS indel, CAST(ed AS INTEGER) AS ed FROM e LEFT JOIN b USING (pair_id)""")
 def _(v):
     return pairwise.pairwise_clip_align(_pairs(v))
 

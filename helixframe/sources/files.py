@@ -87,10 +87,11 @@ def write_sam(sam: DataFrame, header: DataFrame, path: str) -> None:
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """Report rows; of the older layout the reads stand in the sixth column."""
+    """Report rows; of the older layout, without signals and verdict, the reads stand in the sixth column."""
     rows = spark.read.csv(path, sep="\t", schema=REPORT)
     old = F.col("reads").isNull()
-    return rows.withColumn("reads", F.split(F.when(old, F.col("consensus_signal")).otherwise(F.col("reads")), ","))
+    listed = F.split(F.when(old, F.col("consensus_signal")).otherwise(F.col("reads")), ",")
+    return rows.withColumns({"reads": listed, "consensus_signal": F.when(~old, F.col("consensus_signal"))})
 
 
 def write_report(report: DataFrame, path: str) -> None:
