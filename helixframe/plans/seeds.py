@@ -62,7 +62,7 @@ def _(v):
 HITS = f"{_sql(INDEX, 20)}, {_sql(READS, 20)}, h AS (SELECT rname, dir, CAST(qpos AS INTEGER) AS qpos, chr, rpos FROM rk JOIN ix USING (kmer))"
 
 
-def _regional(v):
+def regional(v):
     """Whole reads against every contig that one of their seeds hits, as leftovers are searched in the gene of their anchor."""
     reads, contigs = v("v_reads"), v("v_contigs")
     anchors = seeds.kmer_seed_join(reads, contigs, 20).select("rname", C("chr").alias("gene_id")).distinct()
@@ -77,7 +77,7 @@ x8 AS (SELECT gene_id, i AS rpos, substr(seq, CAST(i AS INTEGER), 8) AS kmer FRO
 n AS (SELECT gene_id, kmer FROM x8 GROUP BY ALL HAVING count(*) <= 500)
 SELECT id, gene_id, CAST(qpos AS INTEGER) AS qpos, rpos + 1000 AS rpos FROM k JOIN n USING (gene_id, kmer) JOIN x8 USING (gene_id, kmer)""")
 def _(v):
-    return seeds.regional_kmer_join(*_regional(v))
+    return seeds.regional_kmer_join(*regional(v))
 
 
 DNA = "translate(upper({c}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ ', 'ACGTACGTACGTACGTACGTACGTACN')"
