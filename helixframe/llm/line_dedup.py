@@ -10,6 +10,8 @@ met, their edit distance is verified, and the earliest stays.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from .common import materialize, table
 
 #: Words of a line for each word that may differ, and most words that may: with more, both ends may hold two edits.
 WORDS_AN_EDIT, MOST_EDITS = 5, 3
+#: What is cut off the ends of lines.
+BLANKS = " \t\r"
 #: Words of an end, and of the longest line whose variants are those of the whole line.
 END, WHOLE = 5, 10
 #: A key of more lines than this is crowded; a key or line of more than this share of all rows is handled without a shuffle of it.
@@ -42,9 +46,30 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _variants(words: Column, most: int, kind: int) -> list[Column]:
-    """Hashed keys of a list of up to most words without one of them, for each of them (a null is no word, and changes no hash)."""
-    return [F.xxhash64(F.lit(kind), *[F.get(words, F.lit(j)) for j in range(most) if j != i]) for i in range(most)]
+def _end_variants(end: Column, kind: int) -> list[Column]:
+    """Hashed keys of an end of a line, of END words, without one of them, for each of them."""
+    before = [F.substring_index(end, " ", i) for i in range(END)]
+    after = [F.substring_index(end, " ", i + 1 - END) for i in range(END)]
+    texts = [after[0], *[F.concat(before[i], F.lit(" "), after[i]) for i in range(1, END - 1)], before[-1]]
+    return [F.xxhash64(F.lit(kind), t) for t in texts]
+
+
+def _whole_variants(line: Column) -> Column:
+    """Hashed keys of a line, and of the line without one of its words, for each of them."""
+    words = F.split(line, " ")
+    without = F.transform(words, lambda _, i: F.array_join(F.filter(words, lambda _, j: j != i), " "))
+    return F.array_distinct(F.transform(F.concat(F.array(line), without), lambda t: F.xxhash64(F.lit(0), t)))
+
+
+def _pieces(text: Column, by: str) -> Column:
+    """The number of pieces that a character cuts a text into, without making them."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(by), F.lit(""))) + 1
+
+
+def _trimmed(line: Column) -> Column:
+    """A line without spaces, tabs and carriage returns at its ends; btrim, which goes through all of a line, sees only lines that have some."""
+    some = [end for c in BLANKS for end in (line.startswith(c), line.endswith(c))]
+    return F.when(reduce(Column.__or__, some), F.btrim(line, F.lit(BLANKS))).otherwise(line)
 
 
 def lines_of(documents: DataFrame, counted: int | None = None) -> DataFrame:
@@ -52,31 +77,30 @@ def lines_of(documents: DataFrame, counted: int | None = None) -> DataFrame:
 
     Words are counted no further than counted, if given.
     """
-    docs = documents.where("text IS NOT NULL").select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = docs.withColumn("line", F.btrim("line", F.lit(" \t\r"))).where("line != ''")
-    return lines.withColumn("size", F.size(F.split("line" if counted is None else F.substring_index("line", " ", counted), " ")))
+    # the hash of the text comes first, so that no line carries the whole text along
+    docs = documents.where("text IS NOT NULL").select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
+    parts = docs.select("d", "t", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = parts.withColumn("line", _trimmed(F.col("line"))).where("line != ''")
+    return lines.withColumn("size", _pieces(F.col("line") if counted is None else F.substring_index("line", " ", counted), " "))
 
 
-def _hashed(line: str = "line") -> list[Column]:
+def _hashed() -> list[Column]:
     """The 128-bit hash by which lines are told apart."""
-    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2")]
+    return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")]
 
 
 def line_keys(documents: DataFrame) -> DataFrame:
     """h1 and key of every deletion variant of every line that need not be equal to be similar."""
-    ends = F.col("size") >= WHOLE
     lines = lines_of(documents, WHOLE + 1).where(F.col("size") >= WORDS_AN_EDIT).select(
-        *_hashed(),
-        "size",
-        F.split(F.substring_index("line", " ", END), " ").alias("first"),
-        F.split(F.substring_index("line", " ", -END), " ").alias("last"),
-        F.when(F.col("size") <= WHOLE, F.split("line", " ")).alias("whole"),
+        F.xxhash64("line").alias("h1"),
+        F.substring_index("line", " ", END).alias("first"),
+        F.substring_index("line", " ", -END).alias("last"),
+        (F.col("size") >= WHOLE).alias("ends"),
+        F.when(F.col("size") <= WHOLE, F.col("line")).alias("whole"),
     )
-    of_ends = F.array(*_variants(F.col("first"), END, 1), *_variants(F.col("last"), END, 2))
-    words = F.col("whole")
-    of_whole = F.array_distinct(F.array(*_variants(words, WHOLE, 0), F.xxhash64(F.lit(0), *[F.get(words, F.lit(j)) for j in range(WHOLE)])))
     none = F.array().cast("array<long>")
-    keys = F.concat(F.when(ends, of_ends).otherwise(none), F.when(words.isNotNull(), of_whole).otherwise(none))
+    of_ends = F.when(F.col("ends"), F.array(*_end_variants(F.col("first"), 1), *_end_variants(F.col("last"), 2))).otherwise(none)
+    keys = F.when(F.col("whole").isNull(), of_ends).otherwise(F.concat(of_ends, F.coalesce(_whole_variants(F.col("whole")), none)))
     return lines.select("h1", F.explode(keys).alias("key"))
 
 
@@ -95,12 +119,16 @@ def shared_keys(documents: DataFrame) -> DataFrame:
     counted = materialize(some.groupBy("key").agg(F.count("*").alias("n")), "line-keys-looked-at")
     least = max(32, (counted.agg(F.sum("n")).first()[0] or 0) * HOT / 2)
     hot = counted.where(F.col("n") >= least).select("key", F.lit(True).alias("hot"))
-    dealt = line_keys(documents).join(F.broadcast(hot), "key", "left").select("key", "h1", F.when(F.col("hot"), F.pmod("h1", F.lit(1_024)) + 1).otherwise(0).alias("salt"))
-    of_key = Window.partitionBy("key", "salt")
-    # the lines of a key come in order, so that each is counted once
-    fresh = dealt.withColumn("before", F.lag("h1").over(of_key.orderBy("h1"))).where("before IS NULL OR before <> h1")
-    found = fresh.withColumn("lines", F.count("*").over(of_key)).where("lines > 1 OR salt > 0")
-    return found.select("key", "h1", ((F.col("lines") > CROWDED) | (F.col("salt") > 0)).alias("crowded"))
+    # of a hot key, whose lines are dealt by a number of their own, the key is kept as well
+    salted = F.xxhash64("key", F.pmod("h1", F.lit(1_024)))
+    dealt = line_keys(documents).join(F.broadcast(hot), "key", "left").select(
+        F.when(F.col("hot"), salted).otherwise(F.col("key")).alias("deal"), "h1", F.when(F.col("hot"), F.col("key")).alias("hot_key")
+    )
+    of_deal = Window.partitionBy("deal")
+    several = dealt.withColumns({"least": F.min("h1").over(of_deal), "most": F.max("h1").over(of_deal)}).where("least < most OR hot_key IS NOT NULL")
+    # what is left is little: a line that brings a key more than once is counted once
+    found = several.select("deal", "h1", "hot_key").distinct().withColumn("lines", F.count("*").over(of_deal))
+    return found.select(F.coalesce("hot_key", "deal").alias("key"), "h1", ((F.col("lines") > CROWDED) | F.col("hot_key").isNotNull()).alias("crowded"))
 
 
 def _of_texts(documents: DataFrame, per_text: DataFrame, how: str) -> DataFrame:
@@ -113,9 +141,10 @@ def _of_texts(documents: DataFrame, per_text: DataFrame, how: str) -> DataFrame:
 def _letters(documents: DataFrame, places: DataFrame) -> DataFrame:
     """h1, h2 and the words of lines (h1, h2, at) as one letter each, in two alphabets by a word's hash."""
     per_text = places.groupBy("at.d", "at.t").agg(F.collect_list(F.struct("h1", "h2", "at.pos")).alias("wanted"))
-    each = _of_texts(documents.select("doc_id", "text"), per_text, "inner").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
-    line = F.btrim(F.element_at("parts", F.col("w.pos") + 1), F.lit(" \t\r"))
-    hashes = each.select("w.h1", "w.h2", F.transform(F.split(line, " "), lambda w: F.xxhash64(w)).alias("words"))
+    texts = _of_texts(documents.select("doc_id", "text"), per_text, "inner").select(F.split("text", "\n").alias("parts"), "wanted")
+    # lines are picked before they become rows, so that no row carries the whole text along
+    each = texts.select(F.inline(F.transform("wanted", lambda w: F.struct(w["h1"].alias("h1"), w["h2"].alias("h2"), F.element_at("parts", w["pos"] + 1).alias("line")))))
+    hashes = each.select("h1", "h2", F.transform(F.split(_trimmed(F.col("line")), " "), lambda w: F.xxhash64(w)).alias("words"))
     alphabet = F.split(F.lit("".join(map(chr, range(0x4E00, 0x4E00 + LETTERS)))), "")
 
     def letters(shift: int) -> Column:
@@ -226,7 +255,7 @@ def dedup_lines(documents: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
     left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("line_dedup_gone", i)), "\n")
     deduped = joined.withColumns(
         {
-            "n_lines": F.coalesce(F.array_size(parts), F.lit(0)),
+            "n_lines": F.coalesce(_pieces(F.col("text"), "\n"), F.lit(0)),
             "n_removed": F.coalesce(F.array_size("line_dedup_gone"), F.lit(0)),
             "text": F.when(F.col("line_dedup_gone").isNull(), F.col("text")).otherwise(left),
         }
@@ -241,7 +270,7 @@ def keep_deduped(documents: DataFrame) -> DataFrame:
     Null texts and blank ones stay as they are, repeated rows stay repeated, and an empty table gives an empty result.
     """
     rows = documents.select("doc_id", "text", F.struct(*[documents[c] for c in documents.columns]).alias("row"))
-    out = dedup_lines(rows).where((F.col("n_removed") == 0) | (F.btrim("text", F.lit(" \t\r\n")) != ""))
+    out = dedup_lines(rows).where((F.col("n_removed") == 0) | (F.btrim("text", F.lit(BLANKS + "\n")) != ""))
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row")["n_chars"]) if "n_chars" in documents.columns else None}
     return out.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in documents.columns])
 
