@@ -124,3 +124,16 @@ def test_fastq_files_are_split(spark, tmp_path):
         assert len(pairs) == 300 and all(p.same_name and len(p.seq1) == len(p.seq2) for p in pairs)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_codes_are_made_from_slices_of_bounded_bases():
+    import pyarrow as pa
+
+    from helixframe.operators import seeds
+
+    texts = ["ACGT" * 1_024] * 2_000 + [None, "", "A" * (2 * seeds.AT_ONCE), "", "ACG"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["at", "seq"])
+    slices = list(seeds._shares(batch))
+    assert [x for s in slices for x in s.column("at").to_pylist()] == list(range(len(texts)))
+    assert all(len(s) == 1 or sum(len(x or "") for x in s.column("seq").to_pylist()) <= seeds.AT_ONCE for s in slices)
+    assert len(slices) < 30
