@@ -68,7 +68,7 @@ def _(v):
 
 
 @query("best_mapping", """
-SELECT rname, ord, type, gm, ed, tlen, mlen FROM (SELECT *, row_number() OVER (PARTITION BY rname ORDER BY type, gm DESC, CASE WHEN type < 3 THEN ed END NULLS FIRST, CASE WHEN type < 3 THEN tlen END NULLS FIRST, mlen DESC, ed, ord) AS k FROM v_map_cand) WHERE k = 1""")
+SELECT rname, ord, type, gm, ed, tlen, mlen FROM (SELECT *, row_number() OVER (PARTITION BY rname ORDER BY type, gm DESC, CASE WHEN type < 3 THEN ed END NULLS FIRST, CASE WHEN type < 3 THEN tlen END NULLS FIRST, mlen DESC, ed, ord, tlen) AS k FROM v_map_cand) WHERE k = 1""")
 def _(v):
     return report.best_mapping(v("v_map_cand"))
 
