@@ -274,15 +274,17 @@ def _(v):
     return out.withColumn("by_count", F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["tid"], x["n"].cast("string"))), ",")).drop("l")
 
 
-LOG = """SELECT chr AS log, spos * 1000000 + rname * 10 AS line, concat('> n ', rname) AS value FROM v_bsj UNION ALL
-SELECT chr, spos * 1000000 + rname * 10 + 1, concat('** 1 ', rname % 50, ' ', 50) FROM v_bsj WHERE type = 20 UNION ALL
-SELECT chr, spos * 1000000 + 900000, concat('summary: g', spos, ' t', spos, ' ', chr, ':', spos, ' 300 ', count(*)) FROM v_bsj GROUP BY chr, spos"""
+# lines of an event: ten for each read, of up to a billion, and its summary after them
+EVENT_LINES = 10_000_000_000
+LOG = f"""SELECT chr AS log, spos * {EVENT_LINES} + rname * 10 AS line, concat('> n ', rname) AS value FROM v_bsj UNION ALL
+SELECT chr, spos * {EVENT_LINES} + rname * 10 + 1, concat('** 1 ', rname % 50, ' ', 50) FROM v_bsj WHERE type = 20 UNION ALL
+SELECT chr, spos * {EVENT_LINES} + {EVENT_LINES - 1}, concat('summary: g', spos, ' t', spos, ' ', chr, ':', spos, ' 300 ', count(*)) FROM v_bsj GROUP BY chr, spos"""
 EVENTS = "SELECT chr AS log, concat(chr, ':', spos) AS event, concat('g', spos) AS gene_id, concat('t', spos) AS trans_id, CAST(300 AS BIGINT) AS spliced_len, count(*) AS declared, count(*) AS reads, CAST(sum(CASE WHEN type = 20 THEN 1 ELSE 0 END) AS BIGINT) AS split_reads FROM v_bsj GROUP BY chr, spos"
 
 
 def _log(v):
     v("v_bsj").createOrReplaceTempView("v_bsj")
-    return A.parse_sim_log(v("v_bsj").sparkSession.sql(LOG))
+    return A.parse_sim_log(v("v_bsj").sparkSession.sql(LOG), EVENT_LINES)
 
 
 @query("src_sim_log", EVENTS)

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pytest
 from pyspark.sql import Row
 
 from helixframe.catalog import oracle_sql, queries
@@ -35,3 +36,11 @@ def test_best_mapping_of_equal_order(spark, tmp_path):
     got, want = both(spark, tmp_path, "best_mapping", lineitem=(LINES, rows))
     assert got == want
     assert {r[5] for r in got} == {4}
+
+
+@pytest.mark.parametrize("name", ["src_sim_log", "event_support"])
+def test_logs_of_many_reads(spark, tmp_path, name):
+    """Reads with large numbers come before the summary of their event."""
+    rows = [{"event_id": e * x, "user_id": e % 4 + x // 1000, "event_type": "a"} for e in range(1, 40) for x in (1, 2_500, 3_000_001)]
+    got, want = both(spark, tmp_path, name, events=(EVENTS, rows))
+    assert got == want and len(got) > 4
