@@ -420,7 +420,7 @@ packed AS (SELECT contig AS contig_id, chr, b + 1 AS start_pos, b + len AS end_p
 
 def _packed(v):
     lengths = v("v_contigs").select("chr", F.length("seq").cast("long").alias("len"))
-    return R.pack_contigs(lengths.withColumn("ord", F.row_number().over(Window.orderBy("chr"))), size=100_000)
+    return R.pack_contigs(lengths.withColumn("ord", C("chr")), size=100_000)
 
 
 @query("pack_contigs", f"{PACKED} SELECT * FROM packed")

@@ -1,6 +1,6 @@
 """Queries over small tables with large keys or ties against their DuckDB statements."""
 
-import os
+import random
 
 import duckdb
 import pytest
@@ -44,3 +44,25 @@ def test_logs_of_many_reads(spark, tmp_path, name):
     rows = [{"event_id": e * x, "user_id": e % 4 + x // 1000, "event_type": "a"} for e in range(1, 40) for x in (1, 2_500, 3_000_001)]
     got, want = both(spark, tmp_path, name, events=(EVENTS, rows))
     assert got == want and len(got) > 4
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_contigs_are_packed_one_by_one(spark, seed):
+    """Against a loop, with empty chromosomes and some that are longer than a contig; no list of all of them is made."""
+    from helixframe.operators import reads
+
+    draw = random.Random(seed)
+    lengths = [draw.choice((0, 1, 7, 30, draw.randrange(60), 100, 101, 250)) for _ in range(400 * seed + 1)]
+    contig, cur, want = 0, 0, []
+    for i, n in enumerate(lengths):
+        fresh = cur == 0 or n + 5 + cur > 100
+        contig, begin = contig + fresh, 0 if fresh else cur + 5
+        cur = begin + n
+        want.append((contig, f"c{i}", begin + 1, cur))
+    rows = spark.createDataFrame([(i, f"c{i}", n) for i, n in enumerate(lengths)], "ord int, chr string, len long")
+    packed = reads.pack_contigs(rows, 100, 5)
+    assert sorted(map(tuple, packed.collect())) == sorted(want)
+    assert "collect_list" not in packed._jdf.queryExecution().optimizedPlan().toString()
+    spots = [(k, 1 + k % want[-1][0], k % 260) for k in range(1_000)]
+    back = reads.contig_to_chr(spark.createDataFrame(spots, "id long, contig_id int, pos long"), packed)
+    assert sorted(map(tuple, back.collect())) == sorted((k, c, pos - s + 1) for k, at, pos in spots for i, c, s, e in want if i == at and s <= pos <= e)
