@@ -66,3 +66,12 @@ def test_contigs_are_packed_one_by_one(spark, seed):
     spots = [(k, 1 + k % want[-1][0], k % 260) for k in range(1_000)]
     back = reads.contig_to_chr(spark.createDataFrame(spots, "id long, contig_id int, pos long"), packed)
     assert sorted(map(tuple, back.collect())) == sorted((k, c, pos - s + 1) for k, at, pos in spots for i, c, s, e in want if i == at and s <= pos <= e)
+
+
+def test_reads_from_nowhere_have_no_seed(spark):
+    """No 20 bases of them are known throughout, so that none is in a gene by chance."""
+    from helixframe.plans.circ import _nowhere
+
+    rows = spark.range(200).selectExpr("concat('g', id) AS chr", "id % 3 AS k").select(_nowhere("n").alias("seq")).collect()
+    assert all(len(r.seq) == 100 and all("N" in r.seq[i : i + 20] for i in range(81)) for r in rows)
+    assert len({r.seq for r in rows}) == 200
