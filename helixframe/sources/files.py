@@ -79,10 +79,13 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_sam(sam: DataFrame, header: DataFrame, path: str) -> None:
-    """Header lines and rows as one text dataset, the header in a file of its own that sorts first."""
+    """Header lines and rows as one text dataset, the header in files of its own that sort first, in the order of header's tasks.
+
+    What the header is made from may be large (sequences whose length it lists), so its tasks are not brought into one.
+    """
     names = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
     tags = F.transform(F.array_sort(F.map_keys("tags")), lambda k: F.concat(k, F.lit(":i:"), F.element_at("tags", k)))
-    header.select("line").coalesce(1).write.mode("overwrite").text(f"{path}/part=0")
+    header.select("line").write.mode("overwrite").text(f"{path}/part=0")
     sam.select(F.array_join(F.concat(F.array(*[F.coalesce(F.col(n).cast("string"), F.lit("*")) for n in names]), tags), "\t").alias("line")).write.mode("overwrite").text(f"{path}/part=1")
 
 

@@ -75,3 +75,18 @@ def test_reads_from_nowhere_have_no_seed(spark):
     rows = spark.range(200).selectExpr("concat('g', id) AS chr", "id % 3 AS k").select(_nowhere("n").alias("seq")).collect()
     assert all(len(r.seq) == 100 and all("N" in r.seq[i : i + 20] for i in range(81)) for r in rows)
     assert len({r.seq for r in rows}) == 200
+
+
+def test_sam_headers_are_written_by_many_tasks(spark, tmp_path):
+    """The tasks that read the sequences write their lines; read in the order of the files, the first line comes first."""
+    from helixframe.operators.alignments import sam_header
+    from helixframe.sources import files
+
+    lengths = spark.range(0, 400, 1, 8).selectExpr("concat('c', id) AS chr", "CAST(id AS int) AS len")
+    rows = spark.sql("SELECT 'r' AS qname, 0 AS flag, 'c1' AS rname, 5L AS pos, 60 AS mapq, '4M' AS cigar, '=' AS rnext, 5L AS pnext, 0L AS tlen, 'ACGT' AS seq, 'IIII' AS qual, map('NM', '1') AS tags")
+    files.write_sam(rows, sam_header(lengths), str(tmp_path))
+    parts = sorted((tmp_path / "part=0").glob("part-*"))
+    lines = [x for p in parts for x in p.read_text().splitlines()]
+    assert lines[0].startswith("@HD") and sorted(lines[1:]) == sorted(f"@SQ\tSN:c{i}\tLN:{i}" for i in range(400))
+    assert max(len(p.read_text().splitlines()) for p in parts) <= 60
+    assert files.read_sam(spark, str(tmp_path)).count() == 1
