@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Width of the bins of interval joins; about the length of a common interval.
 BIN = 512
+#: Length of the stretches within which breakpoints are put in order.
+STRETCH = 1 << 18
 
 
 def _bins(start: Column, end: Column, width: int) -> Column:
@@ -41,10 +43,16 @@ def overlap_length(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 
 
 def disjoint_pieces(intervals: DataFrame) -> DataFrame:
-    """chr, start_pos, end_pos of the maximal pieces between breakpoints; pieces that nothing covers are still among them."""
-    edges = intervals.select("chr", F.col("start_pos").alias("p")).unionByName(intervals.select("chr", (F.col("end_pos") + 1).alias("p"))).distinct()
-    w = Window.partitionBy("chr").orderBy("p")
-    return edges.select("chr", F.col("p").alias("start_pos"), (F.lead("p").over(w) - 1).alias("end_pos")).where("end_pos IS NOT NULL")
+    """chr, start_pos, end_pos of the maximal pieces between breakpoints; pieces that nothing covers are still among them.
+
+    Breakpoints are put in order within stretches of a chromosome; the last one of a stretch is followed by the first of the next that has any.
+    """
+    edges = intervals.select("chr", F.explode(F.array("start_pos", F.col("end_pos") + 1)).alias("p")).distinct().withColumn("stretch", F.floor(F.col("p") / STRETCH))
+    firsts = edges.groupBy("chr", "stretch").agg(F.min("p").alias("first"))
+    firsts = firsts.select("chr", "stretch", F.lead("first").over(Window.partitionBy("chr").orderBy("stretch")).alias("follows"))
+    w = Window.partitionBy("chr", "stretch").orderBy("p")
+    after = F.coalesce(F.lead("p").over(w), "follows")
+    return edges.join(firsts, ["chr", "stretch"]).select("chr", F.col("p").alias("start_pos"), (after - 1).alias("end_pos")).where("end_pos IS NOT NULL")
 
 
 def flatten_intervals(intervals: DataFrame, label: str) -> DataFrame:

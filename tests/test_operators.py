@@ -137,3 +137,16 @@ def test_codes_are_made_from_slices_of_bounded_bases():
     assert [x for s in slices for x in s.column("at").to_pylist()] == list(range(len(texts)))
     assert all(len(s) == 1 or sum(len(x or "") for x in s.column("seq").to_pylist()) <= seeds.AT_ONCE for s in slices)
     assert len(slices) < 30
+
+
+def test_pieces_go_on_over_stretches(spark, monkeypatch):
+    """The pieces do not depend on the stretches, also over empty ones, and no task orders a whole chromosome."""
+    monkeypatch.setattr(intervals, "STRETCH", 10)
+    rows = [("a", 1, 5), ("a", 4, 30), ("a", 95, 99), ("b", 7, 7), ("c", 0, 9), ("c", 10, 19)]
+    got = intervals.disjoint_pieces(spark.createDataFrame(rows, "chr string, start_pos long, end_pos long"))
+    want = []
+    for c in "abc":
+        edges = sorted({x for k, s, e in rows if k == c for x in (s, e + 1)})
+        want += [(c, s, e - 1) for s, e in zip(edges, edges[1:])]
+    assert sorted(map(tuple, got.collect())) == want
+    assert "stretch" in str(got._jdf.queryExecution().optimizedPlan())
