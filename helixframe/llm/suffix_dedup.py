@@ -243,11 +243,14 @@ def counted_buckets(found: DataFrame) -> DataFrame:
 
 def repeats(documents: DataFrame) -> DataFrame:
     """d, t, start, end: byte ranges of each text (doc_id and hash) covered by strings of LENGTH bytes that occur elsewhere."""
-    found = materialize(anchors(documents), "anchors", True)
+    # anchors are made anew where they are read: most occur once, and all of them take more disk than making them again takes time
+    found = anchors(documents)
     # within one text the same context may stand at several places, so rows are counted, not texts
-    buckets = materialize(found.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("m > 1"), "buckets")
+    buckets = materialize(found.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("m > 1"), "buckets", True)
+    # windows of random order have two anchors for each of their length
+    total = (documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * 2 // (LENGTH - GRAM + 2)
     # grams of more than HOT of all anchors, of which there are fewer than 1 / HOT, are broadcast, so that no task gets one whole
-    hot = F.col("m") > max(1, found.count() * HOT)
+    hot = F.col("m") > max(1, total * HOT)
     often = F.broadcast(buckets.where(hot))
     kept = found.join(often, "h").unionByName(found.join(often, "h", "left_anti").join(buckets.where(~hot), "h"))
     kept = materialize(kept.select(*found.columns, (F.col("c1") != F.col("c2")).alias("differ")), "anchors-repeated", True)
@@ -258,7 +261,7 @@ def repeats(documents: DataFrame) -> DataFrame:
     x = materialize(contexts(documents, wanted), "contexts", True)
     parts = materialize(split_buckets(x), "bucket-parts")
     differ, again = kept.where("differ"), groups.where("n > 1")
-    hot_context = F.col("n") > max(1, found.count() * HOT)
+    hot_context = F.col("n") > max(1, total * HOT)
     often = F.broadcast(again.where(hot_context).select("h", "c"))
     rest = differ.join(often, ["h", "c"], "left_anti").join(again.where(~hot_context).select("h", "c"), ["h", "c"], "left_semi")
     whole = kept.where("NOT differ").unionByName(differ.join(often, ["h", "c"], "left_semi").select(*kept.columns)).unionByName(rest.select(*kept.columns))

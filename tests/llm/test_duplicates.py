@@ -218,3 +218,18 @@ def test_repeats_equal_brute_force(spark, prose, monkeypatch, crowded, hot):
 
 def test_no_documents_have_no_repeats(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_anchors_that_occur_once_are_not_written(spark, prose, monkeypatch):
+    written = []
+
+    def materialize(frame, name, release=False):
+        rows = frame.collect()
+        written.append((name, len(rows)))
+        return spark.createDataFrame(rows, frame.schema)
+
+    monkeypatch.setattr(suffix_dedup, "materialize", materialize)
+    letters = random.Random(3)
+    docs = [(k, "".join(letters.choice("abcdefgh ") for _ in range(1_500)), 2) for k in range(4)]
+    assert [x.n_removed for x in suffix_dedup.remove_repeats(spark.createDataFrame(docs, DOCS)).collect()] == [0] * 4
+    assert written and not any(n for _, n in written)
