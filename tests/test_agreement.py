@@ -95,3 +95,35 @@ def test_whole_mates_are_cut_to_the_circle_within_the_clip_limit(spark):
     make = lambda s, e, left=zero, right=zero: splits.part(spos=s, epos=e, qspos=F.lit(1) + left, qepos=F.lit(100), sl=left, sr=right, mlen=F.lit(100), ed=zero, med=zero, dir=F.lit(1))
     out = frame.select("id", splits.trimmed(make(F.col("s"), F.col("e"), F.col("l"), F.col("r")), make(F.lit(100), F.lit(150)), make(F.lit(160), F.lit(200)), p).alias("x")).select("id", "x.*").orderBy("id").collect()
     assert [(g.spos, g.epos, g.sl, g.sr, g.mlen) for g in out] == [(100, 199, 0, 0, 100), (100, 199, 4, 0, 96), (96, 199, 4, 0, 100), (100, 200, 0, 6, 94), (100, 208, 0, 0, 100), (100, 200, 7, 6, 91)]
+
+
+def test_pairs_of_mates_are_met_by_what_they_share(spark):
+    import random
+
+    from helixframe.operators import pairs
+    from helixframe.operators.tables import stored
+
+    r = random.Random(5)
+    schema = "rname int, mate int, dir int, chr string, pos long, end_pos long, score double, gene_id int, trans_ids array<int>"
+    some = lambda: None if r.random() < 0.1 else [r.choice([None, *range(12)]) for _ in range(r.randint(0, 3))]
+    rows = [(r.randint(1, 8), r.randint(1, 2), r.choice([-1, 1]), r.choice(["a", "b"]), p := r.randint(1, 400) * 20, p + r.randint(1, 90), float(k), r.choice([None, *range(20)]), some()) for k in range(300)]
+    rows += [(9, 1, 1, "a", 50, 60, 1.0, 1, [1]), (9, 2, -1, "a", 50, 70, 1.0, 2, [2]), (10, 1, 1, "a", 50, 500, 1.0, 1, [1]), (10, 2, -1, "a", 50, 70, 1.0, 2, [2]), (11, 1, 1, "a", 5, 9, 1.0, 3, [4, 5]), (11, 2, -1, "a", 9000, 9009, 1.0, 3, [5, 4])]
+    frame = stored(spark.createDataFrame(rows, schema))
+    saved = {k: 4 + k % 5 for k in range(1, 6)}
+    for gate in (None, saved):
+        want, used = [], set()
+        for a in rows:
+            for b in rows:
+                if a[1] == 1 and b[1] == 2 and a[0] == b[0] and a[3] == b[3] and a[2] != b[2]:
+                    tlen, s = (b[5] - a[4] if a[4] < b[4] else a[5] - b[4]), None if gate is None else gate.get(a[0])
+                    own = {x for x in a[8] or [] if x is not None} & {x for x in b[8] or [] if x is not None}
+                    kind = 0 if own else 1 if a[7] is not None and a[7] == b[7] and (s is None or s >= pairs.P.CONGEN) else 2 if tlen <= 100 and (s is None or s >= pairs.P.CONGNM) else None
+                    if kind is not None:
+                        want.append((a[0], a[3], a[4], b[4], tlen, kind, a[6] + b[6]))
+                        used |= {(a[0], a[3], x[1], x[2], x[4]) for x in (a, b)}
+        frames = None if gate is None else spark.createDataFrame(list(gate.items()), "rname int, type int")
+        found = pairs.mate_pair_candidates(frame, 100, saved=frames)
+        assert sorted(tuple(x) for x in found.collect()) == sorted(want) and {x[5] for x in want} == {0, 1, 2}
+        if gate is None:
+            left = pairs.unpaired_chains(frame, 100)
+            assert sorted(x.score for x in left.collect()) == sorted(x[6] for x in rows if (x[0], x[3], x[1], x[2], x[4]) not in used)
