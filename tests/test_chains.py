@@ -190,3 +190,11 @@ def test_bounds_of_seeds(spark):
     rows = [(i, h[2], h[4], 100 - h[3] - K) for i, h in enumerate(hits)]
     got = spans.seed_upper_bound(spark.createDataFrame(rows, "id long, chr string, pos long, rlen long"), spark.createDataFrame(exons, EXONS), K)
     assert {x.id: x.bound for x in got.collect()} == {i: bound_of(exons, c, r, rest)[0] for i, c, r, rest in rows}
+
+
+def test_links_are_not_aggregated(spark):
+    exons, hits = world(3)
+    rows = spark.createDataFrame(hits + hits, HITS)
+    got = chains.chain_links(rows, spark.createDataFrame(exons, EXONS), K)
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == got.select("rname", "dir", "chr", "q1", "r1", "q2", "r2").distinct().count() > 0
