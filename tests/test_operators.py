@@ -1,4 +1,5 @@
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,8 +130,6 @@ def test_fastq_files_are_split(spark, tmp_path):
 def test_codes_are_made_from_slices_of_bounded_bases():
     import pyarrow as pa
 
-    from helixframe.operators import seeds
-
     texts = ["ACGT" * 1_024] * 2_000 + [None, "", "A" * (2 * seeds.AT_ONCE), "", "ACG"]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["at", "seq"])
     slices = list(seeds._shares(batch))
@@ -150,3 +149,25 @@ def test_pieces_go_on_over_stretches(spark, monkeypatch):
         want += [(c, s, e - 1) for s, e in zip(edges, edges[1:])]
     assert sorted(map(tuple, got.collect())) == want
     assert "stretch" in str(got._jdf.queryExecution().optimizedPlan())
+
+
+@pytest.mark.parametrize("limit", [None, 1, 3])
+def test_only_what_is_asked_for_is_shuffled(spark, monkeypatch, limit):
+    """With more codes than are broadcast, a filter holds back nearly all others before the join, and the postings are the same."""
+    draw = random.Random(4)
+    genome = ["".join(draw.choices("ACGT", k=3_000)) for _ in range(6)]
+    genome += [genome[0][:500] + "N" + genome[1][100:300], genome[0][:60] * 3]
+    frame = spark.createDataFrame([(f"c{i}", s) for i, s in enumerate(genome)], "chr string, seq string")
+    reads = spark.createDataFrame([(i, genome[i % 8][7 * i : 7 * i + 100]) for i in range(24)], "rname long, seq string")
+    monkeypatch.setattr(seeds, "BROADCAST_BYTES", 0)
+    asked = seeds.read_kmers(reads, 20).select("code").distinct()
+    passing = seeds.kmer_index(frame, 20, seeds.code_filter(asked, asked.count()))
+    places = defaultdict(list)
+    for i, s in enumerate(genome):
+        for at in range(len(s) - 19):
+            places[s[at : at + 20]].append((f"c{i}", at + 1))
+    known = {s for r in reads.collect() for q in (r.seq, r.seq[::-1].translate(str.maketrans("ACGT", "TGCA"))) for s in (q[i : i + 20] for i in range(0, len(q) - 19, 20))}
+    wanted = sum(len(places[s]) for s in known)
+    assert wanted <= passing.count() < wanted + 0.2 * sum(map(len, places.values()))
+    got = sorted((r.kmer, r.chr, r.rpos) for r in seeds.index_of(frame, 20, asked, limit).select(seeds.kmer_of(F.col("code"), 20).alias("kmer"), "chr", "rpos").collect())
+    assert got == sorted((s, *p) for s in known if limit is None or len(places[s]) <= limit for p in places[s]) and got
