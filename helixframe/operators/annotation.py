@@ -56,12 +56,13 @@ def merge_genes(genes: DataFrame) -> DataFrame:
 def transcript_segments(exons: DataFrame) -> DataFrame:
     """chr, trans_id, seg_start, seg_end, state for every segment of a transcript's exons.
 
-    State 1: the segment begins with the exon; else 3: it ends with it; else 2.
+    State 1: the segment begins with the exon; else 3: it ends with it; else 2. Rows are dealt by transcript, as what reads them asks for.
     """
     pieces = disjoint_pieces(exons).select("chr", F.col("start_pos").alias("seg_start"), F.col("end_pos").alias("seg_end"))
     covered = point_join(pieces, exons.select("chr", "trans_id", "start_pos", "end_pos"), "seg_start")
     state = F.when(F.col("seg_start") == F.col("start_pos"), 1).when(F.col("seg_end") == F.col("end_pos"), 3).otherwise(2)
-    return covered.groupBy("chr", "trans_id", "seg_start", "seg_end").agg(F.min(state).alias("state"))
+    covered = covered.select("chr", "trans_id", "seg_start", "seg_end", state.alias("state")).repartition("chr", "trans_id")
+    return covered.groupBy("chr", "trans_id", "seg_start", "seg_end").agg(F.min("state").alias("state"))
 
 
 def annotate_circ(circ: DataFrame, exons: DataFrame) -> DataFrame:

@@ -96,6 +96,14 @@ def _segments(trans_seg: DataFrame) -> DataFrame:
     return trans_seg.select("chr", "trans_id", F.col("seg_start").alias("start_pos"), F.col("seg_end").alias("end_pos"))
 
 
+def _stretches(lists: DataFrame) -> DataFrame:
+    """What the ordered segments (segs) of each transcript cover, neighbouring ones as one: chr, trans_id, start_pos, end_pos."""
+    starts = F.filter("segs", lambda s, i: F.coalesce(s["start_pos"] > F.get("segs", i - 1)["end_pos"] + 1, F.lit(True)))
+    ends = F.filter("segs", lambda s, i: F.coalesce(F.get("segs", i + 1)["start_pos"] > s["end_pos"] + 1, F.lit(True)))
+    merged = F.explode(F.zip_with(starts, ends, lambda x, y: F.struct(x["start_pos"].alias("start_pos"), y["end_pos"].alias("end_pos")))).alias("s")
+    return lists.select("chr", "trans_id", merged).select("chr", "trans_id", "s.start_pos", "s.end_pos")
+
+
 def junction_list(mates: DataFrame, trans_seg: DataFrame, slack: int = 3) -> DataFrame:
     """id, trans_id, ord (from 1), junc_start, junc_end, covered: the junctions of each mate (id, chr, spos, epos, matched_len).
 
@@ -125,22 +133,28 @@ def transcript_walk(anchors: DataFrame, trans_seg: DataFrame, right: bool = True
     """id, trans_id, ord (from 1), pos and len: the exon pieces that need bases after (before, if not right) a position cover.
 
     anchors: id, chr, pos (the first base of the path), need, bound (no piece goes beyond it). There is a path along each
-    transcript with a segment at pos; it may end short where the transcript or the bound does.
+    transcript with a segment at pos; it may end short where the transcript or the bound does. Anchors meet the ordered list of a
+    transcript's segments and walk along it, so that the pieces of paths are neither shuffled nor sorted.
     """
-    segs = _segments(trans_seg)
-    at = point_join(anchors, segs).select("id", "chr", "pos", "need", "bound", "trans_id")
-    walk = at.join(segs, ["chr", "trans_id"])
+    lists = _segments(trans_seg).groupBy("chr", "trans_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos"))).alias("segs"))
+    at = point_join(anchors, _stretches(lists)).select("id", "chr", "pos", "need", "bound", "trans_id")
+    pos, bound, need = F.col("pos"), F.col("bound"), F.col("need").cast("long")
     if right:
-        walk = walk.where("end_pos >= pos AND start_pos <= bound").withColumns({"a": F.greatest("start_pos", "pos"), "b": F.least("end_pos", "bound")})
-        order = F.asc("a")
+        ahead = F.filter("segs", lambda s: (s["end_pos"] >= pos) & (s["start_pos"] <= bound))
+        cut = lambda s: (F.greatest(s["start_pos"], pos), F.least(s["end_pos"], bound))
     else:
-        walk = walk.where("start_pos <= pos AND end_pos >= bound").withColumns({"a": F.greatest("start_pos", "bound"), "b": F.least("end_pos", "pos")})
-        order = F.desc("a")
-    w = Window.partitionBy("id", "trans_id").orderBy(order)
-    size = F.col("b") - F.col("a") + 1
-    walk = walk.withColumns({"so_far": F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "ord": F.row_number().over(w)}).where("so_far < need")
-    length = F.least(size, F.col("need") - F.col("so_far"))
-    return walk.select("id", "trans_id", "ord", (F.col("a") if right else F.col("b") - length + 1).alias("pos"), length.alias("len"))
+        ahead = F.reverse(F.filter("segs", lambda s: (s["start_pos"] <= pos) & (s["end_pos"] >= bound)))
+        cut = lambda s: (F.greatest(s["start_pos"], bound), F.least(s["end_pos"], pos))
+
+    def step(path: Column, s: Column) -> Column:
+        a, b = cut(s)
+        length = F.least(b - a + 1, need - path["so_far"])
+        piece = F.struct((a if right else b - length + 1).cast("long").alias("pos"), length.cast("long").alias("len"))
+        return F.when(path["so_far"] < need, F.struct((path["so_far"] + b - a + 1).cast("long").alias("so_far"), F.array_append(path["pieces"], piece).alias("pieces"))).otherwise(path)
+
+    start = F.struct(F.lit(0).cast("long").alias("so_far"), F.array().cast("array<struct<pos: long, len: long>>").alias("pieces"))
+    walk = at.join(lists, ["chr", "trans_id"]).select("id", "trans_id", F.posexplode(F.aggregate(ahead, start, step, lambda path: path["pieces"])).alias("i", "piece"))
+    return walk.select("id", "trans_id", (F.col("i") + 1).alias("ord"), "piece.pos", "piece.len")
 
 
 def left_mate_order(pairs: DataFrame, read_length: Column) -> DataFrame:

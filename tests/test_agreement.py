@@ -98,8 +98,6 @@ def test_whole_mates_are_cut_to_the_circle_within_the_clip_limit(spark):
 
 
 def test_pairs_of_mates_are_met_by_what_they_share(spark):
-    import random
-
     from helixframe.operators import pairs
     from helixframe.operators.tables import stored
 
@@ -127,3 +125,27 @@ def test_pairs_of_mates_are_met_by_what_they_share(spark):
         if gate is None:
             left = pairs.unpaired_chains(frame, 100)
             assert sorted(x.score for x in left.collect()) == sorted(x[6] for x in rows if (x[0], x[3], x[1], x[2], x[4]) not in used)
+
+
+@pytest.mark.parametrize("right", [True, False])
+def test_walks_shuffle_no_pieces(spark, right):
+    """Against a loop over segments, to either side; nothing is shuffled or sorted after anchors and transcripts have met."""
+    from helixframe.operators import spans
+
+    r = random.Random(8)
+    segs = [(f"chr{t % 2}", t, s, s + w) for t in range(30) for s, w in ((10 * k + 3, r.choice((4, 9))) for k in sorted(r.sample(range(40), 14)))]
+    anchors = [(i, f"chr{i % 2}", p := r.randrange(420), r.choice((0, 1, 12, 60)), p + (1 if right else -1) * r.randrange(200)) for i in range(150)]
+    want = []
+    for i, c, pos, need, bound in anchors:
+        for t in {t for d, t, s, e in segs if d == c and s <= pos <= e}:
+            so_far, low, high = 0, min(pos, bound), max(pos, bound)
+            pieces = sorted((max(s, low), min(e, high)) for _, u, s, e in segs if u == t and e >= low and s <= high)
+            for k, (a, b) in enumerate(pieces if right else pieces[::-1], 1):
+                if so_far < need:
+                    n = min(b - a + 1, need - so_far)
+                    want.append((i, t, k, a if right else b - n + 1, n))
+                so_far += b - a + 1
+    frames = spark.createDataFrame(anchors, "id long, chr string, pos long, need long, bound long"), spark.createDataFrame(segs, "chr string, trans_id long, seg_start long, seg_end long")
+    found = spans.transcript_walk(*frames, right)
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 300
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
