@@ -171,3 +171,27 @@ def test_only_what_is_asked_for_is_shuffled(spark, monkeypatch, limit):
     assert wanted <= passing.count() < wanted + 0.2 * sum(map(len, places.values()))
     got = sorted((r.kmer, r.chr, r.rpos) for r in seeds.index_of(frame, 20, asked, limit).select(seeds.kmer_of(F.col("code"), 20).alias("kmer"), "chr", "rpos").collect())
     assert got == sorted((s, *p) for s in known if limit is None or len(places[s]) <= limit for p in places[s]) and got
+
+
+@pytest.mark.parametrize("held", [4_096, 0])
+def test_best_bins_without_a_list_of_hits(spark, monkeypatch, held):
+    """Against a loop, over several pieces a sequence, with ties and repeated k-mers; a read's best bin of a piece is all that is shuffled."""
+    draw = random.Random(9)
+    genome = {f"c{i}": "".join(draw.choices("ACGTN" if i % 2 else "AC", k=draw.choice((0, 3, 90, 257)))) for i in range(12)}
+    reads = {i: "".join(draw.choices("ACGT" if i % 3 else "AC", k=draw.choice((2, 30, 41)))) for i in range(15)}
+    monkeypatch.setattr(seeds, "PIECE", 47)
+    monkeypatch.setattr(seeds, "READS_AT_ONCE", held)
+    want = {}
+    for r, s in reads.items():
+        kmers = [q[i : i + 4] for q in (s, s[::-1].translate(str.maketrans("ACGT", "TGCA"))) for i in range(0, len(q) - 3, 4)]
+        for c, g in genome.items():
+            bins = defaultdict(int)
+            for at in range(len(g) - 3):
+                bins[(at + 1) // 20] += kmers.count(g[at : at + 4])
+            best = max(((n, -b) for b, n in bins.items()), default=(0, 0))
+            if best[0]:
+                want[r, c] = (-best[1], best[0])
+    frames = spark.createDataFrame(list(reads.items()), "rname long, seq string"), spark.createDataFrame(list(genome.items()), "chr string, seq string")
+    got = seeds.best_seed_bins(*frames, 4, 20)
+    assert {(x.rname, x.chr): (x.bin, x.hits) for x in got.collect()} == want and len(want) > 40
+    assert ("Join" not in got._jdf.queryExecution().optimizedPlan().toString()) == bool(held)
