@@ -5,6 +5,7 @@ import random
 import duckdb
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from helixframe.catalog import oracle_sql, queries
 
@@ -100,3 +101,26 @@ def test_changed_bases_that_an_indel_explains_for_less(spark, tmp_path, name):
     got, want = both(spark, tmp_path, name, customer=("c_custkey long", rows))
     assert got == want
     assert {r[0]: r[-1] for r in got if r[0] in better} == better
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_lines_of_large_gene_models_are_dealt_in_shares(spark, tmp_path, monkeypatch, broadcast):
+    """However few partitions the session has; with keys that are null, unknown or there twice, the rows are those of the statement."""
+    from helixframe.plans import fixtures
+
+    for name, value in (("LARGE", 3_000), ("SHARE", 100), ("MOST", 2_000)):
+        monkeypatch.setattr(fixtures, name, value, raising=False)
+    keys = [None, 0, *range(500), 700, 7]
+    lines = [line(l_orderkey=k, l_linenumber=x, l_partkey=k or 0, l_quantity=float(x)) for k in keys for x in range(1, 8)]
+    orders = [{"o_orderkey": k, "o_custkey": None if k == 4 else (k or 0) % 97 + i} for i, k in enumerate([*range(600), 9])]
+    people = [{"c_custkey": k, "c_nationkey": i % 25} for i, k in enumerate([*range(650), 3, None])]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        tables = {"lineitem": (LINES, lines), "orders": ("o_orderkey long, o_custkey long", orders), "customer": ("c_custkey long, c_nationkey int", people)}
+        got, want = both(spark, tmp_path, "exon_neighbours", **tables)
+        assert got == want and len(got) > 3_000
+        dealt = queries()["exon_neighbours"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in dealt) <= 300 and sum(r["count"] for r in dealt) == len(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
