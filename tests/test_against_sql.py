@@ -124,3 +124,10 @@ def test_lines_of_large_gene_models_are_dealt_in_shares(spark, tmp_path, monkeyp
         assert max(r["count"] for r in dealt) <= 300 and sum(r["count"] for r in dealt) == len(want)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_changed_bases_that_make_a_seed_by_chance(spark, tmp_path):
+    """Of a gene with a short repeat, in which a changed base made a seed four bases off, the call is that of the statement."""
+    rows = [{"c_custkey": k} for k in (33_842, *range(1, 12))]
+    got, want = both(spark, tmp_path, "circ_single_split", customer=("c_custkey long", rows))
+    assert got == want
