@@ -195,3 +195,24 @@ def test_best_bins_without_a_list_of_hits(spark, monkeypatch, held):
     got = seeds.best_seed_bins(*frames, 4, 20)
     assert {(x.rname, x.chr): (x.bin, x.hits) for x in got.collect()} == want and len(want) > 40
     assert ("Join" not in got._jdf.queryExecution().optimizedPlan().toString()) == bool(held)
+
+
+def test_only_kmers_that_a_gene_is_asked_for_leave_their_task(spark, monkeypatch):
+    """Hits in genes against brute force, with codes of equal remainders, a gene that nothing asks for and too many hits; of a gene's k-mers few are written."""
+    r = random.Random(5)
+    draw = lambda n: "".join(r.choices("ACGT", k=n))
+    genes = {g: draw(9_000) for g in range(4)} | {4: "ACGTTGCA" * 400, 5: "ACGN" * 9}
+    asked = [(i, g, genes[g][p : p + 30]) for i in range(12) for g, p in [(i % 3, r.randrange(8_000))]] + [(90, 4, "ACGTTGCAACG"), (91, 0, "NNNNNNNNNN"), (92, 1, draw(25)), (93, 5, "ACGACGTT"), (94, 77, draw(20))]
+    written = []
+    monkeypatch.setattr(seeds, "stored", lambda frame: written.append(frame.localCheckpoint()) or written[-1])
+    frames = spark.createDataFrame(asked, "id long, gene_id long, seq string"), spark.createDataFrame([(g, 100 * g, s) for g, s in genes.items()], "gene_id long, start_pos long, seq string")
+    got = sorted(map(tuple, seeds.regional_kmer_join(*frames, 8, 3, limit=300).collect()))
+    want = []
+    for i, g, q in asked:
+        for at in range(0, len(q) - 7, 3):
+            kmer, text = q[at : at + 8], genes.get(g, "")
+            found = [p for p in range(len(text) - 7) if text[p : p + 8] == kmer] if set(kmer) <= set("ACGT") else []
+            want += [(i, g, at, p + 100 * g) for p in found] if len(found) <= 300 else []
+    assert got == sorted(want) and {x[1] for x in got} == {0, 1, 2}
+    index = next(f for f in written if "rpos" in f.columns)
+    assert index.where("gene_id = 3").count() == 0 and index.where("gene_id < 3").count() < 1_000
