@@ -5,13 +5,14 @@ share one of). A list is cut into blocks of one set size, each in order of posit
 reach, and in each to the stretch of positions from which enough shingles can still be shared; the rest of the list is skipped.
 Equal sets are one set. Every set has its most similar partner among the candidates; the answers of the partners are computed
 first, and those of the other sets are derived from them where the shingles that the two sets don't share can't change the
-answer; only what that leaves open is verified. Lists longer than SHORT belong to groups of many similar sets; these are
-verified block against block.
+answer; only what that leaves open is verified. Lists much longer than a shingle may be common belong to groups of many similar
+sets; these are verified block against block, in rounds that each ship a bounded number of sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,10 @@ from .common import materialize, table
 from .components import components
 from .word_arrays import array_of_lists, shingle_sets, slabs
 
-#: Longest list whose pairs are listed, sets in a block of a larger group, and most ids that are broadcast.
+#: Longest list whose pairs are listed (in a larger table longest_list), sets in a block of a larger group, and most ids that are broadcast.
 SHORT, GROUP, BROADCAST_IDS = 64, 2_048, 2_000_000
+#: Pairs of places in lists that are looked at together, and fewest sets that the cells of a round of large groups ship.
+AT_ONCE, SHIPPED = 1 << 22, 500_000
 #: A shingle in more than this share of the documents is put last in the order of shingles.
 COMMON = 1 / 16_000
 #: Documents whose shingles are counted together when common ones are looked for, and fewest of them that must hold one.
@@ -35,8 +38,19 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def _common_shingles(documents: DataFrame, size: int) -> np.ndarray:
-    """Shingles in more than COMMON of the documents, as far as a stretch of COUNTED documents shows it.
+def _most(documents: int) -> float:
+    """A shingle in more documents than this is common."""
+    return max(documents * COMMON, SHORT / 4)
+
+
+def longest_list(documents: int) -> int:
+    """Longest list whose pairs are listed. What may stand in many documents without being common makes no groups, which would grow
+    together; counts of stretches miss some of a shingle's documents, therefore twice that."""
+    return max(SHORT, int(2 * _most(documents)))
+
+
+def _common_shingles(documents: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """Shingles in more than COMMON of the documents, as far as a stretch of COUNTED documents shows it, and the number of documents.
 
     Only the order of shingles depends on these: any order gives the same links. At most (mean set size) / COMMON of them can
     exist, so that they fit a closure whatever the size of the input.
@@ -60,8 +74,8 @@ def _common_shingles(documents: DataFrame, size: int) -> np.ndarray:
             yield flush()
 
     counted = documents.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    n = max(documents.count() * COMMON, SHORT / 4)
-    return np.sort(np.array([r["s"] for r in counted.where(F.col("n") > n).select("s").collect()], np.int64).view(np.uint64))
+    n = documents.count()
+    return np.sort(counted.where(F.col("n") > _most(n)).select("s").toArrow()["s"].to_numpy().view(np.uint64)), n
 
 
 def _ordered(s: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -128,10 +142,20 @@ def _pairs_of_lists(token: np.ndarray, doc: np.ndarray, n: np.ndarray, pos: np.n
     return doc[i], doc[j]
 
 
-def candidates(sets: DataFrame, percent: int) -> DataFrame:
-    """kind 0: pairs (a, b) from short lists; kind 1: members (a: document, b: shingle) of long lists.
+def _shares(token: np.ndarray) -> Iterator[slice]:
+    """Rows, sorted by token, in stretches of whole lists that have some AT_ONCE pairs of rows, or of one list."""
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
+    ends = np.append(first[1:], len(token))
+    share = np.cumsum((ends - first) ** 2) // AT_ONCE
+    cuts = np.flatnonzero(np.append(True, share[1:] != share[:-1])[: len(share)])
+    for a, b in zip(cuts, np.append(cuts[1:], len(first))):
+        yield slice(first[a], ends[b - 1])
+
+
+def candidates(sets: DataFrame, percent: int, longest: int) -> DataFrame:
+    """kind 0: pairs (a, b) from lists up to longest; kind 1: members (a: document, b: shingle) of longer lists.
 
-    sets: doc_id, n, prefix. The lists arrive sorted, and a list is never held beyond SHORT + 1 rows.
+    sets: doc_id, n, prefix. The lists arrive sorted, and a list is never held beyond longest + 1 rows and a batch.
     """
     postings = sets.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "n", "doc_id", "pos")
     postings = postings.repartition("token").sortWithinPartitions("token", "n", "pos", "doc_id")
@@ -150,7 +174,7 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
                 return
             first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             length = np.diff(np.append(first, len(token)))
-            is_long = (length > SHORT) | (token[first] == open_long if open_long is not None else False)
+            is_long = (length > longest) | (token[first] == open_long if open_long is not None else False)
             tail_open = not last and not is_long[-1]
             open_long = token[-1] if not last and is_long[-1] else None
             in_long = np.repeat(is_long, length)
@@ -159,9 +183,11 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
             short = np.repeat(~is_long & (length > 1), length)
             if tail_open:
                 short[first[-1] :] = False
-            a, b = _pairs_of_lists(*[rows[k][short] for k in (0, 2, 1, 3)], percent)
-            if len(a):
-                yield emit(0, np.minimum(a, b), np.maximum(a, b))
+            columns = [rows[k][short] for k in (0, 2, 1, 3)]
+            for share in _shares(columns[0]):
+                a, b = _pairs_of_lists(*[c[share] for c in columns], percent)
+                if len(a):
+                    yield emit(0, np.minimum(a, b), np.maximum(a, b))
             held = [r[first[-1] :] if tail_open else r[:0] for r in rows]
 
         for batch in batches:
@@ -289,7 +315,8 @@ def group_links(members: DataFrame, sets: DataFrame, sizes: DataFrame, percent:
     """Links inside groups: members (doc_id, component).
 
     A group of up to GROUP sets is one block. A larger one is cut into blocks of similar set size, and a block meets those its
-    sizes allow.
+    sizes allow. A set goes to as many cells as its block meets others, so that cells are worked on in rounds that ship as many sets as
+    the large groups have, or SHIPPED; what a round has shipped is given up with it.
     """
     counts = members.groupBy("component").agg(F.count("*").alias("members"))
     placed = members.join(counts, "component").join(sizes, "doc_id")
@@ -302,10 +329,12 @@ def group_links(members: DataFrame, sets: DataFrame, sizes: DataFrame, percent:
     placed = placed.join(per_step, ["component", "step"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     mine = per_step.select("component", F.col("step").alias("s1"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b1"))
     other = per_step.select("component", F.col("step").alias("s2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b2"))
-    cells = mine.join(other, "component").where("(s2 = s1 AND b2 >= b1) OR s2 = s1 + 1")
-    loaded = placed.select("doc_id", "component", "step", "block").join(sets, "doc_id")
-    left = cells.join(loaded.withColumnsRenamed({"step": "s1", "block": "b1"}), ["component", "s1", "b1"])
-    right = cells.join(loaded.withColumnsRenamed({"step": "s2", "block": "b2"}), ["component", "s2", "b2"])
+    all_cells = materialize(mine.join(other, "component").where("(s2 = s1 AND b2 >= b1) OR s2 = s1 + 1"), "cells")
+    n_cells = all_cells.count()
+    if not n_cells:
+        return inside
+    loaded = materialize(placed.select("doc_id", "component", "step", "block").join(sets, "doc_id"), "sets-of-groups", True)
+    rounds = -(-n_cells * 2 * GROUP // max(SHIPPED, loaded.count()))
     keys = ["component", "s1", "b1", "s2", "b2"]
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -313,10 +342,16 @@ def group_links(members: DataFrame, sets: DataFrame, sizes: DataFrame, percent:
             return _links(a, b, percent)
         return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
 
-    left = left.select(*[F.col(k).alias(f"l_{k}") for k in keys], F.col("doc_id").alias("doc_id"), F.col("tokens").alias("tokens"))
-    right = right.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("doc_id").alias("doc_id"), F.col("tokens").alias("tokens"))
-    between = left.groupBy(*[f"l_{k}" for k in keys]).cogroup(right.groupBy(*[f"r_{k}" for k in keys])).applyInArrow(run, "u long, v long")
-    return inside.unionByName(between)
+    links = [inside]
+    for r in range(rounds):
+        cells = all_cells.where(F.pmod(F.xxhash64(*keys), F.lit(rounds)) == r)
+        left = cells.join(loaded.withColumnsRenamed({"step": "s1", "block": "b1"}), ["component", "s1", "b1"])
+        right = cells.join(loaded.withColumnsRenamed({"step": "s2", "block": "b2"}), ["component", "s2", "b2"])
+        left = left.select(*[F.col(k).alias(f"l_{k}") for k in keys], F.col("doc_id").alias("doc_id"), F.col("tokens").alias("tokens"))
+        right = right.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("doc_id").alias("doc_id"), F.col("tokens").alias("tokens"))
+        between = left.groupBy(*[f"l_{k}" for k in keys]).cogroup(right.groupBy(*[f"r_{k}" for k in keys])).applyInArrow(run, "u long, v long")
+        links.append(materialize(between, "links-between", True))
+    return reduce(DataFrame.unionByName, links)
 
 
 def jaccard_classes(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -328,14 +363,14 @@ def jaccard_classes(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     one without words keeps its doc_id. An empty table gives an empty result. Other columns are
     ignored; doc_id must be a number, and rows without one come back with a null component_id.
     """
-    common = _common_shingles(documents, size)
+    common, n_documents = _common_shingles(documents, size)
     docs = materialize(shingled(documents, size, percent, common), "shingled", True)
     filled = docs.where("n > 0 AND doc_id IS NOT NULL")
     alike = filled.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
     # the sets are numbered once, when they are written
     alike = materialize(alike.withColumn("set_id", F.monotonically_increasing_id()), "distinct-sets", True)
     reps = alike.select(F.col("set_id").alias("doc_id"), "n", "prefix")
-    found = materialize(candidates(reps, percent), "candidates", True)
+    found = materialize(candidates(reps, percent, longest_list(n_documents)), "candidates", True)
     pairs = materialize(found.where("kind = 0").groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs", True)
     crowded = found.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("token"))
     hubs = crowded.groupBy("token").agg(F.min("doc_id").alias("hub"))

@@ -147,6 +147,24 @@ def test_classes_equal_brute_force(spark, similar, monkeypatch, size, percent, s
     assert got == brute_classes(similar, size, percent)
 
 
+def test_lists_that_grow_with_the_table_make_no_groups(spark):
+    """At three million documents a shingle of 180 is not common yet; its list gives pairs, as no group could be told apart from the next one."""
+    rows = [(d, 100 + d // 20, [7, 1_000 + d]) for d in range(180)]
+    found = ngram_join.candidates(spark.createDataFrame(rows, "doc_id long, n long, prefix array<long>"), 85, ngram_join.longest_list(3_000_000))
+    got = sorted((r.a, r.b) for r in found.where("kind = 0").collect())
+    assert got == [(a, b) for a in range(180) for b in range(a + 1, 180)] and found.where("kind = 1").count() == 0
+
+
+def test_large_groups_are_worked_on_in_rounds(spark, similar, monkeypatch):
+    """The classes of brute force; no round ships more sets than it may, but for chance."""
+    for name, value in (("SHORT", 2), ("GROUP", 8), ("SHIPPED", 40), ("AT_ONCE", 9)):
+        monkeypatch.setattr(ngram_join, name, value, raising=False)
+    written, write = [], ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda frame, name, *more: written.append(name) or write(frame, name, *more))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(spark.createDataFrame([(d, t, 1) for d, t in similar], DOCS), 4, 85).collect()}
+    assert got == brute_classes(similar, 4, 85) and written.count("links-between") > 2
+
+
 def test_pairs_of_lists_are_those_that_size_and_position_allow():
     import numpy as np
 
