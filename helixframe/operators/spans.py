@@ -96,6 +96,10 @@ def _segments(trans_seg: DataFrame) -> DataFrame:
     return trans_seg.select("chr", "trans_id", F.col("seg_start").alias("start_pos"), F.col("seg_end").alias("end_pos"))
 
 
+def _ordered_segments(trans_seg: DataFrame) -> DataFrame:
+    return _segments(trans_seg).groupBy("chr", "trans_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos"))).alias("segs"))
+
+
 def _stretches(lists: DataFrame) -> DataFrame:
     """What the ordered segments (segs) of each transcript cover, neighbouring ones as one: chr, trans_id, start_pos, end_pos."""
     starts = F.filter("segs", lambda s, i: F.coalesce(s["start_pos"] > F.get("segs", i - 1)["end_pos"] + 1, F.lit(True)))
@@ -108,25 +112,25 @@ def junction_list(mates: DataFrame, trans_seg: DataFrame, slack: int = 3) -> Dat
     """id, trans_id, ord (from 1), junc_start, junc_end, covered: the junctions of each mate (id, chr, spos, epos, matched_len).
 
     They are those between the segments of the first transcript that holds both ends of the mate, in different segments, and
-    whose bases between them are within slack of matched_len. covered counts the mate's bases before a junction.
+    whose bases between them are within slack of matched_len. covered counts the mate's bases before a junction. Mates meet the ordered
+    list of a transcript's segments once, so that what lies between their ends is neither shuffled nor sorted.
     """
-    segs = _segments(trans_seg)
-    first = point_join(mates, segs, "spos").select("id", "chr", "spos", "epos", "matched_len", "trans_id", F.col("start_pos").alias("first_start"))
-    last = point_join(mates.select("id", "chr", "epos"), segs, "epos").select("id", "trans_id", F.col("start_pos").alias("last_start"))
-    ends = first.join(last, ["id", "trans_id"]).where("first_start < last_start")
-    walk = ends.join(segs, ["chr", "trans_id"]).where("start_pos BETWEEN first_start AND last_start")
-    piece = F.least("end_pos", "epos") - F.greatest("start_pos", "spos") + 1
-    w = Window.partitionBy("id", "trans_id").orderBy("start_pos")
-    walk = walk.withColumns(
-        {
-            "covered": F.sum(piece).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-            "total": F.sum(piece).over(Window.partitionBy("id", "trans_id")),
-            "junc_end": F.lead("start_pos").over(w),
-            "ord": F.row_number().over(w),
-        }
-    ).where((F.abs(F.col("total") - F.col("matched_len")) <= slack) & F.col("junc_end").isNotNull())
-    best = walk.groupBy("id").agg(F.min("trans_id").alias("trans_id"))
-    return walk.join(best, ["id", "trans_id"]).select("id", "trans_id", "ord", F.col("end_pos").alias("junc_start"), "junc_end", "covered")
+    lists = _ordered_segments(trans_seg)
+    held = point_join(mates, _stretches(lists), "spos").select("id", "chr", "spos", "epos", "matched_len", "trans_id").join(lists, ["chr", "trans_id"])
+    # segments of a transcript don't overlap: the first of these holds spos, the last one epos, if any does
+    path = F.filter("segs", lambda s: (s["end_pos"] >= F.col("spos")) & (s["start_pos"] <= F.col("epos")))
+    held = held.select("id", "spos", "epos", "matched_len", "trans_id", path.alias("path")).where((F.size("path") > 1) & (F.element_at("path", -1)["end_pos"] >= F.col("epos")))
+
+    def step(so_far: Column, s: Column) -> Column:
+        covered = F.coalesce(F.get(so_far, F.size(so_far) - 1)["covered"], F.lit(0).cast("long")) + F.least(s["end_pos"], "epos") - F.greatest(s["start_pos"], "spos") + 1
+        return F.array_append(so_far, F.struct(s["start_pos"].alias("start_pos"), s["end_pos"].alias("end_pos"), covered.cast("long").alias("covered")))
+
+    kind = "array<struct<start_pos: bigint, end_pos: bigint, covered: bigint>>"
+    held = held.select("id", "trans_id", "matched_len", F.aggregate("path", F.array().cast(kind), step).alias("path"))
+    held = held.where(F.abs(F.element_at("path", -1)["covered"] - F.col("matched_len")) <= slack)
+    junctions = F.zip_with(F.slice("path", 1, F.size("path") - 1), F.slice("path", 2, F.size("path") - 1), lambda x, y: F.struct(x["end_pos"].alias("junc_start"), y["start_pos"].alias("junc_end"), x["covered"].alias("covered")))
+    best = held.groupBy("id").agg(F.min("trans_id").alias("trans_id"), F.min_by(junctions, "trans_id").alias("junctions"))
+    return best.select("id", "trans_id", F.posexplode("junctions").alias("i", "x")).select("id", "trans_id", (F.col("i") + 1).alias("ord"), "x.junc_start", "x.junc_end", "x.covered")
 
 
 def transcript_walk(anchors: DataFrame, trans_seg: DataFrame, right: bool = True) -> DataFrame:
@@ -136,7 +140,7 @@ def transcript_walk(anchors: DataFrame, trans_seg: DataFrame, right: bool = True
     transcript with a segment at pos; it may end short where the transcript or the bound does. Anchors meet the ordered list of a
     transcript's segments and walk along it, so that the pieces of paths are neither shuffled nor sorted.
     """
-    lists = _segments(trans_seg).groupBy("chr", "trans_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos"))).alias("segs"))
+    lists = _ordered_segments(trans_seg)
     at = point_join(anchors, _stretches(lists)).select("id", "chr", "pos", "need", "bound", "trans_id")
     pos, bound, need = F.col("pos"), F.col("bound"), F.col("need").cast("long")
     if right:

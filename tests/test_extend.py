@@ -167,3 +167,32 @@ def test_realigned_splits_and_rescued_mates(spark, world):
     rows = [(1, "chr1", read, 670, 1569, 100, 1, 1500, 3699), (2, "chr1", read, 1600, 1699, 100, 1, 1500, 3699), (3, "chr1", spliced[170:270], 670, 1569, 100, 1, 1500, 3699)]
     mates = spark.createDataFrame(rows, "id long, chr string, seq string, m_start long, m_end long, matched_len long, qspos int, spos long, epos long").withColumn("tids", F.array().cast("array<long>"))
     assert [tuple(g) for g in extend.rescue_overlap(mates, segs, frame).collect()] == [(1, "start", 30, 0, 3670, 1569)]
+
+
+def test_junctions_come_from_the_list_of_a_transcript(spark):
+    """Against a loop, with ends outside of exons, in one segment, turned round, and lengths that don't fit; what lies between is not put in order by mate."""
+    import random
+
+    from helixframe.operators.spans import junction_list
+
+    r = random.Random(3)
+    segs = {t: [(a, a + r.choice((4, 9, 19))) for a in range(100 + t, 1_500, 20 + 10 * t)] for t in range(4)}
+    mates = []
+    for i in range(300):
+        s, e = sorted((r.randrange(90, 1_500), r.randrange(90, 1_500))) if i % 2 else (lambda a: (a, a + r.randrange(-5, 60)))(r.randrange(90, 1_400))
+        way = [x for x in segs[i % 4] if x[1] >= s and x[0] <= e]
+        mates.append((i, "c", s, e, sum(min(b, e) - max(a, s) + 1 for a, b in way) + r.randrange(-4, 5)))
+    want = []
+    for i, _, s, e, n in mates:
+        for t, own in segs.items():
+            first, last = [x for x in own if x[0] <= s <= x[1]], [x for x in own if x[0] <= e <= x[1]]
+            if not first or not last or first[0][0] >= last[0][0]:
+                continue
+            way = [x for x in own if first[0][0] <= x[0] <= last[0][0]]
+            pieces = [min(b, e) - max(a, s) + 1 for a, b in way]
+            if abs(sum(pieces) - n) <= 3:
+                want += [(i, t, k + 1, way[k][1], way[k + 1][0], sum(pieces[: k + 1])) for k in range(len(way) - 1)]
+                break
+    got = junction_list(spark.createDataFrame(mates, "id long, chr string, spos long, epos long, matched_len long"), spark.createDataFrame([("c", t, a, b, 1) for t, own in segs.items() for a, b in own], "chr string, trans_id long, seg_start long, seg_end long, state int"))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 200
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
