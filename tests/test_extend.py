@@ -196,3 +196,25 @@ def test_junctions_come_from_the_list_of_a_transcript(spark):
     got = junction_list(spark.createDataFrame(mates, "id long, chr string, spos long, epos long, matched_len long"), spark.createDataFrame([("c", t, a, b, 1) for t, own in segs.items() for a, b in own], "chr string, trans_id long, seg_start long, seg_end long, state int"))
     assert sorted(map(tuple, got.collect())) == want and len(want) > 200
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_template_lengths_come_from_the_list_of_a_transcript(spark):
+    """Against a loop, with mates that overlap, and ends outside of exons; mates meet the segments once, and then a list of them."""
+    import random
+
+    from helixframe.operators.annotation import insert_size
+
+    r = random.Random(4)
+    segs = {t: [(a, a + r.choice((4, 9, 19))) for a in range(100 + t, 1_500, 20 + 10 * t)] for t in range(4)}
+    mates = [(i, "c", a, a + r.randrange(-15, 300), 10, 12) for i in range(300) for a in [r.randrange(90, 1_400)]]
+    want = []
+    for i, _, a, b, n, m in mates:
+        sums = []
+        for own in segs.values():
+            if any(s <= a <= e for s, e in own) and any(s <= b <= e for s, e in own):
+                way = [min(e, b) - max(s, a) + 1 for s, e in own if e >= a and s <= b]
+                sums += [sum(way)] if way else []
+        want.append((i, min(sums) + n + m - 2 if sums else -1))
+    got = insert_size(spark.createDataFrame(mates, "id long, chr string, end1 long, start2 long, len1 long, len2 long"), spark.createDataFrame([("c", t, a, b, 1) for t, own in segs.items() for a, b in own], "chr string, trans_id long, seg_start long, seg_end long, state int"))
+    assert sorted(map(tuple, got.collect())) == want and len({x for _, x in want}) > 50
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 3
